@@ -4,7 +4,7 @@ Each source's rate is target words / words it has, between 0 and 2. A document i
 taken floor(rate) times, and once more if the sample picks it; its inclusion
 probability is the fraction of the rate. The flight phase moves probabilities
 along vectors of the null space of the balancing constraints (words and documents
-of the source), three units at a time, until at most two of a block are left.
+of the source) until at most two documents of a block are left open.
 What is left of all blocks flies again, block by block, until one block per source
 remains; only there is a landing phase needed.
 """
@@ -50,46 +50,50 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
     """Final probabilities; all are 0 or 1 if `land`, otherwise all but two at most.
 
-    p: inclusion probabilities, x: words. Keeps sum(p) and sum(p * x) as long as
-    three units are open; landing gives up the document count, then the words.
+    p: inclusion probabilities, x: words, longest first. Each step moves the longest
+    open unit up or down at random and lets all other open units make up for it, along
+    the projection of its axis on the null space of (documents, words), until a unit
+    is settled. So long documents are settled early and the last open ones are short.
+    Landing gives up the document total first, then lets one short document decide.
     """
-    p, x, tiny = [float(v) for v in p], [float(v) for v in x], 1e-9
-    draws = iter(rng.random(len(p) * 2 + 8).tolist())
-
-    def move(units: list[int], u: list[float]) -> list[int]:
-        up = min((1 - p[i]) / d if d > 0 else p[i] / -d for i, d in zip(units, u) if d)
-        down = min(p[i] / d if d > 0 else (1 - p[i]) / -d for i, d in zip(units, u) if d)
-        step = up if next(draws) * (up + down) < down else -down
-        still = []
-        for i, d in zip(units, u):
-            p[i] += step * d
-            if p[i] < tiny:
-                p[i] = 0.0
-            elif p[i] > 1 - tiny:
-                p[i] = 1.0
-            else:
-                still.append(i)
-        return still
-
-    open_: list[int] = []
-    for i in range(len(p)):
-        if not tiny < p[i] < 1 - tiny:
-            p[i] = float(round(p[i]))
-            continue
-        open_.append(i)
-        if len(open_) == 3:
-            a, b, c = (x[k] for k in open_)
-            u = [b - c, c - a, a - b]
-            scale = max(abs(v) for v in u)
-            open_ = move(open_, [v / scale for v in u] if scale else [1.0, -1.0, 0.0])
-    if land:
-        if len(open_) == 2:
-            a, b = (x[k] for k in open_)
-            scale = max(a, b)
-            open_ = move(open_, [b / scale, -a / scale] if scale else [1.0, -1.0])
-        for i in open_:
-            p[i] = 1.0 if next(draws) < p[i] else 0.0
-    return np.array(p)
+    p, tiny = np.clip(np.asarray(p, float), 0.0, 1.0), 1e-9
+    x = np.asarray(x, float) / max(1.0, float(np.max(x, initial=1.0)))
+    p[p < tiny], p[p > 1 - tiny] = 0.0, 1.0
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+
+    def settle(open_: np.ndarray, u: np.ndarray) -> np.ndarray:
+        q = p[open_]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            far, near = (1 - q) / u, -q / u  # where each would reach 1 and 0
+        far, near = far[u != 0], near[u != 0]
+        up, down = np.maximum(far, near).min(), -np.minimum(far, near).max()
+        q = q + (u * up if rng.random() * (up + down) < down else -u * down)
+        q[q < tiny], q[q > 1 - tiny] = 0.0, 1.0
+        p[open_] = q
+        return open_[(q > 0) & (q < 1)]
+
+    def null_vector(open_: np.ndarray) -> np.ndarray:
+        q, z = p[open_], x[open_]
+        wide = q * (1 - q)
+        n, t, tt = wide.sum(), wide @ z, (wide * z) @ z
+        det = n * tt - t * t
+        alike = det <= 1e-12 * n * tt  # equal sizes: the two constraints are one
+        for k in range(len(open_)):
+            u = -wide / n if alike else -wide * ((tt - t * z[k]) + (n * z[k] - t) * z) / det
+            u[k] += 1.0
+            if abs(u[k]) > 1e-6 and abs(u.sum()) < 1e-6 and abs(u @ z) < 1e-6:
+                return u
+        return np.zeros(len(open_))
+
+    while len(open_) > 2 and (u := null_vector(open_)).any():
+        open_ = settle(open_, u)
+    while land and len(open_) > 1:
+        i, j = open_[:2]
+        pair = np.array([x[j], -x[i]]) if x[i] + x[j] > 0 else np.array([1.0, -1.0])
+        open_ = np.concatenate([settle(open_[:2], pair), open_[2:]])
+    if land and len(open_):
+        p[open_] = float(rng.random() < p[open_[0]])
+    return p
 
 
 def balanced_copies(sized: DataFrame, *, seed: int = 23, block_rows: int = 2048, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
