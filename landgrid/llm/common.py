@@ -77,3 +77,8 @@ def lower_ascii(text: Column) -> Column:
 def words_of(text: Column) -> Column:
     """Lower-cased runs of digits, letters and characters outside ASCII, as an array; null: empty."""
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NON_WORD), "")
+
+
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Arrow batches of few rows: whole texts can be long, and a batch is held in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
