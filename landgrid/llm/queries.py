@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import decontamination, mixing, sharding, simhash
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op2_shard_shuffle": sharding.op2,
+    "op7_simhash": simhash.op7,
+    "op10_decontaminate": decontamination.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_decontaminate": decontamination.SQL,
+}
