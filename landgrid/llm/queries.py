@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, sharding, simhash
+from . import decontamination, language_id, mixing, sharding, simhash
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op2_shard_shuffle": sharding.op2,
+    "op6_language_id": language_id.op6,
     "op7_simhash": simhash.op7,
     "op10_decontaminate": decontamination.op10,
 }
