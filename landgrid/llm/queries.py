@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, mixing, sharding, simhash
+from . import chat_format, decontamination, language_id, license_scan, mixing, sharding, simhash, url_filters
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op2_shard_shuffle": sharding.op2,
+    "op3_license_scan": license_scan.op3,
+    "op5_chat_windows": chat_format.op5,
     "op6_language_id": language_id.op6,
     "op7_simhash": simhash.op7,
+    "op9_url_filters": url_filters.op9,
     "op10_decontaminate": decontamination.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": license_scan.SQL,
+    "op5_chat_windows": chat_format.SQL,
+    "op9_url_filters": url_filters.SQL,
     "op10_decontaminate": decontamination.SQL,
 }
