@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, language_id, license_scan, mixing, sharding, simhash, url_filters
+from . import block_knn, chat_format, decontamination, language_id, license_scan, mixing, sharding, simhash, url_filters
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op2_shard_shuffle": sharding.op2,
     "op3_license_scan": license_scan.op3,
+    "op4_block_knn": block_knn.op4,
     "op5_chat_windows": chat_format.op5,
     "op6_language_id": language_id.op6,
     "op7_simhash": simhash.op7,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": license_scan.SQL,
+    "op4_block_knn": block_knn.SQL,
     "op5_chat_windows": chat_format.SQL,
     "op9_url_filters": url_filters.SQL,
     "op10_decontaminate": decontamination.SQL,
