@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import block_knn, chat_format, decontamination, language_id, license_scan, mixing, sharding, simhash, url_filters
+from . import block_knn, chat_format, decontamination, importance, language_id, license_scan, mixing, sharding, simhash, url_filters
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_chat_windows": chat_format.op5,
     "op6_language_id": language_id.op6,
     "op7_simhash": simhash.op7,
+    "op8_importance_resampling": importance.op8,
     "op9_url_filters": url_filters.op9,
     "op10_decontaminate": decontamination.op10,
 }
