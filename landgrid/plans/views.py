@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LAT = "8 + ({k} * 7919 % 280000) / 1e4"
 _LNG = "70 + ({k} * 104729 % 270000) / 1e4"
-_STATES = "CASE {k} % 8 WHEN 0 THEN 'Madhya Pradesh' WHEN 1 THEN 'Odisha' WHEN 2 THEN 'Telangana' WHEN 3 THEN 'Tripura' WHEN 4 THEN 'Jharkhand' END"
+_STATES = "CASE {k} % 8 WHEN 0 THEN 'MP' WHEN 1 THEN 'Odisha' WHEN 2 THEN 'Telangana' WHEN 3 THEN 'Tripura' WHEN 4 THEN 'Jharkhand' END"
 
 #: name -> (source table, {column: expression})
 VIEWS: dict[str, tuple[str, dict[str, str]]] = {
