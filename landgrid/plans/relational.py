@@ -80,7 +80,7 @@ PAIRS = {
     "load_tables": (lambda s, d: _counts(s, d), "COUNTS"),
     "lookup_by_id": (lambda s, d: load(s, d, "claims").where("id = '42'").select("id", "claim_id", "status").unionByName(load(s, d, "villages").where("id = '42'").select("id", F.col("name").alias("claim_id"), F.col("type").alias("status"))), with_views("claims", "villages") + "SELECT id, claim_id, status FROM claims WHERE id = '42' UNION ALL SELECT id, name, type FROM villages WHERE id = '42'"),
     "districts_by_state": (lambda s, d: load(s, d, "districts").where("state_id = '2'").orderBy("name"), with_views("districts") + "SELECT * FROM districts WHERE state_id = '2' ORDER BY name"),
-    "villages_by_district": (lambda s, d: load(s, d, "villages").where("district_id = '3'").orderBy("name").select("id", "name", "population"), with_views("villages") + "SELECT id, name, population FROM villages WHERE district_id = '3' ORDER BY name"),
+    "villages_by_district": (lambda s, d: load(s, d, "villages").where("district_id = '3'").orderBy("name").select("id", "name"), with_views("villages") + "SELECT id, name FROM villages WHERE district_id = '3' ORDER BY name"),
     "claims_by_village": (lambda s, d: load(s, d, "claims").where("village_id = '7'").select("id", "claim_id", "status", "area"), with_views("claims") + "SELECT id, claim_id, status, area FROM claims WHERE village_id = '7'"),
     "role_scope": (lambda s, d: R.role_scope(geo(s, d).select("id", "village_id", "district_id", "state_id"), load(s, d, "users")).groupBy("user_id").agg(F.count(F.lit(1)).alias("claims"), F.min("id").alias("least_id")), with_views("claims", "villages", "districts", "users").rstrip() + f", {GEO_SQL}, {SCOPED} SELECT scope_user AS user_id, count(*) AS claims, min(id) AS least_id FROM s GROUP BY 1"),
     "claims_filter": (lambda s, d: R.filter_claims(geo(s, d), "verified", "IFR").where("district_id = '4'").select("id", "claim_id"), GEO + "SELECT id, claim_id FROM g WHERE status = 'verified' AND claim_type = 'IFR' AND district_id = '4'"),
