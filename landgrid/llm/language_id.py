@@ -81,23 +81,28 @@ def fit(rows: np.ndarray, labels: list[str], landmarks: int, ridge: float, warmt
 
 
 def train(labelled: DataFrame, *, per_language: int = 400, landmarks: int = 300, ridge: float = 0.1) -> Model:
-    """Fit on at most `per_language` rows (doc_id, text, lang) of each language, those of least hash.
+    """Fit on at most `per_language` different rows (doc_id, text, lang) of each language, those of least hash.
 
     That bound makes the fitted sample, and what reaches the driver (2 kB a row), as
-    large for any corpus; languages are expected to number hundreds at most.
+    large for any corpus; languages are expected to number hundreds at most. Hashes
+    alone are ranked, so no text is shuffled.
     """
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "text")  # ids only deal out the sample
-    chosen = usable.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("lang", "nth", "text")
+    spark = labelled.sparkSession
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))  # ids only deal out the sample
+    order = Window.partitionBy("lang").orderBy("h")
+    ranked = usable.select("lang", "h").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
+    cuts = ranked.groupBy("lang").agg(F.max("h").alias("cut")).collect()  # one row per language
+    cuts = spark.createDataFrame([(r["lang"], r["cut"]) for r in cuts], "lang string, cut long")
+    chosen = usable.join(F.broadcast(cuts), "lang").where("h <= cut").select("lang", "h", "text")
 
     def rows(batches):
         for batch in batches:
             bits = [np.packbits(presence(t)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("nth"), pa.array(bits, pa.binary())], ["lang", "nth", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(bits, pa.binary())], ["lang", "h", "bits"])
 
-    sample = chosen.mapInArrow(rows, "lang string, nth int, bits binary").collect()
-    sample.sort(key=lambda r: (r["nth"], r["lang"]))
-    packed = np.frombuffer(b"".join(r["bits"] for r in sample), np.uint8).reshape(len(sample), -1)
+    sample = chosen.mapInArrow(rows, "lang string, h long, bits binary").groupBy("lang", "h").agg(F.first("bits").alias("bits")).collect()
+    sample.sort(key=lambda r: (r["h"], r["lang"]))
+    packed = np.frombuffer(b"".join(r["bits"] for r in sample), np.uint8).reshape(len(sample), BINS // 8)
     return fit(np.unpackbits(packed, axis=1), [r["lang"] for r in sample], landmarks, ridge)
 
 
