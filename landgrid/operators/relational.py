@@ -31,12 +31,11 @@ def geo_join(claims: DataFrame, villages: DataFrame, districts: DataFrame) -> Da
     return claims.join(v.join(d, "district_id", "left"), "village_id", "left")
 
 
-def role_scope(joined: DataFrame, users: DataFrame) -> DataFrame:
-    """(user_id, claim columns): the claims that each user may see.
+def role_scope(joined: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(user_id and columns of the claims that bound users may see, user_id of those who see all).
 
     A district officer sees the own district, a state officer the own state, if set;
-    everyone else sees all. Users of one kind are matched by equality; only those who
-    see all meet every claim, as their result demands.
+    everyone else sees all claims. Those are not multiplied with their users.
     """
     u = users.select(F.col("id").alias("user_id"), "role", "state", "district")
     narrow = F.when((F.col("role") == "district") & F.col("district").isNotNull(), "district").when((F.col("role") == "state") & F.col("state").isNotNull(), "state").otherwise("all")
@@ -44,7 +43,7 @@ def role_scope(joined: DataFrame, users: DataFrame) -> DataFrame:
     own = joined.drop("user_id")
     by_district = own.join(u.where("scope = 'district'").select("user_id", F.col("district").alias("district_id")), "district_id")
     by_state = own.join(u.where("scope = 'state'").select("user_id", F.col("state").alias("state_id")), "state_id")
-    return by_district.unionByName(by_state).unionByName(own.join(u.where("scope = 'all'").select("user_id"), F.lit(True)))
+    return by_district.unionByName(by_state), u.where("scope = 'all'").select("user_id")
 
 
 def filter_claims(claims: DataFrame, status: str | None = None, claim_type: str | None = None) -> DataFrame:

@@ -18,6 +18,13 @@ def geo(s, d):
     return R.geo_join(load(s, d, "claims"), load(s, d, "villages"), load(s, d, "districts"))
 
 
+def _scopes(s, d):
+    joined = geo(s, d).select("id", "village_id", "district_id", "state_id")
+    bound, free = R.role_scope(joined, load(s, d, "users"))
+    measures = [F.count(F.lit(1)).alias("claims"), F.min("id").alias("least_id")]
+    return bound.groupBy("user_id").agg(*measures).unionByName(free.crossJoin(F.broadcast(joined.agg(*measures))))  # one row
+
+
 def _permissions(s, d):
     names = F.array(*[F.lit(p) for p in R.PERMISSIONS])
     asked = load(s, d, "audit").select("id", "user_id", F.element_at(names, (F.col("id") % len(R.PERMISSIONS) + 1).cast("int")).alias("permission"))
@@ -82,7 +89,7 @@ PAIRS = {
     "districts_by_state": (lambda s, d: load(s, d, "districts").where("state_id = '2'").orderBy("name"), with_views("districts") + "SELECT * FROM districts WHERE state_id = '2' ORDER BY name"),
     "villages_by_district": (lambda s, d: load(s, d, "villages").where("district_id = '3'").orderBy("name").select("id", "name"), with_views("villages") + "SELECT id, name FROM villages WHERE district_id = '3' ORDER BY name"),
     "claims_by_village": (lambda s, d: load(s, d, "claims").where("village_id = '7'").select("id", "claim_id", "status", "area"), with_views("claims") + "SELECT id, claim_id, status, area FROM claims WHERE village_id = '7'"),
-    "role_scope": (lambda s, d: R.role_scope(geo(s, d).select("id", "village_id", "district_id", "state_id"), load(s, d, "users")).groupBy("user_id").agg(F.count(F.lit(1)).alias("claims"), F.min("id").alias("least_id")), with_views("claims", "villages", "districts", "users").rstrip() + f", {GEO_SQL}, {SCOPED} SELECT scope_user AS user_id, count(*) AS claims, min(id) AS least_id FROM s GROUP BY 1"),
+    "role_scope": (_scopes, with_views("claims", "villages", "districts", "users").rstrip() + f", {GEO_SQL}, {SCOPED} SELECT scope_user AS user_id, count(*) AS claims, min(id) AS least_id FROM s GROUP BY 1"),
     "claims_filter": (lambda s, d: R.filter_claims(geo(s, d), "verified", "IFR").where("district_id = '4'").select("id", "claim_id"), GEO + "SELECT id, claim_id FROM g WHERE status = 'verified' AND claim_type = 'IFR' AND district_id = '4'"),
     "claims_listing": (lambda s, d: _flat(R.listing(geo(s, d))), GEO + LISTED),
     "pending_ocr": (lambda s, d: load(s, d, "papers").where("ocr_text is null").select("id", "claim_id"), with_views("papers") + "SELECT id, claim_id FROM papers WHERE ocr_text IS NULL"),
