@@ -13,18 +13,19 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round lets every node point its larger neighbours, then its smaller ones, to
     the least node it sees; a logarithmic number of rounds leaves stars. Minima are
-    aggregated before they are joined back, so a hub's links never meet in one task
-    by need; Spark may split them. An empty table of links gives no nodes.
+    aggregated map-side and written before they are joined back: both sides of that
+    join come straight from shuffles, so Spark can split a hub's links over tasks.
+    An empty table of links gives no nodes.
     """
     edges = materialise(links.select("a", "b").where("a <> b").distinct(), "links")
     state = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a")), "least")
         larger = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = larger.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         down = materialise(down, "large-star")
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialise(down.groupBy("a").agg(F.min("b").alias("m")), "least")
         kept = least.select("a", F.col("m").alias("b"))
         moved = down.join(least.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialise(kept.unionAll(moved).distinct(), "small-star")

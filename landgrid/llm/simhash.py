@@ -144,7 +144,7 @@ def near_links(prints: DataFrame, distance: int = 2, parts: int = 3) -> DataFram
     masks = probe_masks(prints, distance, parts)
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("probe"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(masks)]))
     keyed = prints.select("fp", keys.alias("k")).select("fp", "k.probe", "k.v")
-    sizes = keyed.groupBy("probe", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = materialise(keyed.groupBy("probe", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-sizes")  # written, so that the join may split a large bucket
     shared = materialise(keyed.join(sizes.hint("merge"), ["probe", "v"]), "simhash-buckets")
     left = shared.where(F.col("n") <= MAX_PAIRED).select("probe", "v", F.col("fp").alias("a"))
     right = left.withColumnRenamed("a", "b").hint("merge")
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, distance: int = 2, par
     reached = components(near_links(prints, distance, parts))
     roots = prints.join(reached.hint("merge"), prints["fp"] == reached["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     roots = materialise(roots, "simhash-roots")
-    ids = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    ids = materialise(roots.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-ids")
     classes = roots.join(ids.hint("merge"), "root").select("fp", "component_id")
     return printed.join(classes.hint("merge"), "fp")
 
