@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import keep_clear, materialise, read, shared_dir, words_of
 
+#: Results of documents with hits up to this many rows (about 150 bytes each) are broadcast to the documents.
+MAX_BROADCAST_HITS = 200_000
 #: Window tables up to this many rows (about 200 bytes each) are broadcast; larger ones are joined by a shuffle.
 MAX_BROADCAST_WINDOWS = 100_000
 
@@ -87,7 +89,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
 
 
 def _attach(marked: DataFrame, judged: DataFrame, same: Column) -> DataFrame:
-    return marked.join(judged.hint("merge"), same, "left")
+    """Hits to their documents: without a shuffle of documents if few have any."""
+    few = judged.count() <= MAX_BROADCAST_HITS
+    return marked.join(F.broadcast(judged) if few else judged.hint("merge"), same, "left")
 
 
 def _occurrences(docs: DataFrame, windows: DataFrame, n_windows: int, widths: list[int], shingle: int) -> DataFrame:
