@@ -19,9 +19,9 @@ BUCKETS = 10_000
 #: Bytes of text hashed at a time; a word longer than a piece is hashed in parts.
 PIECE = 1 << 18
 _R = 0x9E3779B97F4A7C15 | 1
-_POWERS = np.concatenate([[1], np.cumprod(np.full(PIECE + 64, _R, np.uint64))]).astype(np.uint64)
-_INVERSE = pow(_R, -1, 1 << 64)
-_INVERSES = np.concatenate([[1], np.cumprod(np.full(PIECE + 64, _INVERSE, np.uint64))]).astype(np.uint64)
+_ZERO, _ONE = np.zeros(1, np.uint64), np.ones(1, np.uint64)  # uint64 throughout: mixed with int64 they would turn to floats
+_POWERS = np.concatenate([_ONE, np.cumprod(np.full(PIECE + 64, _R, np.uint64))])
+_INVERSES = np.concatenate([_ONE, np.cumprod(np.full(PIECE + 64, pow(_R, -1, 1 << 64), np.uint64))])
 #: 0 blank or control, 1 letter, digit or outside ASCII, 2 punctuation.
 _KINDS = np.array([0 if b <= 32 or b == 127 else 1 if b > 127 or chr(b).isalnum() else 2 for b in range(256)], np.int8)
 
@@ -52,14 +52,14 @@ def ngram_counts(text: bytes) -> np.ndarray:
             start, end = edges[:-1][full], edges[1:][full]
             if not len(start):
                 continue
-            sums = np.concatenate([[0], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(data)])]).astype(np.uint64)
+            sums = np.concatenate([_ZERO, np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(data)])])
             words = (sums[end] - sums[start]) * _INVERSES[start]  # polynomial of each word, free of its place
             words ^= words >> np.uint64(29)
             words *= np.uint64(0xBF58476D1CE4E5B9)
-            chain = words if last is None else np.concatenate([[last], words])
+            chain = words if last is None else np.concatenate([last, words])
             pairs = chain[:-1] * np.uint64(0x94D049BB133111EB) + chain[1:]
             pairs ^= pairs >> np.uint64(31)
-            last = words[-1]
+            last = words[-1:]
             for hashed in (words, pairs):
                 counts += np.bincount((hashed >> np.uint64(20)) % np.uint64(BUCKETS), minlength=BUCKETS)
     return counts
