@@ -65,7 +65,7 @@ def test_mix_targets_and_balance(spark):
         taken[g.source] += g.size * g.copies
     assert len(got) == len(rows)
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= 0.02 * want[s] + 300  # documents have up to some thousand words
+        assert abs(taken[s] - want[s]) <= 0.002 * want[s] + max(n for _, x, n in rows if x == s) / 2  # one outlier may outweigh its small block
     again = mixing.balanced_copies(sized.repartition(3), block_rows=256).collect()
     assert {g.doc_id: g.copies for g in got} == {g.doc_id: g.copies for g in again}
 
