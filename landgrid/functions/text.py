@@ -109,6 +109,9 @@ PATTERNS: dict[str, tuple[int, list[str]]] = {
     ]),
 }
 
+#: Patterns (by place) that match nothing in a text of ASCII alone; they are not run on such texts.
+BEYOND_ASCII = {"names": range(6, 13), "villages": (2,), "areas": (7,), "dates": (4, 5)}
+
 # Words that no name contains.
 NAME_EXCLUSIONS = ["Village", "District", "State", "Claim", "Forest", "Rights", "Form", "Application", "Survey", "Number", "Date", "Block", "Tehsil", "Gram", "Panchayat", "Officer", "Department", "Government", "Committee"]
 
@@ -134,7 +137,13 @@ def entities(text: Column, kind: str) -> Column:
     """Values of one kind, in pattern order, then by position, each once; null text: empty."""
     group, patterns = PATTERNS[kind]
     safe = F.coalesce(text, F.lit(""))
-    found = F.flatten(F.array(*[F.regexp_extract_all(safe, F.lit(pattern_text(kind, p)), F.lit(group)) for p in patterns]))
+    ascii_only = F.octet_length(safe) == F.char_length(safe)
+
+    def matches(i: int, pattern: str) -> Column:
+        run = F.regexp_extract_all(safe, F.lit(pattern_text(kind, pattern)), F.lit(group))
+        return F.when(ascii_only, F.array().cast("array<string>")).otherwise(run) if i in BEYOND_ASCII.get(kind, ()) else run
+
+    found = F.flatten(F.array(*[matches(i, p) for i, p in enumerate(patterns)]))
     if kind in TRIMMED:
         found = F.transform(found, _trim)
     if kind == "villages":

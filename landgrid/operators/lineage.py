@@ -14,3 +14,13 @@ def cut(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """`df` over all cores, for column work that outweighs a shuffle of narrow rows.
+
+    A table that has as many partitions as there are cores stays as it is: only small
+    tables of few files are dealt anew.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)

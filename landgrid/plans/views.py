@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lineage import spread
+
 _LAT = "8 + ({k} * 7919 % 280000) / 1e4"
 _LNG = "70 + ({k} * 104729 % 270000) / 1e4"
 _STATES = "CASE {k} % 8 WHEN 0 THEN 'MP' WHEN 1 THEN 'Odisha' WHEN 2 THEN 'Telangana' WHEN 3 THEN 'Tripura' WHEN 4 THEN 'Jharkhand' END"
@@ -94,7 +96,7 @@ def columns_of(view: str, first_index: int) -> dict[str, str]:
 def load(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     """A domain table as a DataFrame; only the columns a query uses are read."""
     if view == "letters":
-        return load(spark, sf_dir, "claims").selectExpr("id", "claim_id", "ai_confidence", f"{LETTER} AS text")
+        return spread(load(spark, sf_dir, "claims"), "id").selectExpr("id", "claim_id", "ai_confidence", f"{LETTER} AS text")
     table = spark.read.parquet(f"{sf_dir}/{VIEWS[view][0]}.parquet")
     return table.selectExpr(*[f"{e} AS {c}" for c, e in columns_of(view, 0).items()])
 
