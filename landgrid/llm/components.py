@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,10 +25,12 @@ def components(links: DataFrame) -> DataFrame:
         larger = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = larger.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         down = materialise(down, "large-star")
+        discard(least, edges)
         least = materialise(down.groupBy("a").agg(F.min("b").alias("m")), "least")
         kept = least.select("a", F.col("m").alias("b"))
         moved = down.join(least.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialise(kept.unionAll(moved).distinct(), "small-star")
+        discard(least, down)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             break

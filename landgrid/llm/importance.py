@@ -121,7 +121,7 @@ def kth_largest(scored: DataFrame, key: str, k: int) -> float | None:
     return low
 
 
-def resample(docs: DataFrame, good: DataFrame, *, share: float = 0.8, seed: int = 31, max_targets: int = 20_000, per_gram: bool = True) -> DataFrame:
+def resample(docs: DataFrame, good: DataFrame, *, share: float = 0.85, seed: int = 31, max_targets: int = 20_000, per_gram: bool = True) -> DataFrame:
     """doc_id, log_weight, n_grams, score and selected for every row of `docs`.
 
     `good` holds the doc_ids of texts of the target kind; at most `max_targets` of
