@@ -59,17 +59,23 @@ class Model:
         return odds.argmax(axis=1), odds.max(axis=1) / odds.sum(axis=1)
 
 
-def fit(rows: np.ndarray, labels: list[str], landmarks: int, ridge: float, warmth: float = 8.0) -> Model:
-    """Kernel ridge regression, one language against the rest, on Nyström features of evenly spaced landmarks."""
+def fit(packed: np.ndarray, labels: list[str], landmarks: int, ridge: float, warmth: float = 8.0) -> Model:
+    """Kernel ridge regression, one language against the rest, on Nyström features of evenly spaced landmarks.
+
+    `packed` holds presence rows of eight bins a byte; they are unpacked a few at a time.
+    """
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((BINS, 0)), np.zeros(0), warmth)
-    data = scaled(rows.astype(np.float64))
-    base = data[np.unique(np.linspace(0, len(data) - 1, min(landmarks, len(data))).round().astype(int))]
-    values, vectors = np.linalg.eigh(base @ base.T)
-    good = values > values.max() * 1e-10
+
+    def rows(which) -> np.ndarray:
+        return scaled(np.unpackbits(packed[which], axis=1).astype(np.float32))
+
+    base = rows(np.unique(np.linspace(0, len(packed) - 1, min(landmarks, len(packed))).round().astype(int)))
+    values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
+    good = values > values.max() * 1e-6
     root = vectors[:, good] / np.sqrt(values[good])
-    features = (data @ base.T) @ root
+    features = np.vstack([rows(slice(at, at + 128)) @ base.T for at in range(0, len(packed), 128)]).astype(np.float64) @ root
     features = np.hstack([features, np.ones((len(features), 1))])
     wanted = np.array([[1.0 if label == language else -1.0 for language in languages] for label in labels])
     share = np.array([labels.count(language) for language in languages], float)
@@ -77,7 +83,7 @@ def fit(rows: np.ndarray, labels: list[str], landmarks: int, ridge: float, warmt
     weight *= len(labels) / weight.sum()
     gram = features.T @ (features * weight) + ridge * np.eye(features.shape[1])
     solved = np.linalg.solve(gram, features.T @ (wanted * weight))
-    return Model(languages, base.T @ (root @ solved[:-1]), solved[-1], warmth)
+    return Model(languages, base.T @ (root @ solved[:-1]).astype(np.float32), solved[-1], warmth)
 
 
 def train(labelled: DataFrame, *, per_language: int = 400, landmarks: int = 300, ridge: float = 0.1) -> Model:
@@ -103,7 +109,7 @@ def train(labelled: DataFrame, *, per_language: int = 400, landmarks: int = 300,
     sample = chosen.mapInArrow(rows, "lang string, h long, bits binary").groupBy("lang", "h").agg(F.first("bits").alias("bits")).collect()
     sample.sort(key=lambda r: (r["h"], r["lang"]))
     packed = np.frombuffer(b"".join(r["bits"] for r in sample), np.uint8).reshape(len(sample), BINS // 8)
-    return fit(np.unpackbits(packed, axis=1), [r["lang"] for r in sample], landmarks, ridge)
+    return fit(packed, [r["lang"] for r in sample], landmarks, ridge)
 
 
 def classified(model: Model, batch_rows: int = 64):
