@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import materialise, read, shared_dir, small_batches
 
 BUCKETS = 10_000
+#: Cells of a histogram, which is what reaches the driver in each round of the search for the cut.
+CELLS = 4096
 #: Bytes of text hashed at a time; a word longer than a piece is hashed in parts.
 PIECE = 1 << 18
 _R = 0x9E3779B97F4A7C15 | 1
@@ -105,13 +107,13 @@ def log_weights(target: np.ndarray, raw: np.ndarray, smooth: float = 1.0):
 
 
 def kth_largest(scored: DataFrame, key: str, k: int) -> float | None:
-    """The k-th largest value of a double column, exactly: histograms of 65,536 cells, each of the last one's cell."""
+    """The k-th largest value of a double column, exactly: histograms of CELLS cells, each of the last one's cell."""
     low, high, n = scored.agg(F.min(key), F.max(key), F.count(key)).first()
     if not n or k <= 0:
         return None
     left = min(k, n)
     while low < high:
-        cell = F.least(F.floor((F.col(key) - low) / ((high - low) / 65536)), F.lit(65535))
+        cell = F.least(F.floor((F.col(key) - low) / ((high - low) / CELLS)), F.lit(CELLS - 1))
         cells = scored.where(F.col(key).between(low, high)).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).collect()
         for row in sorted(cells, key=lambda r: -r["cell"]):
             if left <= row["n"]:
