@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import relational as R
 from ..sources import sinks, tables
 from .relational import GEO, NEWEST, geo
-from .rules import ACCEPTED, ALL, recs
+from .rules import ALL, recs
 from .views import load, with_views
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..streaming import streams as T
 from .sources import folder
-from .views import with_views
 from .workflow import WF
 
 OUTCOME = "CASE l_returnflag WHEN 'A' THEN 'completed' WHEN 'R' THEN 'failed' ELSE 'other' END"
