@@ -56,7 +56,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
     (doc_id and text) get equal results, each row its own. Empty tables are allowed.
     Input columns with the names of results get the suffix `_in`.
     """
-    spark = docs.sparkSession
     docs = keep_clear(docs, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_id", "_h")
     windows = materialise(item_windows(benchmark, window), "windows")
     n_windows = windows.count()
