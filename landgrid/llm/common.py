@@ -48,16 +48,23 @@ def discard(*tables: DataFrame) -> None:
 
 
 def keep_clear(df: DataFrame, *names: str) -> DataFrame:
-    """Rename input columns that clash with an operator's own ones: `_in` is appended until free."""
+    """Rename input columns that clash with an operator's own ones, in any case: `_in` is appended until free."""
     for name in names:
-        if name in df.columns:
-            new = name + "_in"
-            while new in df.columns:
+        for column in [c for c in df.columns if c.lower() == name.lower()]:
+            taken, new = {c.lower() for c in df.columns}, column + "_in"
+            while new.lower() in taken:
                 new += "_in"
-            df = df.withColumnRenamed(name, new)
+            df = df.withColumnRenamed(column, new)
     return df
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def text_of(column: str | Column = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep_clear, read, shared_dir, small_batches
+from .common import keep_clear, read, shared_dir, small_batches, spare
 
 #: n-grams are hashed into so many bins.
 BINS = 1 << 14
@@ -152,9 +152,9 @@ def identify_languages(docs: DataFrame, **how) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = keep_clear(docs, "held_out", "lang_pred", "score")
     model = train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), **how)
-    found = classified(model)(F.col("text"))
-    out = docs.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("_found", found)
-    return out.withColumns({"lang_pred": F.col("_found.lang"), "score": F.col("_found.score")}).drop("_found")
+    found = spare(docs, "_found")
+    out = docs.withColumn("held_out", held_out(F.col("doc_id"))).withColumn(found, classified(model)(F.col("text")))
+    return out.withColumns({"lang_pred": F.col(f"{found}.lang"), "score": F.col(f"{found}.score")}).drop(found)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

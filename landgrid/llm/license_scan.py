@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_clear, read, shared_dir, small_batches
+from .common import keep_clear, read, shared_dir, small_batches, spare
 
 #: (words, label): plain phrases whose places are all counted.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -175,7 +175,8 @@ def scan_licenses(docs: DataFrame, *, phrases: list[tuple[str, str]] = PHRASES,
         kinds = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())]
         return pa.array(out, pa.struct(kinds))
 
-    return docs.withColumn("_scan", scan(F.col("text"))).select(*docs.columns, "_scan.*")
+    found = spare(docs, "_scan")
+    return docs.withColumn(found, scan(F.col("text"))).select(*docs.columns, f"{found}.*")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,14 +148,14 @@ def mix_sources(docs: DataFrame, **how) -> DataFrame:
     interchangeable: their copies are dealt among them. Null or empty texts have
     size 0 and no words to take; they follow the source's rate like any other row.
     """
-    columns = docs.columns
-    marked = docs.withColumn("_id", F.xxhash64("doc_id")).withColumn("_h", F.xxhash64("doc_id", "text", "source"))
-    sized = marked.select("_id", F.col("_h").alias("h"), "source", n_plain_words(F.col("text")).alias("size"))
+    keys = [F.xxhash64("doc_id").alias("_id"), F.xxhash64("doc_id", "text", "source").alias("_h")]
+    marked = docs.select(F.struct("*").alias("_row"), *keys)
+    sized = docs.select(*keys, "source", n_plain_words(F.col("text")).alias("size")).withColumnRenamed("_h", "h")
     taken = balanced_copies(sized, **how).groupBy("_id", F.col("h").alias("_h")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     nth = F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_h")) - 1
     dealt = marked.withColumn("_nth", nth).join(taken.hint("merge"), ["_id", "_h"])
     times = F.expr("int(_copies div _rows + if(_nth < _copies % _rows, 1, 0))")
-    return dealt.withColumn("_times", times).where("_times > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_time")).drop("_time")
+    return dealt.withColumn("_times", times).where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

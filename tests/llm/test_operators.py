@@ -81,8 +81,8 @@ def test_flight_keeps_probabilities():
 
 def test_mix_odd_cases(spark):
     docs = odd_docs(spark)
-    mixed = mixing.mix_sources(clash(docs, "copies", "target"))
-    assert mixed.columns == [*docs.columns, "copies", "target"]
+    mixed = mixing.mix_sources(clash(docs, "Copies", "target", "_id", "_h", "h"))
+    assert mixed.columns == [*docs.columns, "Copies", "target", "_id", "_h", "h"] and {r._id for r in mixed.collect()} == {"kept"}
     counts = Counter((r.doc_id, r.text) for r in mixed.collect())
     held = Counter((r.doc_id, r.text) for r in docs.collect())
     assert all(n <= 2 * held[k] for k, n in counts.items())
@@ -114,9 +114,9 @@ def test_shards_are_a_permutation(spark):
 
 def test_shards_odd_cases(spark):
     docs = odd_docs(spark)
-    rows = sharding.shuffle_into_shards(clash(docs, "shard", "slot"), 3).collect()
+    rows = sharding.shuffle_into_shards(clash(docs, "Shard", "slot", "rec", "bucket", "at"), 3).collect()
     check_shards(rows, docs.count(), 3)
-    assert {r.shard_in for r in rows} == {"kept"}
+    assert {r.Shard_in for r in rows} == {r.bucket for r in rows} == {"kept"}
     assert sharding.shuffle_into_shards(empty(spark)).count() == 0
 
 
@@ -156,7 +156,7 @@ def test_license_automaton_equals_regex():
 
 
 def test_license_odd_cases(spark):
-    rows = license_scan.scan_licenses(clash(odd_docs(spark), "labels", "score")).collect()
+    rows = license_scan.scan_licenses(clash(odd_docs(spark), "labels", "score", "_scan")).collect()
     assert len(rows) == 10 and rows[0].labels_in == "kept"
     by = {r.doc_id: r for r in rows}
     assert by[2].n_words == by[3].n_words == 0 and by[2].first_word is None and by[5].n_words == 200000
@@ -279,7 +279,7 @@ def test_language_held_out(spark, sf_dir):
 
 
 def test_language_odd_cases(spark):
-    by = {r.doc_id: r for r in language_id.identify_languages(clash(odd_docs(spark), "score", "lang_pred")).collect()}
+    by = {r.doc_id: r for r in language_id.identify_languages(clash(odd_docs(spark), "score", "lang_pred", "_found")).collect()}
     assert by[2].lang_pred == by[3].lang_pred == by[4].lang_pred == by[7].lang_pred == "und" and by[2].score == 0
     assert by[1].lang_pred in ("en", "la") and by[1].score_in == "kept" and by[None].held_out
     assert language_id.identify_languages(empty(spark)).count() == 0
@@ -366,7 +366,7 @@ def test_thresholds():
 
 def test_near_duplicates_odd_cases(spark):
     by = {}
-    for r in simhash.near_duplicates(clash(odd_docs(spark), "fp", "component_id")).collect():
+    for r in simhash.near_duplicates(clash(odd_docs(spark), "fp", "component_id", "first", "root")).collect():
         by.setdefault(r.doc_id, []).append(r)
     assert {r.component_id for r in by[6]} == {1} and len(by[1]) == 2 and by[1][0].fp_in == "kept"
     assert by[2][0].fp == by[3][0].fp == by[4][0].fp == 0 and by[4][0].component_id == 2
@@ -494,7 +494,7 @@ def test_contamination_equals_brute_force(spark, monkeypatch, small):
 
 def test_contamination_odd_cases(spark):
     items = spark.createDataFrame([(1, "the cat sat on the mat"), (1, "the cat sat on the mat")], "item_id long, text string")
-    rows = decontamination.contamination(clash(odd_docs(spark), "n_hit", "contaminated"), items).collect()
+    rows = decontamination.contamination(clash(odd_docs(spark), "n_hit", "contaminated", "_id", "words", "items"), items).collect()
     assert len(rows) == 10 and rows[0].n_hit_in == "kept"
     assert sorted(r.doc_id for r in rows if r.contaminated) == [1, 1, 6]
     assert not any(r.contaminated for r in decontamination.contamination(odd_docs(spark), items.limit(0)).collect())
