@@ -6,10 +6,15 @@ their sizes. Landmark texts give Nyström features, on which one ridge regressio
 language is fitted against the rest. The learned weights fold back into the n-gram
 space (landmark sets x coefficients), so texts are scored by products of batches of
 presence rows with one matrix.
+
+A whole long text would fill its row, so sets are those of spans of bounded size: a
+text's margins are the mean over its spans, without those that tell no language.
 """
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,12 +27,37 @@ BINS = 1 << 14
 ORDERS = (1, 2, 3, 4, 5)
 #: Bytes of a text that are hashed at a time; whole texts are read, piece by piece.
 PIECE = 1 << 18
+#: Most bytes of a text that share one presence row.
+SPAN = 1 << 12
+#: Smaller spans, read in turn where no larger one tells a language: words between junk.
+FINER = (1 << 9, 1 << 7)
+#: Spans of one sampled text that are learned from, evenly spaced; all spans of every text are scored.
+LEARNED_SPANS = 4
 
 
 def presence(text: str) -> np.ndarray:
     """The 0/1 row of the n-gram bins that occur in the lower-cased text."""
+    return presence_of(text.lower().encode("utf-8", "replace"))
+
+
+def spans(text: str, size: int | None = None) -> list[bytes]:
+    """The lower-cased text in parts of about equal size; each reads on as far as n-grams that begin in it."""
+    data = text.lower().encode("utf-8", "replace")
+    n = max(1, -(-len(data) // (size or SPAN)))
+    cuts = [len(data) * i // n for i in range(n + 1)]
+    return [data[a : b + max(ORDERS) - 1] for a, b in zip(cuts, cuts[1:])]
+
+
+def learned_spans(text: str) -> list[bytes]:
+    """All spans of a short text, LEARNED_SPANS evenly spaced ones of a long one."""
+    parts = spans(text)
+    few = min(len(parts), LEARNED_SPANS)
+    return [parts[len(parts) * i // few] for i in range(few)]
+
+
+def presence_of(data: bytes) -> np.ndarray:
     seen = np.zeros(BINS, bool)
-    data = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
+    data = np.frombuffer(data, np.uint8)
     for at in range(0, len(data), PIECE):
         piece = data[at : at + PIECE + max(ORDERS) - 1].astype(np.uint32)
         rolling = np.zeros(len(piece), np.uint32)
@@ -45,15 +75,31 @@ def scaled(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1.0))
 
 
+def leads(margins: np.ndarray) -> np.ndarray:
+    """By how much the best margin of each row exceeds the second; infinite with one language."""
+    if margins.shape[1] < 2:
+        return np.full(len(margins), np.inf)
+    top = np.partition(margins, -2, axis=1)
+    return top[:, -1] - top[:, -2]
+
+
 class Model:
-    """Weights from n-gram bins to languages."""
+    """Weights from n-gram bins to languages; spans whose best margin is negative or leads by less than `floor` tell none."""
+
+    def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray, warmth: float, floor: float = 0.0):
+        self.languages, self.weights, self.bias, self.warmth, self.floor = languages, weights.astype(np.float32), bias, warmth, floor
 
-    def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray, warmth: float):
-        self.languages, self.weights, self.bias, self.warmth = languages, weights.astype(np.float32), bias, warmth
+    def margins(self, rows: np.ndarray) -> np.ndarray:
+        """One margin per presence row and language."""
+        return scaled(rows.astype(np.float32)) @ self.weights + self.bias
 
-    def predict(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the best language and its share of the softmax, per presence row."""
-        margins = (scaled(rows.astype(np.float32)) @ self.weights + self.bias) * self.warmth
+    def tells(self, margins: np.ndarray) -> np.ndarray:
+        """Whether a row of margins is that of a text in a learned language."""
+        return (leads(margins) >= self.floor) & (margins.max(axis=1, initial=-np.inf) > 0)
+
+    def predict(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the best language and its share of the softmax, per row of margins."""
+        margins = margins * self.warmth
         margins -= margins.max(axis=1, keepdims=True)
         odds = np.exp(margins)
         return odds.argmax(axis=1), odds.max(axis=1) / odds.sum(axis=1)
@@ -83,14 +129,15 @@ def fit(packed: np.ndarray, labels: list[str], landmarks: int, ridge: float, war
     weight *= len(labels) / weight.sum()
     gram = features.T @ (features * weight) + ridge * np.eye(features.shape[1])
     solved = np.linalg.solve(gram, features.T @ (wanted * weight))
-    return Model(languages, base.T @ (root @ solved[:-1]).astype(np.float32), solved[-1], warmth)
+    floor = float(np.median(leads(features @ solved))) / 4
+    return Model(languages, base.T @ (root @ solved[:-1]).astype(np.float32), solved[-1], warmth, floor)
 
 
 def train(labelled: DataFrame, *, per_language: int = 400, landmarks: int = 300, ridge: float = 0.1) -> Model:
     """Fit on at most `per_language` different rows (doc_id, text, lang) of each language, those of least hash.
 
     That bound makes the fitted sample, and what reaches the driver (2 kB a row), as
-    large for any corpus; languages are expected to number hundreds at most. Hashes
+    large for any corpus (a long text gives LEARNED_SPANS rows); languages are expected to number hundreds at most. Hashes
     alone are ranked, so no text is shuffled.
     """
     spark = labelled.sparkSession
@@ -103,35 +150,59 @@ def train(labelled: DataFrame, *, per_language: int = 400, landmarks: int = 300,
 
     def rows(batches):
         for batch in batches:
-            bits = [np.packbits(presence(t)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(bits, pa.binary())], ["lang", "h", "bits"])
+            parts = [(i, n, part) for i, t in enumerate(batch.column("text").to_pylist()) for n, part in enumerate(learned_spans(t))]
+            at = pa.array([i for i, _, _ in parts], pa.int32())
+            bits = pa.array([np.packbits(presence_of(part)).tobytes() for _, _, part in parts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("lang").take(at), batch.column("h").take(at), pa.array([n for _, n, _ in parts], pa.int32()), bits], ["lang", "h", "n", "bits"])
 
-    sample = chosen.mapInArrow(rows, "lang string, h long, bits binary").groupBy("lang", "h").agg(F.first("bits").alias("bits")).collect()
-    sample.sort(key=lambda r: (r["h"], r["lang"]))
+    sample = chosen.mapInArrow(rows, "lang string, h long, n int, bits binary").groupBy("lang", "h", "n").agg(F.first("bits").alias("bits")).collect()
+    sample.sort(key=lambda r: (r["h"], r["lang"], r["n"]))
     packed = np.frombuffer(b"".join(r["bits"] for r in sample), np.uint8).reshape(len(sample), BINS // 8)
     return fit(packed, [r["lang"] for r in sample], landmarks, ridge)
 
 
-def classified(model: Model, batch_rows: int = 64):
+def text_margins(model: Model, texts, size: int = SPAN, finer=FINER, batch_rows: int = 64):
+    """Pairs (position, margins) of an iterable of pairs (position, text), each text read to its end.
+
+    Only spans that tell a language count, so that neither length nor a run of junk
+    outweighs what a text says elsewhere. A text without any is read again in finer
+    spans; if none of them tells one either, all count.
+    """
+    def pending():
+        for i, text in texts:
+            parts = spans(text, size)
+            for k, part in enumerate(parts):
+                yield i, text if k + 1 == len(parts) else None, presence_of(part)
+
+    found, n, rest, count, again = 0.0, 0, 0.0, 0, {}
+    rows = pending()
+    while batch := list(islice(rows, batch_rows)):
+        margins = model.margins(np.vstack([row for _, _, row in batch]))
+        for (i, ended, _), row, tells in zip(batch, margins, model.tells(margins), strict=True):
+            if tells:
+                found, n = found + row, n + 1
+            else:
+                rest, count = rest + row, count + 1
+            if ended is not None:
+                if n or not finer:
+                    yield i, found / n if n else rest / count
+                else:
+                    again[i] = ended
+                found, n, rest, count = 0.0, 0, 0.0, 0
+    if again:
+        yield from text_margins(model, again.items(), finer[0], finer[1:], batch_rows)
+
+
+def classified(model: Model):
     """Function of a text column: struct<lang: string, score: double> per text."""
 
     @F.arrow_udf("lang string, score double")
     def of(texts: pa.Array) -> pa.Array:
-        langs, scores, pending = ["und"] * len(texts), [0.0] * len(texts), []
-
-        def flush():
-            if pending:
-                best, share = model.predict(np.vstack([row for _, row in pending]))
-                for (i, _), b, s in zip(pending, best, share, strict=True):
-                    langs[i], scores[i] = model.languages[b], float(s)
-                pending.clear()
-
-        for i, text in enumerate(texts.to_pylist()):
-            if model.languages and text and any(map(str.isalpha, text)):
-                pending.append((i, presence(text)))
-                if len(pending) == batch_rows:
-                    flush()
-        flush()
+        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+        told = ((i, t) for i, t in enumerate(texts.to_pylist()) if model.languages and t and any(map(str.isalpha, t)))
+        for i, margins in text_margins(model, told):
+            best, share = model.predict(margins[None])
+            langs[i], scores[i] = model.languages[best[0]], float(share[0])
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     return of

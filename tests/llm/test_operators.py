@@ -294,6 +294,24 @@ def test_language_pieces_do_not_matter(monkeypatch):
     assert (language_id.presence(text) == whole).all()
 
 
+def test_language_of_long_texts_and_texts_with_junk(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null").select("doc_id", "text", "lang")
+    r, texts = random.Random(5), {}
+    for row in docs.where(language_id.held_out(F.col("doc_id"))).collect():
+        texts.setdefault(row.lang, []).append(row.text)
+    odd = []
+    for lang, all_of in sorted(texts.items()):
+        joined, junk = " ".join(all_of), "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=200_000))
+        odd += [joined * (size // len(joined) + 1) for size in (1_000_000, 5_000_000)]  # repeats alone do not fill a row
+        odd += [" ".join("".join(r.sample(w, len(w))) if r.random() < 0.2 else w for w in odd[-2].split(" "))]  # new n-grams all along
+        plain, short = max(all_of, key=len), min((t for t in all_of if len(t) > 300), key=len)
+        odd += [f"{plain} {junk[:size]}" for size in (10_000, 50_000, 200_000)] + [f"{short} {junk}", f"{junk[:20_000]} {plain}", f"{plain} {junk[:20_000]} {plain}"]
+    each = len(odd) // len(texts)
+    rows = [(None, t, sorted(texts)[i // each]) for i, t in enumerate(odd)]  # null ids are held out
+    found = language_id.identify_languages(docs.unionAll(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).where("doc_id is null").collect()
+    assert len(found) == len(rows) and all(x.held_out and x.lang_pred == x.lang for x in found)
+
+
 # 7 -----------------------------------------------------------------------------------------------
 
 def signed(x):
