@@ -25,18 +25,23 @@ BITS = 64
 MAX_PAIRED = 64
 
 
-def simhash_of(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """The signed 64-bit fingerprint of a text in UTF-8; A-Z lower-cased, words between ASCII blanks."""
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """The hash of each word shingle of a text in UTF-8; A-Z lower-cased, words between ASCII blanks."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     width = min(shingle, len(words))
     spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(words) - width + 1)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(words) - width + 1)
+
+
+def simhash_of(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """The signed 64-bit fingerprint of a text; 0 without words."""
+    hashes = shingle_hashes(text, shingle, seed)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)]

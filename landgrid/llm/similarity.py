@@ -1,0 +1,83 @@
+"""Groups of texts whose word shingles have a Jaccard similarity of a given least value.
+
+Candidates share all min-hashes of some band; with 24 bands of 4 a pair of similarity
+0.8 is missed with odds of about three in a million. What is linked is decided by the
+exact similarity of the shingle sets, so texts less alike are never linked directly.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialise, small_batches
+from .components import components
+from .simhash import MAX_PAIRED, shingle_hashes
+
+BANDS, ROWS = 24, 4
+_DRAWN = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
+_FLIP, _TIMES = _DRAWN[0], _DRAWN[1] * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One signed key per band from the min-hashes of a set of shingle hashes that is not empty."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1 << 10):
+        least = np.minimum(least, ((hashes[at : at + (1 << 10), None] ^ _FLIP) * _TIMES).min(axis=0))
+    mixed = least.reshape(BANDS, ROWS)
+    key = np.zeros(BANDS, np.uint64)
+    for row in range(ROWS):
+        key = (key ^ mixed[:, row]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def _sets(texts: DataFrame, shingle: int, what) -> DataFrame:
+    """(node, n, found) per row of (node, text) with a word: the number of different shingles and `what` of their hashes."""
+    def rows(batches):
+        for batch in batches:
+            nodes, sizes, found = [], [], []
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                hashes = np.unique(shingle_hashes(text or b"", shingle))
+                if len(hashes):
+                    nodes.append(node), sizes.append(len(hashes)), found.append(what(hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "n", "found"])
+
+    return texts.mapInArrow(rows, "node long, n long, found array<long>").dropDuplicates(["node"])
+
+
+def candidates(signed: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes to compare: all pairs of a small bucket; each of a large one with its least and greatest node.
+
+    Texts alike that share a large bucket meet in others too, with other partners.
+    """
+    keyed = signed.select("node", "n", F.posexplode("found").alias("band", "key"))
+    buckets = materialise(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi")).where("held > 1"), "similar-buckets")
+    shared = materialise(keyed.join(buckets.hint("merge"), ["band", "key"]), "similar-shared")
+    left = shared.where(F.col("held") <= MAX_PAIRED).select("band", "key", F.col("node").alias("a"), F.col("n").alias("na"))
+    right = left.withColumnsRenamed({"a": "b", "na": "nb"}).hint("merge")
+    paired = left.join(right, ["band", "key"]).where("a < b").select("a", "na", "b", "nb")
+    ends = F.explode(F.array("lo", "hi")).alias("end")
+    crowded = shared.where(F.col("held") > MAX_PAIRED).select("node", "n", ends).where("node <> end.node")
+    crowded = crowded.select(F.least("node", "end.node").alias("a"), F.when(F.col("node") < F.col("end.node"), F.col("n")).otherwise(F.col("end.n")).alias("na"), F.greatest("node", "end.node").alias("b"), F.when(F.col("node") < F.col("end.node"), F.col("end.n")).otherwise(F.col("n")).alias("nb"))
+    return paired.unionAll(crowded).where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")).select("a", "b").distinct()
+
+
+def similar_links(texts: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) of candidates among `texts` (node long, text) whose Jaccard similarity reaches `similarity`."""
+    small_batches(texts.sparkSession)
+    signed = materialise(_sets(texts, shingle, band_keys), "similar-keys")
+    pairs = materialise(candidates(signed, similarity), "similar-pairs")
+    asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-nodes")
+    sets = materialise(_sets(texts.join(asked.hint("merge"), "node", "left_semi"), shingle, lambda hashes: hashes.view(np.int64)), "similar-sets")
+    first = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("found").alias("xs")).hint("merge")
+    second = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("found").alias("ys")).hint("merge")
+    both = pairs.join(first, "a").join(second, "b").withColumn("common", F.size(F.array_intersect("xs", "ys")))
+    return both.where(F.col("common") >= F.lit(similarity) * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+
+
+def similar_groups(texts: DataFrame, **how) -> DataFrame:
+    """(node, root) for each node of `texts` (node long, text) that is linked to another one."""
+    return components(similar_links(texts, **how))

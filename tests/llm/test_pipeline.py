@@ -1,9 +1,12 @@
 """The pipeline's stages against what they promise, and the registered queries against SQL."""
 
+import random
+
 import pytest
 
 import corpus_pipeline as P
 from landgrid.llm import queries as Q
+from landgrid.llm import similarity
 
 from .test_operators import check_shards, joined_by, naive_simhash, odd_docs, empty, waterfall
 
@@ -45,6 +48,51 @@ def test_decontamination_stage(stages, duck):
     assert sorted(r.doc_id for r in stages["decontamination"]) == sorted(r.doc_id for r in stages["near_duplicates"] if r.doc_id not in bad)
 
 
+def five_word_sets(rows):
+    words = [(r.text or "").encode().lower().split() for r in rows]
+    return [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def edited_groups(rows):
+    """Index of the least row that each row reaches over pairs with a Jaccard similarity of 0.8."""
+    sets, root = five_word_sets(rows), list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    return root
+
+
+def test_edited_copies_stage_keeps_one_of_each_group(stages):
+    rows = sorted(stages["decontamination"], key=lambda r: r.doc_id)
+    root = edited_groups(rows)
+    assert len(set(root)) < len(rows)  # the near-duplicate stage left some
+    assert sorted(r.doc_id for r in stages["edited_copies"]) == [rows[i].doc_id for i in sorted(set(root))]
+
+
+@pytest.mark.parametrize("paired", [64, 3])
+def test_edited_copies_equal_brute_force(spark, sf_dir, monkeypatch, paired):
+    monkeypatch.setattr(similarity, "MAX_PAIRED", paired)
+    r, rows = random.Random(9), []
+    for k in range(40):
+        base = [f"w{r.randrange(3000)}" for _ in range(r.choice([8, 60, 400]))]
+        for _ in range(12 if k % 8 == 0 else 3):
+            rate = r.choice([0, 0.005, 0.01, 0.02, 0.06])
+            rows.append((len(rows), " ".join(f"x{r.random()}" if r.random() < rate else w for w in base), "en", "a", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [x.doc_id for x in P.edited_copies_stage(spark, docs, sf_dir).collect()]
+    assert sorted(kept) == sorted(set(edited_groups(docs.collect()))) and 40 < len(kept) < len(rows)
+
+
+def test_edited_copies_of_equal_and_null_ids(spark, sf_dir):
+    text = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*text, extra]), "en", "a", 1) for i in (None, 7, 8) for extra in ("one", "two", "three") if (i, extra) != (8, "one")]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [x.doc_id for x in P.edited_copies_stage(spark, make(rows), sf_dir).collect()] == [7]
+    assert P.edited_copies_stage(spark, make(rows[:3]), sf_dir).count() == 1
+
+
 def test_mixing_stage(stages):
     size = lambda r: len(r.text.encode().split())
     have, took, times = {}, {}, {}
