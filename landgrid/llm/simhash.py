@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_clear, materialise, read, shared_dir, small_batches
+from .common import keep_clear, materialise, read, shared_dir, small_batches, spare
 from .components import components
 
 BITS = 64
@@ -171,6 +171,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, distance: int = 2, par
     blank texts have fingerprint 0. Rows with null doc_id take part; a component
     of such rows alone has a null id. Input columns fp and component_id get `_in`.
     """
+    root = spare(docs, "_root")
+    return with_roots(docs, root, shingle=shingle, distance=distance, parts=parts).drop(root)
+
+
+def with_roots(docs: DataFrame, root: str, *, shingle: int = 3, distance: int = 2, parts: int = 3) -> DataFrame:
+    """As near_duplicates, and a column `root` (long): the least fingerprint of the component, which no other one shares."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = keep_clear(docs, "fp", "component_id")
@@ -180,7 +186,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, distance: int = 2, par
     roots = prints.join(reached.hint("merge"), prints["fp"] == reached["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     roots = materialise(roots, "simhash-roots")
     ids = materialise(roots.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-ids")
-    classes = roots.join(ids.hint("merge"), "root").select("fp", "component_id")
+    classes = roots.join(ids.hint("merge"), "root").select("fp", "component_id", F.col("root").alias(root))
     return printed.join(classes.hint("merge"), "fp")
 
 

@@ -122,5 +122,13 @@ def test_near_duplicate_stage_on_odd_rows(spark, sf_dir):
     assert sorted(kept, key=lambda x: (x is None, x)) == [1, 2, 5, 7, 8, None]
 
 
+def test_near_duplicate_stage_keeps_one_row_of_equal_or_null_ids(spark, sf_dir):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"{words} {case}", "en", "a", 1) for i in (None, 7) for case in (words, words.upper(), words.title())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [x.doc_id for x in P.near_duplicate_stage(spark, docs, sf_dir).collect()] == [7]
+    assert P.near_duplicate_stage(spark, docs.where("doc_id is null"), sf_dir).count() == 1
+
+
 def test_run(spark, sf_dir, stages):
     assert P.run(spark, sf_dir).count() == len(stages["sharding"])
