@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share. Without one: a temporary folder in local mode, refused on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -86,6 +89,25 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NON_WORD), "")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows: whole texts can be long, and a batch is held in memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Keys with more than this share of all rows (and 1000 rows) are hot: there are at most so many of them.
+HOT_KEYS = 100_000
+
+
+def row_keys(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of all columns, _k1 and _k2: rows alike in every column are alike in both."""
+    plain = [F.col(f"`{f.name}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return [F.xxhash64(F.lit(k), *plain).alias(f"_k{k}") for k in (1, 2)]
+
+
+def hot_keys(counts: DataFrame, n_rows: int) -> DataFrame:
+    """Of a written table with (_k1, _k2, n), the keys of hot groups of equal rows; HOT_KEYS rows at most, so they may be broadcast."""
+    return counts.where(F.col("n") > max(1000, n_rows // HOT_KEYS)).select("_k1", "_k2", "n")
+
+
+def repeated(df: DataFrame, times: Column, name: str, chunk: int = 1024) -> DataFrame:
+    """Each row `times` times, with a number `name` from 0; the copies of one row are spread over tasks."""
+    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_times") - 1) / chunk).cast("long")))
+    parts = df.withColumn("_times", times.cast("long")).where("_times > 0").select("*", chunks.alias("_chunk"))
+    parts = parts.repartition(F.xxhash64(*[c for c in df.columns if c.startswith("_k")], "_chunk"))
+    within = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(chunk).cast("long"), F.col("_times") - F.col("_chunk") * chunk) - 1))
+    return parts.select("*", within.alias("_in")).withColumn(name, F.col("_chunk") * chunk + F.col("_in")).drop("_times", "_chunk", "_in")

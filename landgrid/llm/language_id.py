@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep_clear, read, shared_dir, small_batches, spare
+from .common import keep_clear, read, shared_dir, spare
 
 #: n-grams are hashed into so many bins.
 BINS = 1 << 14
@@ -220,7 +220,6 @@ def identify_languages(docs: DataFrame, **how) -> DataFrame:
     texts, texts without a letter, and if nothing could be learned. The score is the
     best language's softmax share. Input columns of these names get the suffix `_in`.
     """
-    small_batches(docs.sparkSession)
     docs = keep_clear(docs, "held_out", "lang_pred", "score")
     model = train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), **how)
     found = spare(docs, "_found")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_clear, read, shared_dir, small_batches, spare
+from .common import keep_clear, read, shared_dir, spare
 
 #: (words, label): plain phrases whose places are all counted.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -141,7 +141,6 @@ def scan_licenses(docs: DataFrame, *, phrases: list[tuple[str, str]] = PHRASES,
     accepted, 0.5 for phrases alone, else 0. Null texts count as empty; whole texts
     are read; rows stay as they are. Input columns of these names get `_in`.
     """
-    small_batches(docs.sparkSession)
     docs = keep_clear(docs, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     compiled = [(label, longest_stretch(t).encode(), compile_template(t)) for label, t in templates]
     machines = [(label, stretch, machine, {w.encode() for w in first_words(machine)}) for label, stretch, machine in compiled]

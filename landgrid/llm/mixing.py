@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep_clear, materialise, n_plain_words, read
+from .common import hot_keys, keep_clear, materialise, n_plain_words, read, repeated, row_keys
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -26,13 +26,14 @@ MAX_BROADCAST_SOURCES = 50_000
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """One row per source: source, source_rows, source_size, target.
+    """One row per source: source, source_rows, source_size, target. `sized`: source, size and n, the number of equal rows.
 
     Sources by code point, null last, get the weights in turn. Capping and sharing
     the excess again ends where target = min(cap * size, level * weight), with one
-    level for all; sorted by cap / weight, running sums give that level.
+    level for all; sorted by cap / weight, running sums give that level. Totals per
+    source are ordered in one task, which holds some hundred bytes per source.
     """
-    per = sized.groupBy("source").agg(F.count(F.lit(1)).alias("source_rows"), F.sum("size").alias("source_size"))
+    per = sized.groupBy("source").agg(F.count(F.lit(1)).alias("source_rows"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (turn % len(weights) + 1).cast("int"))
     per = per.withColumn("w", weight).withColumn("cap", F.col("source_size") * F.lit(cap)).withColumn("ratio", F.col("cap") / F.col("w"))
@@ -97,25 +98,39 @@ def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator, land: bool) -
 
 
 def balanced_copies(sized: DataFrame, *, seed: int = 23, block_rows: int = 2048, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """`sized` (h long, source, size long, any other narrow columns) plus source_size, target and copies.
-
-    h is a hash that tells rows apart; it seeds the draws, so reruns agree. Blocks
-    are cut by h, so a source that holds most rows is spread like any other.
+    """`sized` (source, size long, any other narrow columns) plus source_size, target and copies.
+
+    Rows alike in all columns are one unit: of n of them with rate r, floor(n r) copies
+    are sure and the fraction is sampled, so a large group of copies costs no more than
+    one row; the unit's copies are then dealt over its rows as evenly as whole numbers
+    allow. A hash of the row seeds the draws and cuts the blocks, so reruns agree and a
+    source that holds most rows is spread like any other. Null sources are a source of
+    their own; empty tables give no rows.
     Columns called source_size, target or copies on input get the suffix `_in`.
     """
-    sized = keep_clear(sized, "source_size", "source_rows", "target", "copies", "p", "block", "base")
-    targets = materialise(source_targets(sized, weights, share, cap), "mix-targets")
+    sized = keep_clear(sized, "source_size", "source_rows", "target", "copies")
+    units = materialise(sized.select(F.struct("*").alias("row"), "source", "size", *row_keys(sized)).groupBy("_k1", "_k2").agg(*[F.any_value(c).alias(c) for c in ("row", "source", "size")], F.count(F.lit(1)).alias("n")), "mix-units")
+    taken = unit_copies(units, seed, block_rows, weights, share, cap)
+    each = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("nth") < F.col("copies") % F.col("n"), 1).otherwise(0)
+    once = taken.where("n = 1").select("row.*", "source_size", "target", F.col("copies").cast("int").alias("copies"))
+    more = repeated(taken.where("n > 1"), F.col("n"), "nth").select("row.*", "source_size", "target", each.cast("int").alias("copies"))
+    return once.unionAll(more)
+
+
+def unit_copies(units: DataFrame, seed: int = 23, block_rows: int = 2048, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """`units` (_k1, _k2, source, size, n and others) with source_size, target and copies (long, of the n rows together)."""
+    targets = materialise(source_targets(units, weights, share, cap), "mix-targets")
     n_sources, most = targets.agg(F.count(F.lit(1)), F.max("source_rows")).first()
+    targets = targets.withColumnRenamed("source", "_source")
     small = F.broadcast(targets) if n_sources <= MAX_BROADCAST_SOURCES else targets.hint("merge")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    source = sized["source"]
-    state = sized.join(small.withColumnRenamed("source", "source_key"), source.eqNullSafe(F.col("source_key")), "inner").drop("source_key")
-    state = state.withColumn("base", F.floor(rate).cast("int")).withColumn("p", rate - F.floor(rate))
+    mean = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)) * F.col("n")
+    state = units.join(small, units["source"].eqNullSafe(F.col("_source")), "inner").drop("_source")
+    state = state.withColumn("base", F.floor(mean)).withColumn("p", mean - F.floor(mean))
 
     def fly(land: bool, level: int):
         def block(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values(["h", "size"], kind="stable").reset_index(drop=True)
-            rng = np.random.Generator(np.random.PCG64([seed, level, int(group["h"].iloc[0]) & (2**63 - 1)]))
+            group = group.sort_values(["_k1", "_k2", "size"], kind="stable").reset_index(drop=True)
+            rng = np.random.Generator(np.random.PCG64([seed, level, int(group["_k1"].iloc[0]) & (2**63 - 1)]))
             # long documents are settled first, so that what is left to land is short
             order = np.lexsort((rng.random(len(group)), -group["size"].to_numpy()))
             p = np.empty(len(group))
@@ -123,13 +138,15 @@ def balanced_copies(sized: DataFrame, *, seed: int = 23, block_rows: int = 2048,
             return group.assign(p=p)
         return block
 
-    done, level = None, 0
+    columns = ["_k1", "_k2", "source", "size", "n", "base", "p", "source_rows"]  # what a block needs; the rest waits
+    rest = state.select("_k1", "_k2", *[c for c in state.columns if c not in columns])
+    state, done, level = state.select(*columns), None, 0
     while True:
         blocks = max(1, -(-(most or 1) // block_rows))
         last = blocks == 1
         own = F.ceil(F.col("source_rows") / F.lit(float(block_rows) * (block_rows / 2) ** level)).cast("long")
         level += 1
-        keyed = state.withColumn("block", F.pmod(F.xxhash64("h", F.lit(seed + level)), F.greatest(own, F.lit(1))))
+        keyed = state.withColumn("block", F.pmod(F.xxhash64("_k1", "_k2", F.lit(seed + level)), F.greatest(own, F.lit(1))))
         flown = keyed.groupBy("source", "block").applyInPandas(fly(last, level), keyed.schema).drop("block")
         if last:
             break
@@ -138,28 +155,40 @@ def balanced_copies(sized: DataFrame, *, seed: int = 23, block_rows: int = 2048,
         done = settled if done is None else done.unionByName(settled)
         state, most = flown.where(~F.col("p").isin(0.0, 1.0)), 2 * blocks
     done = flown if done is None else done.unionByName(flown)
-    return done.withColumn("copies", F.col("base") + F.round("p").cast("int")).drop("p", "base", "source_rows")
+    done = done.select("_k1", "_k2", (F.col("base") + F.round("p").cast("long")).alias("copies"))
+    return done.hint("merge").join(rest, ["_k1", "_k2"]).join(units.select("_k1", "_k2", "source", "size", "n").hint("merge"), ["_k1", "_k2"])
 
 
 def mix_sources(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: each row of `docs` as often as the sample takes it, columns as given.
 
-    Rows are told apart by doc_id and a hash of text and source. Equal rows are
-    interchangeable: their copies are dealt among them. Null or empty texts have
-    size 0 and no words to take; they follow the source's rate like any other row.
+    Rows alike in all columns are interchangeable: the mix holds as many of them as it
+    takes of all together, at most twice their number. Null or empty texts have size 0
+    and no words to take; they follow the source's rate like any other row. Null
+    sources are a source of their own; an empty table gives an empty mix.
     """
-    keys = [F.xxhash64("doc_id").alias("_id"), F.xxhash64("doc_id", "text", "source").alias("_h")]
-    marked = docs.select(F.struct("*").alias("_row"), *keys)
-    sized = docs.select(*keys, "source", n_plain_words(F.col("text")).alias("size")).withColumnRenamed("_h", "h")
-    taken = balanced_copies(sized, **how).groupBy("_id", F.col("h").alias("_h")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    nth = F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_h")) - 1
-    dealt = marked.withColumn("_nth", nth).join(taken.hint("merge"), ["_id", "_h"])
-    times = F.expr("int(_copies div _rows + if(_nth < _copies % _rows, 1, 0))")
-    return dealt.withColumn("_times", times).where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
+    keyed = docs.select(*row_keys(docs), "source", n_plain_words(F.col("text")).alias("size"))
+    units = materialise(keyed.groupBy("_k1", "_k2").agg(F.any_value("source").alias("source"), F.any_value("size").alias("size"), F.count(F.lit(1)).alias("n")), "mix-units")
+    taken = materialise(unit_copies(units, **how).select("_k1", "_k2", "n", "copies"), "mix-copies")
+    hot = hot_keys(units, units.agg(F.sum("n")).first()[0] or 0)
+    rows = docs.select(F.struct("*").alias("_row"), *row_keys(docs))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    if hot.isEmpty():
+        cold = rows
+    else:
+        few = F.broadcast(hot)
+        once = rows.join(few, ["_k1", "_k2"]).groupBy("_k1", "_k2").agg(F.any_value("_row").alias("_row")).join(taken.hint("merge"), ["_k1", "_k2"])
+        copied = repeated(once, F.col("copies"), "_nth").select("_row")
+        cold = rows.join(few, ["_k1", "_k2"], "left_anti")
+    met = cold.join(taken.where("copies > 0").hint("merge"), ["_k1", "_k2"])
+    out = met.where("n = 1").select("_row", times).select("_row")
+    equal = met.where("n > 1").groupBy("_k1", "_k2").agg(F.any_value("_row").alias("_row"), F.any_value("copies").alias("copies"))
+    out = out.unionAll(equal.select("_row", times).select("_row"))
+    return (out if hot.isEmpty() else out.unionAll(copied)).select("_row.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    sized = docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("h"), n_plain_words(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", F.xxhash64("text").alias("h"), n_plain_words(F.col("text")).alias("size"))
     mixed = balanced_copies(materialise(sized, "mix-sizes"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", "copies")

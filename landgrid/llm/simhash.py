@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_clear, materialise, read, shared_dir, small_batches, spare
+from .common import keep_clear, materialise, read, shared_dir, spare
 from .components import components
 
 BITS = 64
@@ -178,7 +178,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, distance: int = 2, par
 def with_roots(docs: DataFrame, root: str, *, shingle: int = 3, distance: int = 2, parts: int = 3) -> DataFrame:
     """As near_duplicates, and a column `root` (long): the least fingerprint of the component, which no other one shares."""
     spark = docs.sparkSession
-    small_batches(spark)
     docs = keep_clear(docs, "fp", "component_id")
     printed = materialise(docs.withColumn("fp", fingerprint(F.col("text"), shingle)).drop("text"), "simhash")
     prints = materialise(printed.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -55,6 +56,7 @@ def test_mix_targets_and_balance(spark):
     r = random.Random(1)
     rows = [(i, r.choice(["a", "a", "a", "b", "c", "d", None]), int(r.lognormvariate(4, 1.2))) for i in range(6000)]
     sized = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("h", F.xxhash64("doc_id"))
+    sized = sized.withColumn("source_key", F.lit("kept"))
     got = mixing.balanced_copies(sized, block_rows=256).collect()
     sizes = Counter()
     for _, s, n in rows:
@@ -70,6 +72,28 @@ def test_mix_targets_and_balance(spark):
     assert {g.doc_id: g.copies for g in got} == {g.doc_id: g.copies for g in again}
 
 
+def test_mix_of_many_equal_rows(spark):
+    rows = spark.range(200_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit(40).cast("long").alias("size"))
+    rest = spark.range(2000).select("id", F.when(F.col("id") % 2 == 0, "a").otherwise("b"), F.col("id") % 50 + 1)
+    began = time.time()
+    got = mixing.balanced_copies(rows.unionAll(rest)).groupBy("doc_id", "source", "target").agg(F.count("*").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("words"), F.max("copies").alias("most"), F.min("copies").alias("least")).collect()
+    assert time.time() - began < 60 and sum(g.n for g in got) == 202_000
+    assert all(g.most - g.least <= 1 and g.most <= 2 for g in got)
+    for s in "ab":
+        mine = [g for g in got if g.source == s]
+        assert sum(g.words for g in mine) == pytest.approx(mine[0].target, rel=0.002)
+
+
+@pytest.mark.parametrize("n", [40, 3000])
+def test_mixed_rows_are_whole_rows(spark, n):
+    docs = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.lit("the same text").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(3).cast("long").alias("n_chars"))
+    docs = docs.unionAll(spark.range(300).select(F.col("id") + 10, F.concat(F.lit("other text "), F.col("id")), F.lit("en"), F.lit("b"), F.col("id")))
+    got = Counter(tuple(r) for r in mixing.mix_sources(docs).collect())
+    want = waterfall({"a": 3 * n, "b": 900})
+    assert got[1, "the same text", "en", "a", 3] == pytest.approx(want["a"] / 3, abs=1)
+    assert all(c <= 2 for k, c in got.items() if k[0] != 1) and sum(3 * c for k, c in got.items() if k[0] != 1) == pytest.approx(want["b"], abs=3)
+
+
 def test_flight_keeps_probabilities():
     p, x = np.array([0.3, 0.7, 0.5, 0.2, 0.9]), np.array([9.0, 5.0, 3.0, 3.0, 1.0])
     rng = np.random.default_rng(0)
@@ -120,6 +144,24 @@ def test_shards_odd_cases(spark):
     assert sharding.shuffle_into_shards(empty(spark)).count() == 0
 
 
+def test_shards_of_many_equal_rows(spark, monkeypatch):
+    docs = spark.range(9000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same").alias("text")).unionAll(spark.range(500).select("id", F.lit("x")))
+    out = sharding.shuffle_into_shards(docs, 8, bucket_bytes=10_000)
+    rows = out.withColumn("task", F.spark_partition_id()).collect()
+    check_shards(rows, 9500, 8)
+    assert Counter(r.text for r in rows) == {"the same": 9000, "x": 500}
+    order = [r.doc_id for r in sorted(rows, key=lambda r: (r.shard, r.slot)) if r.text == "x"]
+    assert len(set(order)) == 500
+    again = sharding.shuffle_into_shards(docs.repartition(7), 8, bucket_bytes=10_000, max_tasks=3).collect()
+    assert Counter((r.doc_id, r.text, r.shard, r.slot) for r in rows) == Counter((r.doc_id, r.text, r.shard, r.slot) for r in again)
+
+
+def test_shards_tell_rows_apart_by_all_columns(spark):
+    docs = spark.range(400).select(F.lit(1).alias("doc_id"), F.lit("t").alias("text"), F.col("id").cast("string").alias("lang"), F.create_map(F.lit("k"), F.col("id")).alias("m"))
+    at = lambda df: {r.lang: (r.shard, r.slot) for r in sharding.shuffle_into_shards(df, 3, bucket_bytes=3000).collect()}
+    assert at(docs) == at(docs.repartition(5))
+
+
 def test_shards_are_written(spark, tmp_path):
     out = str(tmp_path / "shards")
     sharding.write_shards(sharding.shuffle_into_shards(odd_docs(spark), 2), out)
