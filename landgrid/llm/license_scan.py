@@ -20,7 +20,45 @@ from .common import keep_clear, read, shared_dir, spare
 #: (words, label): plain phrases whose places are all counted.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
-#: (label, template).
+_MIT = """
+permission is hereby granted free of charge to any person obtaining a copy of {{4}} and associated documentation files
+[[the software]] to deal in the software without restriction including without limitation the rights to use copy modify
+merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is
+furnished to do so subject to the following conditions the above copyright notice and this permission notice
+[[including the next paragraph]] shall be included in all copies or substantial portions of the software
+the software is provided as is without warranty of any kind express or implied including but not limited to the
+warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {{8}} be liable for
+any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in
+connection with the software or the use or other dealings in the software
+"""
+_BSD_CONDITIONS = """
+redistribution and use in source and binary forms with or without modification are permitted provided that the following
+conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions
+and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of
+conditions and the following disclaimer in the documentation and or other materials provided with the distribution
+"""
+_BSD_NAMES = """
+[[3]] neither the name of {{10}} nor the names of its contributors may be used to endorse or promote products derived
+from this software without specific prior written permission
+"""
+_BSD_DISCLAIMER = """
+this software is provided by {{8}} as is and any express or implied warranties including but not limited to the implied
+warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{8}} be liable for
+any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of
+substitute goods or services loss of use data or profits or business interruption however caused and on any theory of
+liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the
+use of this software even if advised of the possibility of such damage
+"""
+_ISC = """
+permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted
+provided that the above copyright notice and this permission notice appear in all copies the software is provided as is
+and {{6}} disclaims all warranties with regard to this software including all implied warranties of merchantability and
+fitness in no event shall {{6}} be liable for any special direct indirect or consequential damages or any damages
+whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious
+action arising out of or in connection with the use or performance of this software
+"""
+
+#: (label, template): notices that name a licence, and whole texts of licences that are told by their wording.
 TEMPLATES = [
     ("gpl-3", "licensed under the [[terms of the]] gnu general public license [[version]] 3"),
     ("gpl-3", "under the terms of the gnu general public license {{12}} version 3"),
@@ -29,9 +67,11 @@ TEMPLATES = [
     ("cc-by-nc", "creative commons attribution {{1}} noncommercial [[{{2}} international]] [[public]] license"),
     ("apache-2", "licensed under the apache license version 2 [[0]] [[the license]]"),
     ("mit", "released under the [[terms of the]] mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of {{4}} and associated documentation files"),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted {{12}} following conditions are met"),
     ("mpl-2", "subject to the terms of the mozilla public license [[v]] [[version]] 2 0"),
+    ("mit", _MIT),
+    ("bsd-2", _BSD_CONDITIONS + _BSD_DISCLAIMER),
+    ("bsd-3", _BSD_CONDITIONS + _BSD_NAMES + _BSD_DISCLAIMER),
+    ("isc", _ISC),
 ]
 
 
@@ -138,8 +178,9 @@ def scan_licenses(docs: DataFrame, *, phrases: list[tuple[str, str]] = PHRASES,
     n_base counts all places of the phrases, overlapping ones too; first_word and
     last_word are their smallest and largest start (null without any). labels adds the
     labels of accepted templates to those of the phrases. score: 1 if a template is
-    accepted, 0.5 for phrases alone, else 0. Null texts count as empty; whole texts
-    are read; rows stay as they are. Input columns of these names get `_in`.
+    accepted, 0.5 for phrases alone, else 0. Null texts count as empty; whole texts are
+    read, in time proportional to their length; repeated rows stay, each with its own
+    result; an empty table gives no rows. Input columns of these names get `_in`.
     """
     docs = keep_clear(docs, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     compiled = [(label, longest_stretch(t).encode(), compile_template(t)) for label, t in templates]
@@ -157,9 +198,10 @@ def scan_licenses(docs: DataFrame, *, phrases: list[tuple[str, str]] = PHRASES,
             joined = b" " + b" ".join(tokens) + b" "
             places, base, more = [], set(), set()
             for phrase, label in wanted:
-                at = joined.find(phrase)
+                at, seen, word = joined.find(phrase), 0, 0
                 while at >= 0:
-                    places.append(joined.count(b" ", 0, at))
+                    seen, word = at, word + joined.count(b" ", seen, at)
+                    places.append(word)
                     base.add(label)
                     at = joined.find(phrase, at + 1)
             for label, stretch, machine, starts in machines:
