@@ -271,14 +271,27 @@ def test_knn_ties_and_odd_vectors(spark):
     got = {}
     for r in block_knn.nearest(df, F.col("vec_id") % 50 == 0).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
-    assert sorted(got[0]) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
-    assert sorted(got[50]) == [(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)]
+    assert sorted(got[0]) == [(1, 1), (2, 1), (3, 2), (4, 3), (5, 4)]  # the repeated row counts twice
+    assert sorted(got[50]) == [(1, 0), (2, 1), (3, 1), (4, 2), (5, 3)]
     assert 100 not in got
     assert block_knn.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     two = block_knn.nearest(df.where("vec_id in (0, 7)"), F.col("vec_id") % 50 == 0).collect()
     assert [(r.query_id, r.vec_id) for r in two] == [(0, 7)]
 
 
+def test_knn_repeated_ids_and_sizes(spark):
+    rows = [(7, [1.0, 0.0]), (7, [0.0, 1.0]), (50, [1.0, 0.1]), (100, [1e200, 1e200]), (101, [3e-200, 2.9e-200]), (50, [0.1, 1.0]), (102, [-1e308, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = [np.array(v) / np.abs(v).max() / np.linalg.norm(np.array(v) / np.abs(v).max()) for _, v in rows]
+    want = []
+    for i, (q, _) in enumerate(rows):
+        if q % 50 == 0:
+            best = sorted((-float(unit[i] @ unit[j]), rows[j][0]) for j in range(len(rows)) if j != i)[:5]
+            want += [(q, n + 1, c, round(-x, 9)) for n, (x, c) in enumerate(best)]
+    got = block_knn.nearest(df, F.col("vec_id") % 50 == 0, query_block=2, candidate_block=3).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got) == sorted(want)
+
+
 def test_quantisation_bound():
     rng = np.random.default_rng(7)
     q, c = rng.normal(size=(40, 16)), rng.normal(size=(50, 16))
