@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_clear, read, shared_dir
+from .common import keep_clear, materialise, read, shared_dir, spare
 
 #: (verdict, host and path prefix). A rule fits its host and subdomains; the longest wins.
 HOST_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -36,7 +36,7 @@ PATTERN_RULES = [
     ("allow", "||blog.*.example.org^fr^"),
     ("allow", "^robots.txt|"),
 ]
-#: Rules travel with the tasks; beyond this many (about 20 MB) they would need a join.
+#: Up to this many rules (about 20 MB) travel with the tasks; more are a table that tokens are joined with.
 MAX_RULES = 100_000
 
 
@@ -112,34 +112,85 @@ def pattern_verdict(url: Column, rules: list[tuple[str, str]], counts: dict[str,
     return verdict(_lower(url))
 
 
+def fits(urls: Column, regexes: Column) -> Column:
+    """Whether each URL holds a match of the regular expression beside it."""
+
+    @F.arrow_udf("boolean")
+    def of(urls: pa.Array, regexes: pa.Array) -> pa.Array:
+        ready: dict[str, re.Pattern] = {}
+        out = []
+        for u, x in zip(urls.to_pylist(), regexes.to_pylist(), strict=True):
+            if x not in ready:
+                ready[x] = re.compile(x)
+            out.append(ready[x].search(u) is not None)
+        return pa.array(out, pa.bool_())
+
+    return of(urls, regexes)
+
+
+def table_verdicts(urls: DataFrame, rules: DataFrame, block: int | None = None) -> DataFrame:
+    """(u, verdict) of each URL of `urls` (distinct u, lower-cased) that a rule of `rules` (verdict, glob) fits; any number of rules.
+
+    URL tokens are joined with the rules' rarest tokens; a rule whose rarest token no
+    URL holds is left out. Rules without a token run on all URLs, `block` (MAX_RULES) at a time.
+    """
+    tokens = F.arrow_udf(lambda globs: pa.array([rule_tokens(g) for g in globs.to_pylist()], pa.list_(pa.string())), "array<string>")
+    regexes = F.arrow_udf(lambda globs: pa.array([rule_regex(g) for g in globs.to_pylist()], pa.string()), "string")
+    rules = rules.select("verdict", "glob").where("glob is not null").distinct()
+    rules = materialise(rules.select("verdict", regexes("glob").alias("regex"), tokens("glob").alias("tokens"), F.monotonically_increasing_id().alias("id")), "url-rules")
+    held = urls.select("u", F.explode(url_tokens(F.col("u"))).alias("token"))
+    named = rules.select("id", F.explode("tokens").alias("token"))
+    counts = materialise(held.join(named.select("token").distinct().hint("merge"), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n")), "url-tokens")
+    absent = named.join(counts.hint("merge"), "token", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rarest"))
+    filed = materialise(absent.where("rarest.n > 0").select("id", "rarest.token").join(rules.hint("merge"), "id").select("token", "verdict", "regex"), "url-index")
+    met = held.join(filed.hint("merge"), "token").where(fits(F.col("u"), F.col("regex"))).select("u", "verdict")
+    always = materialise(rules.where("size(tokens) = 0").select("verdict", "regex", "id"), "url-always")
+    blocks = -(-always.count() // (block or MAX_RULES))
+    for part in range(blocks):
+        some = always.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == part)
+        met = met.unionAll(urls.join(F.broadcast(some)).where(fits(F.col("u"), F.col("regex"))).select("u", "verdict"))
+    blocked = F.bool_and(F.col("verdict") == "block")
+    return materialise(met.groupBy("u").agg(F.when(blocked, "block").otherwise("allow").alias("verdict")), "url-verdicts")
+
+
 def host_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest host rule that fits, both null if none does."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for action, text in sorted(rules, key=lambda r: len(r[1])):  # the last, longest one is asked first
         name, slash, rest = text.partition("/")
-        fits = ((host == name) | host.endswith("." + name)) & path.startswith(slash + rest)
-        rule, verdict = F.when(fits, text).otherwise(rule), F.when(fits, action).otherwise(verdict)
+        within = ((host == name) | host.endswith("." + name)) & path.startswith(slash + rest)
+        rule, verdict = F.when(within, text).otherwise(rule), F.when(within, action).otherwise(verdict)
     return rule, verdict
 
 
-def judge_urls(pages: DataFrame, *, host_rules: list[tuple[str, str]] = HOST_RULES, pattern_rules: list[tuple[str, str]] = PATTERN_RULES) -> DataFrame:
-    """`pages` with host, path, rule and verdict, without any shuffle of pages.
+def judge_urls(pages: DataFrame, *, host_rules: list[tuple[str, str]] = HOST_RULES, pattern_rules: list[tuple[str, str]] | DataFrame = PATTERN_RULES) -> DataFrame:
+    """`pages` with host, path, rule and verdict; with a list of rules, without any shuffle of pages.
 
     Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; path:
     from there up to `?`, `#` or the end. Null URLs and those without `://` have
     empty ones. verdict: that of the longest fitting host rule, else block if only
-    blocking patterns fit, else allow. Repeated rows stay; input columns of these names
-    get the suffix `_in`.
+    blocking patterns fit, else allow. Rules given as a table (verdict, glob), or more
+    than MAX_RULES of them, are joined with the URLs' tokens, with the same verdicts.
+    Repeated rows stay, and so do rows with a null page_id; very long URLs are read
+    whole; an empty table gives no rows. Input columns of these names get the suffix `_in`.
     """
-    if len(pattern_rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} pattern rules")
     pages = keep_clear(pages, "host", "path", "rule", "verdict")
-    tokens = sorted({t for _, glob in pattern_rules for t in rule_tokens(glob)})
-    counts = token_counts(pages, tokens)
     url, parts = F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)([^?#]*)"
-    pages = pages.withColumns({"host": F.translate(F.regexp_extract(url, parts, 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "path": F.regexp_extract(url, parts, 2)})
+    if isinstance(pattern_rules, list) and len(pattern_rules) > MAX_RULES:
+        pattern_rules = pages.sparkSession.createDataFrame(pattern_rules, "verdict string, glob string")
+    if isinstance(pattern_rules, list):
+        tokens = sorted({t for _, glob in pattern_rules for t in rule_tokens(glob)})
+        judged, pattern = pages, pattern_verdict(F.col("url"), pattern_rules, token_counts(pages, tokens))
+    else:
+        key, found = spare(pages, "_u"), spare(pages, "_found")
+        verdicts = table_verdicts(materialise(pages.select(_lower(F.col("url")).alias("u")).distinct(), "urls"), pattern_rules)
+        verdicts = verdicts.select(F.col("u").alias(key), F.col("verdict").alias(found))
+        judged = pages.withColumn(key, _lower(F.col("url"))).join(verdicts.hint("merge"), key, "left")
+        pattern = F.coalesce(F.col(found), F.lit("allow"))
+    names = pages.columns
+    judged = judged.withColumns({"host": F.translate(F.regexp_extract(url, parts, 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "path": F.regexp_extract(url, parts, 2)})
     rule, verdict = host_rule(F.col("host"), F.col("path"), host_rules)
-    return pages.withColumns({"rule": rule, "verdict": F.coalesce(verdict, pattern_verdict(F.col("url"), pattern_rules, counts))})
+    return judged.withColumns({"rule": rule, "verdict": F.coalesce(verdict, pattern)}).select(*names, "host", "path", "rule", "verdict")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
