@@ -15,22 +15,23 @@ from pyspark.sql import functions as F
 
 from .common import keep_clear, materialise, read, shared_dir, words_of
 
-#: Results of documents with hits up to this many rows (about 150 bytes each) are broadcast to the documents.
+#: Results of documents with hits up to this many rows (of fixed width, about 150 bytes) are broadcast to the documents.
 MAX_BROADCAST_HITS = 200_000
-#: Window tables up to this many rows (about 200 bytes each) are broadcast; larger ones are joined by a shuffle.
-MAX_BROADCAST_WINDOWS = 100_000
+#: Window tables up to this many words and of so many bytes are broadcast; larger ones are joined by a shuffle.
+MAX_BROADCAST_WINDOWS, MAX_BROADCAST_BYTES = 100_000, 32 << 20
 
 
-def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """(words, size, items): each distinct window and the ids of the items that hold it."""
+def item_windows(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(id, words, size) of each distinct window, and (id, item) of the items that hold it."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("all")).where("size(all) > 0")
     starts = F.explode(F.sequence(F.lit(1), F.greatest(F.size("all") - (window - 1), F.lit(1))))
-    return (
+    held = (
         items.select("item_id", "all", starts.alias("at"))
-        .select("item_id", F.slice("all", F.col("at"), F.lit(window)).alias("words"))
-        .groupBy("words").agg(F.collect_set("item_id").alias("items"))
-        .withColumn("size", F.size("words"))
+        .select(F.col("item_id").cast("string").alias("item"), F.slice("all", F.col("at"), F.lit(window)).alias("words"))
     )
+    windows = materialise(held.select("words").distinct().select(F.monotonically_increasing_id().alias("id"), "words", F.size("words").alias("size")), "windows")
+    owners = held.where("item is not null").distinct().join(windows.hint("merge"), "words").select("id", "item")
+    return windows, materialise(owners, "window-items")
 
 
 def shingle_hash(words: Column, at: Column, width: int) -> Column:
@@ -39,7 +40,7 @@ def shingle_hash(words: Column, at: Column, width: int) -> Column:
 
 
 def doc_shingles(texts: DataFrame, widths: list[int]) -> DataFrame:
-    """(id, h, words, at, shingle) for each position of each text and each width that fits."""
+    """(_k, _h, words, at, shingle) for each position of each text and each width that fits."""
     spread = texts.select("*", F.posexplode("words").alias("at", "word")).drop("word")
     if len(widths) == 1:
         return spread.withColumn("shingle", shingle_hash(F.col("words"), F.col("at"), widths[0])).where(F.size("words") - F.col("at") >= widths[0])
@@ -52,78 +53,80 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
 
     A word is hit inside any occurrence of a window; a document is contaminated if
     it has hit words and share * n_hit >= n_words. Null texts have no words, items
-    without words no windows; null item ids hit but are not listed. Equal documents
-    (doc_id and text) get equal results, each row its own. Empty tables are allowed.
-    Input columns with the names of results get the suffix `_in`.
+    without words no windows; null item ids hit but are not listed. Very long texts are
+    read whole. Equal documents (doc_id and text) get equal results, each row its own.
+    Empty tables are allowed. Input columns with the names of results get the suffix `_in`.
     """
-    docs = keep_clear(docs, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_id", "_h")
-    windows = materialise(item_windows(benchmark, window), "windows")
-    n_windows = windows.count()
+    docs = keep_clear(docs, "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    windows, owners = item_windows(benchmark, window)
+    n_windows, n_bytes = windows.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.array_join("words", " ")))).first()
+    small = n_windows <= MAX_BROADCAST_WINDOWS and (n_bytes or 0) <= MAX_BROADCAST_BYTES
     widths = sorted(r[0] for r in windows.select(F.least(F.col("size"), F.lit(shingle))).distinct().collect())  # at most `shingle` values
-    found = _occurrences(docs, windows, n_windows, widths or [shingle], shingle)
+    found = _occurrences(docs, windows, small, widths or [shingle], shingle)
 
-    order = Window.partitionBy("_id", "_h").orderBy("start", "end")
+    order = Window.partitionBy("_k", "_h").orderBy("start", "end")
     seen = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(seen, F.lit(0))))
     hits = (
-        found.select("_id", "_h", "start", "end").distinct().withColumn("fresh", fresh)
-        .groupBy("_id", "_h").agg(F.sum("fresh").cast("long").alias("n_hit"))
+        found.select("_k", "_h", "n_words", "start", "end").distinct().withColumn("fresh", fresh)
+        .groupBy("_k", "_h").agg(F.sum("fresh").cast("long").alias("_hit"), (F.sum("fresh") * share >= F.max("n_words")).alias("_bad"))
     )
-    items = (
-        found.select("_id", "_h", F.explode("items").alias("item")).distinct()
-        .groupBy("_id", "_h").agg(F.collect_list(F.col("item").cast("string")).alias("ids"))
-    )
-    judged = materialise(hits.join(items.hint("merge"), ["_id", "_h"], "left"), "contaminated")
-    marked = docs.withColumns({"_id": F.col("doc_id"), "_h": F.xxhash64("text"), "n_words": F.size(words_of(F.col("text"))).cast("long")})
-    ids = F.coalesce(F.array_sort("ids"), F.array().cast("array<string>"))
-    same = marked["_id"].eqNullSafe(judged["_id"]) & (marked["_h"] == judged["_h"])
-    out = _attach(marked, judged, same)
+    listed = found.select("_k", "_h", "id").distinct().join(owners.hint("merge"), "id").select("_k", "_h", "item").distinct()
+    ids = F.array_sort(F.collect_list("item"))
+    items = listed.groupBy("_k", "_h").agg(F.count(F.lit(1)).alias("_items"), F.sha2(F.array_join(ids, ","), 256).alias("_digest"))
+    judged = materialise(hits.join(items.hint("merge"), ["_k", "_h"], "left"), "contaminated")
+    out = _attach(docs, judged)
     return out.select(
-        *docs.columns, "n_words",
-        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
-        (F.coalesce(F.col("n_hit"), F.lit(0)) * share >= F.col("n_words")).__and__(F.coalesce(F.col("n_hit"), F.lit(0)) > 0).alias("contaminated"),
+        "_row.*", n_words(F.col("_row.text")).alias("n_words"),
+        F.coalesce("_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("_digest", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+        (F.coalesce(F.col("_hit") > 0, F.lit(False)) & F.coalesce("_bad", F.lit(False))).alias("contaminated"),
     )
 
 
-def _attach(marked: DataFrame, judged: DataFrame, same: Column) -> DataFrame:
-    """Hits to their documents: without a shuffle of documents if few have any."""
-    few = judged.count() <= MAX_BROADCAST_HITS
-    return marked.join(F.broadcast(judged) if few else judged.hint("merge"), same, "left")
+def n_words(text: Column) -> Column:
+    """Number of words of a text as words_of splits it, without building them; null: 0."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+
+
+def _attach(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """Rows of `docs` as _row with their hits: without a shuffle of documents if few have any. `judged` has rows of fixed width."""
+    rows = docs.select(F.struct("*").alias("_row"), F.xxhash64("doc_id").alias("_k"), F.xxhash64("text").alias("_h"))
+    return rows.join(F.broadcast(judged) if judged.count() <= MAX_BROADCAST_HITS else judged.hint("merge"), ["_k", "_h"], "left")
 
 
-def _occurrences(docs: DataFrame, windows: DataFrame, n_windows: int, widths: list[int], shingle: int) -> DataFrame:
-    """(_id, _h, start, end, items): all places where windows occur in documents, verified."""
-    small = n_windows <= MAX_BROADCAST_WINDOWS
-    texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), words_of(F.col("text")).alias("words")).where("size(words) > 0")
+def _occurrences(docs: DataFrame, windows: DataFrame, small: bool, widths: list[int], shingle: int) -> DataFrame:
+    """(_k, _h, n_words, start, end, id): all places where windows occur in documents, verified. _k and _h: hashes of id and text."""
+    texts = docs.select(F.xxhash64("doc_id").alias("_k"), F.xxhash64("text").alias("_h"), words_of(F.col("text")).alias("words")).where("size(words) > 0")
     spread = doc_shingles(texts, widths)
 
     width = F.least(F.col("size"), F.lit(shingle))
     places = F.explode(F.sequence(F.lit(0), F.col("size") - width))
     hashed = F.coalesce(*[F.when(width == w, shingle_hash(F.col("words"), F.col("offset"), w)) for w in widths])
-    parts = windows.select(F.col("words"), "size", "items", places.alias("offset")).withColumn("shingle", hashed)
+    parts = windows.select("id", "words", "size", places.alias("offset")).withColumn("shingle", hashed)
     asked = parts.select("shingle").distinct()
     asked = F.broadcast(asked) if small else asked.hint("shuffle_hash")
     counts = materialise(spread.select("shingle").join(asked, "shingle").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "shingle-counts")
     rarest = F.min(F.struct("n", "offset", "shingle")).alias("rarest")
     # a window with a shingle that no document has cannot occur
-    prefix = parts.join(counts.hint("merge"), "shingle", "left").withColumn("n", F.coalesce("n", F.lit(0))).groupBy("words", "size", "items").agg(rarest).where("rarest.n > 0")
-    index = materialise(prefix.select(F.col("words").alias("want"), "size", "items", "rarest.offset", F.col("rarest.shingle").alias("key")), "prefix-index")
+    prefix = parts.join(counts.hint("merge"), "shingle", "left").withColumn("n", F.coalesce("n", F.lit(0))).groupBy("id").agg(rarest).where("rarest.n > 0")
+    index = windows.join(prefix.hint("merge"), "id").select("id", F.col("words").alias("want"), "size", "rarest.offset", F.col("rarest.shingle").alias("key"))
+    index = materialise(index, "prefix-index")
 
     start = F.col("at") - F.col("offset")
     if small:
         fits = (F.col("shingle") == F.col("key")) & (start >= 0) & (start + F.col("size") <= F.size("words"))
         same = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("size")) == F.col("want")
-        met = spread.join(F.broadcast(index), fits & same)
+        met = spread.withColumn("n_words", F.size("words")).join(F.broadcast(index), fits & same)
     else:  # rows of the shuffle carry the words around the shingle, not whole texts
         most = index.agg(F.max("size")).first()[0] or 1
         low = F.greatest(F.col("at") - most + 1, F.lit(0))
-        near = spread.select("_id", "_h", "at", "shingle", low.alias("low"), F.slice("words", low + 1, F.lit(2 * most)).alias("words"))
+        near = spread.select("_k", "_h", F.size("words").alias("n_words"), "at", "shingle", low.alias("low"), F.slice("words", low + 1, F.lit(2 * most)).alias("words"))
         fits = (F.col("shingle") == F.col("key")) & (start >= F.col("low")) & (start - F.col("low") + F.col("size") <= F.size("words"))
         same = F.slice("words", F.greatest(start - F.col("low"), F.lit(0)) + 1, F.col("size")) == F.col("want")
         met = near.join(index.hint("merge"), fits & same)
-    return materialise(met.select("_id", "_h", start.alias("start"), (start + F.col("size")).alias("end"), "items"), "occurrences")
+    return materialise(met.select("_k", "_h", "n_words", start.alias("start"), (start + F.col("size")).alias("end"), "id"), "occurrences")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

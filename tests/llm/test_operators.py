@@ -536,7 +536,7 @@ def test_importance_odd_cases(spark):
 
 # 9 -----------------------------------------------------------------------------------------------
 
-def test_url_index_equals_all_rules(spark):
+def test_url_index_equals_all_rules(spark, monkeypatch):
     r = random.Random(6)
     bits = ["http://", "https://", "www.", "blog.", "m.", "x.", "example.com", "example.net", "example.org", "/es", "/fr", "/en", "/ads", "/tracker", "/click", "?id=", "?page=2", "&ref=x", "?utm_source=feed", ".html", "#top", "/robots.txt", ".php"]
     urls = ["".join(r.choice(bits) for _ in range(r.randrange(1, 8))) for _ in range(3000)] + ["HTTP://WWW.a.EXAMPLE.com/EN/", None, ""]
@@ -546,6 +546,13 @@ def test_url_index_equals_all_rules(spark):
     for i, u in enumerate(urls):
         fits = {v for v, x in rules if x.search((u or "").lower())}
         assert got[i].verdict == ("block" if fits == {"block"} else "allow"), u
+    more = [("block", "ads*"), ("allow", "*ref=x|"), ("block", "^nowhere^")]  # two without a token, one that no URL can fit
+    table = spark.createDataFrame(url_filters.PATTERN_RULES + more, "verdict string, glob string")
+    want = {x.page_id: x.verdict for x in url_filters.judge_urls(pages, host_rules=[], pattern_rules=url_filters.PATTERN_RULES + more).collect()}
+    monkeypatch.setattr(url_filters, "MAX_RULES", 1)
+    for rules in (table, url_filters.PATTERN_RULES + more):
+        rows = url_filters.judge_urls(clash(pages, "_u", "_found"), host_rules=[], pattern_rules=rules).collect()
+        assert {x.page_id: x.verdict for x in rows} == want and len(rows) == len(urls) and rows[0]._u == "kept"
 
 
 def test_url_tokens_and_index():
@@ -605,7 +612,7 @@ def test_contamination_equals_brute_force(spark, monkeypatch, small):
 
 def test_contamination_odd_cases(spark):
     items = spark.createDataFrame([(1, "the cat sat on the mat"), (1, "the cat sat on the mat")], "item_id long, text string")
-    rows = decontamination.contamination(clash(odd_docs(spark), "n_hit", "contaminated", "_id", "words", "items"), items).collect()
+    rows = decontamination.contamination(clash(odd_docs(spark), "n_hit", "contaminated", "_id", "words", "items", "ids", "_k", "_row", "size", "id"), items).collect()
     assert len(rows) == 10 and rows[0].n_hit_in == "kept"
     assert sorted(r.doc_id for r in rows if r.contaminated) == [1, 1, 6]
     assert not any(r.contaminated for r in decontamination.contamination(odd_docs(spark), items.limit(0)).collect())
