@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep_clear, read, shared_dir, spare
+from .common import discard, keep_clear, materialise, read, shared_dir, spare
 
 #: n-grams are hashed into so many bins.
 BINS = 1 << 14
@@ -133,6 +133,32 @@ def fit(packed: np.ndarray, labels: list[str], landmarks: int, ridge: float, war
     return Model(languages, base.T @ (root @ solved[:-1]).astype(np.float32), solved[-1], warmth, floor)
 
 
+def least_hashes(usable: DataFrame, per_language: int, margin: int = 8) -> DataFrame:
+    """(lang, cut): the per_language-th least hash h of each language of `usable` (lang, h), its largest if there are fewer.
+
+    Hashes are even, so a bound that lets about `margin` times as many pass is known
+    from a language's rows; where repeats leave too few below it, it is widened and
+    the round run again. So no more than a bounded number is ever ranked per language.
+    """
+    spark = usable.sparkSession
+    rows = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    shares = {lang: min(1.0, per_language * margin / n) for lang, n in rows.items()}
+    cuts: dict[str, int] = {}
+    while shares:
+        bounds = [(lang, int(min(share * 2.0**64, 2.0**64 - 2**12)) - (1 << 63) if share < 1 else (1 << 63) - 1) for lang, share in shares.items()]
+        below = usable.join(F.broadcast(spark.createDataFrame(bounds, "lang string, most long")), "lang").where("h <= most").select("lang", "h").distinct()
+        ranked = below.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= per_language)
+        found = {r["lang"]: (r["n"], r["cut"]) for r in ranked.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("cut")).collect()}
+        for lang, share in list(shares.items()):
+            n, cut = found.get(lang, (0, None))
+            if n == per_language or share >= 1:
+                cuts[lang] = cut
+                del shares[lang]
+            else:
+                shares[lang] = min(1.0, share * 8)
+    return spark.createDataFrame(list(cuts.items()), "lang string, cut long")
+
+
 def train(labelled: DataFrame, *, per_language: int = 400, landmarks: int = 300, ridge: float = 0.1) -> Model:
     """Fit on at most `per_language` different rows (doc_id, text, lang) of each language, those of least hash.
 
@@ -140,13 +166,10 @@ def train(labelled: DataFrame, *, per_language: int = 400, landmarks: int = 300,
     large for any corpus (a long text gives LEARNED_SPANS rows); languages are expected to number hundreds at most. Hashes
     alone are ranked, so no text is shuffled.
     """
-    spark = labelled.sparkSession
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))  # ids only deal out the sample
-    order = Window.partitionBy("lang").orderBy("h")
-    ranked = usable.select("lang", "h").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
-    cuts = ranked.groupBy("lang").agg(F.max("h").alias("cut")).collect()  # one row per language
-    cuts = spark.createDataFrame([(r["lang"], r["cut"]) for r in cuts], "lang string, cut long")
-    chosen = usable.join(F.broadcast(cuts), "lang").where("h <= cut").select("lang", "h", "text")
+    hashes = materialise(usable.select("lang", "h"), "language-hashes")
+    chosen = usable.join(F.broadcast(least_hashes(hashes, per_language)), "lang").where("h <= cut").select("lang", "h", "text")
+    discard(hashes)
 
     def rows(batches):
         for batch in batches:
@@ -218,15 +241,37 @@ def identify_languages(docs: DataFrame, **how) -> DataFrame:
 
     lang_pred is one of the learned values of lang, or "und" with score 0 for null
     texts, texts without a letter, and if nothing could be learned. The score is the
-    best language's softmax share. Input columns of these names get the suffix `_in`.
+    best language's softmax share. Very long texts are read whole; repeated rows and
+    ties get equal results, ties in score going to the first language; an empty table
+    gives no rows. Input columns of these names get the suffix `_in`.
     """
     docs = keep_clear(docs, "held_out", "lang_pred", "score")
-    model = train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), **how)
+    return predicted(docs, learned(docs, **how))
+
+
+def learned(docs: DataFrame, **how) -> Model:
+    """The model of the labelled rows of `docs` that are not held out."""
+    return train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), **how)
+
+
+def predicted(docs: DataFrame, model: Model) -> DataFrame:
+    """`docs` (with none of the result's columns) with held_out, lang_pred and score."""
     found = spare(docs, "_found")
     out = docs.withColumn("held_out", held_out(F.col("doc_id"))).withColumn(found, classified(model)(F.col("text")))
     return out.withColumns({"lang_pred": F.col(f"{found}.lang"), "score": F.col(f"{found}.score")}).drop(found)
 
 
+def in_known_language(docs: DataFrame, **how) -> DataFrame:
+    """The rows of `docs` whose language can be told; texts that are null or have no letter go.
+
+    If nothing could be learned, as on an unlabelled corpus, all texts with a letter stay.
+    """
+    names, docs = docs.columns, keep_clear(docs, "held_out", "lang_pred", "score")
+    model = learned(docs, **how)
+    told = F.col("lang_pred") != "und" if model.languages else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return predicted(docs, model).where(told).select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_dir(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")

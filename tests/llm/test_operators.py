@@ -380,6 +380,37 @@ def test_language_odd_cases(spark):
     assert language_id.identify_languages(unlabelled).collect()[0].lang_pred == "und"
 
 
+def test_language_keeps_unlabelled_corpora(spark):
+    rows = [(1, "some words", None, "a", 1), (2, "123", None, "a", 1), (3, None, None, "a", 1), (4, "été", None, "a", 1)]
+    got = language_id.in_known_language(clash(spark.createDataFrame(rows, DOCS), "score"))
+    assert got.columns == [*DOCS.replace(" long", "").replace(" string", "").split(", "), "score"] and sorted(r.doc_id for r in got.collect()) == [1, 4]
+
+
+@pytest.mark.parametrize("margin", [1, 8])
+def test_least_hashes(spark, margin):
+    r = random.Random(2)
+    rows = [("a", r.getrandbits(64) - 2**63) for _ in range(3000)] + [("b", r.getrandbits(64) - 2**63) for _ in range(30)] + [("c", 77)] * 500 + [("c", 2**63 - 1), ("c", -(2**63))]
+    got = {x.lang: x.cut for x in language_id.least_hashes(spark.createDataFrame(rows, "lang string, h long"), 40, margin).collect()}
+    assert got == {lang: sorted({h for x, h in rows if x == lang})[:40][-1] for lang in "abc"}
+    assert language_id.least_hashes(spark.createDataFrame([], "lang string, h long"), 40).count() == 0
+
+
+def test_language_weights_equal_kernel_ridge_regression():
+    """Folded weights give what kernel ridge regression on the landmarks' span gives, computed on kernel matrices alone."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["der", "die", "und", "ist"] if k % 2 else ["the", "and", "is", "of"]) + str(r.randrange(9)) for _ in range(30)) for k in range(24)]
+    labels = ["de" if k % 2 else "en" for k in range(24)]
+    rows = np.array([language_id.presence(t) for t in texts])
+    sets = [set(np.flatnonzero(x)) for x in rows]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    model = language_id.fit(np.packbits(rows, axis=1), labels, landmarks=24, ridge=0.1)
+    got = model.margins(rows)
+    # with all texts as landmarks, Nystroem features span the kernel: ridge regression with an unpenalised-by-kernel bias column of its own
+    gram, y = kernel + 1.0, np.array([[1.0 if x == lang else -1.0 for lang in ("de", "en")] for x in labels])
+    want = gram @ np.linalg.solve(gram + 0.1 * np.eye(24), y)
+    assert np.abs(got - want).max() < 1e-3
+
+
 def test_language_pieces_do_not_matter(monkeypatch):
     text = "Les mots français et the english words " * 50
     whole = language_id.presence(text)
