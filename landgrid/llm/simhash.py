@@ -9,52 +9,29 @@ dynamic programming on candidate counts estimated from all fingerprints.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_clear, materialise, read, shared_dir, spare
+from .common import keep_clear, materialise, read, row_keys, shared_dir, spare
 from .components import components
+from .shingles import BITS, shingle_hashes, simhash_of
+from .similarity import similar_links, sketch
 
-BITS = 64
 #: A bucket with more fingerprints is probed by flipped bits: fewer rows than its pairs, and as exact.
 MAX_PAIRED = 64
 
 
-def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
-    """The hash of each word shingle of a text in UTF-8; A-Z lower-cased, words between ASCII blanks."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    width = min(shingle, len(words))
-    spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(words) - width + 1)
-
-
-def simhash_of(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """The signed 64-bit fingerprint of a text; 0 without words."""
-    hashes = shingle_hashes(text, shingle, seed)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 15):
-        part = hashes[at : at + (1 << 15)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
-
-
 def fingerprint(text: Column, shingle: int = 3) -> Column:
     """Column of fingerprints (long); null and blank texts give 0."""
 
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([simhash_of(t or b"", shingle) for t in texts.cast(pa.binary()).to_pylist()], pa.int64())
+        return pa.array([simhash_of(shingle_hashes(t or b"", shingle)) for t in texts.cast(pa.binary()).to_pylist()], pa.int64())
 
     return of(text)
 
@@ -112,76 +89,141 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def probe_masks(prints: DataFrame, distance: int, parts: int) -> list[int]:
+def likely_parts(both: np.ndarray, n: int, distance: int) -> int:
+    """The number of parts for which probes and pairs to compare are fewest, were bits independent; more fingerprints ask for wider parts."""
+    mean = np.diag(both) / max(n, 1)
+    differ = 2 * mean * (1 - mean)
+    costs = []
+    for parts in range(1, distance + 2):
+        groups = group_bits(both, n, parts)
+        equal = [float(n) * n * float(np.prod(1 - differ[g])) for g in groups]
+        cost = [[0.0, *_part_costs(g, e, differ, n, distance)] for g, e in zip(groups, equal, strict=True)]
+        chosen = allocate(cost, distance - parts + 1)
+        costs.append((sum(row[t + 1] for row, t in zip(cost, chosen, strict=True)), parts))
+    return min(costs)[1]
+
+
+def _part_costs(group: list[int], equal: float, differ: np.ndarray, n: int, distance: int) -> list[float]:
+    """Estimated cost of a part for thresholds from 0 to `distance`: pairs that share a probe key, and rows probed with."""
+    odds, near, out = differ / np.maximum(1 - differ, 0.25), 1.0, []
+    for t in range(distance + 1):
+        near = 1.0 if t == 0 else near + odds[group].sum() ** t / math.factorial(t)
+        out.append(equal * near + n * math.comb(len(group), t))
+    return out
+
+
+def probe_masks(prints: DataFrame, distance: int, parts: int | None) -> list[int]:
     """Bit masks: two fingerprints within the distance are equal under one of them at least."""
     n = prints.count()
     both = bit_statistics(prints)
+    parts = parts or likely_parts(both, n, distance)
     groups = group_bits(both, n, parts)
     masks = [sum(1 << b for b in g) for g in groups]
     mean = np.diag(both) / max(n, 1)
-    differ = 2 * mean * (1 - mean)
-    odds = differ / np.maximum(1 - differ, 0.25)
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(masks)]))
     counts = prints.select(keys.alias("k")).groupBy("k.part", "k.v").agg(F.count(F.lit(1)).alias("c"))
     equal = {r["part"]: float(r["pairs"]) for r in counts.groupBy("part").agg(F.sum(F.col("c") * F.col("c")).alias("pairs")).collect()}
-    cost = []
-    for i, g in enumerate(groups):
-        row, near = [0.0], 1.0
-        for t in range(distance + 1):
-            probes = len(list(combinations(g, t)))
-            near = 1.0 if t == 0 else near + odds[g].sum() ** t / (t if t > 1 else 1)
-            row.append(equal.get(i, 0.0) * near + n * probes)
-        cost.append(row)
+    cost = [[0.0, *_part_costs(g, equal.get(i, 0.0), 2 * mean * (1 - mean), n, distance)] for i, g in enumerate(groups)]
     thresholds = allocate(cost, distance - parts + 1)
     return [masks[i] & ~sum(1 << b for b in away) for i, t in enumerate(thresholds) if t >= 0 for away in combinations(groups[i], t)]
 
 
-def near_links(prints: DataFrame, distance: int = 2, parts: int = 3) -> DataFrame:
+def near_links(prints: DataFrame, distance: int = 2, parts: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints `fp` that connect all pairs within the distance, and no others.
 
-    Small buckets of one probe key are compared pairwise. Fingerprints of larger
-    buckets are sent to everything within half the distance of them; those that meet
-    there are within the distance, and each such pair meets. A meeting point takes
-    few fingerprints, so no bucket is too large.
+    Small buckets of one probe key are compared pairwise. Larger ones, at distance
+    2: their fingerprints are sent to everything within half the distance of them;
+    those that meet there are within the distance, and each such pair meets; a meeting
+    point takes few fingerprints, so no bucket is too large. At other distances they
+    are split again by the bits their key leaves free (see `split_links`). Without
+    `parts`, their number follows from the number of fingerprints.
     """
-    if distance != 2:
-        raise ValueError("flipped-bit probing is written for distance 2")
     masks = probe_masks(prints, distance, parts)
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("probe"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(masks)]))
     keyed = prints.select("fp", keys.alias("k")).select("fp", "k.probe", "k.v")
-    sizes = materialise(keyed.groupBy("probe", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-sizes")  # written, so that the join may split a large bucket
-    shared = materialise(keyed.join(sizes.hint("merge"), ["probe", "v"]), "simhash-buckets")
-    left = shared.where(F.col("n") <= MAX_PAIRED).select("probe", "v", F.col("fp").alias("a"))
-    right = left.withColumnRenamed("a", "b").hint("merge")
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    paired = left.join(right, (left["probe"] == right["probe"]) & (left["v"] == right["v"]) & (F.col("a") < F.col("b")) & close).select("a", "b")
-    crowded = shared.where(F.col("n") > MAX_PAIRED).select("fp").distinct()
+    paired, crowded = bucket_pairs(keyed, distance)
+    if crowded is None:
+        return paired.distinct()
+    if distance != 2:
+        return paired.unionAll(split_links(crowded, masks, distance)).distinct()
     spots = F.explode(F.array(F.lit(0), *[F.lit(_signed(1 << b)) for b in range(BITS)]))
-    met = crowded.select("fp", spots.alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("spot"))
+    met = crowded.select("fp").distinct().select("fp", spots.alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("spot"))
     met = met.groupBy("spot").agg(F.collect_list("fp").alias("all")).where("size(all) > 1")  # 65 at most meet
     flipped = met.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b")
-    return paired.unionAll(flipped).distinct()
+    return paired.unionAll(flipped.where(_close(distance))).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 3, distance: int = 2, parts: int = 3) -> DataFrame:
+def _close(distance: int) -> Column:
+    return F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+
+
+def bucket_pairs(keyed: DataFrame, distance: int) -> tuple[DataFrame, DataFrame | None]:
+    """Close pairs (a, b) of the small buckets of (fp, probe, v), and the rows of larger ones, if there are any."""
+    sizes = materialise(keyed.groupBy("probe", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-sizes")  # written, so that the join may split a large bucket
+    shared = materialise(keyed.join(sizes.hint("merge"), ["probe", "v"]), "simhash-buckets")
+    crowded = shared.where(F.col("n") > MAX_PAIRED).select("fp", "probe", "v")
+    return _pairs(shared.where(F.col("n") <= MAX_PAIRED), distance), None if crowded.isEmpty() else crowded
+
+
+def _pairs(shared: DataFrame, distance: int) -> DataFrame:
+    left = shared.select("probe", "v", F.col("fp").alias("a"))
+    right = left.withColumnRenamed("a", "b").hint("merge")
+    return left.join(right, (left["probe"] == right["probe"]) & (left["v"] == right["v"]) & (F.col("a") < F.col("b")) & _close(distance)).select("a", "b")
+
+
+def split_links(crowded: DataFrame, masks: list[int], distance: int, levels: int = 2) -> DataFrame:
+    """Close pairs of the large buckets (fp, probe, v) of keys under `masks`.
+
+    Members agree on the key's bits. Of the others, cut into distance + 1 pieces, a
+    close pair agrees on one piece at least, by which buckets are split; `levels` times.
+    What is still large then shares most of its bits, and is compared pairwise by a
+    join that Spark may split; only close pairs leave it.
+    """
+    links = None
+    for _ in range(levels):
+        free = [[b for b in range(BITS) if not m >> b & 1] for m in masks]
+        pieces = [(i, i * (distance + 1) + k, sum(1 << b for b in bits[k :: distance + 1])) for i, bits in enumerate(free) for k in range(distance + 1)]
+        table = crowded.sparkSession.createDataFrame([(i, child, _signed(bits)) for i, child, bits in pieces], "probe int, child int, bits long")
+        keyed = crowded.join(F.broadcast(table), "probe").select("fp", F.col("child").alias("probe"), F.xxhash64("v", F.col("fp").bitwiseAND(F.col("bits"))).alias("v"))
+        paired, crowded = bucket_pairs(keyed, distance)
+        links = paired if links is None else links.unionAll(paired)
+        if crowded is None:
+            return links
+        masks = [masks[i] | bits for i, _, bits in pieces]
+    return links.unionAll(_pairs(crowded, distance))
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 3, distance: int = 2, parts: int | None = None, similarity: float | None = None) -> DataFrame:
     """`docs` (doc_id, text and others) with fp (long) and component_id.
 
     component_id is the smallest doc_id reachable over links between fingerprints
-    that differ in `distance` bits at most; equal fingerprints are linked. Null and
-    blank texts have fingerprint 0. Rows with null doc_id take part; a component
-    of such rows alone has a null id. Input columns fp and component_id get `_in`.
+    that differ in `distance` bits at most; equal fingerprints are linked. With
+    `similarity`, texts whose sets of shingles have a Jaccard similarity of that value
+    or more are linked, too (see similarity.py). Null and blank texts have fingerprint
+    0; very long texts are read whole; ties go to the smaller doc_id. Repeated rows stay,
+    each with the same result. Rows with null doc_id take part; a component of such rows
+    alone has a null id. An empty table gives no rows. Input columns fp and component_id get `_in`.
     """
     root = spare(docs, "_root")
-    return with_roots(docs, root, shingle=shingle, distance=distance, parts=parts).drop(root)
+    return with_roots(docs, root, shingle=shingle, distance=distance, parts=parts, similarity=similarity).drop(root)
 
 
-def with_roots(docs: DataFrame, root: str, *, shingle: int = 3, distance: int = 2, parts: int = 3) -> DataFrame:
-    """As near_duplicates, and a column `root` (long): the least fingerprint of the component, which no other one shares."""
-    spark = docs.sparkSession
+def with_roots(docs: DataFrame, root: str, *, shingle: int = 3, distance: int = 2, parts: int | None = None, similarity: float | None = None) -> DataFrame:
+    """As near_duplicates, without the text, and a column `root` (long): the least fingerprint of the component, which no other one shares."""
     docs = keep_clear(docs, "fp", "component_id")
-    printed = materialise(docs.withColumn("fp", fingerprint(F.col("text"), shingle)).drop("text"), "simhash")
+    if similarity is None:
+        printed = materialise(docs.withColumn("fp", fingerprint(F.col("text"), shingle)).drop("text"), "simhash")
+        sketched = None
+    else:
+        own = spare(docs, "_sketch")
+        sketched = materialise(docs.withColumn(own, sketch(F.col("text"), shingle)).withColumn("fp", F.col(f"{own}.fp")).withColumn(own, F.struct(F.xxhash64("doc_id", "text").alias("id"), f"{own}.*")).drop("text"), "simhash")
+        printed = sketched.drop(own)
     prints = materialise(printed.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    reached = components(near_links(prints, distance, parts))
+    links = near_links(prints, distance, parts)
+    if sketched is not None:
+        texts = docs.select(F.xxhash64("doc_id", "text").alias("id"), "text")
+        links = links.unionAll(similar_links(texts, sketched.select(f"{own}.*"), shingle=shingle, similarity=similarity))
+    reached = components(links)
     roots = prints.join(reached.hint("merge"), prints["fp"] == reached["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     roots = materialise(roots, "simhash-roots")
     ids = materialise(roots.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-ids")
@@ -189,6 +231,27 @@ def with_roots(docs: DataFrame, root: str, *, shingle: int = 3, distance: int =
     return printed.join(classes.hint("merge"), "fp")
 
 
+def one_of_each(docs: DataFrame, *, shingle: int = 5, distance: int = 2, similarity: float = 0.8) -> DataFrame:
+    """One row of `docs` for each group of near copies, all columns as given.
+
+    The row with the smallest doc_id stays (ids go before nulls), of rows that share it
+    the one with the least hash of the text, then of all columns. Only rows of kept ids
+    and texts are told apart by all columns, so whole texts are shuffled once.
+    """
+    same = F.xxhash64("text").alias("same")
+    found = with_roots(docs.select("doc_id", "text", same), "root", shingle=shingle, distance=distance, similarity=similarity)
+    found = materialise(found.select("doc_id", "same", "root"), "near-groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")
+    best = found.groupBy("root").agg(F.min(order).alias("best"))
+    held = found.groupBy("doc_id", "same").agg(F.count(F.lit(1)).alias("held"))
+    best = best.select("best.doc_id", "best.same").join(held.hint("merge"), F.col("best.doc_id").eqNullSafe(held["doc_id"]) & (F.col("best.same") == held["same"]))
+    kept = materialise(best.select(held["doc_id"].alias("_id"), held["same"].alias("_same"), "held"), "kept")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(*row_keys(docs)).alias("all"), "doc_id", same)
+    met = rows.join(kept.hint("merge"), rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["same"] == kept["_same"]))
+    repeats = met.where("held > 1").groupBy("_id", "_same").agg(F.min_by("row", "all").alias("row"))
+    return met.where("held = 1").select("row.*").unionAll(repeats.select("row.*"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_dir(spark)
     found = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))

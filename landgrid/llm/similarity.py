@@ -1,22 +1,28 @@
-"""Groups of texts whose word shingles have a Jaccard similarity of a given least value.
-
-Candidates share all min-hashes of some band; with 24 bands of 4 a pair of similarity
-0.8 is missed with odds of about three in a million. What is linked is decided by the
-exact similarity of the shingle sets, so texts less alike are never linked directly.
+"""Links between texts whose word shingles have a Jaccard similarity of a given least value.
+
+Fingerprints cannot find these: at similarity 0.8 some 15 percent of their bits differ,
+and the thresholds that the pigeonhole principle then asks for let through a fixed
+share of all pairs. Candidates share all min-hashes of some band instead; with 24 bands
+of 4 a pair of similarity 0.8 is missed with odds of about three in a million. What is
+linked is decided by the exact similarity of the shingle sets, so texts less alike are
+never linked directly.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .components import components
-from .simhash import MAX_PAIRED, shingle_hashes
+from .shingles import shingle_hashes, simhash_of
 
 BANDS, ROWS = 24, 4
+#: All pairs of a bucket are compared up to this size; larger ones are split by pairs of bands at most so far apart.
+MAX_PAIRED, APART = 64, 4
+#: Tables of two hashes a row up to this many rows (32 MB) are broadcast.
+MAX_BROADCAST_TEXTS = 1_000_000
 _DRAWN = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
 _FLIP, _TIMES = _DRAWN[0], _DRAWN[1] * np.uint64(2) + np.uint64(1)
 
@@ -34,49 +40,93 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sets(texts: DataFrame, shingle: int, what) -> DataFrame:
-    """(node, n, found) per row of (node, text) with a word: the number of different shingles and `what` of their hashes."""
-    def rows(batches):
-        for batch in batches:
-            nodes, sizes, found = [], [], []
-            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                hashes = np.unique(shingle_hashes(text or b"", shingle))
-                if len(hashes):
-                    nodes.append(node), sizes.append(len(hashes)), found.append(what(hashes))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "n", "found"])
+def sketch(text: Column, shingle: int) -> Column:
+    """Column of (fp, node, n, keys): fingerprint, hash of the set of shingles, its size, band keys (none for texts without a word)."""
+
+    @F.arrow_udf("fp long, node long, n long, keys array<long>")
+    def of(texts: pa.Array) -> pa.Array:
+        prints, nodes, sizes, keys = [], [], [], []
+        for t in texts.cast(pa.binary()).to_pylist():
+            hashes = shingle_hashes(t or b"", shingle)
+            prints.append(simhash_of(hashes))
+            hashes = np.unique(hashes)
+            nodes.append(int((hashes * _TIMES[0] ^ hashes >> np.uint64(31)).sum(dtype=np.uint64).view(np.int64)))
+            sizes.append(len(hashes))
+            keys.append(band_keys(hashes) if len(hashes) else [])
+        kinds = ["fp", "node", "n", "keys"]
+        return pa.StructArray.from_arrays([pa.array(prints, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], kinds)
+
+    return of(text)
+
+
+def shingle_sets(text: Column, shingle: int) -> Column:
+    """Column of the hashes of a text's different shingles."""
+
+    @F.arrow_udf("array<long>")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingle_hashes(t or b"", shingle)).view(np.int64) for t in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
+
+    return of(text)
 
-    return texts.mapInArrow(rows, "node long, n long, found array<long>").dropDuplicates(["node"])
+
+def _paired(buckets: DataFrame, key: list[str]) -> DataFrame:
+    """Pairs (a, b) of the members (structs node, n) that share a key."""
+    left = buckets.select(*key, F.col("member").alias("a"))
+    right = left.withColumnRenamed("a", "b").hint("merge")
+    return left.join(right, key).where("a.node < b.node").select("a", "b")
+
+
+def _starred(buckets: DataFrame) -> DataFrame:
+    """Each member with the least and the greatest one of its bucket."""
+    met = buckets.select("member", F.explode(F.array("lo", "hi")).alias("end")).where("member.node <> end.node")
+    return met.select(F.least("member", "end").alias("a"), F.greatest("member", "end").alias("b"))
 
 
 def candidates(signed: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes to compare: all pairs of a small bucket; each of a large one with its least and greatest node.
+    """Pairs (a, b) of nodes to compare, from (node, n, keys).
 
-    Texts alike that share a large bucket meet in others too, with other partners.
+    All pairs of small buckets. A larger one is split by a second band that its members
+    share, too: a pair of similarity 0.8 shares no two bands near each other with odds
+    of about one in 1000, a more similar one far less often. Members of buckets that are
+    still large are very much alike; like those of the first large ones, they are
+    compared with both ends of their bucket.
     """
-    keyed = signed.select("node", "n", F.posexplode("found").alias("band", "key"))
-    buckets = materialise(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi")).where("held > 1"), "similar-buckets")
+    member = F.struct("node", "n").alias("member")
+    sizes = [F.count(F.lit(1)).alias("held"), F.min("member").alias("lo"), F.max("member").alias("hi")]
+    keyed = signed.select(member, F.posexplode("keys").alias("band", "key"))
+    buckets = materialise(keyed.groupBy("band", "key").agg(*sizes).where("held > 1"), "similar-buckets")
     shared = materialise(keyed.join(buckets.hint("merge"), ["band", "key"]), "similar-shared")
-    left = shared.where(F.col("held") <= MAX_PAIRED).select("band", "key", F.col("node").alias("a"), F.col("n").alias("na"))
-    right = left.withColumnsRenamed({"a": "b", "na": "nb"}).hint("merge")
-    paired = left.join(right, ["band", "key"]).where("a < b").select("a", "na", "b", "nb")
-    ends = F.explode(F.array("lo", "hi")).alias("end")
-    crowded = shared.where(F.col("held") > MAX_PAIRED).select("node", "n", ends).where("node <> end.node")
-    crowded = crowded.select(F.least("node", "end.node").alias("a"), F.when(F.col("node") < F.col("end.node"), F.col("n")).otherwise(F.col("end.n")).alias("na"), F.greatest("node", "end.node").alias("b"), F.when(F.col("node") < F.col("end.node"), F.col("end.n")).otherwise(F.col("n")).alias("nb"))
-    return paired.unionAll(crowded).where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")).select("a", "b").distinct()
-
-
-def similar_links(texts: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Links (a, b) of candidates among `texts` (node long, text) whose Jaccard similarity reaches `similarity`."""
-    signed = materialise(_sets(texts, shingle, band_keys), "similar-keys")
-    pairs = materialise(candidates(signed, similarity), "similar-pairs")
-    asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-nodes")
-    sets = materialise(_sets(texts.join(asked.hint("merge"), "node", "left_semi"), shingle, lambda hashes: hashes.view(np.int64)), "similar-sets")
-    first = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("found").alias("xs")).hint("merge")
-    second = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("found").alias("ys")).hint("merge")
+    pairs = _paired(shared.where(F.col("held") <= MAX_PAIRED), ["band", "key"])
+    crowded = shared.where(F.col("held") > MAX_PAIRED)
+    if not crowded.isEmpty():
+        held = crowded.groupBy("member").agg(F.map_from_entries(F.collect_list(F.struct("band", "key"))).alias("keys"))
+        both = [F.struct(F.lit(i).alias("i"), F.lit(j % BANDS).alias("j"), F.xxhash64(F.col("keys")[i], F.col("keys")[j % BANDS]).alias("key")) for i in range(BANDS) for j in range(i + 1, i + 1 + APART)]
+        near = F.explode(F.filter(F.array(*both), lambda x: F.map_contains_key("keys", x["i"]) & F.map_contains_key("keys", x["j"]))).alias("x")
+        finer = materialise(held.select("member", near).select("member", "x.i", "x.j", "x.key"), "similar-finer")
+        ends = materialise(finer.groupBy("i", "j", "key").agg(*sizes).where("held > 1"), "similar-finer-buckets")
+        met = materialise(finer.join(ends.hint("merge"), ["i", "j", "key"]), "similar-finer-shared")
+        pairs = pairs.unionAll(_paired(met.where(F.col("held") <= MAX_PAIRED), ["i", "j", "key"]))
+        pairs = pairs.unionAll(_starred(crowded)).unionAll(_starred(met.where(F.col("held") > MAX_PAIRED)))
+    return pairs.where(F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
+def similar_links(docs: DataFrame, sketched: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) between fingerprints of texts whose Jaccard similarity reaches `similarity`.
+
+    `docs` has id (long) and text; `sketched`, a written table, id, fp, node, n and keys
+    of the same rows. Texts with the same shingles are one node; one of them is read again
+    for each node that has candidates.
+    """
+    nodes = sketched.where("n > 0").groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("n", "keys")], F.min(F.struct("id", "fp")).alias("first"))
+    nodes = materialise(nodes, "similar-nodes")
+    pairs = materialise(candidates(nodes, similarity), "similar-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = materialise(asked.join(nodes.select("node", "first.id", "first.fp").hint("merge"), "node"), "similar-asked")
+    few = F.broadcast(asked) if asked.count() <= MAX_BROADCAST_TEXTS else asked.hint("merge")
+    sets = docs.join(few, "id").select("node", "fp", shingle_sets(F.col("text"), shingle).alias("found")).dropDuplicates(["node"])
+    sets = materialise(sets, "similar-sets")
+    first = sets.select(F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("found").alias("xs")).hint("merge")
+    second = sets.select(F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("found").alias("ys")).hint("merge")
     both = pairs.join(first, "a").join(second, "b").withColumn("common", F.size(F.array_intersect("xs", "ys")))
-    return both.where(F.col("common") >= F.lit(similarity) * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
-
-
-def similar_groups(texts: DataFrame, **how) -> DataFrame:
-    """(node, root) for each node of `texts` (node long, text) that is linked to another one."""
-    return components(similar_links(texts, **how))
+    near = both.where(F.col("common") >= F.lit(similarity) * (F.size("xs") + F.size("ys") - F.col("common"))).where("fa <> fb")
+    return near.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct()

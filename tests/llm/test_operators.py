@@ -452,7 +452,7 @@ def naive_simhash(text, k=3):
 
 @pytest.mark.parametrize("text", ["", "  ", "One", "One two", "a B c", "É é\x0bÀ x y z " * 9, "the cat sat on the mat " * 3])
 def test_fingerprint(text):
-    assert simhash.simhash_of(text.encode()) == signed(naive_simhash(text))
+    assert simhash.simhash_of(simhash.shingle_hashes(text.encode(), 3)) == signed(naive_simhash(text))
 
 
 def clustered(seed):
@@ -469,7 +469,7 @@ def clustered(seed):
     return sorted(points)
 
 
-def joined_by(points):
+def joined_by(points, distance=2):
     root = list(range(len(points)))
 
     def find(i):
@@ -480,26 +480,32 @@ def joined_by(points):
 
     for i in range(len(points)):
         for j in range(i):
-            if bin(points[i] ^ points[j]).count("1") <= 2:
+            if bin(points[i] ^ points[j]).count("1") <= distance:
                 root[find(i)] = find(j)
     return [find(i) for i in range(len(points))]
 
 
-@pytest.mark.parametrize("parts,paired", [(3, 64), (3, 4), (4, 64), (2, 64), (1, 2)])
-def test_links_connect_what_brute_force_connects(spark, monkeypatch, parts, paired):
+@pytest.mark.parametrize("distance,parts,paired", [(2, 3, 64), (2, 3, 4), (2, 4, 64), (2, 2, 64), (2, 1, 2), (2, None, 64), (0, None, 64), (1, None, 2), (3, None, 64), (3, 4, 4), (5, 6, 8)])
+def test_links_connect_what_brute_force_connects(spark, monkeypatch, distance, parts, paired):
     monkeypatch.setattr(simhash, "MAX_PAIRED", paired)
-    points = clustered(parts)
+    points = clustered(distance if parts is None else parts)
     prints = spark.createDataFrame([(signed(p),) for p in points], "fp long")
-    links = simhash.near_links(prints, parts=parts)
+    links = simhash.near_links(prints, distance, parts)
     pairs = [(r.a, r.b) for r in links.collect()]
-    assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 2 for a, b in pairs)
+    assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= distance for a, b in pairs)
     got = {r.node: r.root for r in components(links).collect()}
     groups = {}
-    for p, g in zip(points, joined_by(points)):
+    for p, g in zip(points, joined_by(points, distance)):
         groups.setdefault(g, []).append(got.get(signed(p), signed(p)))
     assert all(len(set(g)) == 1 for g in groups.values()) and len({g[0] for g in groups.values()}) == len(groups)
 
 
+def test_parts_follow_the_number_of_fingerprints():
+    both = np.full((64, 64), 0.25) + np.eye(64) * 0.25
+    few, many = (simhash.likely_parts(both * n, n, 2) for n in (1000, 10**10))
+    assert few == 3 and many < few
+
+
 def test_thresholds():
     assert sorted(simhash.allocate([[0, 5, 9, 20], [0, 50, 90, 200], [0, 5, 9, 20]], 0)) == [-1, 0, 1]
     assert simhash.allocate([[0, 5, 9, 20], [0, 50, 90, 200], [0, 5, 9, 20]], 0)[1] == -1

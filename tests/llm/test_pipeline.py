@@ -1,6 +1,7 @@
 """The pipeline's stages against what they promise, and the registered queries against SQL."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -8,7 +9,7 @@ import corpus_pipeline as P
 from landgrid.llm import queries as Q
 from landgrid.llm import similarity
 
-from .test_operators import check_shards, joined_by, naive_simhash, odd_docs, empty, waterfall
+from .test_operators import check_shards, naive_simhash, odd_docs, empty, waterfall
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
@@ -35,44 +36,33 @@ def test_language_stage_keeps_what_has_letters(stages):
     assert {r.doc_id for r in stages["language_id"]} == want
 
 
-def test_near_duplicate_stage_keeps_one_of_each_group(stages):
-    rows = stages["language_id"]
-    groups = {}
-    for r, g in zip(rows, joined_by([naive_simhash(r.text) for r in rows])):
-        groups.setdefault(g, []).append(r.doc_id)
-    assert sorted(r.doc_id for r in stages["near_duplicates"]) == sorted(min(g) for g in groups.values())
-
-
-def test_decontamination_stage(stages, duck):
-    bad = {r[0] for r in duck.execute(f"SELECT doc_id FROM ({Q.ORACLE_SQL['op10_decontaminate']}) WHERE contaminated").fetchall()}
-    assert sorted(r.doc_id for r in stages["decontamination"]) == sorted(r.doc_id for r in stages["near_duplicates"] if r.doc_id not in bad)
-
-
 def five_word_sets(rows):
     words = [(r.text or "").encode().lower().split() for r in rows]
     return [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
 
 
-def edited_groups(rows):
-    """Index of the least row that each row reaches over pairs with a Jaccard similarity of 0.8."""
-    sets, root = five_word_sets(rows), list(range(len(rows)))
+def near_groups(rows):
+    """Index of the least row that each row reaches over fingerprints within two bits and pairs with a Jaccard similarity of 0.8."""
+    sets, prints, root = five_word_sets(rows), [naive_simhash(r.text or "", 5) for r in rows], list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+            near = bin(prints[i] ^ prints[j]).count("1") <= 2
+            if near or sets[i] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
                 a, b = sorted((root[i], root[j]))
                 root = [a if x == b else x for x in root]
     return root
 
 
-def test_edited_copies_stage_keeps_one_of_each_group(stages):
-    rows = sorted(stages["decontamination"], key=lambda r: r.doc_id)
-    root = edited_groups(rows)
-    assert len(set(root)) < len(rows)  # the near-duplicate stage left some
-    assert sorted(r.doc_id for r in stages["edited_copies"]) == [rows[i].doc_id for i in sorted(set(root))]
+def test_near_duplicate_stage_keeps_one_of_each_group(stages):
+    rows = sorted(stages["language_id"], key=lambda r: r.doc_id)
+    root = near_groups(rows)
+    assert len(set(root)) < len(rows)
+    assert sorted(r.doc_id for r in stages["near_duplicates"]) == [rows[i].doc_id for i in sorted(set(root))]
 
 
 @pytest.mark.parametrize("paired", [64, 3])
-def test_edited_copies_equal_brute_force(spark, sf_dir, monkeypatch, paired):
+def test_near_duplicates_equal_brute_force(spark, sf_dir, monkeypatch, paired):
+    """Recall of edited copies is whole here, whether buckets are compared pairwise or split."""
     monkeypatch.setattr(similarity, "MAX_PAIRED", paired)
     r, rows = random.Random(9), []
     for k in range(40):
@@ -81,16 +71,34 @@ def test_edited_copies_equal_brute_force(spark, sf_dir, monkeypatch, paired):
             rate = r.choice([0, 0.005, 0.01, 0.02, 0.06])
             rows.append((len(rows), " ".join(f"x{r.random()}" if r.random() < rate else w for w in base), "en", "a", 1))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    kept = [x.doc_id for x in P.edited_copies_stage(spark, docs, sf_dir).collect()]
-    assert sorted(kept) == sorted(set(edited_groups(docs.collect()))) and 40 < len(kept) < len(rows)
+    kept = [x.doc_id for x in P.near_duplicate_stage(spark, docs, sf_dir).collect()]
+    assert sorted(kept) == sorted(set(near_groups(docs.collect()))) and 40 < len(kept) < len(rows)
+
+
+def test_near_duplicates_of_one_large_group(spark, sf_dir):
+    """300 texts, each 10 percent of a common one edited: no two buckets are small, and clean texts stay."""
+    r, rows = random.Random(4), []
+    base = [f"w{i}" for i in range(300)]
+    for i in range(300):
+        at = r.randrange(270)
+        rows.append((i, " ".join([*base[:at], *(f"e{i}x{k}" for k in range(12)), *base[at + 12:]]), "en", "a", 1))
+    rows += [(1000 + i, " ".join([*base[:100], *(f"o{i}x{k}" for k in range(200))]), "en", "a", 1) for i in range(150)]  # a third in common
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(x.doc_id for x in P.near_duplicate_stage(spark, docs, sf_dir).collect())
+    assert kept == [0, *range(1000, 1150)]
 
 
 def test_edited_copies_of_equal_and_null_ids(spark, sf_dir):
     text = [f"w{i}" for i in range(100)]
     rows = [(i, " ".join([*text, extra]), "en", "a", 1) for i in (None, 7, 8) for extra in ("one", "two", "three") if (i, extra) != (8, "one")]
     make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    assert [x.doc_id for x in P.edited_copies_stage(spark, make(rows), sf_dir).collect()] == [7]
-    assert P.edited_copies_stage(spark, make(rows[:3]), sf_dir).count() == 1
+    assert [x.doc_id for x in P.near_duplicate_stage(spark, make(rows), sf_dir).collect()] == [7]
+    assert P.near_duplicate_stage(spark, make(rows[:3]), sf_dir).count() == 1
+
+
+def test_decontamination_stage(stages, duck):
+    bad = {r[0] for r in duck.execute(f"SELECT doc_id FROM ({Q.ORACLE_SQL['op10_decontaminate']}) WHERE contaminated").fetchall()}
+    assert sorted(r.doc_id for r in stages["decontamination"]) == sorted(r.doc_id for r in stages["near_duplicates"] if r.doc_id not in bad)
 
 
 def test_mixing_stage(stages):
@@ -112,9 +120,15 @@ def test_sharding_stage(stages):
 
 
 def test_stages_on_odd_and_empty_tables(spark, sf_dir):
-    for docs in (odd_docs(spark), empty(spark)):
-        for _, stage in P.STAGES:
-            stage(spark, docs, sf_dir).count()
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=lambda x: (x is None, x))
+    docs, every = odd_docs(spark), [1, 1, 2, 3, 4, 5, 6, 7, 8, None]
+    assert ids(P.language_stage(spark, docs, sf_dir)) == [1, 1, 5, 6, 8, None]
+    assert ids(P.decontamination_stage(spark, docs, sf_dir)) == every
+    mixed = P.mixing_stage(spark, docs, sf_dir)
+    assert mixed.columns == docs.columns and all(n <= 2 * every.count(i) for i, n in Counter(r.doc_id for r in mixed.collect()).items())
+    assert ids(P.sharding_stage(spark, docs, sf_dir)) == every
+    for _, stage in P.STAGES:
+        assert stage(spark, empty(spark), sf_dir).count() == 0
 
 
 def test_near_duplicate_stage_on_odd_rows(spark, sf_dir):
