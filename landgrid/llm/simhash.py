@@ -244,8 +244,9 @@ def one_of_each(docs: DataFrame, *, shingle: int = 5, distance: int = 2, similar
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")
     best = found.groupBy("root").agg(F.min(order).alias("best"))
     held = found.groupBy("doc_id", "same").agg(F.count(F.lit(1)).alias("held"))
-    best = best.select("best.doc_id", "best.same").join(held.hint("merge"), F.col("best.doc_id").eqNullSafe(held["doc_id"]) & (F.col("best.same") == held["same"]))
-    kept = materialise(best.select(held["doc_id"].alias("_id"), held["same"].alias("_same"), "held"), "kept")
+    best = best.select(F.col("best.doc_id").alias("_id"), F.col("best.same").alias("_same"))
+    kept = best.join(held.hint("merge"), best["_id"].eqNullSafe(held["doc_id"]) & (best["_same"] == held["same"]))
+    kept = materialise(kept.select("_id", "_same", "held"), "kept")
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(*row_keys(docs)).alias("all"), "doc_id", same)
     met = rows.join(kept.hint("merge"), rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["same"] == kept["_same"]))
     repeats = met.where("held > 1").groupBy("_id", "_same").agg(F.min_by("row", "all").alias("row"))
