@@ -12,31 +12,45 @@ from .lineage import cut
 
 #: Fixed values of the linkage, in metres.
 CONTAINED_M, LINKED_M, DECLARED_M = 1000, 2000, 4000
-#: Latitudes that the cells of a radius join are made for.
-MAX_LAT = 60.0
+_HALF_WORLD_M = math.pi * G.EARTH_KM * 1000 * 1.001
 
 
-def _cells(lat: Column, lng: Column, high: float, wide: float) -> Column:
-    return F.struct(F.floor(lat / high).alias("r"), F.floor(lng / wide).alias("c"))
+def _columns(row: Column, high: float, angle: float) -> Column:
+    """Number of cells around the world in a row of cells: as many as are wider than the radius there, all round at the poles.
+
+    Points at most `angle` (radians) apart differ in longitude by 2 asin(sin(angle / 2) /
+    cos(latitude)) at most, for the highest latitude that either can have.
+    """
+    half = math.sin(min(angle, math.pi) / 2)
+    top = F.least(F.lit(90.0), (F.greatest(F.abs(row), F.abs(row + 1)) + 1) * high)
+    share = F.lit(half) / F.cos(F.radians(top))
+    wide = F.degrees(F.asin(F.least(share, F.lit(1.0)))) * 2 * 1.0001
+    return F.when((share >= 0.999) | (top >= 90), F.lit(1).cast("long")).otherwise(F.greatest(F.floor(F.lit(360.0) / wide), F.lit(1).cast("long")))
 
 
-def within(points: DataFrame, features: DataFrame, radius_m: float) -> DataFrame:
+def within(points: DataFrame, features: DataFrame, radius_m: float, salts: int = 1) -> DataFrame:
     """`points` (p_lat, p_lng, ...) joined to `features` (f_lat, f_lng, ...) at most radius_m away, with `meters`.
 
-    Equality on grid cells a radius wide; points visit the nine cells around theirs,
-    so no pair beyond two cells is looked at. Null and invalid places match nothing;
-    so do those beyond 60 degrees of latitude, for which cells would be too narrow.
+    Equality on grid cells a radius wide, fewer to a row the nearer it is to a pole, and
+    joined at 180 degrees; points visit the nine cells around theirs, so no pair beyond
+    two cells is looked at. Null and invalid places match nothing. With `salts`, the
+    features of a cell are dealt over so many tasks: for few points and few, large cells.
     """
-    high = math.degrees(radius_m / (G.EARTH_KM * 1000)) * 1.0001
-    wide = high / math.cos(math.radians(MAX_LAT)) * 1.01
-    span = F.array(*[F.lit(v) for v in (-1, 0, 1)])
-    ok = lambda lat, lng: G.valid_latlng(F.col(lat), F.col(lng)) & F.col(lat).between(-MAX_LAT, MAX_LAT)
-    p = points.where(ok("p_lat", "p_lng")).withColumn("_p", _cells(F.col("p_lat"), F.col("p_lng"), high, wide))
-    p = p.withColumn("_dr", F.explode(span)).withColumn("_dc", F.explode(span))
-    p = p.withColumns({"_r": F.col("_p.r") + F.col("_dr"), "_c": F.col("_p.c") + F.col("_dc")}).drop("_p", "_dr", "_dc")
-    f = features.where(ok("f_lat", "f_lng")).withColumn("_f", _cells(F.col("f_lat"), F.col("f_lng"), high, wide)).withColumns({"_r": F.col("_f.r"), "_c": F.col("_f.c")}).drop("_f")
+    angle = radius_m / (G.EARTH_KM * 1000) * 1.0001
+    high = min(math.degrees(angle), 180.0)
+    place = lambda lng: F.floor((F.col(lng) + 180) / 360 * F.col("_n"))
+    row = lambda lat: F.floor(F.col(lat) / high)
+    p = points.where(G.valid_latlng(F.col("p_lat"), F.col("p_lng"))).withColumn("_r", F.explode(F.transform(F.array(*[F.lit(v) for v in (-1, 0, 1)]), lambda v: row("p_lat") + v)))
+    p = p.withColumn("_n", _columns(F.col("_r"), high, angle)).withColumn("_c", F.explode(F.array_distinct(F.array(*[F.pmod(place("p_lng") + v, F.col("_n")) for v in (-1, 0, 1)]))))
+    f = features.where(G.valid_latlng(F.col("f_lat"), F.col("f_lng"))).withColumn("_r", row("f_lat"))
+    f = f.withColumn("_n", _columns(F.col("_r"), high, angle)).withColumn("_c", F.pmod(place("f_lng"), F.col("_n")))
+    keys = ["_r", "_c"]
+    if salts > 1:
+        p = p.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        f = f.withColumn("_s", F.pmod(F.xxhash64("f_lat", "f_lng"), F.lit(salts)).cast("int"))
+        keys.append("_s")
     meters = G.distance_m(F.col("p_lat"), F.col("p_lng"), F.col("f_lat"), F.col("f_lng"))
-    return p.join(f.hint("shuffle_hash"), ["_r", "_c"]).withColumn("meters", meters).where(F.col("meters") <= radius_m).drop("_r", "_c")
+    return p.drop("_n").join(f.drop("_n").hint("shuffle_hash"), keys).withColumn("meters", meters).where(F.col("meters") <= radius_m).drop(*keys)
 
 
 def _as_points(df: DataFrame) -> DataFrame:
@@ -53,41 +67,48 @@ def containing_village(points: DataFrame, villages: DataFrame) -> DataFrame:
     return near.groupBy(F.col("p_id").alias("id")).agg(F.min_by("v_id", F.struct("v_name", "v_id")).alias("village"))
 
 
-def nearest_village(points: DataFrame, villages: DataFrame, cell: float = 0.25) -> DataFrame:
-    """(id, village, district_id, meters) of the nearest village; ties by name, then id.
+def _spacing_m(features: DataFrame) -> float:
+    """About the distance between neighbouring features: the side of a square for each, over the degree cells that hold any."""
+    cells = F.count_distinct(F.floor("f_lat"), F.floor("f_lng"))
+    n, held = features.agg(F.count(F.lit(1)), cells).first()
+    return 111_000.0 * math.sqrt(held / n) if n else _HALF_WORLD_M
+
+
+def _rounds(points: DataFrame, villages: DataFrame, first_m: float | None = None) -> DataFrame:
+    """(id, village, district_id, meters, contained) of the nearest village, and the containing one.
 
-    Rounds with ever wider cells: a point is settled once its nearest village in the
-    nine cells around is closer than anything outside them can be. The last round's
-    cells cover the world; only points far from every village reach it.
+    Rounds with ever larger radii, the first from the villages' density: a point with any
+    village within the radius is settled, since that round saw all of them. Only points
+    far from every village reach the late rounds, whose few cells are dealt over tasks.
     """
-    left, f, out = _as_points(points), _as_features(villages), None
-    width = cell
+    left, f = _as_points(points), _as_features(villages)
+    radius, out, number = max(first_m or _spacing_m(f), CONTAINED_M), None, 0
     while True:
-        last = width >= 360
-        high = wide = width
-        p = left.withColumns({"_pr": F.floor(F.col("p_lat") / high), "_pc": F.floor(F.col("p_lng") / wide)})
-        span = F.array(*[F.lit(v) for v in (-1, 0, 1)])
-        p = p.withColumn("_dr", F.explode(span)).withColumn("_dc", F.explode(span)).withColumns({"_r": F.col("_pr") + F.col("_dr"), "_c": F.col("_pc") + F.col("_dc")})
-        g = f.withColumns({"_r": F.floor(F.col("f_lat") / high), "_c": F.floor(F.col("f_lng") / wide)})
-        meters = G.distance_m(F.col("p_lat"), F.col("p_lng"), F.col("f_lat"), F.col("f_lng"))
-        best = F.min(F.struct(meters.alias("meters"), "v_name", "v_id", "district_id")).alias("b")
-        found = p.join(g.hint("shuffle_hash"), ["_r", "_c"]).groupBy("p_id", "p_lat", "p_lng").agg(best)
-        safe = F.asin(F.cos(F.radians("p_lat")) * math.sin(math.radians(min(width, 89.0)))) * (G.EARTH_KM * 1000)
-        if not last:
-            found = cut(found.where(F.col("b.meters") <= safe))
-        settled = found.select(F.col("p_id").alias("id"), F.col("b.v_id").alias("village"), "b.district_id", "b.meters")
+        last = radius >= _HALF_WORLD_M
+        met = within(left, f, radius, 1 if number < 2 else 32)
+        best = F.min(F.struct("meters", "v_name", "v_id", "district_id")).alias("b")
+        inside = F.min(F.when(F.col("meters") <= CONTAINED_M, F.struct("v_name", "v_id"))).alias("c")
+        found = met.groupBy("p_id").agg(best, inside)
+        found = found if last else cut(found)
+        settled = found.select(F.col("p_id").alias("id"), F.col("b.v_id").alias("village"), "b.district_id", "b.meters", F.col("c.v_id").alias("contained"))
         out = settled if out is None else out.unionByName(settled)
         if last:
             return out
         left = cut(left.join(found.select("p_id").hint("merge"), "p_id", "left_anti"))
-        width = 360.0 if width >= 16 else width * 8
+        if left.isEmpty():
+            return out
+        radius, number = min(radius * 4 if number < 2 else radius * 8, _HALF_WORLD_M), number + 1
+
+
+def nearest_village(points: DataFrame, villages: DataFrame, first_m: float | None = None) -> DataFrame:
+    """(id, village, district_id, meters) of the nearest village anywhere; ties by name, then id."""
+    return _rounds(points, villages, first_m).drop("contained")
 
 
 def located(points: DataFrame, villages: DataFrame) -> DataFrame:
     """`points` with contained, nearest, nearest_district, nearest_m and state."""
-    c = containing_village(points, villages).withColumnRenamed("village", "contained")
-    n = nearest_village(points, villages).select("id", F.col("village").alias("nearest"), F.col("district_id").alias("nearest_district"), F.col("meters").alias("nearest_m"))
-    both = points.join(c.hint("merge"), "id", "left").join(n.hint("merge"), "id", "left")
+    n = _rounds(points, villages).select("id", "contained", F.col("village").alias("nearest"), F.col("district_id").alias("nearest_district"), F.col("meters").alias("nearest_m"))
+    both = points.join(n.hint("merge"), "id", "left")
     return both.withColumn("state", F.when(G.valid_latlng(F.col("latitude"), F.col("longitude")), G.containing_state(F.col("latitude"), F.col("longitude"))))
 
 
@@ -116,7 +137,7 @@ def linked(checked: DataFrame, villages: DataFrame) -> DataFrame:
     first = F.coalesce("contained", F.when(near, F.col("nearest")))
     c = checked.withColumns({"_first": first, "_c": F.col("confidence") * F.when(near, 0.8).otherwise(1.0)})
     v = villages.select(F.col("id").alias("village_id"), F.col("latitude").alias("_vlat"), F.col("longitude").alias("_vlng"))
-    c = c.join(v, "village_id", "left")
+    c = c.join(v.hint("merge"), "village_id", "left")
     gap = G.distance_m(F.col("latitude"), F.col("longitude"), F.col("_vlat"), F.col("_vlng"))
     declared = F.coalesce((F.col("_first") != F.col("village_id")) & (gap <= DECLARED_M), F.lit(False))
     return c.select(
@@ -128,7 +149,7 @@ def linked(checked: DataFrame, villages: DataFrame) -> DataFrame:
 
 def spatial_report(claims: DataFrame, links: DataFrame, villages: DataFrame) -> DataFrame:
     """Per village of the claims: counts, linked ones, confidence bands, mean confidence, claims too far out."""
-    c = claims.join(links.select("id", "linked_village", "confidence"), "id", "left").join(villages.select(F.col("id").alias("village_id"), F.col("latitude").alias("vlat"), F.col("longitude").alias("vlng")), "village_id")
+    c = claims.join(links.select("id", "linked_village", "confidence").hint("merge"), "id", "left").join(villages.select(F.col("id").alias("village_id"), F.col("latitude").alias("vlat"), F.col("longitude").alias("vlng")), "village_id")
     gap = F.when(G.valid_latlng(F.col("latitude"), F.col("longitude")), G.distance_m(F.col("latitude"), F.col("longitude"), F.col("vlat"), F.col("vlng")))
     c = c.withColumn("gap", gap)
     issue = F.when(F.col("gap") > LINKED_M, F.concat("claim_id", F.lit(" "), F.round("gap").cast("long").cast("string")))

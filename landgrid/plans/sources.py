@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from ..operators.lineage import shared_folder
 from ..sources import sinks, tables
 from .relational import GEO, NEWEST, geo
 from .rules import ALL, recs
@@ -15,12 +15,8 @@ from .views import load, with_views
 
 
 def folder(spark, name):
-    """A new folder on shared storage; a temporary one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder on shared storage."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _manifests(s, d):
@@ -93,12 +89,15 @@ PATCHED = with_views("claims", "audit").rstrip() + ", p AS (SELECT * FROM (SELEC
 CHANGE = "CASE action WHEN 'purchase' THEN 'verified' WHEN 'error' THEN 'rejected' ELSE 'under_review' END"
 
 
+HELD = {"verified_date": "CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN CAST('2020-01-01 00:00:00' AS TIMESTAMP) END", "verified_by": "CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN concat('u', id) END", "notes": "CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN 'old note' END"}  # what claims hold before the changes
+
+
 def _status(s, d):
     c = load(s, d, "audit").where("entity_type = 'claim'").select(F.col("entity_id").alias("id"), F.expr(CHANGE).alias("status"), "user_id", F.when(F.col("action") == "view", "").otherwise(F.col("action")).alias("notes"), "ts")
-    return tables.apply_status(load(s, d, "claims").select("id", "status"), c).withColumn("verified_date", F.col("verified_date").cast("string").substr(1, 10))
+    return tables.apply_status(load(s, d, "claims").select("id", "status", *[F.expr(e).alias(n) for n, e in HELD.items()]), c).withColumn("verified_date", F.col("verified_date").cast("string").substr(1, 10))
 
 
-STATUS = with_views("claims", "audit").rstrip() + f", p AS (SELECT *, {CHANGE} AS s FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, {CHANGE} DESC) AS n FROM audit WHERE entity_type = 'claim') WHERE n = 1) SELECT c.id, coalesce(s, status) AS status, CASE WHEN s = 'verified' THEN substr(CAST(ts AS STRING), 1, 10) END AS verified_date, CASE WHEN s = 'verified' THEN p.user_id END AS verified_by, CASE WHEN action <> 'view' THEN action END AS notes FROM claims c LEFT JOIN p ON c.id = p.entity_id"
+STATUS = with_views("claims", "audit").rstrip() + f", p AS (SELECT *, {CHANGE} AS s FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, {CHANGE} DESC) AS n FROM audit WHERE entity_type = 'claim') WHERE n = 1) SELECT c.id, coalesce(s, status) AS status, substr(CAST(CASE WHEN s = 'verified' THEN ts ELSE old_date END AS STRING), 1, 10) AS verified_date, CASE WHEN s = 'verified' THEN p.user_id ELSE old_by END AS verified_by, CASE WHEN action <> 'view' THEN action ELSE old_notes END AS notes FROM (SELECT id, status, {HELD['verified_date']} AS old_date, {HELD['verified_by']} AS old_by, {HELD['notes']} AS old_notes FROM claims) c LEFT JOIN p ON c.id = p.entity_id"
 
 
 def _implemented(s, d):
@@ -106,9 +105,15 @@ def _implemented(s, d):
     return recs(s, d).where("rank = 1").join(a, "id", "left").select("id", "scheme", F.col("m.user_id").alias("implemented_by"))
 
 
-def _ids(s, d):
+def _ids(s, d, given=0):
     g = geo(s, d).join(load(s, d, "states").select(F.col("id").alias("state_id"), F.col("name").alias("state")), "state_id", "left")
-    return tables.claim_ids(g.select("id", "state"), F.col("state")).select("id", "new_id")
+    return tables.claim_ids(g.select("id", "state"), F.col("state"), given=given).select("id", "new_id")
+
+
+def _ids_sql(given=0):
+    number = f"CAST({given} + row_number() OVER (PARTITION BY code ORDER BY CAST(id AS BIGINT)) AS STRING)"
+    states = GEO.rstrip().replace("WITH ", with_views("states").rstrip() + ", ", 1)
+    return states + f", c AS (SELECT g.id, coalesce(upper(substr(s.name, 1, 2)), 'XX') AS code FROM g LEFT JOIN states s ON g.state_id = s.id), n AS (SELECT id, code, {number} AS n FROM c) SELECT id, concat('FRA-', code, '-', CASE WHEN length(n) < 6 THEN lpad(n, 6, '0') ELSE n END) AS new_id FROM n"
 
 
 def _saved(s, d):
@@ -130,6 +135,7 @@ PAIRS = {
     "apply_patches": (_patches, PATCHED),
     "apply_status_changes": (_status, STATUS),
     "mark_implemented": (_implemented, ALL.replace("WITH ", with_views("audit").rstrip() + ", ", 1) + " SELECT r.id, scheme, m AS implemented_by FROM recs r LEFT JOIN (SELECT entity_id, max_by(user_id, (ts, id)) AS m FROM audit WHERE action = 'purchase' GROUP BY 1) a ON a.entity_id = r.id WHERE rank = 1"),
-    "assign_claim_ids": (_ids, GEO.rstrip().replace("WITH ", with_views("states").rstrip() + ", ", 1) + ", c AS (SELECT g.id, coalesce(upper(substr(s.name, 1, 2)), 'XX') AS code FROM g LEFT JOIN states s ON g.state_id = s.id) SELECT id, concat('FRA-', code, '-', lpad(CAST(row_number() OVER (PARTITION BY code ORDER BY CAST(id AS BIGINT)) AS STRING), 6, '0')) AS new_id FROM c"),
+    "assign_claim_ids": (_ids, _ids_sql()),
+    "assign_claim_ids_beyond": (lambda s, d: _ids(s, d, 999_900), _ids_sql(999_900)),
     "save_recommendations": (_saved, ALL + " SELECT id, scheme, score FROM recs"),
 }

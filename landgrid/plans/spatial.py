@@ -50,7 +50,7 @@ def _radius(s, d):
     return S.within(_points(s, d), f, 25_000).select("point", "kind", "layer", "id", F.round(F.col("meters") / 1000, 4).alias("km"))
 
 
-RADIUS = FEATURES_SQL.rstrip() + f", p AS (SELECT id AS point, latitude AS plat, longitude AS plng FROM villages WHERE CAST(id AS BIGINT) % 100 = 0), r AS (SELECT point, kind, layer, id, {hav('plat', 'plng', 'latitude', 'longitude')} AS km FROM p, f WHERE latitude BETWEEN -60 AND 60) "
+RADIUS = FEATURES_SQL.rstrip() + f", p AS (SELECT id AS point, latitude AS plat, longitude AS plng FROM villages WHERE CAST(id AS BIGINT) % 100 = 0), r AS (SELECT point, kind, layer, id, {hav('plat', 'plng', 'latitude', 'longitude')} AS km FROM p, f WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180) "
 
 
 def _ring(s, d):
@@ -102,7 +102,7 @@ PAIRS = {
     "radius_search": (_radius, RADIUS + "SELECT point, kind, layer, id, round(km, 4) AS km FROM r WHERE km <= 25"),
     "radius_sorted": (lambda s, d: _radius(s, d).withColumn("rank", F.row_number().over(Window.partitionBy("point").orderBy("km", "kind", "id"))).where("rank <= 20"), RADIUS + ", k AS (SELECT point, kind, layer, id, round(km, 4) AS km FROM r WHERE km <= 25) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY point ORDER BY km, kind, id) AS INT) AS rank FROM k) WHERE rank <= 20"),
     "buffer_stats": (lambda s, d: _radius(s, d).groupBy("point").agg(F.count(F.lit(1)).alias("features")).withColumn("area_km2", F.round(F.pi() * 25 * 25, 2)), RADIUS + f"SELECT point, count(*) AS features, {BUFFER} AS area_km2 FROM r WHERE km <= 25 GROUP BY point"),
-    "asset_proximity": (_proximity, with_views("claims", "assets") + f"SELECT id, asset_type, count(*) AS assets, round(min(m), 1) AS nearest_m FROM (SELECT c.id, asset_type, {hav('c.latitude', 'c.longitude', 'a.latitude', 'a.longitude')} * 1000 AS m FROM (SELECT * FROM claims WHERE latitude BETWEEN -60 AND 60) c JOIN assets a ON abs(c.latitude - a.latitude) < 1e-1) WHERE m <= 5000 GROUP BY ALL"),
+    "asset_proximity": (_proximity, with_views("claims", "assets") + f"SELECT id, asset_type, count(*) AS assets, round(min(m), 1) AS nearest_m FROM (SELECT c.id, asset_type, {hav('c.latitude', 'c.longitude', 'a.latitude', 'a.longitude')} * 1000 AS m FROM (SELECT * FROM claims WHERE {GOOD}) c JOIN assets a ON abs(c.latitude - a.latitude) < 1e-1) WHERE m <= 5000 GROUP BY ALL"),
     "haversine_km": (lambda s, d: load(s, d, "claims").join(load(s, d, "villages").select(F.col("id").alias("village_id"), F.col("latitude").alias("a"), F.col("longitude").alias("b")), "village_id").where(G.valid_latlng(F.col("latitude"), F.col("longitude"))).select("id", F.round(G.haversine_km(F.col("latitude"), F.col("longitude"), F.col("a"), F.col("b")), 5).alias("km")), CV + f"SELECT c.id, round({hav('c.latitude', 'c.longitude', 'v.latitude', 'v.longitude')}, 5) AS km FROM claims c JOIN villages v ON c.village_id = v.id WHERE c.latitude BETWEEN -90 AND 90"),
     "distance_m": (lambda s, d: load(s, d, "villages").select("id", F.round(G.distance_m(F.col("latitude"), F.col("longitude"), F.lit(23.25), F.lit(77.41)), 2).alias("meters")), with_views("villages") + f"SELECT id, round({hav('latitude', 'longitude', '2325e-2', '7741e-2')} * 1000, 2) AS meters FROM villages"),
     "polygon_area_m2": (lambda s, d: _ring(s, d).select("id", F.round(G.polygon_area_m2(F.col("ring")), 0).alias("m2"), F.round(G.polygon_area_m2(F.col("ring")) / 10000, 2).alias("hectares")), RING + ", q AS (SELECT id, abs(radians(b) * radians(c) - radians(b) * radians(a) + radians(b) * radians(c) - radians(e) * radians(c) + radians(e) * radians(a) - radians(e) * radians(c) + radians(e) * radians(a) - radians(b) * radians(a)) * 6371000e0 * 6371000e0 / 2 AS m2 FROM r) SELECT id, round(m2, 0) AS m2, round(m2 / 10000, 2) AS hectares FROM q"),

@@ -89,26 +89,30 @@ def apply_status(claims: DataFrame, changes: DataFrame) -> DataFrame:
     """`claims` (id, status, ...) with the newest change (id, status, user_id, notes, ts) of each.
 
     Verified claims also get verified_date and verified_by; notes only if not empty.
+    What a change does not touch stays as it is; columns that `claims` lacks are added.
     """
     last = changes.groupBy("id").agg(F.max_by(F.struct("status", "user_id", "notes", "ts"), F.struct("ts", "status")).alias("_c"))
     both = claims.join(last, "id", "left")
     verified = F.col("_c.status") == "verified"
-    return both.withColumns({
-        "status": F.coalesce(F.col("_c.status"), F.col("status")),
+    new = {
+        "status": F.col("_c.status"),
         "verified_date": F.when(verified, F.col("_c.ts")), "verified_by": F.when(verified, F.col("_c.user_id")),
         "notes": F.when(F.length(F.col("_c.notes")) > 0, F.col("_c.notes")),
-    }).drop("_c")
+    }
+    return both.withColumns({c: F.coalesce(x, F.col(c)) if c in claims.columns else x for c, x in new.items()}).drop("_c")
 
 
-def claim_ids(claims: DataFrame, states: Column, prefix: str = "FRA") -> DataFrame:
+def claim_ids(claims: DataFrame, states: Column, prefix: str = "FRA", given: int = 0) -> DataFrame:
     """`claims` with new_id: prefix, two letters of the state (XX without), number within the state by id.
 
-    States may hold most claims, so numbers come from a total order, not one window.
+    Numbers go on from `given`, those that each state has already, and have six digits
+    or more. States may hold most claims, so numbers come from a total order, not one window.
     """
     from ..operators.workflow import global_rank
 
     code = F.coalesce(F.upper(F.substring(states, 1, 2)), F.lit("XX"))
     ranked = global_rank(claims.withColumn("_code", code), F.col("_code"), F.col("id").cast("long"))
     first = ranked.groupBy("_code").agg(F.min("position").alias("_first"))  # one row per code
-    number = F.lpad((F.col("position") - F.col("_first") + 1).cast("string"), 6, "0")
+    digits = (F.col("position") - F.col("_first") + 1 + given).cast("string")
+    number = F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0"))
     return ranked.join(F.broadcast(first), "_code").withColumn("new_id", F.concat_ws("-", F.lit(prefix), "_code", number)).drop("_code", "_first", "position")

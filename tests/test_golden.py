@@ -89,10 +89,18 @@ def test_grid_joins_equal_all_pairs(spark):
         s = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
         return 12742 * math.atan2(math.sqrt(s), math.sqrt(1 - s))
 
-    want = {x[0]: min((km(x[3], x[4], y[3], y[4]), y[0]) for y in villages)[1] for x in points[:60]}
+    ends = [(90.0, 0.0), (-90.0, 10.0), (89.99, -179.9), (0.0, 180.0), (0.01, -179.99), (-70.0, 179.995), (70.0, -180.0), (60.001, 30.0), (84.5, 20.0)]
+    points += [(f"e{i}", "e", None, a, b) for i, (a, b) in enumerate(ends)] + [(f"w{i}", "w", None, round(r.uniform(-90, 90), 4), round(r.uniform(-180, 180), 4)) for i in range(40)]
+    villages += [("a", "A", "d", 89.995, 100.0), ("b", "B", "d", -89.99, -60.0), ("c", "C", "d", 0.0, -179.995), ("e", "E", "d", -70.0, -179.999), ("f", "F", "d", 70.004, 179.99), ("g", "G", "d", 84.505, 20.06)]
+    p, v = spark.createDataFrame(points, CLAIM), spark.createDataFrame(villages, VILLAGE)
+    points = [x for x in points if x[3] is not None]
+    want = {x[0]: min((km(x[3], x[4], y[3], y[4]), y[0]) for y in villages)[1] for x in points}
     assert {r.id: r.village for r in S.nearest_village(p, v).collect()} == want
-    near = S.within(S._as_points(p), S._as_features(v), 1500)
-    assert {(r.p_id, r.v_id) for r in near.collect()} == {(x[0], y[0]) for x in points[:60] for y in villages if km(x[3], x[4], y[3], y[4]) <= 1.5}
+    assert {r.id: r.village for r in S.nearest_village(p, v, 2_000_000).collect()} == want
+    for radius in (1500, 40_000, 3_000_000, 15_000_000):
+        near = [(r.p_id, r.v_id) for r in S.within(S._as_points(p), S._as_features(v), radius, 1 if radius < 1e6 else 3).collect()]
+        assert sorted(near) == sorted((x[0], y[0]) for x in points for y in villages if km(x[3], x[4], y[3], y[4]) * 1000 <= radius), radius
+    assert S.nearest_village(p, v.limit(0)).count() == 0 and S.nearest_village(p.limit(0), v).count() == 0
 
 
 def test_geometry(spark):
@@ -168,6 +176,11 @@ def test_tables(spark):
     patches = spark.createDataFrame([("1", 1, "old", None), ("1", 2, None, "new"), ("9", 1, "z", "z")], "id string, ts int, v string, w string")
     assert sorted(tuple(r) for r in tables.patch(current, patches).collect()) == [("1", "a", "new"), ("2", "b", "x")]
     assert sorted(tuple(r) for r in tables.upsert(current, patches.where("ts = 1").drop("ts")).collect()) == [("1", "old", None), ("2", "b", "x"), ("9", "z", "z")]
+    claims = spark.createDataFrame([("1", "verified", "d1", "u1", "kept"), ("2", "pending", None, None, "old"), ("3", "verified", "d3", "u3", None)], "id string, status string, verified_date string, verified_by string, notes string")
+    changes = spark.createDataFrame([("2", "verified", "u9", "", "t2"), ("3", "rejected", "u9", "why", "t3")], "id string, status string, user_id string, notes string, ts string")
+    assert sorted(tuple(r[c] for c in claims.columns) for r in tables.apply_status(claims, changes).collect()) == [("1", "verified", "d1", "u1", "kept"), ("2", "verified", "t2", "u9", "old"), ("3", "rejected", "d3", "u3", "why")]
+    ids = tables.claim_ids(spark.range(3).select(F.col("id").cast("string").alias("id")), F.lit("Odisha"), given=999_998)
+    assert sorted(r.new_id for r in ids.collect()) == ["FRA-OD-1000000", "FRA-OD-1000001", "FRA-OD-999999"]
     users = spark.createDataFrame([("u", "field")], "id string, role string")
     asked = spark.createDataFrame([("u", "create_claim"), ("u", "reprocess"), ("x", "create_claim"), ("u", "unknown")], "user_id string, permission string")
     assert {(r.user_id, r.permission): r.allowed for r in R.permission_filter(asked, users).collect()} == {("u", "create_claim"): True, ("u", "reprocess"): False, ("x", "create_claim"): False, ("u", "unknown"): False}
