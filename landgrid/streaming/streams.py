@@ -54,58 +54,106 @@ def processing_rates(events: DataFrame, width: str = "1 hour", slide: str | None
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width, slide), "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"))
 
 
-def batch_progress_stream(items: DataFrame, totals: DataFrame) -> DataFrame:
+def batch_progress_stream(items: DataFrame, totals: DataFrame, idle: str = "7 days") -> DataFrame:
     """(batch_id, processed, failed): one row per batch, once, when all its items are done.
 
-    `items` is a stream (batch_id, outcome); `totals` a table (batch_id, total).
+    `items` is a stream (batch_id, outcome); `totals` a table (batch_id, total). The state
+    of a batch ends when it is told, or when no item has come for `idle`.
     """
+    held = _millis(idle)
+
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        processed, failed, told = state.get if state.exists else (0, 0, False)
-        total = 0
+        if state.hasTimedOut:
+            state.remove()
+            return
+        processed, failed = state.get if state.exists else (0, 0)
+        total = came = 0
         for f in frames:
-            total = int(f["total"].iloc[0])
+            total, came = int(f["total"].iloc[0]), max(came, int(f["arrived_ms"].max()))
             processed += int((f["outcome"] == "completed").sum())
             failed += int((f["outcome"] == "failed").sum())
-        full = processed + failed >= total
-        if full and not told:
-            yield pd.DataFrame({"batch_id": [key[0]], "processed": [processed], "failed": [failed]})
-        state.update((processed, failed, told or full))
+        if processed + failed < total:
+            state.update((processed, failed))
+            state.setTimeoutTimestamp(came + held)
+            return
+        if state.exists:
+            state.remove()
+        yield pd.DataFrame({"batch_id": [key[0]], "processed": [processed], "failed": [failed]})
 
-    joined = items.join(totals, "batch_id")
-    return joined.groupBy("batch_id").applyInPandasWithState(count, "batch_id long, processed long, failed long", "processed long, failed long, told boolean", "append", GroupStateTimeout.NoTimeout)
+    joined = _arriving(items).join(totals, "batch_id")
+    return joined.groupBy("batch_id").applyInPandasWithState(count, "batch_id long, processed long, failed long", "processed long, failed long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def workflow_stream(events: DataFrame) -> DataFrame:
-    """State per claim after each micro-batch: (claim, steps_done, status, attempts).
+def _arriving(items: DataFrame) -> DataFrame:
+    """`items` with the time of their micro-batch as event time, so that idle states can end and no item is late."""
+    return items.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", "0 seconds").withColumn("arrived_ms", F.unix_millis("arrived"))
 
-    A claim's events of a batch are taken in order of time, then id.
-    """
-    n = len(STEPS)
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, status, attempts = state.get if state.exists else (0, "pending", 0)
-        for outcome in pd.concat(list(frames)).sort_values(["ts", "event_id"])["outcome"]:
-            if done >= n:
-                break
-            attempts += 1
-            done += outcome == "completed"
-            status = "completed" if done >= n else "on_hold" if outcome == "failed" else "in_progress"
-        state.update((int(done), status, attempts))
-        yield pd.DataFrame({"claim": [key[0]], "steps_done": [int(done)], "status": [status], "attempts": [attempts]})
+def workflow_stream(events: DataFrame, delay: str = "10 minutes", due: str = "14 days", keep: str = "365 days") -> DataFrame:
+    """State per claim: (claim, steps_done, status, attempts, overdue), whenever it changes.
 
-    return events.groupBy("claim").applyInPandasWithState(fold, "claim string, steps_done int, status string, attempts long", "steps_done int, status string, attempts long", "update", GroupStateTimeout.NoTimeout)
+    Events (claim, event_id, ts, outcome) wait until the watermark, `delay` behind the
+    newest one, has passed them, and are taken in order of time, then id, whatever
+    micro-batch brought them; repeats of a waiting event_id count once; later ones than
+    the watermark are dropped. A claim that is not completed `due` after its last event is
+    told once more, as overdue. The state of a claim ends `keep` after its last event.
+    """
+    n, wait, held = len(STEPS), _millis(due), _millis(keep)
 
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done, status, attempts, last, told, times, ids, outcomes = state.get if state.exists else (0, "pending", 0, 0, False, [], [], [])
+        now = state.getCurrentWatermarkMs()
+        waiting = {i: (t, i, o) for t, i, o in zip(times, ids, outcomes, strict=True)}
+        for f in () if state.hasTimedOut else frames:
+            waiting |= {i: (t, i, o) for t, i, o in zip(f["micros"].tolist(), f["event_id"].tolist(), f["outcome"].tolist(), strict=True) if t > now * 1000}
+        ready, rest = sorted(w for w in waiting.values() if w[0] <= now * 1000), sorted(w for w in waiting.values() if w[0] > now * 1000)
+        for t, _, outcome in ready:
+            last, told = max(last, t), False
+            if done < n:
+                attempts += 1
+                done += outcome == "completed"
+                status = "completed" if done >= n else "on_hold" if outcome == "failed" else "in_progress"
+        overdue = bool(not rest and last and not told and done < n and now >= last // 1000 + wait)
+        told = told or overdue
+        if ready or overdue:
+            yield pd.DataFrame({"claim": [key[0]], "steps_done": [int(done)], "status": [status], "attempts": [attempts], "overdue": [overdue]})
+        if not rest and (not last or now >= last // 1000 + held):
+            if state.exists:
+                state.remove()
+            return
+        state.update((int(done), status, attempts, last, told, [w[0] for w in rest], [w[1] for w in rest], [w[2] for w in rest]))
+        timer = -(-rest[0][0] // 1000) if rest else last // 1000 + (held if told or done >= n else wait)
+        state.setTimeoutTimestamp(max(timer, now + 1))
+
+    kept = "steps_done int, status string, attempts long, last long, told boolean, times array<long>, ids array<long>, outcomes array<string>"
+    timed = events.withWatermark("ts", delay).withColumn("micros", F.unix_micros("ts"))  # the same in any session's time zone
+    return timed.groupBy("claim").applyInPandasWithState(fold, "claim string, steps_done int, status string, attempts long, overdue boolean", kept, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def retry_stream(items: DataFrame, idle: str = "7 days") -> DataFrame:
+    """(document_id, attempts, state) after each micro-batch; a failure beyond the retries is final.
+
+    A document's count ends when it has not failed for `idle`.
+    """
+    held = _millis(idle)
 
-def retry_stream(items: DataFrame) -> DataFrame:
-    """(document_id, attempts, state) after each micro-batch; a failure beyond the retries is final."""
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         (attempts,) = state.get if state.exists else (0,)
-        attempts = min(attempts + sum(len(f) for f in frames), MAX_RETRIES + 1)
+        came = [(len(f), int(f["arrived_ms"].max())) for f in frames]
+        attempts = min(attempts + sum(n for n, _ in came), MAX_RETRIES + 1)
         state.update((attempts,))
+        state.setTimeoutTimestamp(max(ms for _, ms in came) + held)
         yield pd.DataFrame({"document_id": [key[0]], "attempts": [attempts], "state": ["failed" if attempts > MAX_RETRIES else "queued"]})
 
-    failed = items.where("outcome = 'failed'")
-    return failed.groupBy("document_id").applyInPandasWithState(fold, "document_id long, attempts int, state string", "attempts int", "update", GroupStateTimeout.NoTimeout)
+    failed = _arriving(items.where("outcome = 'failed'"))
+    return failed.groupBy("document_id").applyInPandasWithState(fold, "document_id long, attempts int, state string", "attempts int", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def _millis(span: str) -> int:
+    return int(pd.Timedelta(span).total_seconds() * 1000)
 
 
 def new_folder(base: str, name: str) -> str:
