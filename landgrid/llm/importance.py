@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, read, shared_dir
@@ -22,12 +22,19 @@ CELLS = 4096
 PIECE = 1 << 18
 _R = 0x9E3779B97F4A7C15 | 1
 _ZERO, _ONE = np.zeros(1, np.uint64), np.ones(1, np.uint64)  # uint64 throughout: mixed with int64 they would turn to floats
-_POWERS = np.concatenate([_ONE, np.cumprod(np.full(PIECE + 64, _R, np.uint64))])
-_INVERSES = np.concatenate([_ONE, np.cumprod(np.full(PIECE + 64, pow(_R, -1, 1 << 64), np.uint64))])
+_TABLES: dict[str, np.ndarray] = {}
 #: 0 blank or control, 1 letter, digit or outside ASCII, 2 punctuation.
 _KINDS = np.array([0 if b <= 32 or b == 127 else 1 if b > 127 or chr(b).isalnum() else 2 for b in range(256)], np.int8)
 
 
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse; made where they are used, as they are too large to send along."""
+    if not _TABLES:
+        for name, base in (("powers", _R), ("inverses", pow(_R, -1, 1 << 64))):
+            _TABLES[name] = np.concatenate([_ONE, np.cumprod(np.full(PIECE + 64, base, np.uint64))])
+    return _TABLES["powers"], _TABLES["inverses"]
+
+
 def pieces(data: bytes):
     """The text in pieces that end between words, each short of PIECE bytes."""
     at = 0
@@ -45,6 +52,7 @@ def ngram_counts(text: bytes) -> np.ndarray:
     A word is a run of digits, letters and bytes outside ASCII, or a run of punctuation.
     """
     counts, last = np.zeros(BUCKETS, np.int64), None
+    up, down = powers()
     with np.errstate(over="ignore"):
         for piece in pieces(text.lower()):
             data = np.frombuffer(piece, np.uint8)
@@ -54,8 +62,8 @@ def ngram_counts(text: bytes) -> np.ndarray:
             start, end = edges[:-1][full], edges[1:][full]
             if not len(start):
                 continue
-            sums = np.concatenate([_ZERO, np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(data)])])
-            words = (sums[end] - sums[start]) * _INVERSES[start]  # polynomial of each word, free of its place
+            sums = np.concatenate([_ZERO, np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
+            words = (sums[end] - sums[start]) * down[start]  # polynomial of each word, free of its place
             words ^= words >> np.uint64(29)
             words *= np.uint64(0xBF58476D1CE4E5B9)
             chain = words if last is None else np.concatenate([last, words])
@@ -123,40 +131,45 @@ def kth_largest(scored: DataFrame, key: str, k: int) -> float | None:
     return low
 
 
-def resample(docs: DataFrame, good: DataFrame, *, share: float = 0.85, seed: int = 31, max_targets: int = 20_000, per_gram: bool = True) -> DataFrame:
+def resample(docs: DataFrame, good: DataFrame, *, share: float = 0.5, seed: int = 31, max_targets: int = 20_000) -> DataFrame:
     """doc_id, log_weight, n_grams, score and selected for every row of `docs`.
 
     `good` holds the doc_ids of texts of the target kind; at most `max_targets` of
     them, those of least hash, fit the target model, so their ids may be broadcast.
-    The raw model counts all texts. score is the log-weight (per n-gram if `per_gram`,
-    in units of its spread over all documents: long texts then weigh like short ones)
-    plus Gumbel noise from a hash of doc_id and text. The share of rows with the
-    largest scores is selected; rows that tie with the last one are selected, too.
+    The raw model counts all texts. score is the log-weight plus Gumbel noise from a hash
+    of doc_id and text, so the share of rows with the largest scores is a draw without
+    replacement in proportion to target / raw; rows that tie with the last one are
+    selected, too.
 
     Null and blank texts have log-weight 0 and are never selected; without any good
-    text all weights are equal. Equal rows have equal scores. Other columns are dropped.
+    text all weights are equal. Very long texts are read whole. Equal rows have equal
+    scores; an empty table gives no rows. Other columns are dropped.
     """
     docs = docs.select("doc_id", "text")
     few = good.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_targets)
+    few = materialise(few, "importance-targets")
     known = docs.join(F.broadcast(few), "doc_id", "left_semi")
     target, raw = bucket_sums(known), bucket_sums(docs)
     if not target.sum():
         target = raw
-    noise_bits = F.xxhash64(F.lit(seed), "doc_id", "text")
-    uniform = (F.pmod(noise_bits, F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     flagged = docs.join(F.broadcast(few.withColumn("fitted", F.lit(1))), "doc_id", "left")
-    weighed = flagged.withColumn("_w", log_weights(target, raw)(F.col("text"), F.coalesce("fitted", F.lit(0)))).select("doc_id", "_w.log_weight", "_w.n_grams", (-F.log(-F.log(uniform))).alias("noise"))
+    weighed = flagged.withColumn("_w", log_weights(target, raw)(F.col("text"), F.coalesce("fitted", F.lit(0)))).select("doc_id", "_w.log_weight", "_w.n_grams", gumbel(seed).alias("noise"))
     weighed = materialise(weighed, "importance")
-    value = F.col("log_weight") / F.greatest("n_grams", F.lit(1)) if per_gram else F.col("log_weight")
-    spread = weighed.where("n_grams > 0").agg(F.stddev_pop(value), F.count(F.lit(1))).first()
-    unit = (spread[0] or 1.0) / 4 if per_gram else 1.0
-    scored = weighed.withColumn("score", F.when(F.col("n_grams") > 0, value / F.lit(unit) + F.col("noise")))
-    cut = kth_largest(scored, "score", round(share * spread[1]))
+    scored = weighed.withColumn("score", F.when(F.col("n_grams") > 0, F.col("log_weight") + F.col("noise")))
+    cut = kth_largest(scored, "score", round(share * scored.where("n_grams > 0").count()))
     chosen = F.coalesce(F.col("score") >= F.lit(cut), F.lit(False)) if cut is not None else F.lit(False)
     return scored.select("doc_id", "log_weight", "n_grams", "score", chosen.alias("selected"))
 
 
+def gumbel(seed: int) -> Column:
+    """Gumbel noise of a row, from a hash of its doc_id and text."""
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    return -F.log(-F.log(uniform))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many documents as labels lead to expect: the share of good quality among the labelled ones."""
     shared_dir(spark)
-    good = read(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
-    return resample(read(spark, sf_dir, "documents"), good)
+    labels = read(spark, sf_dir, "labels")
+    share = labels.where("quality is not null").agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
+    return resample(read(spark, sf_dir, "documents"), labels.where("quality = 1 and toxic = 0"), share=share or 0.0)

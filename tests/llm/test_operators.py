@@ -540,12 +540,46 @@ def test_importance_prefers_target_like_texts(spark):
     got = importance.resample(docs, labels, share=0.5).collect()
     kept = [g.doc_id for g in got if g.selected]
     assert len(kept) == 200 and sum(i % 2 for i in kept) > 190
+    assert {g.doc_id: g.score for g in got}.keys() == set(range(400))
     fitted = np.mean([g.log_weight / g.n_grams for g in got if g.doc_id % 2 and g.doc_id < 200])
     fresh = np.mean([g.log_weight / g.n_grams for g in got if g.doc_id % 2 and g.doc_id >= 200])
     assert abs(fitted - fresh) < 0.05
     assert {g.doc_id: g.score for g in got} == {g.doc_id: g.score for g in importance.resample(docs.repartition(3), labels, share=0.5).collect()}
 
 
+def naive_ngrams(text):
+    """Buckets of a text's words and word pairs, by whole numbers alone."""
+    full, base = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    hashes = []
+    for word in re.findall(rb"[0-9a-z\x80-\xff]+|[!-/:-@\[-`{-~]+", text.encode().lower()):
+        h = sum((b + 1) * pow(base, i, 1 << 64) for i, b in enumerate(word)) & full
+        hashes.append((h ^ h >> 29) * 0xBF58476D1CE4E5B9 & full)
+    pairs = [(a * 0x94D049BB133111EB + b) & full for a, b in zip(hashes, hashes[1:])]
+    return Counter((h >> 20) % importance.BUCKETS for h in hashes + [p ^ p >> 31 for p in pairs])
+
+
+def test_importance_equals_brute_force(spark):
+    r = random.Random(18)
+    rows = [(i, " ".join(r.choice(["Ab", "cd,", "é", "x1", "of!", f"w{i % 3}"]) for _ in range(r.randrange(30)))) for i in range(120)] + [(200, None)]
+    docs, good = spark.createDataFrame(rows, "doc_id long, text string"), {i for i in range(0, 120, 3)}
+    noise = {x.doc_id: x.g for x in docs.select("doc_id", importance.gumbel(31).alias("g")).collect()}
+    counts = {i: naive_ngrams(t or "") for i, t in rows}
+    target, raw = sum((counts[i] for i in good), Counter()), sum(counts.values(), Counter())
+    n, t_all, r_all = importance.BUCKETS, sum(target.values()), sum(raw.values())
+    weight = {}
+    for i, c in counts.items():
+        own, size = i in good, sum(c.values())
+        all_ = np.log((t_all + n - own * size) / (r_all + n - size))
+        weight[i] = sum(k * (np.log((target[b] - own * k + 1) / (raw[b] - k + 1)) - all_) for b, k in c.items())
+    scores = {i: weight[i] + noise[i] for i, c in counts.items() if c}
+    k = round(0.4 * len(scores))
+    best = set(sorted(scores, key=scores.get)[-k:])
+    got = importance.resample(docs, spark.createDataFrame([(i,) for i in good], "doc_id long"), share=0.4).collect()
+    for g in got:
+        assert g.n_grams == sum(counts[g.doc_id].values()) and g.log_weight == pytest.approx(weight[g.doc_id], abs=1e-9)
+        assert g.selected == (g.doc_id in best) and (g.score is None if g.doc_id not in scores else g.score == pytest.approx(scores[g.doc_id]))
+
+
 def test_ngram_counts(monkeypatch):
     text = b"one two, three!! one two " * 40
     whole = importance.ngram_counts(text)
