@@ -59,7 +59,7 @@ def extraction_quality(found: DataFrame, truth: DataFrame) -> DataFrame:
     """Precision and recall per kind against `truth` (id, kind, value)."""
     kinds = [r for r in ("names", "areas", "survey_numbers")]
     got = found.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("vs")) for k in kinds])).alias("e")).select("id", "e.kind", F.explode("e.vs").alias("value")).withColumn("got", F.lit(1))
-    both = got.join(truth.withColumn("true", F.lit(1)), ["id", "kind", "value"], "full")
+    both = got.join(truth.withColumn("true", F.lit(1)).hint("merge"), ["id", "kind", "value"], "full")
     hit = F.count_if(F.col("got").isNotNull() & F.col("true").isNotNull())
     return both.groupBy("kind").agg(F.round(F.try_divide(hit, F.count("got")), 6).alias("precision"), F.round(F.try_divide(hit, F.count("true")), 6).alias("recall"))
 

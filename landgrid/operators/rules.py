@@ -115,7 +115,7 @@ def village_best(recs: DataFrame) -> DataFrame:
 def village_summary(best: DataFrame, villages: DataFrame) -> DataFrame:
     """All villages with the sum of best benefits and a level: high with more than two high, medium with any, else low."""
     agg = best.groupBy("village_id").agg(F.sum("benefit").alias("total_benefit"), F.count_if(F.col("priority") == "high").alias("n_high"), F.count(F.lit(1)).alias("schemes"))
-    v = villages.select(F.col("id").alias("village_id")).join(agg, "village_id", "left")
+    v = villages.select(F.col("id").alias("village_id")).join(agg.hint("merge"), "village_id", "left")
     n = F.coalesce(F.col("n_high"), F.lit(0))
     return v.select("village_id", F.coalesce("total_benefit", F.lit(0.0)).alias("total_benefit"), F.coalesce("schemes", F.lit(0)).alias("schemes"), F.when(n > 2, "high").when(n > 0, "medium").otherwise("low").alias("level"))
 
@@ -133,5 +133,5 @@ def claim_summary(recs: DataFrame) -> DataFrame:
 
 def priority_rank(summary: DataFrame, villages: DataFrame) -> DataFrame:
     """Dense rank of villages by total benefit within their state."""
-    v = summary.join(villages.select(F.col("id").alias("village_id"), "state_name"), "village_id")
+    v = summary.join(villages.select(F.col("id").alias("village_id"), "state_name").hint("merge"), "village_id")
     return v.withColumn("rank", F.dense_rank().over(Window.partitionBy("state_name").orderBy(F.desc("total_benefit")))).select("village_id", "state_name", "total_benefit", "rank")

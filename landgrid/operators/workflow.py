@@ -19,6 +19,13 @@ def _steps() -> Column:
     return F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("step"), F.lit(r).alias("required")) for i, (n, r) in enumerate(STEPS, 1)])
 
 
+def step_load(workflows: DataFrame) -> DataFrame:
+    """(ord, step, required, workflows): all steps in order, with the number of workflows that stand at each."""
+    at = workflows.where("step is not null").groupBy("step").agg(F.count(F.lit(1)).alias("workflows"))
+    steps = workflows.sparkSession.range(1).select(F.explode(_steps()).alias("s")).select("s.*")
+    return F.broadcast(steps).join(at, "step", "left").select("ord", "step", "required", F.coalesce("workflows", F.lit(0).cast("long")).alias("workflows"))
+
+
 def init_workflows(claims: DataFrame, priority: str = "medium") -> DataFrame:
     """One pending row per claim and step; no shuffle."""
     return claims.select("id", "created_at", F.explode(_steps()).alias("s")).select("id", "s.ord", "s.step", "s.required", F.lit("pending").alias("status"), F.lit(priority).alias("priority"), eta(F.col("created_at"), F.lit(priority)).alias("due"))
@@ -124,7 +131,7 @@ def queue_stats(queue: DataFrame) -> DataFrame:
 def document_completeness(claims: DataFrame, papers: DataFrame) -> DataFrame:
     """Per claim: documents, their types, whether all have content; without documents the step fails."""
     p = papers.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("document_type")), ",").alias("types"), F.bool_and(F.col("file_size") > 0).alias("filled"))
-    c = claims.select(F.col("id").alias("claim_id")).join(p, "claim_id", "left")
+    c = claims.select(F.col("id").alias("claim_id")).join(p.hint("merge"), "claim_id", "left")
     return c.select("claim_id", F.coalesce("n", F.lit(0)).alias("documents"), F.coalesce("types", F.lit("")).alias("types"), F.coalesce("filled", F.lit(False)).alias("complete"))
 
 
@@ -136,7 +143,7 @@ def ocr_stats(papers: DataFrame) -> DataFrame:
 
 def technical_review(claims: DataFrame, workflows: DataFrame, links: DataFrame) -> DataFrame:
     """The four checks of a review, and whether all hold; claims without workflow are left out."""
-    j = claims.join(workflows.select(F.col("claim").alias("id"), "steps_done"), "id").join(links.select("id", F.col("confidence").alias("spatial")), "id", "left")
+    j = claims.join(workflows.select(F.col("claim").alias("id"), "steps_done").hint("merge"), "id").join(links.select("id", F.col("confidence").alias("spatial")).hint("merge"), "id", "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
     j = j.select("id", (F.col("steps_done") >= 4).alias("documented"), yes(F.col("spatial") > 0.7).alias("placed"), (F.col("claimant_name").isNotNull() & F.col("area").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).alias("consistent"), yes(F.col("claim_type").isin("IFR", "CFR", "CR")).alias("compliant"))
     return j.withColumn("passed", F.col("documented") & F.col("placed") & F.col("consistent") & F.col("compliant"))
@@ -146,7 +153,7 @@ def final_approval(workflows: DataFrame, links: DataFrame) -> DataFrame:
     """approved if all required steps but the last are done, the claim is linked and the review step is done."""
     required = sum(r for _, r in STEPS)
     review = [n for n, _ in STEPS].index("technical_review") + 1
-    j = workflows.select(F.col("claim").alias("id"), "steps_done").join(links.select("id", "linked_village"), "id", "left")
+    j = workflows.select(F.col("claim").alias("id"), "steps_done").join(links.select("id", "linked_village").hint("merge"), "id", "left")
     ok = (F.col("steps_done") >= required - 1) & F.col("linked_village").isNotNull() & (F.col("steps_done") >= review)
     return j.select("id", "steps_done", F.when(ok, "approved").otherwise("rejected").alias("decision"))
 

@@ -40,6 +40,13 @@ def _fk(s, d):
     return R.foreign_key_violations({t: load(s, d, t) for t in {x for k in FK for x in (k[0], k[2])}}, FK)
 
 
+def _fk_found(s, d):
+    """Claims against the rural villages alone: those of urban ones lead nowhere."""
+    rural = load(s, d, "villages").where("type = 'rural'")
+    return R.foreign_key_violations({"claims": load(s, d, "claims"), "villages": rural}, [("claims", "village_id", "villages")])
+
+
+FK_FOUND_SQL = with_views("claims", "villages") + "SELECT 'claims' AS source, 'village_id' AS fk, 'villages' AS target, id FROM claims WHERE village_id IS NOT NULL AND village_id NOT IN (SELECT id FROM villages WHERE type = 'rural')"
 FK_SQL = with_views("states", "districts", "villages", "claims", "users", "papers", "assets", "audit") + " UNION ALL ".join(
     f"SELECT '{t}' AS source, '{c}' AS fk, '{x}' AS target, CAST(id AS STRING) AS id FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT id FROM {x})" for t, c, x in FK)
 
@@ -101,6 +108,7 @@ PAIRS = {
     "claims_geo_join": (lambda s, d: geo(s, d).select("id", "village_name", "district_name", "state_id"), GEO + "SELECT id, village_name, district_name, state_id FROM g"),
     "claim_documents": (lambda s, d: load(s, d, "papers").join(load(s, d, "claims").select(F.col("id").alias("claim_id"), "status"), "claim_id").select("claim_id", "id", "document_type", "status"), with_views("papers", "claims") + "SELECT p.claim_id, p.id, document_type, status FROM papers p JOIN claims c ON p.claim_id = c.id"),
     "fk_violations": (_fk, FK_SQL),
+    "fk_violations_found": (_fk_found, FK_FOUND_SQL),
     "user_context": (lambda s, d: load(s, d, "audit").join(load(s, d, "users").select(F.col("id").alias("user_id"), "role", "state", "district"), "user_id", "left").select("id", "user_id", "action", "role", "state", "district"), with_views("audit", "users") + "SELECT a.id, user_id, action, role, state, district FROM audit a LEFT JOIN users u ON a.user_id = u.id"),
     "total_claims": (lambda s, d: load(s, d, "claims").agg(F.count(F.lit(1)).alias("total_claims")), with_views("claims") + "SELECT count(*) AS total_claims FROM claims"),
     "verified_claims": (lambda s, d: geo(s, d).groupBy("district_id").agg(F.count_if(F.col("status") == "verified").alias("verified_claims")), GEO + "SELECT district_id, count(*) FILTER (status = 'verified') AS verified_claims FROM g GROUP BY 1"),

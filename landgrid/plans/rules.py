@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import rules as R
@@ -50,9 +51,9 @@ PAIRS |= {
     "claims_x_schemes": (lambda s, d: R.scored(joined(s, d), R.CATALOGUE, ACCEPTED).where("score > 50").select("id", "scheme", "score"), ALL + " SELECT id, scheme, score FROM recs"),
     "priority_bucket": (lambda s, d: R.scored(joined(s, d), R.CATALOGUE, ACCEPTED).groupBy("scheme", "priority").agg(F.count(F.lit(1)).alias("n")), ALL + " SELECT scheme, priority, count(*) AS n FROM x GROUP BY ALL"),
     "claim_recommendations": (lambda s, d: recs(s, d).select(*REC_COLUMNS), ALL + f" SELECT {', '.join(REC_COLUMNS)} FROM recs"),
-    "recs_ranked": (lambda s, d: recs(s, d).where("rank = 1").select("id", "scheme", "score"), ALL + " SELECT id, scheme, score FROM recs WHERE rank = 1"),
+    "recs_ranked": (lambda s, d: recs(s, d).select("id", "rank", "scheme", "score"), ALL + " SELECT id, rank, scheme, score FROM recs"),
     "village_best_recs": (lambda s, d: R.village_best(recs(s, d)), BEST + " SELECT village_id, scheme, score, benefit, priority, id AS claim FROM best"),
-    "best_rec_per_scheme": (lambda s, d: R.village_best(recs(s, d)).groupBy("scheme").agg(F.count(F.lit(1)).alias("villages"), F.max("score").alias("score"), F.sum("benefit").alias("benefit")), BEST + " SELECT scheme, count(*) AS villages, max(score) AS score, sum(benefit) AS benefit FROM best GROUP BY scheme"),
+    "best_rec_per_scheme": (lambda s, d: R.village_best(recs(s, d)).withColumn("rank", F.dense_rank().over(Window.partitionBy("village_id").orderBy(F.desc("score")))).select("village_id", "rank", "scheme", "score", "claim"), BEST + " SELECT village_id, CAST(dense_rank() OVER (PARTITION BY village_id ORDER BY score DESC) AS INT) AS rank, scheme, score, id AS claim FROM best"),
     "village_recs_concat": (lambda s, d: recs(s, d).groupBy("village_id").agg(F.count(F.lit(1)).alias("recs"), F.sum("score").alias("points")), ALL + " SELECT village_id, count(*) AS recs, CAST(sum(score) AS BIGINT) AS points FROM recs GROUP BY 1"),
     "village_summary": (summary, SUMMARY + " SELECT * FROM summ"),
     "village_priority_rank": (lambda s, d: R.priority_rank(summary(s, d), load(s, d, "villages")), SUMMARY + " SELECT village_id, state_name, total_benefit, CAST(dense_rank() OVER (PARTITION BY state_name ORDER BY total_benefit DESC) AS INT) AS rank FROM summ JOIN villages ON id = village_id"),

@@ -36,7 +36,7 @@ MANIFEST = with_views("queue").rstrip() + ", n AS (SELECT *, count(*) OVER (PART
 
 def _csv(s, d):
     path = folder(s, "csv")
-    sinks.write_csv(R.export_rows(geo(s, d)).drop("Area", "AI Confidence"), path)
+    sinks.write_csv(R.export_rows(geo(s, d)), path)
     return s.read.text(path).where(~F.col("value").startswith('"Claim ID"')).withColumnRenamed("value", "line")
 
 
@@ -122,14 +122,18 @@ def _saved(s, d):
     return s.read.parquet(path).select("id", "scheme", "score")
 
 
+#: GeoJSON points of claims; some are no JSON.
+GEOMETRY = "CASE WHEN latitude IS NOT NULL THEN concat(CASE WHEN CAST(id AS BIGINT) % 13 = 5 THEN '' ELSE '{' END, '\"type\": \"Point\", \"coordinates\": [', CAST(CAST(longitude AS DECIMAL(10, 5)) AS STRING), ', ', CAST(CAST(latitude AS DECIMAL(10, 5)) AS STRING), ']}') END"
+
 PAIRS = {
     "landing_validation": (lambda s, d: load(s, d, "papers").select("id", F.coalesce(tables.landing_reason(F.col("file_type"), F.col("file_size") * 500), F.lit("accepted")).alias("outcome")), with_views("papers") + "SELECT id, CASE WHEN file_type NOT IN ('application/pdf', 'image/jpeg', 'image/png', 'image/tiff') THEN 'type' WHEN file_size * 500 > 10485760 THEN 'size' ELSE 'accepted' END AS outcome FROM papers"),
     "manifest_pairing": (_pairs, MANIFEST),
-    "export_claims_csv": (_csv, GEO + f"SELECT concat('\"', claim_id, '\",\"', claimant_name, '\",\"', coalesce(village_name, ''), '\",\"', claim_type, '\",\"', status, '\"') AS line FROM g {NEWEST} LIMIT 10000"),
+    "export_claims_csv": (_csv, GEO + f"SELECT concat('\"', coalesce(CAST(claim_id AS STRING), ''), '\",\"', coalesce(CAST(claimant_name AS STRING), ''), '\",\"', coalesce(CAST(village_name AS STRING), ''), '\",\"', coalesce(CAST(claim_type AS STRING), ''), '\",\"', coalesce(CAST(area AS STRING), ''), '\",\"', coalesce(CAST(status AS STRING), ''), '\",\"', coalesce(CAST(ai_confidence AS STRING), ''), '\"') AS line FROM g {NEWEST} LIMIT 10000"),
     "export_claims_json": (_json, GEO + f"SELECT claim_id, status, village_name AS village FROM g {NEWEST} LIMIT 10000"),
     "export_geojson": (_geojson, GEO + "SELECT id, 'Feature' AS kind, longitude AS lng, latitude AS lat, claim_id AS claim, status FROM g WHERE latitude IS NOT NULL AND longitude IS NOT NULL"),
     "append_audit": (_audit, with_views("audit") + "SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, action, count(*) AS entries FROM audit GROUP BY ALL"),
     "decode_json_columns": (lambda s, d: load(s, d, "audit").select("id", F.from_json("new_values", "k int").alias("j"), F.try_variant_get(F.try_parse_json("new_values"), "$.k", "double").alias("v")).select("id", F.col("j.k").alias("k"), "v"), with_views("audit") + "SELECT id, CAST(json_extract(new_values, '$.k') AS INT) AS k, CAST(json_extract(new_values, '$.k') AS DOUBLE) AS v FROM audit"),
+    "decode_geometry": (lambda s, d: load(s, d, "claims").select("id", F.from_json(F.expr(GEOMETRY), "type string, coordinates array<double>").alias("g")).select("id", F.col("g.type").alias("kind"), F.get("g.coordinates", 0).alias("lng"), F.get("g.coordinates", 1).alias("lat")), with_views("claims").rstrip() + f", j AS (SELECT id, CASE WHEN json_valid({GEOMETRY}) THEN {GEOMETRY} END AS g FROM claims) SELECT id, json_extract_string(g, '$.type') AS kind, CAST(json_extract(g, '$.coordinates[0]') AS DOUBLE) AS lng, CAST(json_extract(g, '$.coordinates[1]') AS DOUBLE) AS lat FROM j"),
     "claim_validation": (_errors, with_views("claims").rstrip() + ", r AS (SELECT id, village_id, " + ", ".join(f"{e} AS {n}" for n, e in RAW.items()) + " FROM claims) SELECT id, concat_ws(',', CASE WHEN length(name) < 2 THEN 'name' END, CASE WHEN village_id IS NULL THEN 'village' END, CASE WHEN kind NOT IN ('IFR', 'CFR', 'CR') THEN 'type' END, CASE WHEN area <> '' AND TRY_CAST(area AS DOUBLE) IS NULL THEN 'area' END, CASE WHEN coordinates <> '' AND NOT json_valid(coordinates) THEN 'coordinates' END) AS errors FROM r"),
     "upsert_users": (_users, USERS),
     "apply_patches": (_patches, PATCHED),

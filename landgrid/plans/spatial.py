@@ -41,8 +41,27 @@ def _links(s, d):
     return S.linked(_checked(s, d), load(s, d, "villages"))
 
 
+NEARER = "23 + (latitude - 8) / 100 AS latitude, 80 + (longitude - 70) / 100 AS longitude"
+
+
+def _dense(df):
+    """The same places a hundred times closer together, so that claims lie near other villages than their own."""
+    return df.withColumns({"latitude": 23 + (F.col("latitude") - 8) / 100, "longitude": 80 + (F.col("longitude") - 70) / 100})
+
+
+def _dense_links(s, d):
+    claims, villages = _dense(load(s, d, "claims")), _dense(load(s, d, "villages"))
+    return S.linked(S.validated(S.located(claims, villages)), villages)
+
+
+def _dense_sql(rest):
+    far = CV.rstrip().replace("claims AS (", "claims0 AS (", 1).replace("villages AS (", "villages0 AS (", 1)
+    near = ", ".join(f"{t} AS (SELECT * REPLACE ({NEARER}) FROM {t}0)" for t in ("claims", "villages"))
+    return LINKED.replace(CV.rstrip(), f"{far}, {near}", 1) + rest
+
+
 def _points(s, d):
-    return load(s, d, "villages").where("CAST(id AS BIGINT) % 100 = 0").select(F.col("id").alias("point"), F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lng"))
+    return load(s, d, "villages").select(F.col("id").alias("point"), F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lng"))
 
 
 def _radius(s, d):
@@ -50,7 +69,7 @@ def _radius(s, d):
     return S.within(_points(s, d), f, 25_000).select("point", "kind", "layer", "id", F.round(F.col("meters") / 1000, 4).alias("km"))
 
 
-RADIUS = FEATURES_SQL.rstrip() + f", p AS (SELECT id AS point, latitude AS plat, longitude AS plng FROM villages WHERE CAST(id AS BIGINT) % 100 = 0), r AS (SELECT point, kind, layer, id, {hav('plat', 'plng', 'latitude', 'longitude')} AS km FROM p, f WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180) "
+RADIUS = FEATURES_SQL.rstrip() + f", p AS (SELECT id AS point, latitude AS plat, longitude AS plng FROM villages), r AS (SELECT point, kind, layer, id, {hav('plat', 'plng', 'latitude', 'longitude')} AS km FROM p, f WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180) "
 
 
 def _ring(s, d):
@@ -99,6 +118,7 @@ PAIRS = {
     "containing_district": (lambda s, d: S.nearest_village(load(s, d, "claims"), load(s, d, "villages")).select("id", "district_id"), PAIRED + " SELECT id, nearest_district AS district_id FROM near"),
     "containing_state": (lambda s, d: load(s, d, "claims").select("id", G.containing_state(F.col("latitude"), F.col("longitude")).alias("state")), CV + f"SELECT id, {STATE} AS state FROM claims"),
     "linkage_crossref": (lambda s, d: _links(s, d).where("declared").select("id", "linked_village", "confidence"), LINKED + " SELECT id, linked_village, confidence FROM links WHERE declared"),
+    "linkage_crossref_dense": (lambda s, d: _dense_links(s, d).where("declared").select("id", "linked_village", "confidence"), _dense_sql(" SELECT id, linked_village, confidence FROM links WHERE declared")),
     "radius_search": (_radius, RADIUS + "SELECT point, kind, layer, id, round(km, 4) AS km FROM r WHERE km <= 25"),
     "radius_sorted": (lambda s, d: _radius(s, d).withColumn("rank", F.row_number().over(Window.partitionBy("point").orderBy("km", "kind", "id"))).where("rank <= 20"), RADIUS + ", k AS (SELECT point, kind, layer, id, round(km, 4) AS km FROM r WHERE km <= 25) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY point ORDER BY km, kind, id) AS INT) AS rank FROM k) WHERE rank <= 20"),
     "buffer_stats": (lambda s, d: _radius(s, d).groupBy("point").agg(F.count(F.lit(1)).alias("features")).withColumn("area_km2", F.round(F.pi() * 25 * 25, 2)), RADIUS + f"SELECT point, count(*) AS features, {BUFFER} AS area_km2 FROM r WHERE km <= 25 GROUP BY point"),

@@ -37,6 +37,10 @@ L = with_views("claims", "letters").rstrip() + ", "
 MAIN = [k for k in X.KINDS if k != "boundaries"]
 
 
+#: Whether a text has any boundary: where a pattern looks ahead, what it sees may as well be read.
+BOUNDED = "(" + " OR ".join(f"regexp_matches(text, {quoted(X.pattern_text('boundaries', p).replace('(?=', '(?:'))})" for p in X.PATTERNS["boundaries"][1]) + ")"
+
+
 def letters(s, d):
     return load(s, d, "letters")
 
@@ -81,9 +85,9 @@ PAIRS |= {
     "claim_records": (lambda s, d: D.claim_records(found(s, d)).drop("names"), L + entities_cte(MAIN) + " " + RECORD_SQL + " FROM ent"),
     "resolve_claim_type": (lambda s, d: found(s, d).select("id", X.claim_type(F.col("claim_types")).alias("claim_type")), L + entities_cte(["claim_types"]) + f" SELECT id, {TYPE_SQL} AS claim_type FROM ent"),
     "resolve_claim_status": (lambda s, d: found(s, d).select("id", X.claim_status(F.col("claim_status")).alias("status")), L + entities_cte(["claim_status"]) + f" SELECT id, {STATUS_SQL} AS status FROM ent"),
-    "claim_update_from_entities": (lambda s, d: D.claim_updates(found(s, d).withColumn("boundaries", F.array().cast("array<string>"))), L + entities_cte(MAIN) + f" SELECT id, names[1] AS claimant_name, CASE WHEN {NUMBER.format('areas[1]')} > 0 THEN {NUMBER.format('areas[1]')} END AS area, CAST(least(95, 20 * ({' + '.join(f'CAST(len({k}) > 0 AS INT)' for k in MAIN)})) AS INT) AS ai_confidence FROM ent"),
+    "claim_update_from_entities": (lambda s, d: D.claim_updates(found(s, d)), L + entities_cte(MAIN) + f" SELECT id, names[1] AS claimant_name, CASE WHEN {NUMBER.format('areas[1]')} > 0 THEN {NUMBER.format('areas[1]')} END AS area, CAST(least(95, 20 * ({' + '.join(f'CAST(len({k}) > 0 AS INT)' for k in MAIN)} + bounded)) AS INT) AS ai_confidence FROM ent JOIN (SELECT id, CAST({BOUNDED} AS INT) AS bounded FROM letters) USING (id)"),
     "explode_claimants": (lambda s, d: D.explode_claimants(D.claim_records(found(s, d))), L + entities_cte(MAIN) + f", r AS ({RECORD_SQL}, names FROM ent) SELECT id, claim_type, status, unnest(CASE WHEN len(names) > 0 THEN names ELSE [claimant_name] END) AS claimant, generate_subscripts(CASE WHEN len(names) > 0 THEN names ELSE [claimant_name] END, 1) = 1 AS is_primary FROM r"),
-    "workflow_ner_update": (lambda s, d: D.claim_text_updates(letters(s, d).withColumn("grp", (F.col("id").cast("long") % 1000)), "grp"), L + "j AS (SELECT CAST(id AS BIGINT) % 1000 AS grp, string_agg(text, ' ' ORDER BY CAST(id AS BIGINT)) AS text FROM letters GROUP BY 1), " + entities_cte(["names", "areas", "coordinates"], "j", "grp") + f", u AS (SELECT grp, names[1] AS claimant_name, {NUMBER.format('areas[1]')} AS area, TRY_CAST(regexp_extract(coordinates[1], '(\\d+(?:\\.\\d+)?)[,\\s]+(\\d+(?:\\.\\d+)?)', 1) AS DOUBLE) AS latitude, TRY_CAST(regexp_extract(coordinates[1], '(\\d+(?:\\.\\d+)?)[,\\s]+(\\d+(?:\\.\\d+)?)', 2) AS DOUBLE) AS longitude FROM ent) SELECT *, concat_ws(',', CASE WHEN claimant_name IS NOT NULL THEN 'claimant_name' END, CASE WHEN area IS NOT NULL THEN 'area' END, CASE WHEN latitude IS NOT NULL THEN 'latitude' END, CASE WHEN longitude IS NOT NULL THEN 'longitude' END) AS fields FROM u"),
+    "workflow_ner_update": (lambda s, d: D.claim_text_updates(letters(s, d).withColumn("grp", F.floor(F.col("id").cast("long") / 4)), "grp"), L + "j AS (SELECT CAST(floor(CAST(id AS BIGINT) / 4) AS BIGINT) AS grp, string_agg(text, ' ' ORDER BY CAST(id AS BIGINT)) AS text FROM letters GROUP BY 1), " + entities_cte(["names", "areas", "coordinates"], "j", "grp") + f", u AS (SELECT grp, names[1] AS claimant_name, {NUMBER.format('areas[1]')} AS area, TRY_CAST(regexp_extract(coordinates[1], '(\\d+(?:\\.\\d+)?)[,\\s]+(\\d+(?:\\.\\d+)?)', 1) AS DOUBLE) AS latitude, TRY_CAST(regexp_extract(coordinates[1], '(\\d+(?:\\.\\d+)?)[,\\s]+(\\d+(?:\\.\\d+)?)', 2) AS DOUBLE) AS longitude FROM ent) SELECT *, concat_ws(',', CASE WHEN claimant_name IS NOT NULL THEN 'claimant_name' END, CASE WHEN area IS NOT NULL THEN 'area' END, CASE WHEN latitude IS NOT NULL THEN 'latitude' END, CASE WHEN longitude IS NOT NULL THEN 'longitude' END) AS fields FROM u"),
     "detect_language": (lambda s, d: load(s, d, "papers").select("id", X.detect_language(F.coalesce("ocr_text", F.lit(""))).alias("language")), with_views("papers") + "SELECT id, CASE " + " ".join(f"WHEN regexp_matches(coalesce(ocr_text, ''), '{p}') THEN '{c}'" for p, c in X.SCRIPTS) + " ELSE 'eng+hin' END AS language FROM papers"),
     "normalise_language": (lambda s, d: load(s, d, "papers").select("id", X.normalise_language(F.col("ocr_language")).alias("language")), with_views("papers") + "SELECT id, CASE WHEN contains(ocr_language, '+') THEN 'mixed' ELSE ocr_language END AS language FROM papers"),
     "correction_flags": (_corrected, CORRECTED_SQL),
@@ -92,8 +96,8 @@ PAIRS |= {
     "coordinate_text_parse": (lambda s, d: load(s, d, "claims").select("id", G.coordinate_text(F.concat_ws(",", F.col("latitude").cast("decimal(12,5)").cast("string"), F.when(F.col("id").cast("long") % 7 == 0, "east").otherwise(F.col("longitude").cast("decimal(12,5)").cast("string")))).alias("g")).select("id", "g.lat", "g.lng"), with_views("claims") + "SELECT id, CASE WHEN ok THEN CAST(CAST(latitude AS DECIMAL(12, 5)) AS DOUBLE) END AS lat, CASE WHEN ok THEN CAST(CAST(longitude AS DECIMAL(12, 5)) AS DOUBLE) END AS lng FROM (SELECT *, coalesce(CAST(id AS BIGINT) % 7 <> 0 AND latitude BETWEEN -90 AND 90, false) AS ok FROM claims)"),
     "mask_pii": (lambda s, d: load(s, d, "claims").select("id", X.mask_name(F.col("claimant_name")).alias("masked"), F.sha2("claimant_name", 256).alias("token")), with_views("claims") + "SELECT id, array_to_string(list_transform(string_split(claimant_name, ' '), lambda w: substr(w, 1, 1) || repeat('*', length(w) - 1)), ' ') AS masked, sha256(claimant_name) AS token FROM claims"),
     "entity_merge": (lambda s, d: found(s, d).select("id", "claim_id", "names").join(load(s, d, "claims").select("id", F.array("claimant_name", F.concat(F.lit("of "), F.col("status")), F.lit("x ")).alias("more")), "id").select("id", F.array_join(X.merge_values(F.col("names"), F.col("more")), "|").alias("names")), L + entities_cte(["names"]) + ", m AS (SELECT id, names || list_filter([claimant_name, 'of ' || status, 'x '], lambda x: length(trim(x)) > 2) AS v FROM ent JOIN claims USING (id)) SELECT id, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), '|') AS names FROM m"),
-    "entity_dedupe": (lambda s, d: found(s, d).select("id", F.explode("claim_types").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n")), L + entities_cte(["claim_types"]) + " SELECT value, count(*) AS n FROM (SELECT unnest(claim_types) AS value FROM ent) GROUP BY 1"),
-    "entity_summary": (lambda s, d: D.entity_counts(found(s, d)).drop("boundaries"), L + entities_cte(MAIN) + f" SELECT id, {', '.join(f'CAST(len({k}) AS INT) AS {k}' for k in MAIN)}, CAST(greatest(len(names), 1) AS INT) AS records FROM ent"),
+    "entity_dedupe": (lambda s, d: found(s, d).select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("vs")) for k in MAIN])).alias("e")).select("e.kind", F.explode("e.vs").alias("value")).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")), L + entities_cte(MAIN) + " SELECT kind, value, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, unnest({k}) AS value FROM ent" for k in MAIN) + ") GROUP BY ALL"),
+    "entity_summary": (lambda s, d: D.entity_counts(found(s, d)).withColumn("boundaries", F.col("boundaries") > 0), L + entities_cte(MAIN) + f" SELECT id, {', '.join(f'CAST(len({k}) AS INT) AS {k}' for k in MAIN)}, bounded AS boundaries, CAST(greatest(len(names), 1) AS INT) AS records FROM ent JOIN (SELECT id, {BOUNDED} AS bounded FROM letters) USING (id)"),
     "extraction_quality": (lambda s, d: D.extraction_quality(found(s, d), _truth(s, d)), L + entities_cte(["names", "areas", "survey_numbers"]) + f", {GOT_SQL}, {TRUTH_SQL}, b AS (SELECT coalesce(g.kind, t.kind) AS kind, g.id AS g, t.id AS t FROM got g FULL JOIN truth t ON g.id = t.id AND g.kind = t.kind AND g.value = t.value) SELECT kind, round(count(*) FILTER (g IS NOT NULL AND t IS NOT NULL) / nullif(count(g), 0), 6) AS precision, round(count(*) FILTER (g IS NOT NULL AND t IS NOT NULL) / nullif(count(t), 0), 6) AS recall FROM b GROUP BY kind"),
     "character_error_rate": (lambda s, d: load(s, d, "claims").join(D.claim_records(found(s, d)).select("id", F.col("claimant_name").alias("read")), "id").select("id", D.character_error("read", "claimant_name").alias("cer")), L + entities_cte(["names"]) + " SELECT id, round(levenshtein(coalesce(names[1], 'Unknown Claimant'), claimant_name) / greatest(length(claimant_name), 1), 6) AS cer FROM ent JOIN claims USING (id)"),
 }

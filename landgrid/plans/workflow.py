@@ -35,7 +35,7 @@ FLOOR_SECONDS = "coalesce(CAST(floor((epoch_us(ts) - epoch_us(prev)) / 1000000)
 
 
 PAIRS = {
-    "workflow_steps": (lambda s, d: workflows(s, d).groupBy("step").agg(F.count(F.lit(1)).alias("workflows")), WF + "SELECT step, count(*) AS workflows FROM wfs GROUP BY step"),
+    "workflow_steps": (lambda s, d: W.step_load(workflows(s, d)), WF.rstrip() + ", st(ord, step, required) AS (VALUES (1, 'document_upload', true), (2, 'ocr_processing', true), (3, 'ner_extraction', true), (4, 'spatial_validation', true), (5, 'field_verification', true), (6, 'technical_review', true), (7, 'dss_analysis', false), (8, 'final_approval', true)) SELECT ord, st.step, required, count(wfs.step) AS workflows FROM st LEFT JOIN wfs ON st.step = wfs.step GROUP BY ALL"),
     "init_workflows": (lambda s, d: W.init_workflows(load(s, d, "claims")).select("id", "ord", "step", "required", "status", "priority", F.col("due").cast("string").alias("due")), with_views("claims").rstrip() + ", st AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', {str(r).lower()})" for i, (n, r) in enumerate(W.STEPS, 1)) + ") t(ord, step, required)) SELECT id, ord, step, required, 'pending' AS status, 'medium' AS priority, CAST(CAST(created_at AS DATE) + 14 AS STRING) AS due FROM claims, st"),
     "eta_by_priority": (lambda s, d: load(s, d, "claims").select("id", W.eta(F.col("created_at"), F.expr(PRIORITY)).cast("string").alias("due")), with_views("claims") + f"SELECT id, CAST({DUE} AS STRING) AS due FROM claims"),
     "advance_workflow": (workflows, WF + "SELECT * FROM wfs"),
