@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import keep_clear, materialise, read, row_keys, shared_dir, spare
 from .components import components
 from .shingles import BITS, shingle_hashes, simhash_of
-from .similarity import similar_links, sketch
+from .similarity import reach, sketch
 
 #: A bucket with more fingerprints is probed by flipped bits: fewer rows than its pairs, and as exact.
 MAX_PAIRED = 64
@@ -220,10 +220,11 @@ def with_roots(docs: DataFrame, root: str, *, shingle: int = 3, distance: int =
         printed = sketched.drop(own)
     prints = materialise(printed.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     links = near_links(prints, distance, parts)
-    if sketched is not None:
+    if sketched is None:
+        reached = components(links)
+    else:
         texts = docs.select(F.xxhash64("doc_id", "text").alias("id"), "text")
-        links = links.unionAll(similar_links(texts, sketched.select(f"{own}.*"), shingle=shingle, similarity=similarity))
-    reached = components(links)
+        reached = reach(texts, sketched.select(f"{own}.*"), links, shingle=shingle, similarity=similarity)
     roots = prints.join(reached.hint("merge"), prints["fp"] == reached["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     roots = materialise(roots, "simhash-roots")
     ids = materialise(roots.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-ids")

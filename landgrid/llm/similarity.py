@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
+from .components import components
 from .shingles import shingle_hashes, simhash_of
 
 BANDS, ROWS = 24, 4
@@ -69,59 +70,71 @@ def shingle_sets(text: Column, shingle: int) -> Column:
     return of(text)
 
 
-def _paired(buckets: DataFrame, key: list[str]) -> DataFrame:
-    """Pairs (a, b) of the members (structs node, n) that share a key."""
-    left = buckets.select(*key, F.col("member").alias("a"))
-    right = left.withColumnRenamed("a", "b").hint("merge")
-    return left.join(right, key).where("a.node < b.node").select("a", "b")
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """(band, key, member, held, lo, hi): members (structs node, n, fp) of buckets that hold several, with their number and both ends."""
+    member = F.struct("node", "n", "fp").alias("member")
+    keyed = nodes.select(member, F.posexplode("keys").alias("band", "key"))
+    return _with_ends(keyed, ["band", "key"], "similar-shared")
 
 
-def _starred(buckets: DataFrame) -> DataFrame:
-    """Each member with the least and the greatest one of its bucket."""
-    met = buckets.select("member", F.explode(F.array("lo", "hi")).alias("end")).where("member.node <> end.node")
-    return met.select(F.least("member", "end").alias("a"), F.greatest("member", "end").alias("b"))
+def _with_ends(keyed: DataFrame, key: list[str], name: str) -> DataFrame:
+    sizes = [F.count(F.lit(1)).alias("held"), F.min("member").alias("lo"), F.max("member").alias("hi")]
+    buckets = materialise(keyed.groupBy(*key).agg(*sizes).where("held > 1"), f"{name}-sizes")
+    return materialise(keyed.join(buckets.hint("merge"), key), name)
+
+
+def _like(a: str, b: str, similarity: float) -> Column:
+    """Whether sets of these sizes can be so similar."""
+    return F.least(f"{a}.n", f"{b}.n") >= F.lit(similarity) * F.greatest(f"{a}.n", f"{b}.n")
 
 
-def candidates(signed: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes to compare, from (node, n, keys).
+def star_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of each member and both ends of its bucket."""
+    met = shared.select("member", F.explode(F.array("lo", "hi")).alias("end")).where((F.col("member.node") != F.col("end.node")) & _like("member", "end", similarity))
+    return met.select(F.least("member", "end").alias("a"), F.greatest("member", "end").alias("b")).distinct()
+
+
+def cross_pairs(shared: DataFrame, reached: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members of one bucket that `reached` (node: fp, root) does not connect yet.
 
     All pairs of small buckets. A larger one is split by a second band that its members
     share, too: a pair of similarity 0.8 shares no two bands near each other with odds
     of about one in 1000, a more similar one far less often. Members of buckets that are
-    still large are very much alike; like those of the first large ones, they are
-    compared with both ends of their bucket.
+    still large are compared with both ends of theirs.
     """
-    member = F.struct("node", "n").alias("member")
-    sizes = [F.count(F.lit(1)).alias("held"), F.min("member").alias("lo"), F.max("member").alias("hi")]
-    keyed = signed.select(member, F.posexplode("keys").alias("band", "key"))
-    buckets = materialise(keyed.groupBy("band", "key").agg(*sizes).where("held > 1"), "similar-buckets")
-    shared = materialise(keyed.join(buckets.hint("merge"), ["band", "key"]), "similar-shared")
-    pairs = _paired(shared.where(F.col("held") <= MAX_PAIRED), ["band", "key"])
-    crowded = shared.where(F.col("held") > MAX_PAIRED)
+    roots = reached.select(F.col("node").alias("fp"), "root")
+    rooted = shared.select("band", "key", "held", "member", F.col("member.fp").alias("fp")).join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).drop("fp")
+    rooted = materialise(rooted, "similar-rooted")
+    mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band", "key")
+    open_ = materialise(rooted.join(mixed.hint("merge"), ["band", "key"]), "similar-open")  # buckets of one component have nothing to tell
+
+    def paired(members: DataFrame, key: list[str]) -> DataFrame:
+        left = members.select(*key, F.col("member").alias("a"), F.col("root").alias("ra"))
+        right = left.withColumnsRenamed({"a": "b", "ra": "rb"}).hint("merge")
+        on = (F.col("a.node") < F.col("b.node")) & (F.col("ra") != F.col("rb")) & _like("a", "b", similarity)
+        return left.join(right, key).where(on).select("a", "b")
+
+    pairs = paired(open_.where(F.col("held") <= MAX_PAIRED), ["band", "key"])
+    crowded = open_.where(F.col("held") > MAX_PAIRED)
     if not crowded.isEmpty():
-        held = crowded.groupBy("member").agg(F.map_from_entries(F.collect_list(F.struct("band", "key"))).alias("keys"))
+        held = crowded.groupBy("member", "root").agg(F.map_from_entries(F.collect_list(F.struct("band", "key"))).alias("keys"))
         both = [F.struct(F.lit(i).alias("i"), F.lit(j % BANDS).alias("j"), F.xxhash64(F.col("keys")[i], F.col("keys")[j % BANDS]).alias("key")) for i in range(BANDS) for j in range(i + 1, i + 1 + APART)]
         near = F.explode(F.filter(F.array(*both), lambda x: F.map_contains_key("keys", x["i"]) & F.map_contains_key("keys", x["j"]))).alias("x")
-        finer = materialise(held.select("member", near).select("member", "x.i", "x.j", "x.key"), "similar-finer")
-        ends = materialise(finer.groupBy("i", "j", "key").agg(*sizes).where("held > 1"), "similar-finer-buckets")
-        met = materialise(finer.join(ends.hint("merge"), ["i", "j", "key"]), "similar-finer-shared")
-        pairs = pairs.unionAll(_paired(met.where(F.col("held") <= MAX_PAIRED), ["i", "j", "key"]))
-        pairs = pairs.unionAll(_starred(crowded)).unionAll(_starred(met.where(F.col("held") > MAX_PAIRED)))
-    return pairs.where(F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+        finer = materialise(held.select("member", "root", near).select("member", "root", "x.i", "x.j", "x.key"), "similar-finer")
+        met = _with_ends(finer, ["i", "j", "key"], "similar-finer-shared")
+        pairs = pairs.unionAll(paired(met.where(F.col("held") <= MAX_PAIRED), ["i", "j", "key"]))
+        pairs = pairs.unionAll(star_pairs(met.where(F.col("held") > MAX_PAIRED), similarity))
+    return pairs.distinct()
 
 
-def similar_links(docs: DataFrame, sketched: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Links (a, b) between fingerprints of texts whose Jaccard similarity reaches `similarity`.
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the fingerprints of those pairs whose Jaccard similarity reaches `similarity`.
 
-    `docs` has id (long) and text; `sketched`, a written table, id, fp, node, n and keys
-    of the same rows. Texts with the same shingles are one node; one of them is read again
-    for each node that has candidates.
+    One text of each node of a pair is read again, from `docs` (id, text).
     """
-    nodes = sketched.where("n > 0").groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("n", "keys")], F.min(F.struct("id", "fp")).alias("first"))
-    nodes = materialise(nodes, "similar-nodes")
-    pairs = materialise(candidates(nodes, similarity), "similar-pairs")
+    pairs = materialise(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), "similar-pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = materialise(asked.join(nodes.select("node", "first.id", "first.fp").hint("merge"), "node"), "similar-asked")
+    asked = materialise(asked.join(nodes.select("node", "id", "fp").hint("merge"), "node"), "similar-asked")
     few = F.broadcast(asked) if asked.count() <= MAX_BROADCAST_TEXTS else asked.hint("merge")
     sets = docs.join(few, "id").select("node", "fp", shingle_sets(F.col("text"), shingle).alias("found")).dropDuplicates(["node"])
     sets = materialise(sets, "similar-sets")
@@ -129,4 +142,24 @@ def similar_links(docs: DataFrame, sketched: DataFrame, *, shingle: int = 5, sim
     second = sets.select(F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("found").alias("ys")).hint("merge")
     both = pairs.join(first, "a").join(second, "b").withColumn("common", F.size(F.array_intersect("xs", "ys")))
     near = both.where(F.col("common") >= F.lit(similarity) * (F.size("xs") + F.size("ys") - F.col("common"))).where("fa <> fb")
-    return near.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct()
+    return materialise(near.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct(), "similar-links")
+
+
+def reach(docs: DataFrame, sketched: DataFrame, links: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, root): components of fingerprints over `links` (a, b) and texts whose Jaccard similarity reaches `similarity`.
+
+    `docs` has id (long) and text; `sketched`, a written table, id, fp, node, n and keys
+    of the same rows. Texts with the same shingles are one node. Members of a bucket are
+    first compared with its ends, which connects groups of copies at a cost in
+    proportion to their size; then those that are not connected yet, with each other.
+    """
+    nodes = sketched.where("n > 0").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.min(F.struct("id", "fp")).alias("first"))
+    nodes = materialise(nodes.select("node", "n", "keys", "first.*"), "similar-nodes")
+    same = sketched.where("n > 0").join(nodes.select("node", F.col("fp").alias("b")).hint("merge"), "node").select(F.col("fp").alias("a"), "b").where("a <> b").distinct()
+    shared = shared_buckets(nodes)
+    links = links.unionAll(same).unionAll(verified(docs, nodes, star_pairs(shared, similarity), shingle, similarity))
+    reached = materialise(components(links), "similar-reached")
+    more = verified(docs, nodes, cross_pairs(shared, reached, similarity), shingle, similarity)
+    if more.isEmpty():
+        return reached
+    return components(reached.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
