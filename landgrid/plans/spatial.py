@@ -41,12 +41,12 @@ def _links(s, d):
     return S.linked(_checked(s, d), load(s, d, "villages"))
 
 
-NEARER = "23 + (latitude - 8) / 100 AS latitude, 80 + (longitude - 70) / 100 AS longitude"
+NEARER = "23 + (latitude - 8) / 200 AS latitude, 80 + (longitude - 70) / 200 AS longitude"
 
 
 def _dense(df):
-    """The same places a hundred times closer together, so that claims lie near other villages than their own."""
-    return df.withColumns({"latitude": 23 + (F.col("latitude") - 8) / 100, "longitude": 80 + (F.col("longitude") - 70) / 100})
+    """The same places two hundred times closer together, so that claims lie near other villages than their own."""
+    return df.withColumns({"latitude": 23 + (F.col("latitude") - 8) / 200, "longitude": 80 + (F.col("longitude") - 70) / 200})
 
 
 def _dense_links(s, d):
