@@ -97,6 +97,32 @@ def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator, land: bool) -
     return p
 
 
+def closer(p: np.ndarray, x: np.ndarray, wanted: float, near: float = 0.005, most: int = 256) -> np.ndarray:
+    """Landed probabilities with some units taken or left instead, so that the words come nearer to `wanted`; longest units first.
+
+    Landing draws the last open unit; where that one weighs as much as a small source,
+    the draw alone would miss the target by far. Units are changed by one or two as long
+    as that helps, from what was drawn, and from each of the three longest taken alone.
+    Totals within the share `near` stay as drawn.
+    """
+    if abs(x @ p - wanted) <= near * wanted:
+        return p
+    found = []
+    for first in (None, 0, 1, 2):
+        q = p.copy() if first is None else (np.arange(len(p)) == first).astype(float)
+        while abs(miss := float(x @ q) - wanted) > near * wanted:
+            step = np.where(q > 0.5, -x, x)[:most].astype(float)
+            both = step[:, None] + step[None, :]
+            np.fill_diagonal(both, step)
+            i, j = np.unravel_index(np.argmin(np.abs(miss + both)), both.shape)
+            if abs(miss + both[i, j]) >= abs(miss):
+                break
+            for k in {int(i), int(j)}:
+                q[k] = 1.0 - q[k]
+        found.append(q)
+    return min(found, key=lambda q: abs(float(x @ q) - wanted))
+
+
 def balanced_copies(sized: DataFrame, *, seed: int = 23, block_rows: int = 2048, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """`sized` (source, size long, any other narrow columns) plus source_size, target and copies.
 
@@ -134,7 +160,12 @@ def unit_copies(units: DataFrame, seed: int = 23, block_rows: int = 2048, weight
             # long documents are settled first, so that what is left to land is short
             order = np.lexsort((rng.random(len(group)), -group["size"].to_numpy()))
             p = np.empty(len(group))
-            p[order] = flight(group["p"].to_numpy()[order], group["size"].to_numpy()[order], rng, land)
+            open_, size = group["p"].to_numpy()[order], group["size"].to_numpy()[order]
+            landed = flight(open_, size, rng, land)
+            free = np.flatnonzero((open_ > 0) & (open_ < 1))
+            if land and len(free):
+                landed[free] = closer(landed[free], size[free], float(size[free] @ open_[free]))
+            p[order] = landed
             return group.assign(p=p)
         return block
 

@@ -103,6 +103,16 @@ def test_flight_keeps_probabilities():
     assert q.sum() == pytest.approx(p.sum()) and q @ x == pytest.approx(p @ x) and ((q > 0) & (q < 1)).sum() <= 2
 
 
+def test_mix_lands_near_the_target(spark):
+    """Small sources in which one document holds half of the words."""
+    r = random.Random(6)
+    rows = [(k * 100 + i, f"s{k:02}", 400 if i == 0 else r.randrange(10, 90)) for k in range(30) for i in range(10)]
+    got = mixing.balanced_copies(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
+    for k in range(30):
+        mine = [g for g in got if g.source == f"s{k:02}"]
+        assert abs(sum(g.size * g.copies for g in mine) - mine[0].target) <= 0.03 * mine[0].target
+
+
 def test_mix_odd_cases(spark):
     docs = odd_docs(spark)
     mixed = mixing.mix_sources(clash(docs, "Copies", "target", "_id", "_h", "h"))
