@@ -22,8 +22,8 @@ from .shingles import shingle_hashes, simhash_of
 BANDS, ROWS = 24, 4
 #: All pairs of a bucket are compared up to this size; larger ones are split by pairs of bands at most so far apart.
 MAX_PAIRED, APART = 64, 4
-#: Tables of two hashes a row up to this many rows (32 MB) are broadcast.
-MAX_BROADCAST_TEXTS = 1_000_000
+#: Tables of three hashes a row up to this many rows (about 30 MB) are broadcast.
+MAX_BROADCAST_TEXTS = 250_000
 _DRAWN = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
 _FLIP, _TIMES = _DRAWN[0], _DRAWN[1] * np.uint64(2) + np.uint64(1)
 
