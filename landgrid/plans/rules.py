@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -41,11 +43,31 @@ def summary(s, d):
 
 def _one(scheme):
     chosen = next(x for x in R.SCHEMES if x.id == scheme)
-    return lambda s, d: joined(s, d).select("id", R.score(chosen, ACCEPTED).alias("r")).select("id", "r.score", F.round("r.benefit", 4).alias("benefit"))
+    return lambda s, d: joined(s, d).select("id", R.score(chosen, ACCEPTED).alias("r")).select("id", "r.score", F.round("r.benefit", 4).alias("benefit"), "r.rationale", F.array_join("r.requirements", "; ").alias("requirements"))
+
+
+#: Reasons in the order of the points, and requirements.
+TOLD = {
+    "pm-kisan": (("small farmer with individual rights", "accepted claim shows ownership", "target state"), "identity card; bank account; land documents; cultivation certificate"),
+    "jal-jeevan-mission": (("rural household", "poor access to water", "holder of individual rights"), "household survey; water committee; community contribution; quality test"),
+    "mgnrega": (("rural area", "holder of forest rights", "land fit for works"), "job card; bank account; application for work; social audit"),
+    "dajgua": ((), ""),
+    "pmjdy": (("open to all adults", "transfers need an account"), "identity card; proof of address; photograph"),
+    "pmfby": (("cultivator", "accepted claim allows cover"), "cultivation rights; bank account; crop details; premium"),
+    "pm-awas-gramin": (("rural family", "accepted claim", "hill or tribal area"), "survey entry; identity card; bank account; no solid house"),
+    "swachh-bharat-mission": (("rural household", "forest community"), "household survey; no toilet yet; own contribution; check of the building"),
+}
+
+
+def _told_sql(scheme):
+    points, (reasons, needs) = POINTS[scheme][0], TOLD[scheme]
+    held = ["true"] * points.startswith("60 + ") + re.findall(r"CASE WHEN (.*?) THEN \d+ ELSE 0 END", points)
+    told = ", ".join(f"CASE WHEN {c} THEN '{r}' END" for c, r in zip(held, reasons, strict=True))
+    return f"{f'concat_ws({chr(39)}; {chr(39)}, {told})' if told else chr(39) * 2} AS rationale, '{needs}' AS requirements"
 
 
 REC_COLUMNS = ("id", "scheme", "score", "benefit", "priority", "rank")
-PAIRS = {key: (_one(scheme), JOINED + f" SELECT id, least(100, {POINTS[scheme][0]}) AS score, round({POINTS[scheme][1]}, 4) AS benefit FROM j") for key, scheme in KEYS.items()}
+PAIRS = {key: (_one(scheme), JOINED + f" SELECT id, least(100, {POINTS[scheme][0]}) AS score, round({POINTS[scheme][1]}, 4) AS benefit, {_told_sql(scheme)} FROM j") for key, scheme in KEYS.items()}
 PAIRS |= {
     "claim_village_required": (lambda s, d: R.with_village(load(s, d, "claims"), load(s, d, "villages"))[1].select("id", "claim_id"), with_views("claims", "villages") + "SELECT id, claim_id FROM claims WHERE village_id IS NULL OR village_id NOT IN (SELECT id FROM villages)"),
     "claims_x_schemes": (lambda s, d: R.scored(joined(s, d), R.CATALOGUE, ACCEPTED).where("score > 50").select("id", "scheme", "score"), ALL + " SELECT id, scheme, score FROM recs"),
