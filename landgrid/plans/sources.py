@@ -62,6 +62,17 @@ def _audit(s, d):
     return s.read.parquet(path).groupBy(F.col("day").cast("string").alias("day"), "action").agg(F.count(F.lit(1)).alias("entries"))
 
 
+def _typed(s, d):
+    """Claims with their villages, written and read with the declared schemas; tables without a source are empty."""
+    base = folder(s, "typed")
+    for name, schema in tables.SCHEMAS.items():
+        rows = load(s, d, name) if name in ("states", "districts", "villages", "users", "claims", "assets") else s.createDataFrame([], schema)
+        rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(f"{base}/{name}.parquet")
+    read = tables.load(s, base)
+    villages = read["villages"].select(F.col("id").alias("village_id"), F.col("name").alias("village"), "population")
+    return read["claims"].join(villages.hint("merge"), "village_id", "left").select("id", "village", "population", "status", *[F.col(c).cast("double").alias(c) for c in ("area", "ai_confidence", "latitude")])
+
+
 RAW = {"name": "CASE WHEN CAST(id AS BIGINT) % 19 = 1 THEN 'x' ELSE claimant_name END", "kind": "CASE WHEN CAST(id AS BIGINT) % 23 = 2 THEN 'ABC' ELSE claim_type END", "area": "CASE WHEN CAST(id AS BIGINT) % 29 = 3 THEN 'two' WHEN CAST(id AS BIGINT) % 29 = 4 THEN '' ELSE CAST(CAST(id AS BIGINT) % 50 AS STRING) END", "coordinates": "CASE WHEN CAST(id AS BIGINT) % 31 = 3 THEN '{bad' WHEN CAST(id AS BIGINT) % 31 = 4 THEN '' ELSE '{\"lat\": 1}' END"}
 
 
@@ -126,6 +137,7 @@ def _saved(s, d):
 GEOMETRY = "CASE WHEN latitude IS NOT NULL THEN concat(CASE WHEN CAST(id AS BIGINT) % 13 = 5 THEN '' ELSE '{' END, '\"type\": \"Point\", \"coordinates\": [', CAST(CAST(longitude AS DECIMAL(10, 5)) AS STRING), ', ', CAST(CAST(latitude AS DECIMAL(10, 5)) AS STRING), ']}') END"
 
 PAIRS = {
+    "load_typed": (_typed, with_views("claims", "villages") + "SELECT c.id, v.name AS village, population, status, CAST(CAST(area AS DECIMAL(8, 2)) AS DOUBLE) AS area, ai_confidence, c.latitude FROM claims c LEFT JOIN villages v ON c.village_id = v.id"),
     "landing_validation": (lambda s, d: load(s, d, "papers").select("id", F.coalesce(tables.landing_reason(F.col("file_type"), F.col("file_size") * 500), F.lit("accepted")).alias("outcome")), with_views("papers") + "SELECT id, CASE WHEN file_type NOT IN ('application/pdf', 'image/jpeg', 'image/png', 'image/tiff') THEN 'type' WHEN file_size * 500 > 10485760 THEN 'size' ELSE 'accepted' END AS outcome FROM papers"),
     "manifest_pairing": (_pairs, MANIFEST),
     "export_claims_csv": (_csv, GEO + f"SELECT concat('\"', coalesce(CAST(claim_id AS STRING), ''), '\",\"', coalesce(CAST(claimant_name AS STRING), ''), '\",\"', coalesce(CAST(village_name AS STRING), ''), '\",\"', coalesce(CAST(claim_type AS STRING), ''), '\",\"', coalesce(CAST(area AS STRING), ''), '\",\"', coalesce(CAST(status AS STRING), ''), '\",\"', coalesce(CAST(ai_confidence AS STRING), ''), '\"') AS line FROM g {NEWEST} LIMIT 10000"),
