@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import block_knn, chat_format, decontamination, importance, language_id, license_scan, mixing, sharding, simhash, url_filters
+from . import block_knn, chat_format, decontamination, importance, jaccard_join, language_id, license_scan, mixing, sharding, simhash, url_filters
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_importance_resampling": importance.op8,
     "op9_url_filters": url_filters.op9,
     "op10_decontaminate": decontamination.op10,
+    "op13_jaccard_join": jaccard_join.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -23,4 +24,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_chat_windows": chat_format.SQL,
     "op9_url_filters": url_filters.SQL,
     "op10_decontaminate": decontamination.SQL,
+    "op13_jaccard_join": jaccard_join.SQL,
 }
