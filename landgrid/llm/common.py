@@ -96,9 +96,16 @@ HOT_KEYS = 100_000
 
 
 def row_keys(df: DataFrame) -> list[Column]:
-    """Two 64-bit hashes of all columns, _k1 and _k2: rows alike in every column are alike in both."""
-    plain = [F.col(f"`{f.name}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
-    return [F.xxhash64(F.lit(k), *plain).alias(f"_k{k}") for k in (1, 2)]
+    """Two 64-bit hashes of all columns, _k1 and _k2: rows alike in every column are alike in both.
+
+    The hash skips nulls, so which columns are null is hashed along. Nested columns, inside
+    of which nulls would be skipped, too, are hashed as JSON with all fields.
+    """
+    whole = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    nested = ("map<", "struct<", "array<")
+    plain = [whole(F.col(f"`{f.name}`")) if f.dataType.simpleString().startswith(nested) else F.col(f"`{f.name}`") for f in df.schema.fields]
+    nulls = F.concat(F.lit(""), *[F.when(F.col(f"`{f.name}`").isNull(), "0").otherwise("1") for f in df.schema.fields])
+    return [F.xxhash64(F.lit(k), nulls, *plain).alias(f"_k{k}") for k in (1, 2)]
 
 
 def hot_keys(counts: DataFrame, n_rows: int) -> DataFrame:

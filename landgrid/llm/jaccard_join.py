@@ -225,7 +225,7 @@ def tile_pairs(open_: DataFrame, bitmaps: DataFrame, least: int, best: bool) ->
     A bucket's size band of h sets is dealt into h / TILE tiles; each tile meets the others
     of its band and of the next one, one task at a time.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / np.log(100.0 / least)).cast("int")
+    band = (F.floor(F.log(F.col("n").cast("double")) / np.log(100.0 / least)) if least < 100 else F.col("n")).cast("int")
     rows = open_.select("token", "node", "n", "root", band.alias("band"))
     held = rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("h"))
     tiles = held.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("h") / TILE).cast("int")))).alias("tiles"))  # a few dozen bands

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import block_knn, chat_format, decontamination, importance, jaccard_join, language_id, license_scan, mixing, sharding, simhash, url_filters
+from . import block_knn, chat_format, decontamination, filter_audit, importance, jaccard_join, language_id, lexical_search, license_scan, mixing, sharding, simhash, url_filters
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_importance_resampling": importance.op8,
     "op9_url_filters": url_filters.op9,
     "op10_decontaminate": decontamination.op10,
+    "op11_lexical_search": lexical_search.op11,
+    "op12_filter_audit": filter_audit.op12,
     "op13_jaccard_join": jaccard_join.op13,
 }
 
@@ -24,5 +26,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_chat_windows": chat_format.SQL,
     "op9_url_filters": url_filters.SQL,
     "op10_decontaminate": decontamination.SQL,
+    "op11_lexical_search": lexical_search.SQL,
+    "op12_filter_audit": filter_audit.SQL,
     "op13_jaccard_join": jaccard_join.SQL,
 }

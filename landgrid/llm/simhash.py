@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_clear, materialise, read, row_keys, shared_dir, spare
+from .common import keep_clear, materialise, read, row_keys, shared_dir
 from .components import components
+from .jaccard_join import with_components
 from .shingles import BITS, shingle_hashes, simhash_of
-from .similarity import reach, sketch
 
 #: A bucket with more fingerprints is probed by flipped bits: fewer rows than its pairs, and as exact.
 MAX_PAIRED = 64
@@ -193,55 +193,49 @@ def split_links(crowded: DataFrame, masks: list[int], distance: int, levels: int
     return links.unionAll(_pairs(crowded, distance))
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 3, distance: int = 2, parts: int | None = None, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 3, distance: int = 2, parts: int | None = None) -> DataFrame:
     """`docs` (doc_id, text and others) with fp (long) and component_id.
 
     component_id is the smallest doc_id reachable over links between fingerprints
-    that differ in `distance` bits at most; equal fingerprints are linked. With
-    `similarity`, texts whose sets of shingles have a Jaccard similarity of that value
-    or more are linked, too (see similarity.py). Null and blank texts have fingerprint
-    0; very long texts are read whole; ties go to the smaller doc_id. Repeated rows stay,
-    each with the same result. Rows with null doc_id take part; a component of such rows
-    alone has a null id. An empty table gives no rows. Input columns fp and component_id get `_in`.
+    that differ in `distance` bits at most; equal fingerprints are linked. Null and blank
+    texts have fingerprint 0; very long texts are read whole; ties go to the smaller
+    doc_id. Repeated rows stay, each with the same result. Rows with null doc_id take
+    part; a component of such rows alone has a null id. An empty table gives no rows.
+    Input columns fp and component_id get `_in`.
     """
-    root = spare(docs, "_root")
-    return with_roots(docs, root, shingle=shingle, distance=distance, parts=parts, similarity=similarity).drop(root)
-
-
-def with_roots(docs: DataFrame, root: str, *, shingle: int = 3, distance: int = 2, parts: int | None = None, similarity: float | None = None) -> DataFrame:
-    """As near_duplicates, without the text, and a column `root` (long): the least fingerprint of the component, which no other one shares."""
     docs = keep_clear(docs, "fp", "component_id")
-    if similarity is None:
-        printed = materialise(docs.withColumn("fp", fingerprint(F.col("text"), shingle)).drop("text"), "simhash")
-        sketched = None
-    else:
-        own = spare(docs, "_sketch")
-        sketched = materialise(docs.withColumn(own, sketch(F.col("text"), shingle)).withColumn("fp", F.col(f"{own}.fp")).withColumn(own, F.struct(F.xxhash64("doc_id", "text").alias("id"), f"{own}.*")).drop("text"), "simhash")
-        printed = sketched.drop(own)
+    printed = materialise(docs.withColumn("fp", fingerprint(F.col("text"), shingle)).drop("text"), "simhash")
     prints = materialise(printed.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    links = near_links(prints, distance, parts)
-    if sketched is None:
-        reached = components(links)
-    else:
-        texts = docs.select(F.xxhash64("doc_id", "text").alias("id"), "text")
-        reached = reach(texts, sketched.select(f"{own}.*"), links, shingle=shingle, similarity=similarity)
+    reached = components(near_links(prints, distance, parts))
     roots = prints.join(reached.hint("merge"), prints["fp"] == reached["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     roots = materialise(roots, "simhash-roots")
     ids = materialise(roots.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-ids")
-    classes = roots.join(ids.hint("merge"), "root").select("fp", "component_id", F.col("root").alias(root))
+    classes = roots.join(ids.hint("merge"), "root").select("fp", "component_id")
     return printed.join(classes.hint("merge"), "fp")
 
 
-def one_of_each(docs: DataFrame, *, shingle: int = 5, distance: int = 2, similarity: float = 0.8) -> DataFrame:
+def likely_pairs(nodes: DataFrame, distance: int) -> DataFrame:
+    """Of (node, fp), pairs (a, b) that connect nodes whose fingerprints differ in `distance` bits at most: few for each node, to be verified."""
+    first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first")), "simhash-distinct")
+    alike = nodes.join(first.hint("merge"), "fp").select(F.col("node").alias("a"), F.col("first").alias("b")).where("a <> b")
+    ends = [first.select(F.col("fp").alias(c), F.col("first").alias(f"n{c}")).hint("merge") for c in "ab"]
+    near = near_links(first.select("fp"), distance).join(ends[0], "a").join(ends[1], "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    return materialise(near.unionAll(alike), "simhash-likely")
+
+
+def one_of_each(docs: DataFrame, *, shingle: int = 5, distance: int = 2, least: int = 80) -> DataFrame:
     """One row of `docs` for each group of near copies, all columns as given.
 
-    The row with the smallest doc_id stays (ids go before nulls), of rows that share it
-    the one with the least hash of the text, then of all columns. Only rows of kept ids
-    and texts are told apart by all columns, so whole texts are shuffled once.
+    Texts are near copies if their sets of word shingles share `least` percent of their
+    union, or if neither has a word. Fingerprints within `distance` bits propose pairs, the
+    Jaccard join those that fingerprints miss; all are verified. The row with the smallest
+    doc_id stays (ids go before nulls), of rows that share it the one with the least hash
+    of the text, then of all columns. Only rows of kept ids and texts are told apart by
+    all columns, so whole texts are shuffled once. An empty table gives no rows.
     """
     same = F.xxhash64("text").alias("same")
-    found = with_roots(docs.select("doc_id", "text", same), "root", shingle=shingle, distance=distance, similarity=similarity)
-    found = materialise(found.select("doc_id", "same", "root"), "near-groups")
+    found = with_components(docs.select("doc_id", "text", same), "root", shingle=shingle, least=least, prints=lambda nodes: likely_pairs(nodes, distance))
+    found = materialise(found.select("doc_id", "row.same", "root"), "near-groups")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")
     best = found.groupBy("root").agg(F.min(order).alias("best"))
     held = found.groupBy("doc_id", "same").agg(F.count(F.lit(1)).alias("held"))
