@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from landgrid.llm import block_knn, chat_format, decontamination, importance, language_id, license_scan, mixing, sharding, simhash, url_filters
+from landgrid.llm import block_knn, chat_format, decontamination, importance, jaccard_join, language_id, license_scan, mixing, sharding, simhash, url_filters
 from landgrid.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -113,6 +113,28 @@ def test_mix_lands_near_the_target(spark):
         assert abs(sum(g.size * g.copies for g in mine) - mine[0].target) <= 0.03 * mine[0].target
 
 
+SWAPPED = [("a b c", "en", None), ("a b c", None, "en")]
+
+
+def swapped_nulls(spark, n):
+    """n rows each of two kinds that hold the same values, in other columns beside nulls."""
+    rows = spark.createDataFrame([(1, *r, 5) for r in SWAPPED], DOCS)
+    return rows.crossJoin(spark.range(n)).drop("id")
+
+
+@pytest.mark.parametrize("n", [3, 1500])
+def test_rows_are_told_apart_with_their_nulls(spark, n):
+    docs = swapped_nulls(spark, n)
+    count = lambda df: Counter((r.text, r.lang, r.source) for r in df.select("text", "lang", "source").collect())
+    assert count(sharding.shuffle_into_shards(docs)) == {r: n for r in SWAPPED}
+    mixed = count(mixing.mix_sources(docs))
+    assert set(mixed) == set(SWAPPED) and all(n <= c <= 2 * n for c in mixed.values())
+    sized = docs.withColumn("size", F.lit(3).cast("long"))
+    assert count(mixing.balanced_copies(sized)) == {r: n for r in SWAPPED}
+    kept = [tuple(r) for r in simhash.one_of_each(docs).select("text", "lang", "source").collect()]
+    assert len(kept) == 1 and kept[0] in SWAPPED
+
+
 def test_mix_odd_cases(spark):
     docs = odd_docs(spark)
     mixed = mixing.mix_sources(clash(docs, "Copies", "target", "_id", "_h", "h"))
@@ -704,3 +726,57 @@ def test_native_operators_run_no_python(spark, sf_dir):
     for name, op in (("op5", chat_format.op5), ("op10", decontamination.op10)):
         plan = op(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan), name
+
+
+# 13 ----------------------------------------------------------------------------------------------
+
+def naive_jaccard(rows, shingle=5, least=80):
+    """(size of the set, smallest reachable id) of rows (id, text), by all pairs."""
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    sets = [{tuple(w[i:i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set() for w in words]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= least * (len(a) + len(sets[j]) - both):
+                x, y = root[i], root[j]
+                root = [min(x, y) if k in (x, y) else k for k in root]
+    least_id = {}
+    for (i, _), k in zip(rows, root, strict=True):
+        least_id[k] = min((x for x in (least_id.get(k), i) if x is not None), default=None)
+    return Counter((i, len(s), least_id[k]) for (i, _), s, k in zip(rows, sets, root, strict=True))
+
+
+@pytest.mark.parametrize("shingle,least,paired,tile", [(5, 80, 64, 1024), (5, 80, 2, 4), (1, 100, 2, 3)])
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, shingle, least, paired, tile):
+    monkeypatch.setattr(jaccard_join, "MAX_PAIRED", paired)
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    r, rows = random.Random(paired), []
+    for k in range(30):
+        base = [f"w{r.randrange(400)}" for _ in range(r.choice([1, 3, 6, 12, 40, 200]))]
+        for _ in range(r.choice([1, 3, 15])):
+            rate = r.choice([0, 0.005, 0.01, 0.03, 0.1])
+            rows.append((r.choice([None, *range(1000)]), " ".join(f"x{r.randrange(99)}" if r.random() < rate else w.upper() if r.random() < 0.1 else w for w in base)))
+    rows += [(5000, None), (5001, ""), (5002, " \t"), (5003, "one"), (5004, "ONE"), (5004, "ONE"), (None, "alone"), (5005, LONG), (5006, LONG + "end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = jaccard_join.jaccard_groups(docs, shingle=shingle, least=least)
+    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()) == naive_jaccard(rows, shingle, least)
+
+
+def test_jaccard_bitmaps_bound_the_overlap(spark):
+    r, rows = random.Random(3), []
+    for n in (1, 5, 40, 300, 3000, 50_000):
+        a = np.unique(np.array([r.getrandbits(64) for _ in range(n)], np.uint64).view(np.int64))
+        b = np.unique(np.concatenate([a[n // 9:], np.array([r.getrandbits(62) for _ in range(n // 7)], np.int64)]))
+        rows.append((bytearray(jaccard_join.bitmap(a)), bytearray(jaccard_join.bitmap(b)), len(a) + len(b), len(np.intersect1d(a, b)), a.tolist(), b.tolist()))
+    df = spark.createDataFrame(rows, "a binary, b binary, sizes long, common long, xs array<long>, ys array<long>")
+    for x in df.select("common", "sizes", jaccard_join.overlap_bound(F.col("a"), F.col("b"), F.col("sizes")).alias("most"), jaccard_join.common(F.col("xs"), F.col("ys")).alias("met")).collect():
+        assert x.met == x.common <= x.most <= x.sizes // 2 and (x.sizes > 10_000 or x.most <= 1.1 * x.common + 2)
+
+
+def test_jaccard_join_odd_cases(spark):
+    docs = clash(odd_docs(spark), "n_shingles", "component_id", "node", "n", "id", "row", "_root")
+    got = jaccard_join.jaccard_groups(docs)
+    assert got.columns == ["doc_id", "lang", "source", "n_chars", "n_shingles_in", "component_id_in", "node", "n", "id", "row", "_root", "n_shingles", "component_id"]
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == {(1, 2, 1), (6, 2, 1), (2, 0, 2), (3, 0, 3), (4, 0, 4), (None, 1, None), (5, 5, 5), (7, 1, 7), (8, 1, 8)}
+    assert jaccard_join.jaccard_groups(empty(spark)).count() == 0

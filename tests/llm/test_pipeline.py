@@ -3,13 +3,14 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as P
 from landgrid.llm import queries as Q
-from landgrid.llm import similarity
+from landgrid.llm import jaccard_join
 
-from .test_operators import check_shards, naive_simhash, odd_docs, empty, waterfall
+from .test_operators import check_shards, odd_docs, empty, waterfall
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
@@ -42,12 +43,11 @@ def five_word_sets(rows):
 
 
 def near_groups(rows):
-    """Index of the least row that each row reaches over fingerprints within two bits and pairs with a Jaccard similarity of 0.8."""
-    sets, prints, root = five_word_sets(rows), [naive_simhash(r.text or "", 5) for r in rows], list(range(len(rows)))
+    """Index of the least row that each row reaches over pairs with a Jaccard similarity of 0.8; texts without words are one group."""
+    sets, root = five_word_sets(rows), list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            near = bin(prints[i] ^ prints[j]).count("1") <= 2
-            if near or sets[i] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+            if not sets[i] and not sets[j] or sets[i] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
                 a, b = sorted((root[i], root[j]))
                 root = [a if x == b else x for x in root]
     return root
@@ -62,8 +62,8 @@ def test_near_duplicate_stage_keeps_one_of_each_group(stages):
 
 @pytest.mark.parametrize("paired", [64, 3])
 def test_near_duplicates_equal_brute_force(spark, sf_dir, monkeypatch, paired):
-    """Recall of edited copies is whole here, whether buckets are compared pairwise or split."""
-    monkeypatch.setattr(similarity, "MAX_PAIRED", paired)
+    """Recall of edited copies is whole, whether buckets are compared pairwise or in tiles."""
+    monkeypatch.setattr(jaccard_join, "MAX_PAIRED", paired)
     r, rows = random.Random(9), []
     for k in range(40):
         base = [f"w{r.randrange(3000)}" for _ in range(r.choice([8, 60, 400]))]
@@ -88,6 +88,37 @@ def test_near_duplicates_of_one_large_group(spark, sf_dir):
     assert kept == [0, *range(1000, 1150)]
 
 
+def test_near_duplicates_of_a_boilerplate_family(spark, sf_dir):
+    """3,000 pages of one boilerplate, five of 300 words edited each: most pairs are below 0.8, and no link of 0.8 may be lost or made up."""
+    r, base, rows, edits = random.Random(8), [f"w{i}" for i in range(300)], [], []
+    for i in range(3000):
+        at = sorted(r.sample(range(300), 5))
+        page = base[:]
+        for k in at:
+            page[k] = f"e{i}x{k}"
+        edits.append({s for k in at for s in range(max(0, k - 4), min(296, k + 1))})  # the shingles that an edit changes; no two pages share one
+        rows.append((i, " ".join(page), "en", "a", 1))
+    root = list(range(3000))
+
+    def top(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    changed = np.zeros((3000, 296), np.int32)
+    for i, e in enumerate(edits):
+        changed[i, list(e)] = 1
+    same = (1 - changed) @ (1 - changed).T
+    for i, j in zip(*np.nonzero(np.triu(100 * same >= 80 * (592 - same), 1)), strict=True):
+        a, b = sorted((top(int(i)), top(int(j))))
+        root[b] = a
+    want = sorted({top(i) for i in range(3000)})
+    assert 300 < len(want) < 2900
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(x.doc_id for x in P.near_duplicate_stage(spark, docs, sf_dir).collect()) == want
+
+
 def test_edited_copies_of_equal_and_null_ids(spark, sf_dir):
     text = [f"w{i}" for i in range(100)]
     rows = [(i, " ".join([*text, extra]), "en", "a", 1) for i in (None, 7, 8) for extra in ("one", "two", "three") if (i, extra) != (8, "one")]
@@ -111,8 +142,7 @@ def test_mixing_stage(stages):
         times[r.doc_id] = times.get(r.doc_id, 0) + 1
     assert max(times.values()) <= 2
     for s, t in waterfall(have).items():
-        smallest = sorted(size(r) for r in stages["decontamination"] if r.source == s)
-        assert abs(took.get(s, 0) - t) <= 0.25 * t + sum(smallest[:4])
+        assert abs(took.get(s, 0) - t) <= 0.02 * t
 
 
 def test_sharding_stage(stages):
