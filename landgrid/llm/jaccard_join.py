@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .common import discard, keep_clear, materialise, read, shared_dir, spare
 from .components import components
-from .shingles import shingle_hashes, simhash_of
+from .shingles import simhash_of
 
 #: Cells of the shingle counts: their number is fixed, 2 MB of counts at any size of the corpus.
 CELL_BITS = 18
@@ -37,9 +37,40 @@ MAX_BROADCAST_ROWS = 250_000
 NARROW, WIDE = 6, 15
 
 
+class WordHashes(dict):
+    """Hash of each word, kept while there are not too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word, 7)
+        return found
+
+
+_HASHES = WordHashes()
+_TIMES = np.random.default_rng(42).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """A 64-bit hash of each word shingle: those of its words, each times a number for its place, summed and mixed."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    width = min(shingle, len(words))
+    count = len(words) - width + 1
+    out = np.full(count, width, np.uint64)
+    for i in range(width):
+        out += each[i : i + count] * _TIMES[i % 64] + np.uint64(i // 64)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(29)
+    return out
+
+
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     """The sorted signed hashes of a text's different shingles."""
-    return np.unique(shingle_hashes(text or b"", shingle).view(np.int64))
+    return np.unique(shingle_hashes(text, shingle).view(np.int64))
 
 
 def node_of(found: np.ndarray) -> int:
@@ -81,7 +112,7 @@ def sketched(docs: DataFrame, shingle: int, prints: bool = False) -> tuple[DataF
         for batch in batches:
             nodes, sizes, fps, cells = [], [], [], [np.zeros(0, np.int32)]
             for text in batch.column("text").cast(pa.binary()).to_pylist():
-                hashes = shingle_hashes(text or b"", shingle)
+                hashes = shingle_hashes(text, shingle)
                 found = np.unique(hashes.view(np.int64))
                 nodes.append(node_of(found))
                 sizes.append(len(found))
@@ -215,8 +246,8 @@ def small_pairs(open_: DataFrame, bitmaps: DataFrame, tried: DataFrame, least: i
     left = open_.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
     right = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")).hint("merge")
     on = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sizes_fit(F.col("na"), F.col("nb"), least)
-    pairs = left.join(right, "token").where(on).select("a", "b").distinct()
-    return bounded(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"), bitmaps, least).select("a", "b")
+    pairs = left.join(right, "token").where(on).select("a", "b").join(tried.hint("merge"), ["a", "b"], "left_anti").distinct()
+    return bounded(pairs, bitmaps, least).select("a", "b")
 
 
 def tile_pairs(open_: DataFrame, bitmaps: DataFrame, least: int, best: bool) -> DataFrame:
@@ -269,7 +300,7 @@ def tile_pairs(open_: DataFrame, bitmaps: DataFrame, least: int, best: bool) ->
             i, j = i[order[first]], j[order[first]]
         return pa.table({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
 
-    return dealt.groupBy("token", "band", "up", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+    return dealt.groupBy("token", "band", "up", "i", "j").applyInArrow(meet, "a long, b long")
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, least: int) -> DataFrame:
@@ -301,24 +332,25 @@ def linked(docs: DataFrame, sketch: DataFrame, counts: np.ndarray, shingle: int,
 
     stars = star_pairs(shared, bitmaps, least, likely).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     stars = materialise(stars, "jaccard-stars")
-    links = verified(docs, nodes, stars, shingle, least)
+    roots = materialise(components(verified(docs, nodes, stars, shingle, least)), "jaccard-roots")
     for best in (True, False):
-        roots = materialise(components(links), "jaccard-roots")
         rooted = shared.select("token", "node", "n", "held").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         rooted = materialise(rooted, "jaccard-rooted")
         mixed = rooted.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("token")
         open_ = materialise(rooted.join(materialise(mixed, "jaccard-mixed").hint("merge"), "token"), "jaccard-open")  # buckets of one component have nothing to tell
-        crowded = open_.where(F.col("held") > MAX_PAIRED)
-        pairs = small_pairs(open_.where(F.col("held") <= MAX_PAIRED), bitmaps, stars, least) if best else None
-        if not crowded.isEmpty():
-            tiles = tile_pairs(crowded, bitmaps, least, best)
-            pairs = tiles if pairs is None else pairs.unionAll(tiles).distinct()
-        if pairs is not None:
-            links = links.unionAll(verified(docs, nodes, materialise(pairs, "jaccard-pairs"), shingle, least))
         discard(rooted)
-        if crowded.isEmpty():
+        crowded = open_.where(F.col("held") > MAX_PAIRED)
+        large = None if crowded.isEmpty() else tile_pairs(crowded, bitmaps, least, best)
+        pairs = [*([small_pairs(open_.where(F.col("held") <= MAX_PAIRED), bitmaps, stars, least)] if best else []), *([] if large is None else [large])]
+        if pairs:
+            pairs = materialise((pairs[0].unionAll(pairs[1]) if len(pairs) > 1 else pairs[0]).distinct(), "jaccard-pairs")
+            more = None if pairs.isEmpty() else verified(docs, nodes, pairs, shingle, least)
+            if more is not None and not more.isEmpty():
+                links = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)
+                roots = materialise(components(links), "jaccard-roots")
+        if large is None:
             break
-    return components(links)
+    return roots
 
 
 def jaccard_groups(docs: DataFrame, *, shingle: int = 5, least: int = 80) -> DataFrame:
