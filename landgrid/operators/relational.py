@@ -55,8 +55,78 @@ def newest_first(df: DataFrame, time: str = "created_at") -> list[Column]:
 
 
 def page(claims: DataFrame, number: int = 1, size: int = 10) -> DataFrame:
-    """One page of a listing, newest first, ties by id."""
-    return claims.orderBy(*newest_first(claims)).offset((number - 1) * size).limit(size)
+    """One page of a listing, newest first, ties by id; a deep page costs as much as a filter.
+
+    Rows before the page are counted, not sorted: counts of narrower and narrower ranges of
+    the time, then of the id, lead to a place at most NEAR rows before it.
+    """
+    rows, before = from_position(claims, (number - 1) * size)
+    return rows.orderBy(*newest_first(claims)).offset(before).limit(size)
+
+
+#: A position is found once so few rows lie between it and the place that was reached; ranges are counted in so many cells.
+NEAR, CELLS = 1000, 1024
+
+
+def from_position(df: DataFrame, position: int, time: str = "created_at") -> tuple[DataFrame, int]:
+    """(the rows of newest_first from some place on, how many of them lie before `position`): at most NEAR, or all rows of one id."""
+    if position <= NEAR:
+        return df, position
+    age = -_micros(df, time)
+    undated, dated = df.where(age.isNull()), df.where(age.isNotNull())
+    none, least, most = df.agg(F.count_if(age.isNull()), F.min(age), F.max(age)).first()
+    if position < none:
+        same, before = _from_id(undated, position)
+        return same.unionAll(dated), before
+    if least is None:
+        return df.where(F.lit(False)), 0
+    passed, low, high = none, least, most
+    while position - passed > NEAR and low < high:
+        width = (high - low) // CELLS + 1
+        cell = F.floor((age - low) / width).cast("long")
+        at, passed = _enter(dated.where(age.between(low, high)), cell, position, passed, lambda x: x)
+        if at is None:
+            return df.where(F.lit(False)), 0
+        low, high = low + at * width, min(high, low + (at + 1) * width - 1)
+    if position - passed <= NEAR:
+        return dated.where(age >= low), position - passed
+    same, before = _from_id(dated.where(age == low), position - passed)
+    return same.unionAll(dated.where(age > low)), before
+
+
+def _micros(df: DataFrame, time: str) -> Column:
+    """Microseconds that order as the times do, for dates and local times too."""
+    t = F.col(time)
+    if df.schema[time].dataType.typeName() == "timestamp":
+        return F.unix_micros(t)
+    t = t.cast("timestamp_ntz")
+    whole = (F.unix_date(t.cast("date")) * 24 + F.hour(t)) * 60 + F.minute(t)
+    return whole.cast("long") * 60_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+
+
+def _enter(rows: DataFrame, cell: Column, position: int, passed: int, order) -> tuple:
+    """The cell that holds `position`, if `passed` rows lie before all cells; and how many lie before it. None beyond the last one."""
+    counts = rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row per cell
+    for row in sorted(counts, key=lambda r: order(r["cell"])):
+        if passed + row["n"] > position:
+            return row["cell"], passed
+        passed += row["n"]
+    return None, passed
+
+
+def _from_id(rows: DataFrame, position: int) -> tuple[DataFrame, int]:
+    """from_position for rows of one time, by id: a letter more of the id in each round."""
+    prefix, passed = "", 0
+    same = rows
+    while position - passed > NEAR:
+        same = same.where(F.startswith("id", F.lit(prefix)))
+        letter, passed = _enter(same, F.substring("id", len(prefix) + 1, 1), position, passed, lambda x: x.encode())
+        if letter is None:
+            return rows.where(F.lit(False)), 0
+        prefix += letter
+        if not letter:  # all rows of one id
+            break
+    return rows.where(F.col("id") >= prefix), position - passed
 
 
 def page_totals(claims: DataFrame, size: int = 10) -> DataFrame:

@@ -31,6 +31,29 @@ def init_workflows(claims: DataFrame, priority: str = "medium") -> DataFrame:
     return claims.select("id", "created_at", F.explode(_steps()).alias("s")).select("id", "s.ord", "s.step", "s.required", F.lit("pending").alias("status"), F.lit(priority).alias("priority"), eta(F.col("created_at"), F.lit(priority)).alias("due"))
 
 
+def audit_entries(changes: DataFrame, action: str, by: Column, at: Column, **values: Column) -> DataFrame:
+    """(entity_type, entity_id, action, user_id, ts, new_values) for each changed workflow of `changes` (id): entries of the audit store."""
+    return changes.select(F.lit("claim").alias("entity_type"), F.col("id").alias("entity_id"), F.lit(action).alias("action"), by.alias("user_id"), at.cast("timestamp_ntz").alias("ts"), F.to_json(F.struct(*[c.alias(n) for n, c in values.items()])).alias("new_values"))
+
+
+def start_workflows(claims: DataFrame, priority: str = "medium") -> tuple[DataFrame, DataFrame]:
+    """(step rows of init_workflows, an audit entry for each claim)."""
+    due = eta(F.col("created_at"), F.lit(priority)).cast("string")
+    entries = audit_entries(claims, "workflow_initialized", F.lit("system"), F.col("created_at"), priority=F.lit(priority), estimatedCompletion=due)
+    return init_workflows(claims, priority), entries
+
+
+def assign_workflows(workflows: DataFrame, assignments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(`workflows` (id, ...) with assignee and assignments, an audit entry for each assignment (id, user_id, assignee, ts, event)).
+
+    The last assignment of a workflow counts; those of unknown workflows are left out.
+    """
+    known = assignments.join(workflows.select("id").hint("merge"), "id", "left_semi")
+    last = assignments.groupBy("id").agg(F.max_by("assignee", F.struct("ts", "event")).alias("assignee"), F.count(F.lit(1)).alias("assignments"))
+    state = workflows.join(last.hint("merge"), "id", "left").withColumn("assignments", F.coalesce("assignments", F.lit(0)))
+    return state, audit_entries(known, "workflow_assigned", F.col("user_id"), F.col("ts"), assignedTo=F.col("assignee"))
+
+
 def eta(start: Column, priority: Column) -> Column:
     """Start plus the days of the priority, as a date."""
     days = F.lit(DAYS["medium"])
@@ -96,15 +119,42 @@ def global_rank(df: DataFrame, *order: Column) -> DataFrame:
     return kept.join(F.broadcast(starts), "_part").withColumn("position", F.col("_start") + F.col("_row") + 1).drop("_at", "_part", "_row", "_start")
 
 
-def queue_order(queue: DataFrame) -> DataFrame:
-    """Queued items by priority, then arrival."""
+def _rank(priority: Column) -> Column:
     rank = F.lit(len(QUEUE_RANK))
     for name, n in QUEUE_RANK.items():
-        rank = F.when(F.col("priority") == name, n).otherwise(rank)
-    items = queue.where("outcome = 'queued'").select("batch_id", "item", "priority", "seq", "tiebreak", rank.alias("rank"))
+        rank = F.when(priority == name, n).otherwise(rank)
+    return rank
+
+
+def queue_order(queue: DataFrame) -> DataFrame:
+    """Queued items by priority, then arrival."""
+    items = queue.where("outcome = 'queued'").select("batch_id", "item", "priority", "seq", "tiebreak", _rank(F.col("priority")).alias("rank"))
     return global_rank(items, F.col("rank"), F.col("seq"), F.col("tiebreak")).drop("rank")
 
 
+def queue_replay(events: DataFrame) -> DataFrame:
+    """The queue after all events (job, kind, priority, seq, tiebreak): job, priority, entry, attempts and position of each job in it.
+
+    Kinds: `batch` enters at the back, `single` at the front, high unless it says otherwise;
+    `started` takes a job out; `failed` puts it in again, low and at the back, up to
+    three times. The queue is sorted by priority after each event, and that sort keeps the
+    order of equals: so of one priority the fronts stand first, the newest leading, then
+    the backs as they came. Only a job's last event and its number of failures matter.
+    """
+    at = F.struct("seq", "tiebreak")
+    entered = F.col("kind").isin("batch", "single")
+    asked = F.when(entered, F.coalesce("priority", F.when(F.col("kind") == "single", "high").otherwise("normal")))
+    jobs = events.groupBy("job").agg(F.max_by(F.struct("kind", "seq", "tiebreak"), at).alias("last"), F.max_by(asked, F.when(entered, at)).alias("asked"), F.count_if(F.col("kind") == "failed").alias("attempts"))
+    again = F.col("last.kind") == "failed"
+    waiting = jobs.where(F.col("last.kind").isin("batch", "single") | again & (F.col("attempts") <= MAX_RETRIES))
+    items = waiting.select("job", F.when(again, "low").otherwise(F.col("asked")).alias("priority"), F.when(again, "retry").otherwise(F.col("last.kind")).alias("entry"), "attempts", "last.seq", "last.tiebreak")
+    front = F.col("entry") == "single"
+    order = [_rank(F.col("priority")), ~front, F.when(front, -F.col("seq")).otherwise(F.col("seq")), F.desc(F.when(front, F.col("tiebreak"))), F.col("tiebreak")]
+    named = items.withColumns({f"_o{i}": c for i, c in enumerate(order) if i != 3}).withColumn("_o3", F.when(front, F.col("tiebreak")))
+    placed = global_rank(named, F.col("_o0"), F.col("_o1"), F.col("_o2"), F.col("_o3").desc(), F.col("_o4"))
+    return placed.select("job", "priority", "entry", "attempts", "position")
+
+
 def retries(queue: DataFrame) -> DataFrame:
     """Per document its failures: up to three are queued again as low, the fourth is final with its error."""
     order = Window.partitionBy("document_id").orderBy("ts", "tiebreak")

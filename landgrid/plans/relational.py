@@ -128,6 +128,7 @@ PAIRS = {
     "states_sorted": (lambda s, d: load(s, d, "states").orderBy("name"), with_views("states") + "SELECT * FROM states ORDER BY name"),
     "villages_sorted": (lambda s, d: load(s, d, "villages").select("id", "name").orderBy("name"), with_views("villages") + "SELECT id, name FROM villages ORDER BY name"),
     "assets_recent": (lambda s, d: load(s, d, "assets").select("id", "asset_type", "detected_day").orderBy(F.col("detected_day").desc_nulls_first(), "id"), with_views("assets") + "SELECT id, asset_type, detected_day FROM assets ORDER BY detected_day DESC NULLS FIRST, id"),
+    "claims_page_deep": (lambda s, d: _flat(R.listing(R.page(geo(s, d), 121))), GEO + LISTED + f" {NEWEST} LIMIT 10 OFFSET 1200"),
     "recent_claims_top3": (lambda s, d: R.page(load(s, d, "claims"), 1, 3).select("id", "claim_id", "created_at"), with_views("claims") + f"SELECT id, claim_id, created_at FROM claims {NEWEST} LIMIT 3"),
     "export_cap": (lambda s, d: R.export_rows(geo(s, d)), GEO + f"SELECT claim_id AS \"Claim ID\", claimant_name AS \"Claimant Name\", village_name AS \"Village\", claim_type AS \"Type\", area AS \"Area\", status AS \"Status\", ai_confidence AS \"AI Confidence\" FROM g {NEWEST} LIMIT 10000"),
     "page_range_label": (lambda s, d: R.page_label(load(s, d, "claims"), 4), with_views("claims") + "SELECT concat('31-', least(40, count(*)), ' of ', count(*)) AS label FROM claims"),

@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import relational as R
 from ..operators.lineage import shared_folder
 from ..sources import sinks, tables
 from .relational import GEO, NEWEST, geo
 from .rules import ALL, recs
+from .text import L, entities_cte, letters
 from .views import load, with_views
 
 
@@ -48,10 +50,13 @@ def _json(s, d):
 
 
 def _geojson(s, d):
+    """Features of a document of many parts that was written and read back."""
     g = geo(s, d).where("latitude is not null and longitude is not null")
-    f = g.select("id", sinks.geojson_feature(F.col("latitude"), F.col("longitude"), claim=F.col("claim_id"), name=F.col("claimant_name"), type=F.col("claim_type"), status=F.col("status"), village=F.col("village_name")).alias("f"))
-    at = lambda p: F.get_json_object("f", p)
-    return f.select("id", at("$.type").alias("kind"), at("$.geometry.coordinates[0]").cast("double").alias("lng"), at("$.geometry.coordinates[1]").cast("double").alias("lat"), at("$.properties.claim").alias("claim"), at("$.properties.status").alias("status"))
+    path, c = folder(s, "geojson"), F.col
+    features = sinks.geojson_feature(c("latitude"), c("longitude"), id=c("id"), claim=c("claim_id"), name=c("claimant_name"), type=c("claim_type"), status=c("status"), village=c("village_name"))
+    sinks.write_geojson(g.select("id", features.alias("feature")), path)
+    at = lambda p: F.get_json_object("feature", p)
+    return sinks.read_geojson(s, path).select(at("$.properties.id").alias("id"), at("$.type").alias("kind"), at("$.geometry.coordinates[0]").cast("double").alias("lng"), at("$.geometry.coordinates[1]").cast("double").alias("lat"), at("$.properties.claim").alias("claim"), at("$.properties.status").alias("status"))
 
 
 def _audit(s, d):
@@ -81,22 +86,27 @@ def _errors(s, d):
     return r.select("id", F.array_join(tables.claim_errors(*[F.col(c) for c in ("name", "village_id", "kind", "area", "coordinates")]), ",").alias("errors"))
 
 
+AT = "CAST('2024-05-01 12:00:00' AS TIMESTAMP)"
+BEFORE = "CAST('2020-01-01 00:00:00' AS TIMESTAMP)"
+
+
 def _users(s, d):
-    u = load(s, d, "users")
+    u = load(s, d, "users").select("id", "email", "role", F.expr(BEFORE).alias("updated_at"))
     new = u.where("CAST(id AS BIGINT) % 4 = 0").select("id", F.concat("email", F.lit(".new")).alias("email"), F.lit(None).cast("string").alias("role"))
     more = u.select(F.concat(F.lit("n"), "id").alias("id"), "email", F.lit("public").alias("role")).where("email like '%1@%'")
-    return tables.upsert(u, new.unionByName(more)).select("id", "email", "role")
+    return tables.upsert(u, new.unionByName(more), stamp="updated_at", at=F.expr(AT)).withColumn("updated_at", F.col("updated_at").cast("string"))
 
 
-USERS = with_views("users") + "SELECT id, CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN email || '.new' ELSE email END AS email, role FROM users UNION ALL SELECT 'n' || id, email, 'public' FROM users WHERE email LIKE '%1@%'"
+USERS = with_views("users") + f"SELECT id, CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN email || '.new' ELSE email END AS email, role, CAST(CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN {AT} ELSE {BEFORE} END AS STRING) AS updated_at FROM users UNION ALL SELECT 'n' || id, email, 'public', CAST({AT} AS STRING) FROM users WHERE email LIKE '%1@%'"
 
 
 def _patches(s, d):
     p = load(s, d, "audit").where("entity_type = 'claim'").select(F.col("entity_id").alias("id"), F.struct("ts", "id").alias("ts"), F.when(F.col("action") == "click", F.lit("patched")).alias("status"), F.when(F.col("action") == "view", F.col("value")).alias("area"))
-    return tables.patch(load(s, d, "claims").select("id", "status", "area"), p)
+    claims = load(s, d, "claims").select("id", "status", "area", F.col("created_at").cast("timestamp_ntz").alias("updated_at"))
+    return tables.patch(claims, p, stamp="updated_at", at="ts").withColumn("updated_at", F.unix_micros(F.col("updated_at").cast("timestamp")))
 
 
-PATCHED = with_views("claims", "audit").rstrip() + ", p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, id DESC) AS n FROM audit WHERE entity_type = 'claim') WHERE n = 1) SELECT c.id, CASE WHEN action = 'click' THEN 'patched' ELSE status END AS status, CASE WHEN action = 'view' THEN value ELSE area END AS area FROM claims c LEFT JOIN p ON c.id = p.entity_id"
+PATCHED = with_views("claims", "audit").rstrip() + ", p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, id DESC) AS n FROM audit WHERE entity_type = 'claim') WHERE n = 1) SELECT c.id, CASE WHEN action = 'click' THEN 'patched' ELSE status END AS status, CASE WHEN action = 'view' THEN value ELSE area END AS area, epoch_us(CAST(coalesce(p.ts, created_at) AS TIMESTAMP)) AS updated_at FROM claims c LEFT JOIN p ON c.id = p.entity_id"
 CHANGE = "CASE action WHEN 'purchase' THEN 'verified' WHEN 'error' THEN 'rejected' ELSE 'under_review' END"
 
 
@@ -116,21 +126,58 @@ def _implemented(s, d):
     return recs(s, d).where("rank = 1").join(a, "id", "left").select("id", "scheme", F.col("m.user_id").alias("implemented_by"))
 
 
-def _ids(s, d, given=0):
+def _of_states(s, d):
     g = geo(s, d).join(load(s, d, "states").select(F.col("id").alias("state_id"), F.col("name").alias("state")), "state_id", "left")
-    return tables.claim_ids(g.select("id", "state"), F.col("state"), given=given).select("id", "new_id")
+    return g.select("id", "state")
+
+
+def _ids(s, d):
+    return tables.claim_ids(_of_states(s, d), F.col("state")).select("id", "new_id")
+
+
+def _ids_again(s, d):
+    """Claims with even ids first, then the others, whose numbers go on from those."""
+    claims = _of_states(s, d)
+    even, odd = (claims.where(F.col("id").cast("long") % 2 == k) for k in (0, 1))
+    first = tables.claim_ids(even, F.col("state")).select("id", "new_id")
+    return first.unionByName(tables.claim_ids(odd, F.col("state"), given=first).select("id", "new_id"))
+
 
+def _ids_beyond(s, d):
+    claims = _of_states(s, d)
+    given = claims.select(F.concat(F.lit("FRA-"), F.coalesce(F.upper(F.substring("state", 1, 2)), F.lit("XX")), F.lit("-999900")).alias("new_id")).distinct()
+    return tables.claim_ids(claims, F.col("state"), given=given).select("id", "new_id")
 
-def _ids_sql(given=0):
-    number = f"CAST({given} + row_number() OVER (PARTITION BY code ORDER BY CAST(id AS BIGINT)) AS STRING)"
+
+def _ids_sql(given=0, order="CAST(id AS BIGINT)"):
+    number = f"CAST({given} + row_number() OVER (PARTITION BY code ORDER BY {order}) AS STRING)"
     states = GEO.rstrip().replace("WITH ", with_views("states").rstrip() + ", ", 1)
     return states + f", c AS (SELECT g.id, coalesce(upper(substr(s.name, 1, 2)), 'XX') AS code FROM g LEFT JOIN states s ON g.state_id = s.id), n AS (SELECT id, code, {number} AS n FROM c) SELECT id, concat('FRA-', code, '-', CASE WHEN length(n) < 6 THEN lpad(n, 6, '0') ELSE n END) AS new_id FROM n"
 
 
 def _saved(s, d):
-    path = folder(s, "recs")
-    sinks.save_recommendations(recs(s, d).unionByName(recs(s, d)), path)
-    return s.read.parquet(path).select("id", "scheme", "score")
+    """All recommendations, then new ones of every third claim."""
+    path, all_ = folder(s, "recs"), recs(s, d).select("id", "scheme", "score", "rank")
+    sinks.save_recommendations(all_.unionByName(all_).drop("rank"), path)
+    sinks.save_recommendations(all_.where("rank = 1 and CAST(id AS BIGINT) % 3 = 0").select("id", "scheme", (F.col("score") + 1).alias("score")), path)
+    return sinks.read_recommendations(s, path).select("id", "scheme", "score")
+
+
+#: Entities of a letter as JSON; some are cut short. Criteria of no fixed shape.
+CRITERIA = "CASE CAST(id AS BIGINT) % 4 WHEN 0 THEN concat('{\"maxArea\": ', CAST(CAST(area AS DECIMAL(8, 2)) AS STRING), '}') WHEN 1 THEN concat('{\"types\": [\"', claim_type, '\", \"any\"]}') WHEN 2 THEN '{no json' ELSE '{}' END"
+
+
+def _entities(s, d):
+    found = letters(s, d).select("id", *[X.entities(F.col("text"), k).alias(k) for k in X.KINDS])
+    text = F.to_json(F.struct(*X.KINDS))
+    kept = found.select("id", F.when(F.col("id").cast("long") % 13 == 5, F.substring(text, 2, 1 << 30)).otherwise(text).alias("j"))
+    e = kept.select("id", tables.decode_entities(F.col("j")).alias("e"))
+    return e.select("id", F.col("e._corrupt").isNotNull().alias("corrupt"), *[F.array_join(f"e.{k}", "|").alias(k) for k in X.KINDS])
+
+
+def _criteria(s, d):
+    v = load(s, d, "claims").select("id", tables.decode_criteria(F.expr(CRITERIA)).alias("v"))
+    return v.select("id", F.try_variant_get("v", "$.maxArea", "double").alias("max_area"), F.try_variant_get("v", "$.types[0]", "string").alias("first_type"), F.col("v").isNotNull().alias("valid"))
 
 
 #: GeoJSON points of claims; some are no JSON.
@@ -152,6 +199,9 @@ PAIRS = {
     "apply_status_changes": (_status, STATUS),
     "mark_implemented": (_implemented, ALL.replace("WITH ", with_views("audit").rstrip() + ", ", 1) + " SELECT r.id, scheme, m AS implemented_by FROM recs r LEFT JOIN (SELECT entity_id, max_by(user_id, (ts, id)) AS m FROM audit WHERE action = 'purchase' GROUP BY 1) a ON a.entity_id = r.id WHERE rank = 1"),
     "assign_claim_ids": (_ids, _ids_sql()),
-    "assign_claim_ids_beyond": (lambda s, d: _ids(s, d, 999_900), _ids_sql(999_900)),
-    "save_recommendations": (_saved, ALL + " SELECT id, scheme, score FROM recs"),
+    "assign_claim_ids_beyond": (_ids_beyond, _ids_sql(999_900)),
+    "assign_claim_ids_again": (_ids_again, _ids_sql(order="CAST(id AS BIGINT) % 2, CAST(id AS BIGINT)")),
+    "save_recommendations": (_saved, ALL + " SELECT id, scheme, score FROM recs WHERE CAST(id AS BIGINT) % 3 <> 0 UNION ALL SELECT id, scheme, score + 1 FROM recs WHERE CAST(id AS BIGINT) % 3 = 0 AND rank = 1"),
+    "decode_entities": (_entities, L + entities_cte(X.KINDS) + " SELECT id, CAST(id AS BIGINT) % 13 = 5 AS corrupt, " + ", ".join(f"CASE WHEN CAST(id AS BIGINT) % 13 <> 5 THEN array_to_string({k}, '|') END AS {k}" for k in X.KINDS) + " FROM ent"),
+    "decode_criteria": (_criteria, with_views("claims") + f"SELECT id, CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN CAST(CAST(area AS DECIMAL(8, 2)) AS DOUBLE) END AS max_area, CASE WHEN CAST(id AS BIGINT) % 4 = 1 THEN claim_type END AS first_type, coalesce(json_valid({CRITERIA}), false) AS valid FROM claims"),
 }

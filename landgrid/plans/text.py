@@ -14,8 +14,16 @@ def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def seen_ahead(pattern: str) -> str:
+    """The pattern without look-ahead: what it looks for is read, too, and the rest is group 1. No match begins with what is read."""
+    before, ahead = pattern.split("(?=")
+    return "(" + before.replace("([", "(?:[") + ")(?:" + ahead
+
+
 def entity_sql(kind: str, text: str = "text") -> str:
     group, patterns = X.PATTERNS[kind]
+    if kind == "boundaries":
+        group, patterns = 1, [seen_ahead(p) for p in patterns]
     e = " || ".join(f"regexp_extract_all({text}, {quoted(X.pattern_text(kind, p))}, {group})" for p in patterns)
     if kind in X.TRIMMED:
         e = f"list_transform({e}, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g'))"
@@ -51,7 +59,7 @@ def found(s, d):
 
 def _kind(kind):
     run = lambda s, d: letters(s, d).select("id", X.entities(F.col("text"), kind).alias("v")).select("id", F.size("v").alias("n"), F.array_join("v", "|").alias("vals"))
-    sql = None if kind == "boundaries" else L + entities_cte([kind]) + f" SELECT id, CAST(len({kind}) AS INT) AS n, array_to_string({kind}, '|') AS vals FROM ent"  # look-ahead has no counterpart there
+    sql = L + entities_cte([kind]) + f" SELECT id, CAST(len({kind}) AS INT) AS n, array_to_string({kind}, '|') AS vals FROM ent"
     return run, sql
 
 
@@ -80,6 +88,20 @@ def _corrected(s, d):
 
 CORRECTED_SQL = with_views("papers").rstrip() + ", p AS (SELECT id, ocr_text AS o, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN replace(ocr_text, '  ', ' ') ELSE replace(ocr_text, 're', 'ra') END AS f, ocr_confidence AS c FROM papers WHERE ocr_text IS NOT NULL AND ocr_confidence IS NOT NULL) SELECT id, CASE WHEN c > 85 OR length(o) < 100 THEN '' ELSE concat_ws(',', CASE WHEN length(o) <> length(f) THEN 'length-adjustment' END, CASE WHEN o <> f THEN 'text-corrections' END) END AS flags, CASE WHEN c > 85 OR length(o) < 100 THEN c ELSE least(c + 10, 95) END AS confidence FROM p"
 
+#: What another reader found: for each kind values to add, some of them there already, some too short.
+MORE = {k: ["'x '", "concat('of ', status)", "CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN claimant_name ELSE claim_type END", "concat('of ', status)", f"'{k} more'"] for k in X.KINDS}
+
+
+def _merged(s, d):
+    more = load(s, d, "claims").select("id", *[F.array(*[F.expr(e) for e in es]).alias(f"_{k}") for k, es in MORE.items()])
+    both = found(s, d).select("id", *X.KINDS).join(more.hint("merge"), "id")
+    return both.select("id", *[F.array_join(X.merge_values(F.col(k), F.col(f"_{k}")), "|").alias(k) for k in X.KINDS])
+
+
+MERGED = (
+    L + entities_cte(X.KINDS) + ", m AS (SELECT ent.id, " + ", ".join(f"{k} || list_filter([{', '.join(es)}], lambda x: length(trim(x)) > 2) AS {k}" for k, es in MORE.items())
+    + " FROM ent JOIN claims USING (id)) SELECT id, " + ", ".join(f"array_to_string(list_filter({k}, lambda x, i: list_position({k}, x) = i), '|') AS {k}" for k in X.KINDS) + " FROM m"
+)
 PAIRS = {kind: _kind(kind) for kind in X.KINDS}
 PAIRS |= {
     "claim_records": (lambda s, d: D.claim_records(found(s, d)).drop("names"), L + entities_cte(MAIN) + " " + RECORD_SQL + " FROM ent"),
@@ -97,6 +119,8 @@ PAIRS |= {
     "mask_pii": (lambda s, d: load(s, d, "claims").select("id", X.mask_name(F.col("claimant_name")).alias("masked"), F.sha2("claimant_name", 256).alias("token")), with_views("claims") + "SELECT id, array_to_string(list_transform(string_split(claimant_name, ' '), lambda w: substr(w, 1, 1) || repeat('*', length(w) - 1)), ' ') AS masked, sha256(claimant_name) AS token FROM claims"),
     "entity_merge": (lambda s, d: found(s, d).select("id", "claim_id", "names").join(load(s, d, "claims").select("id", F.array("claimant_name", F.concat(F.lit("of "), F.col("status")), F.lit("x ")).alias("more")), "id").select("id", F.array_join(X.merge_values(F.col("names"), F.col("more")), "|").alias("names")), L + entities_cte(["names"]) + ", m AS (SELECT id, names || list_filter([claimant_name, 'of ' || status, 'x '], lambda x: length(trim(x)) > 2) AS v FROM ent JOIN claims USING (id)) SELECT id, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), '|') AS names FROM m"),
     "entity_dedupe": (lambda s, d: found(s, d).select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("vs")) for k in MAIN])).alias("e")).select("e.kind", F.explode("e.vs").alias("value")).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")), L + entities_cte(MAIN) + " SELECT kind, value, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, unnest({k}) AS value FROM ent" for k in MAIN) + ") GROUP BY ALL"),
+    "entity_merge_kinds": (_merged, MERGED),
+    "entity_order": (lambda s, d: found(s, d).select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("v")) for k in X.KINDS])).alias("e")).select("id", "e.kind", F.array_join("e.v", "|").alias("vals")), L + entities_cte(X.KINDS) + " " + " UNION ALL ".join(f"SELECT id, '{k}' AS kind, array_to_string({k}, '|') AS vals FROM ent" for k in X.KINDS)),
     "entity_summary": (lambda s, d: D.entity_counts(found(s, d)).withColumn("boundaries", F.col("boundaries") > 0), L + entities_cte(MAIN) + f" SELECT id, {', '.join(f'CAST(len({k}) AS INT) AS {k}' for k in MAIN)}, bounded AS boundaries, CAST(greatest(len(names), 1) AS INT) AS records FROM ent JOIN (SELECT id, {BOUNDED} AS bounded FROM letters) USING (id)"),
     "extraction_quality": (lambda s, d: D.extraction_quality(found(s, d), _truth(s, d)), L + entities_cte(["names", "areas", "survey_numbers"]) + f", {GOT_SQL}, {TRUTH_SQL}, b AS (SELECT coalesce(g.kind, t.kind) AS kind, g.id AS g, t.id AS t FROM got g FULL JOIN truth t ON g.id = t.id AND g.kind = t.kind AND g.value = t.value) SELECT kind, round(count(*) FILTER (g IS NOT NULL AND t IS NOT NULL) / nullif(count(g), 0), 6) AS precision, round(count(*) FILTER (g IS NOT NULL AND t IS NOT NULL) / nullif(count(t), 0), 6) AS recall FROM b GROUP BY kind"),
     "character_error_rate": (lambda s, d: load(s, d, "claims").join(D.claim_records(found(s, d)).select("id", F.col("claimant_name").alias("read")), "id").select("id", D.character_error("read", "claimant_name").alias("cer")), L + entities_cte(["names"]) + " SELECT id, round(levenshtein(coalesce(names[1], 'Unknown Claimant'), claimant_name) / greatest(length(claimant_name), 1), 6) AS cer FROM ent JOIN claims USING (id)"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import workflow as W
+from ..sources import sinks
+from .sources import folder
 from .spatial import LINKED, _links
 from .views import load, with_views
 
@@ -34,7 +36,39 @@ REVIEW = "r AS (SELECT c.id, steps_done >= 4 AS documented, coalesce(k.confidenc
 FLOOR_SECONDS = "coalesce(CAST(floor((epoch_us(ts) - epoch_us(prev)) / 1000000) AS BIGINT), -1)"
 
 
+#: A job's events: the lines of an order, in their order.
+KIND = "CASE outcome WHEN 'failed' THEN 'failed' WHEN 'queued' THEN CASE WHEN item % 4 = 1 THEN 'single' ELSE 'batch' END ELSE 'started' END"
+ASKED = "CASE WHEN item % 5 <> 2 THEN priority END"
+REPLAY = (
+    Q.rstrip() + f", e AS (SELECT batch_id AS job, {KIND} AS kind, {ASKED} AS asked, seq, tiebreak FROM queue), "
+    "j AS (SELECT job, max_by(kind, (seq, tiebreak)) AS kind, max_by(seq, (seq, tiebreak)) AS seq, max_by(tiebreak, (seq, tiebreak)) AS tiebreak, count(*) FILTER (kind = 'failed') AS attempts, "
+    "max_by(coalesce(asked, CASE kind WHEN 'single' THEN 'high' ELSE 'normal' END), (seq, tiebreak)) FILTER (kind IN ('batch', 'single')) AS asked FROM e GROUP BY job), "
+    "i AS (SELECT job, CASE kind WHEN 'failed' THEN 'low' ELSE asked END AS priority, CASE kind WHEN 'failed' THEN 'retry' ELSE kind END AS entry, attempts, seq, tiebreak FROM j WHERE kind IN ('batch', 'single') OR kind = 'failed' AND attempts <= 3) "
+    "SELECT job, priority, entry, attempts, row_number() OVER (ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'normal' THEN 1 ELSE 2 END, CASE entry WHEN 'single' THEN 0 ELSE 1 END, CASE entry WHEN 'single' THEN -seq ELSE seq END, CASE entry WHEN 'single' THEN tiebreak END DESC, tiebreak) AS position FROM i"
+)
+
+
+def _replay(s, d):
+    return W.queue_replay(load(s, d, "queue").select(F.col("batch_id").alias("job"), F.expr(KIND).alias("kind"), F.expr(ASKED).alias("priority"), "seq", "tiebreak"))
+
+
+def _assigned(s, d):
+    a = load(s, d, "audit").where("entity_type <> 'recommendation'").select(F.col("entity_id").alias("id"), "user_id", F.col("user_id").alias("assignee"), "ts", F.col("id").alias("event"))
+    return W.assign_workflows(load(s, d, "claims").select("id"), a)
+
+
+def _workflow_audit(s, d):
+    """Entries of started and of assigned workflows, in one store."""
+    path = folder(s, "workflow-audit")
+    sinks.append_audit(W.start_workflows(load(s, d, "claims"))[1], path)
+    sinks.append_audit(_assigned(s, d)[1], path)
+    return s.read.parquet(path).select("entity_id", "action", "user_id", F.col("day").cast("string").alias("day"), "new_values")
+
+
 PAIRS = {
+    "queue_replay": (_replay, REPLAY),
+    "assign_workflows": (lambda s, d: _assigned(s, d)[0], with_views("claims", "audit").rstrip() + ", l AS (SELECT entity_id, max_by(user_id, (ts, id)) AS assignee, count(*) AS assignments FROM audit WHERE entity_type <> 'recommendation' GROUP BY 1) SELECT id, assignee, coalesce(assignments, 0) AS assignments FROM claims LEFT JOIN l ON id = entity_id"),
+    "workflow_audit": (_workflow_audit, with_views("claims", "audit") + "SELECT id AS entity_id, 'workflow_initialized' AS action, 'system' AS user_id, CAST(CAST(created_at AS DATE) AS STRING) AS day, concat('{\"priority\":\"medium\",\"estimatedCompletion\":\"', CAST(CAST(created_at AS DATE) + 14 AS STRING), '\"}') AS new_values FROM claims UNION ALL SELECT entity_id, 'workflow_assigned', user_id, CAST(CAST(ts AS DATE) AS STRING), concat('{\"assignedTo\":\"', user_id, '\"}') FROM audit WHERE entity_type <> 'recommendation' AND entity_id IN (SELECT id FROM claims)"),
     "workflow_steps": (lambda s, d: W.step_load(workflows(s, d)), WF.rstrip() + ", st(ord, step, required) AS (VALUES (1, 'document_upload', true), (2, 'ocr_processing', true), (3, 'ner_extraction', true), (4, 'spatial_validation', true), (5, 'field_verification', true), (6, 'technical_review', true), (7, 'dss_analysis', false), (8, 'final_approval', true)) SELECT ord, st.step, required, count(wfs.step) AS workflows FROM st LEFT JOIN wfs ON st.step = wfs.step GROUP BY ALL"),
     "init_workflows": (lambda s, d: W.init_workflows(load(s, d, "claims")).select("id", "ord", "step", "required", "status", "priority", F.col("due").cast("string").alias("due")), with_views("claims").rstrip() + ", st AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', {str(r).lower()})" for i, (n, r) in enumerate(W.STEPS, 1)) + ") t(ord, step, required)) SELECT id, ord, step, required, 'pending' AS status, 'medium' AS priority, CAST(CAST(created_at AS DATE) + 14 AS STRING) AS due FROM claims, st"),
     "eta_by_priority": (lambda s, d: load(s, d, "claims").select("id", W.eta(F.col("created_at"), F.expr(PRIORITY)).cast("string").alias("due")), with_views("claims") + f"SELECT id, CAST({DUE} AS STRING) AS due FROM claims"),

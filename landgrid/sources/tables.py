@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,14 +76,17 @@ def upsert(current: DataFrame, changes: DataFrame, key: str = "id", stamp: str |
     return both.select(key, *[x.alias(c) for c, x in out.items()])
 
 
-def patch(current: DataFrame, patches: DataFrame, key: str = "id", order: str = "ts", stamp: str | None = None) -> DataFrame:
-    """The last patch of each key, its non-null fields applied; keys that `current` lacks are ignored."""
+def patch(current: DataFrame, patches: DataFrame, key: str = "id", order: str = "ts", stamp: str | None = None, at: str | None = None) -> DataFrame:
+    """The last patch of each key, its non-null fields applied; keys that `current` lacks are ignored.
+
+    The column `stamp` of patched rows becomes the patch's `order`, or the field `at` of it.
+    """
     fields = [c for c in patches.columns if c not in (key, order)]
     last = patches.groupBy(key).agg(F.max_by(F.struct(order, *fields), F.struct(order, *fields)).alias("_p"))
     both = current.join(last, key, "left")
     out = {f: F.coalesce(F.col(f"_p.{f}"), F.col(f)) for f in fields}
     if stamp:
-        out[stamp] = F.coalesce(F.col(f"_p.{order}"), F.col(stamp))
+        out[stamp] = F.coalesce(F.col(f"_p.{order}" + (f".{at}" if at else "")), F.col(stamp))
     return both.withColumns(out).drop("_p")
 
 
@@ -102,17 +107,38 @@ def apply_status(claims: DataFrame, changes: DataFrame) -> DataFrame:
     return both.withColumns({c: F.coalesce(x, F.col(c)) if c in claims.columns else x for c, x in new.items()}).drop("_c")
 
 
-def claim_ids(claims: DataFrame, states: Column, prefix: str = "FRA", given: int = 0) -> DataFrame:
+#: Extracted entities as a document keeps them, and what could not be read.
+ENTITY_KINDS = ("names", "claim_types", "claim_status", "document_types", "survey_numbers", "boundaries", "villages", "areas", "coordinates", "dates")
+ENTITIES = T.StructType([*[T.StructField(k, T.ArrayType(_S)) for k in ENTITY_KINDS], T.StructField("_corrupt", _S)])
+
+
+def decode_entities(text: Column) -> Column:
+    """A struct of ten arrays from JSON; missing kinds are null, and text that is no JSON is kept in _corrupt. Null stays null."""
+    return F.from_json(text, ENTITIES, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+
+
+def decode_criteria(text: Column) -> Column:
+    """Criteria of any shape as a variant, null for text that is no JSON."""
+    return F.try_parse_json(text)
+
+
+def claim_ids(claims: DataFrame, states: Column, prefix: str = "FRA", given: DataFrame | None = None) -> DataFrame:
     """`claims` with new_id: prefix, two letters of the state (XX without), number within the state by id.
 
-    Numbers go on from `given`, those that each state has already, and have six digits
-    or more. States may hold most claims, so numbers come from a total order, not one window.
+    Numbers have six digits or more, and go on in each state from the largest of `given`
+    (new_id), what was given out already; ids of another form count for nothing. States
+    may hold most claims, so numbers come from a total order, not one window.
     """
     from ..operators.workflow import global_rank
 
     code = F.coalesce(F.upper(F.substring(states, 1, 2)), F.lit("XX"))
     ranked = global_rank(claims.withColumn("_code", code), F.col("_code"), F.col("id").cast("long"))
-    first = ranked.groupBy("_code").agg(F.min("position").alias("_first"))  # one row per code
-    digits = (F.col("position") - F.col("_first") + 1 + given).cast("string")
+    first = ranked.groupBy("_code").agg((F.min("position") - 1).alias("_first"))  # one row per code
+    if given is not None:
+        form = rf"^{re.escape(prefix)}-(.*)-(\d+)$"
+        number = F.regexp_extract("new_id", form, 2).try_cast("long")
+        last = given.select(F.regexp_extract("new_id", form, 1).alias("_code"), number.alias("n")).where("n is not null").groupBy("_code").agg(F.max("n").alias("_last"))
+        first = first.join(last, "_code", "left").select("_code", (F.col("_first") - F.coalesce("_last", F.lit(0))).alias("_first"))
+    digits = (F.col("position") - F.col("_first")).cast("string")
     number = F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0"))
     return ranked.join(F.broadcast(first), "_code").withColumn("new_id", F.concat_ws("-", F.lit(prefix), "_code", number)).drop("_code", "_first", "position")

@@ -179,7 +179,7 @@ def test_tables(spark):
     claims = spark.createDataFrame([("1", "verified", "d1", "u1", "kept"), ("2", "pending", None, None, "old"), ("3", "verified", "d3", "u3", None)], "id string, status string, verified_date string, verified_by string, notes string")
     changes = spark.createDataFrame([("2", "verified", "u9", "", "t2"), ("3", "rejected", "u9", "why", "t3")], "id string, status string, user_id string, notes string, ts string")
     assert sorted(tuple(r[c] for c in claims.columns) for r in tables.apply_status(claims, changes).collect()) == [("1", "verified", "d1", "u1", "kept"), ("2", "verified", "t2", "u9", "old"), ("3", "rejected", "d3", "u3", "why")]
-    ids = tables.claim_ids(spark.range(3).select(F.col("id").cast("string").alias("id")), F.lit("Odisha"), given=999_998)
+    ids = tables.claim_ids(spark.range(3).select(F.col("id").cast("string").alias("id")), F.lit("Odisha"), given=spark.createDataFrame([("FRA-OD-999998",), ("FRA-OD-000007",), ("FRA-XX-1000005",), ("other",)], "new_id string"))
     assert sorted(r.new_id for r in ids.collect()) == ["FRA-OD-1000000", "FRA-OD-1000001", "FRA-OD-999999"]
     users = spark.createDataFrame([("u", "field")], "id string, role string")
     asked = spark.createDataFrame([("u", "create_claim"), ("u", "reprocess"), ("x", "create_claim"), ("u", "unknown")], "user_id string, permission string")
