@@ -50,7 +50,7 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 def append_audit(entries: DataFrame, path: str) -> None:
     """Append entries (with ts) by day. Small days share a task, and a large one is split over several."""
-    entries.withColumn("day", F.col("ts").cast("date")).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
+    entries.withColumn("day", F.col("ts").cast("date")).hint("rebalance", F.col("day")).write.mode("append").partitionBy("day").parquet(path)
 
 
 def save_recommendations(recs: DataFrame, path: str, key: str = "id", buckets: int = 64) -> None:
@@ -69,7 +69,7 @@ def save_recommendations(recs: DataFrame, path: str, key: str = "id", buckets: i
         touched = new.select("bucket").distinct()  # at most one row per bucket
         others = stored.join(F.broadcast(touched), "bucket", "left_semi").join(new.select(key).distinct().hint("merge"), key, "left_anti")
         rows = cut(new.unionByName(others, allowMissingColumns=True))
-    rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def read_recommendations(spark: SparkSession, path: str) -> DataFrame | None:

@@ -9,11 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.workflow import MAX_RETRIES, STEPS
 
 
+#: Named states need this store.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the Parquet file or files at `path`; ts becomes a zoned time, which watermarks need."""
     schema = spark.read.parquet(path).schema
@@ -28,12 +33,13 @@ def run_to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFram
     overwritten if the batch is run again, so a restart leaves no duplicates.
     """
     out, checkpoint = f"{folder}/out", f"{folder}/checkpoint"
+    spark = stream.sparkSession
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/n={number}")
 
+    spark.conf.set(*STATE_STORE)
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    spark = stream.sparkSession
     schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
 
@@ -54,34 +60,66 @@ def processing_rates(events: DataFrame, width: str = "1 hour", slide: str | None
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width, slide), "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"))
 
 
-def batch_progress_stream(items: DataFrame, totals: DataFrame, idle: str = "7 days") -> DataFrame:
-    """(batch_id, processed, failed): one row per batch, once, when all its items are done.
+class BatchProgress(StatefulProcessor):
+    """Counts the items of a batch, each once, and tells the batch when it is full: one time, whatever comes later."""
 
-    `items` is a stream (batch_id, outcome); `totals` a table (batch_id, total). The state
-    of a batch ends when it is told, or when no item has come for `idle`.
-    """
-    held = _millis(idle)
+    def __init__(self, idle: int, keep: int):
+        self.idle, self.keep = idle, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.items = handle.getMapState("items", "item string", "outcome string")
+        self.counts = handle.getValueState("counts", "processed long, failed long, last long")
+        self.told = handle.getValueState("told", "at long")
 
-    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = pd.concat(list(rows))
+        if self.told.exists():
             return
-        processed, failed = state.get if state.exists else (0, 0)
-        total = came = 0
-        for f in frames:
-            total, came = int(f["total"].iloc[0]), max(came, int(f["arrived_ms"].max()))
-            processed += int((f["outcome"] == "completed").sum())
-            failed += int((f["outcome"] == "failed").sum())
-        if processed + failed < total:
-            state.update((processed, failed))
-            state.setTimeoutTimestamp(came + held)
+        processed, failed, last = self.counts.get() if self.counts.exists() else (0, 0, 0)
+        ended = frames[frames["outcome"].isin(["completed", "failed"])].drop_duplicates("item")
+        before = {i for (i,) in self.items.keys()} if last else set()
+        new = ended[~ended["item"].isin(before)]
+        if new.empty:
             return
-        if state.exists:
-            state.remove()
+        processed, failed = processed + int((new["outcome"] == "completed").sum()), failed + int((new["outcome"] == "failed").sum())
+        now = int(frames["arrived_ms"].max())
+        if processed + failed < int(frames["total"].iloc[0]):
+            for item, outcome in zip(new["item"], new["outcome"], strict=True):
+                self.items.updateValue((item,), (outcome,))
+            self.counts.update((processed, failed, now))
+            self.handle.registerTimer(now + self.idle)
+            return
+        self.told.update((now,))
+        self.handle.registerTimer(now + self.keep)
+        if last:
+            self.items.clear()
+            self.counts.clear()
         yield pd.DataFrame({"batch_id": [key[0]], "processed": [processed], "failed": [failed]})
 
-    joined = _arriving(items).join(totals, "batch_id")
-    return joined.groupBy("batch_id").applyInPandasWithState(count, "batch_id long, processed long, failed long", "processed long, failed long", "append", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if self.told.exists() and self.told.get()[0] + self.keep <= now:
+            self.told.clear()
+        if self.counts.exists() and self.counts.get()[2] + self.idle <= now:  # else something came since
+            self.items.clear()
+            self.counts.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def batch_progress_stream(items: DataFrame, totals: DataFrame, idle: str = "7 days", keep: str = "365 days") -> DataFrame:
+    """(batch_id, processed, failed): one row per batch, once, when all its items are done.
+
+    `items` is a stream (batch_id, item string, outcome); `totals` a table (batch_id, total).
+    Items that have not ended count for nothing; of one item its first end counts. Items
+    and counts are forgotten when nothing new came for `idle`; that a batch was told is
+    known for `keep`, so no later or repeated item begins it anew, in a restart either.
+    """
+    states = _arriving(items).join(totals, "batch_id").groupBy("batch_id")
+    return states.transformWithStateInPandas(BatchProgress(_millis(idle), _millis(keep)), "batch_id long, processed long, failed long", "Append", "EventTime")
 
 
 def _arriving(items: DataFrame) -> DataFrame:
@@ -89,6 +127,40 @@ def _arriving(items: DataFrame) -> DataFrame:
     return items.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", "0 seconds").withColumn("arrived_ms", F.unix_millis("arrived"))
 
 
+class Retries(StatefulProcessor):
+    """Counts the failures of a document, and keeps which of its events were counted."""
+
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", "event string")
+        self.last = handle.getValueState("last", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = pd.concat(list(rows))
+        before = [e for (e,) in self.events.get()]
+        new = [e for e in dict.fromkeys(frames["event"].tolist()) if e not in before]
+        new = new[: MAX_RETRIES + 1 - len(before)]  # what comes after the last failure changes nothing
+        if not new:
+            return
+        self.events.appendList([(e,) for e in new])
+        now, attempts = int(frames["arrived_ms"].max()), len(before) + len(new)
+        self.last.update((now,))
+        self.handle.registerTimer(now + self.idle)
+        yield pd.DataFrame({"document_id": [key[0]], "attempts": [attempts], "state": ["failed" if attempts > MAX_RETRIES else "queued"]}).astype({"attempts": "int32"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and self.last.get()[0] + self.idle <= expiredTimerInfo.getExpiryTimeInMs():
+            self.events.clear()
+            self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def workflow_stream(events: DataFrame, delay: str = "10 minutes", due: str = "14 days", keep: str = "365 days") -> DataFrame:
     """State per claim: (claim, steps_done, status, attempts, overdue), whenever it changes.
 
@@ -131,25 +203,13 @@ def workflow_stream(events: DataFrame, delay: str = "10 minutes", due: str = "14
 
 
 def retry_stream(items: DataFrame, idle: str = "7 days") -> DataFrame:
-    """(document_id, attempts, state) after each micro-batch; a failure beyond the retries is final.
+    """(document_id, attempts, state) after each micro-batch that changes it; a failure beyond the retries is final.
 
-    A document's count ends when it has not failed for `idle`.
+    `items` is a stream (document_id, event string, outcome). Failures told twice count once. A document's count ends
+    when it has not failed for `idle`.
     """
-    held = _millis(idle)
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        (attempts,) = state.get if state.exists else (0,)
-        came = [(len(f), int(f["arrived_ms"].max())) for f in frames]
-        attempts = min(attempts + sum(n for n, _ in came), MAX_RETRIES + 1)
-        state.update((attempts,))
-        state.setTimeoutTimestamp(max(ms for _, ms in came) + held)
-        yield pd.DataFrame({"document_id": [key[0]], "attempts": [attempts], "state": ["failed" if attempts > MAX_RETRIES else "queued"]})
-
-    failed = _arriving(items.where("outcome = 'failed'"))
-    return failed.groupBy("document_id").applyInPandasWithState(fold, "document_id long, attempts int, state string", "attempts int", "update", GroupStateTimeout.EventTimeTimeout)
+    failed = _arriving(items.where("outcome = 'failed'")).groupBy("document_id")
+    return failed.transformWithStateInPandas(Retries(_millis(idle)), "document_id long, attempts int, state string", "Update", "EventTime")
 
 
 def _millis(span: str) -> int:

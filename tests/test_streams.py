@@ -16,11 +16,17 @@ def stream(spark, tmp_path, schema, *batches):
 
 
 def test_batches_are_told_once(spark, tmp_path):
-    items = stream(spark, tmp_path, "batch_id long, outcome string", [(1, "completed"), (2, "failed")], [(1, "failed"), (3, "other")], [(2, "completed"), (1, "completed")], [(3, "completed")])
+    schema = "batch_id long, item string, outcome string"
+    items = stream(
+        spark, tmp_path, schema,
+        [(1, "a", "completed"), (2, "a", "failed"), (1, "a", "completed")], [(1, "b", "failed"), (3, "a", "other")],
+        [(2, "a", "failed"), (2, "b", "completed"), (1, "a", "failed"), (1, "c", "completed")], [(3, "b", "completed"), (1, "c", "completed"), (1, "d", "completed")],
+    )
     totals = spark.createDataFrame([(1, 3), (2, 1), (3, 2)], "batch_id long, total long")
-    out = S.run_to_end(S.batch_progress_stream(items, totals), str(tmp_path / "run"))
-    rows = sorted((r.batch_id, r.processed, r.failed) for r in out.collect())
-    assert rows == [(1, 2, 1), (2, 0, 1), (2, 1, 0)]  # an item beyond the total of a told batch begins a new one
+    run = lambda: sorted((r.batch_id, r.processed, r.failed) for r in S.run_to_end(S.batch_progress_stream(items, totals), str(tmp_path / "run")).collect())
+    assert run() == [(1, 2, 1), (2, 0, 1)]
+    stream(spark, tmp_path, schema, [(1, "b", "failed"), (2, "c", "completed"), (3, "a", "failed")])  # after a restart
+    assert run() == [(1, 2, 1), (2, 0, 1), (3, 1, 1)]
 
 
 def test_workflow_takes_late_events_in_their_order(spark, tmp_path):
@@ -40,6 +46,10 @@ def test_workflow_takes_late_events_in_their_order(spark, tmp_path):
 
 
 def test_retries_over_batches(spark, tmp_path):
-    items = stream(spark, tmp_path, "document_id long, outcome string", [(1, "failed"), (2, "failed")], [(1, "failed"), (1, "failed"), (2, "completed")], [(1, "failed")], [(1, "failed")])
-    out = S.newest(S.run_to_end(S.retry_stream(items), str(tmp_path / "run"), "update"), "document_id")
-    assert {r.document_id: (r.attempts, r.state) for r in out.collect()} == {1: (4, "failed"), 2: (1, "queued")}
+    items = stream(
+        spark, tmp_path, "document_id long, event string, outcome string",
+        [(1, "a", "failed"), (2, "a", "failed")], [(1, "b", "failed"), (1, "c", "failed"), (2, "b", "completed"), (2, "a", "failed")], [(1, "d", "failed"), (1, "a", "failed")], [(1, "e", "failed")],
+    )
+    out = S.run_to_end(S.retry_stream(items), str(tmp_path / "run"), "update")
+    assert {r.document_id: (r.attempts, r.state) for r in S.newest(out, "document_id").collect()} == {1: (4, "failed"), 2: (1, "queued")}
+    assert out.where("state = 'failed'").count() == 1
