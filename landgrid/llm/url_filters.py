@@ -36,27 +36,28 @@ PATTERN_RULES = [
     ("allow", "||blog.*.example.org^fr^"),
     ("allow", "^robots.txt|"),
 ]
+_TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Up to this many rules (about 20 MB) travel with the tasks; more are a table that tokens are joined with.
 MAX_RULES = 100_000
 
 
-def rule_regex(glob: str) -> str:
-    """The rule as a regular expression over a lower-cased URL."""
-    body, head, tail = glob, "", ""
+def rule_regex(glob: str, end: str = r"\Z") -> str:
+    """The rule, in any case, as a regular expression over a lower-cased URL; `end` stands for the very end, after a last line feed too."""
+    body, head, tail = glob.translate(_TO_LOWER), "", ""
     if body.startswith("||"):
         body, head = body[2:], r"^[^:/?#]*://(?:[^/?#]*\.)?"
     elif body.startswith("|"):
         body, head = body[1:], "^"
     if body.endswith("|"):
-        body, tail = body[:-1], "$"
-    parts = {"*": ".*", "^": "(?:[^a-z0-9_.%-]|$)"}
+        body, tail = body[:-1], end
+    parts = {"*": ".*", "^": f"(?:[^a-z0-9_.%-]|{end})"}
     return "(?s)" + head + "".join(parts.get(c) or (c if c.isalnum() or c == "_" else "\\" + c) for c in body) + tail
 
 
 def rule_tokens(glob: str) -> list[str]:
     """Tokens that every fitting URL holds whole: both neighbours are fixed by the rule."""
     anchored_start, anchored_end = glob.startswith("|"), glob.endswith("|")
-    body = glob.strip("|")
+    body = glob.translate(_TO_LOWER).strip("|")
     out = []
     for m in re.finditer(r"[a-z0-9]+", body):
         left = anchored_start if m.start() == 0 else body[m.start() - 1] != "*"
@@ -206,7 +207,7 @@ def _sql() -> str:
         return f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}')"
 
     def any_of(action: str) -> str:
-        return " OR ".join(f"regexp_matches(u, '{rule_regex(glob)}')" for verdict, glob in PATTERN_RULES if verdict == action)
+        return " OR ".join(f"regexp_matches(u, '{rule_regex(glob, '$')}')" for verdict, glob in PATTERN_RULES if verdict == action)
 
     return rf"""
 WITH p AS (
