@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from landgrid.llm import block_knn, chat_format, decontamination, importance, jaccard_join, language_id, license_scan, mixing, sharding, simhash, url_filters
+from landgrid.llm import block_knn, chat_format, decontamination, filter_audit, importance, jaccard_join, language_id, lexical_search, license_scan, mixing, sharding, simhash, url_filters
 from landgrid.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -659,6 +659,7 @@ def test_url_index_equals_all_rules(spark, monkeypatch):
 
 
 def test_url_tokens_and_index():
+    assert url_filters.rule_regex("||ADS.Example^|") == url_filters.rule_regex("||ads.example^|") and url_filters.rule_tokens("^ADS^") == ["ads"]
     assert url_filters.rule_tokens("||m.*.example.com^fr^*.html|") == ["m", "example", "com", "fr", "html"]
     assert url_filters.rule_tokens("?page=*&ref=") == ["page", "ref"] and url_filters.rule_tokens("abc*") == []
     index, always = url_filters.build_index([("block", "^ads^fr^"), ("block", "abc")], {"ads": 9, "fr": 3})
@@ -667,6 +668,9 @@ def test_url_tokens_and_index():
 
 def test_url_odd_cases(spark):
     rows = [(1, "https://User@A.Example.COM:8080/p?x#y"), (2, "no scheme/path"), (3, None), (4, "x://h"), (5, "http://a.net"), (6, "http://a.net/"), (7, "http://example.net/en/x"), (7, "http://example.net/en/x"), (None, "http://a.org/fr/")]
+    ends = spark.createDataFrame([(1, "http://x.example.com/ads/robots.txt\n"), (2, "http://x.example.com/ads/robots.txt"), (3, "http://x.example.com/ADS/robots.txt?")], "page_id long, url string")
+    for pattern_rules in (url_filters.PATTERN_RULES, spark.createDataFrame(url_filters.PATTERN_RULES, "verdict string, glob string")):
+        assert {r.page_id: r.verdict for r in url_filters.judge_urls(ends, host_rules=[], pattern_rules=pattern_rules).collect()} == {1: "block", 2: "allow", 3: "block"}
     got = url_filters.judge_urls(clash(spark.createDataFrame(rows, "page_id long, url string"), "host", "rule")).collect()
     at = {g.page_id: g for g in got}
     assert len(got) == 9 and at[1].host_in == "kept"
@@ -780,3 +784,91 @@ def test_jaccard_join_odd_cases(spark):
     assert got.columns == ["doc_id", "lang", "source", "n_chars", "n_shingles_in", "component_id_in", "node", "n", "id", "row", "_root", "n_shingles", "component_id"]
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == {(1, 2, 1), (6, 2, 1), (2, 0, 2), (3, 0, 3), (4, 0, 4), (None, 1, None), (5, 5, 5), (7, 1, 7), (8, 1, 8)}
     assert jaccard_join.jaccard_groups(empty(spark)).count() == 0
+
+
+# 12 ----------------------------------------------------------------------------------------------
+
+def naive_audit(docs, labels):
+    """Counts per part, order and step, document by document."""
+    from itertools import permutations
+
+    good, toxic, out = {i for i, q, _ in labels if q == 1 and i is not None}, {i for i, _, t in labels if t == 1 and i is not None}, Counter()
+    names = ["kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"]
+    for i, text, lang in docs:
+        t = text or ""
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+        fails = {"A": len(words) < 200, "B": 100 * len(set(words)) < 50 * len(words), "C": 100 * len(re.findall("[A-Z]", t)) > 3 * len(t), "D": bool(re.search(r"[#$%&*|]", t)), "E": i is not None and any(j is not None and j < i and (u or "") == t for j, u, _ in docs)}
+        for order in map("".join, permutations("ABCDE")):
+            gone = False
+            for step, f in enumerate(order, 1):
+                got = (not gone and not fails[f], fails[f] and not gone, fails[f] and gone, fails[f] and sum(fails.values()) == 1, fails[f] and not gone and i in good, fails[f] and not gone and i in toxic)
+                for n, x in zip(names, got, strict=True):
+                    out[lang or "", order, step, n] += x
+                out[lang or "", f, "shapley"] += got[1]
+                gone = gone or fails[f]
+    return {(p, o, s): (*(out[p, o, s, n] for n in names), out[p, o[s - 1], "shapley"]) for p, o, s, *n in {k[:3] for k in out if len(k) == 4}}
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_audit_equals_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(filter_audit, "MAX_BROADCAST_CELLS", few)
+    r, docs, labels = random.Random(few), [], []
+    for _ in range(150):
+        n = r.choice([0, 3, 150, 199, 200, 400])
+        text = " ".join(r.choice(["ab", "cd", "Ef", "gé", "h$"] if r.random() < 0.3 else [f"w{r.randrange(900)}", "XY"]) for _ in range(n))
+        docs.append((r.choice([None, *range(120)]), r.choice([text, text, None]), r.choice(["en", "fr", "", None])))
+    docs += r.sample(docs, 40) + [(r.randrange(300), t, p) for _, t, p in r.sample(docs, 60)] + [(900 + i, "one hot text", "en") for i in range(80)] + [(7, LONG, "la"), (8, LONG, "la")]
+    labels = [(r.choice([None, *range(320)]), r.choice([0, 1, None]), r.choice([0, 1, None])) for _ in range(200)]
+    table = clash(spark.createDataFrame(docs, "doc_id long, text string, lang string"), "part", "mask", "n", "e", "_c0", "quality")
+    got = filter_audit.audit_filters(table.repartition(4), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {(x.part, x.filter_order, x.step): (x.kept, x.removed, x.redundant, x.unique_fails, x.good_lost, x.toxic_lost, x.shapley) for x in got.collect()} == naive_audit(docs, labels)
+    assert got.count() == 4 * 600
+
+
+def test_audit_of_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert filter_audit.audit_filters(empty(spark), none).count() == 0
+    rows = filter_audit.audit_filters(odd_docs(spark), none).collect()
+    assert {x.part for x in rows} == {"en", "la", ""} and len(rows) == 1800 and all(x.good_lost == 0 for x in rows)
+
+
+# 11 ----------------------------------------------------------------------------------------------
+
+def naive_search(docs, items, k):
+    """The best k of each item by scoring all documents."""
+    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    counted = [(i, Counter(terms(t))) for i, t in docs]
+    n_docs, total, df = sum(bool(c) for _, c in counted), sum(c.total() for _, c in counted), Counter(w for _, c in counted for w in c)
+    out = []
+    for item, text in items:
+        scored = []
+        for i, c in counted:
+            m = 25 + 75 * c.total() * n_docs // max(total, 1)
+            score = sum(lexical_search.weight(n_docs, df[w]) * (10**9 * c[w] // (1000 * c[w] + 8 * m)) for w in terms(text) if c[w])
+            if score > 0:
+                scored.append((-score, i is None, i))
+        out += [(item, rank, i, -s) for rank, (s, _, i) in enumerate(sorted(scored, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("first,block,k", [(32, 32 << 20, 10), (1, 300, 3)])
+def test_search_equals_brute_force(spark, monkeypatch, first, block, k):
+    monkeypatch.setattr(lexical_search, "FIRST_READ", first)
+    monkeypatch.setattr(lexical_search, "BLOCK_BYTES", block)
+    monkeypatch.setattr(lexical_search, "GROUPS", 2)
+    r = random.Random(first)
+    word = lambda: r.choice(["The", "of", f"w{int(r.expovariate(0.05))}", f"x{r.randrange(3000)}", "é1"])
+    docs = [(r.choice([None, *range(500)]), " ".join(word() for _ in range(r.choice([0, 1, 5, 60, 300]))) if r.random() < 0.95 else None) for _ in range(400)]
+    docs += [(1000 + i, "w1 w2, the same-text") for i in range(40)] + [(3, LONG), (3, LONG)] + r.sample(docs, 10)
+    items = [(i, " ".join(word() for _ in range(r.choice([1, 4, 30])))) for i in range(25)] + [(25, None), (26, ""), (27, "unseen"), (28, "w1 w1 W1 same"), (29, "the"), (None, "w2 text")]
+    table = clash(spark.createDataFrame(docs, "doc_id long, text string"), "query", "score", "rank", "item_id").repartition(5)
+    got = lexical_search.rank_documents(table, clash(spark.createDataFrame([*items, items[0]], "item_id long, text string"), "query", "doc_id"), k)
+    assert sorted((tuple(x) for x in got.collect()), key=str) == naive_search(docs, items, k)
+
+
+def test_search_odd_cases(spark):
+    items = spark.createDataFrame([(1, "the cat"), (2, "Lorem"), (3, "id"), (3, "123")], "item_id long, text string")
+    rows = sorted((tuple(r) for r in lexical_search.rank_documents(odd_docs(spark), items).select("item_id", "rank", "doc_id").collect()), key=str)
+    assert rows == [(1, 1, 1), (1, 2, 1), (1, 3, 6), (2, 1, 5), (3, 1, 7), (3, 1, None)]
+    assert lexical_search.rank_documents(empty(spark), items).count() == 0
+    assert lexical_search.rank_documents(odd_docs(spark), items.limit(0)).count() == 0
