@@ -142,7 +142,8 @@ def test_mixing_stage(stages):
         times[r.doc_id] = times.get(r.doc_id, 0) + 1
     assert max(times.values()) <= 2
     for s, t in waterfall(have).items():
-        assert abs(took.get(s, 0) - t) <= 0.02 * t
+        least = min(size(r) for r in stages["decontamination"] if r.source == s)
+        assert abs(took.get(s, 0) - t) <= max(0.02 * t, least)  # sources of a few documents come no nearer than these allow
 
 
 def test_sharding_stage(stages):
