@@ -124,8 +124,17 @@ KINDS = tuple(LONGER_THAN)
 SCRIPTS = [("[ऀ-ॿ]", "hin+mar"), ("[ঀ-৿]", "ben"), ("[઀-૿]", "guj"), ("[஀-௿]", "tam"), ("[ఀ-౿]", "tel")]
 
 
+#: Characters of words, without the full stops of Devanagari. Spark's own word boundary does not count vowel signs, with which many Indic words end.
+WORD = "0-9A-Za-z_ऀ-\u0963\u0966-९ॱ-ॿঀ-৿ఀ-౿஀-௿"
+
+
 def pattern_text(kind: str, pattern: str) -> str:
-    """The pattern as it is run: names respect case, but for their labels, all else ignores it."""
+    """The pattern as it is run: names respect case, but for their labels, all else ignores it.
+
+    Word boundaries of patterns with Indic words are edges of runs of WORD.
+    """
+    if not pattern.isascii() and pattern.startswith(r"\b") and pattern.endswith(r"\b"):
+        pattern = f"(?<![{WORD}]){pattern[2:-2]}(?![{WORD}])"
     return pattern if kind == "names" else "(?i)" + pattern
 
 

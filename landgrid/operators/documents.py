@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,13 +57,21 @@ def entity_counts(found: DataFrame) -> DataFrame:
     return found.select("id", *[F.size(k).alias(k) for k in X.KINDS], F.greatest(F.size("names"), F.lit(1)).alias("records"))
 
 
-def extraction_quality(found: DataFrame, truth: DataFrame) -> DataFrame:
-    """Precision and recall per kind against `truth` (id, kind, value)."""
-    kinds = [r for r in ("names", "areas", "survey_numbers")]
-    got = found.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("vs")) for k in kinds])).alias("e")).select("id", "e.kind", F.explode("e.vs").alias("value")).withColumn("got", F.lit(1))
-    both = got.join(truth.withColumn("true", F.lit(1)).hint("merge"), ["id", "kind", "value"], "full")
+def extraction_quality(found: DataFrame, truth: DataFrame, kinds: Sequence[str] = X.KINDS, by: Sequence[str] = ()) -> DataFrame:
+    """Values found, true and both, precision and recall per kind, and per `by`, against `truth` (id, kind, value and `by`).
+
+    `found` has id, `by` and a column of values per kind. A value counts once for each
+    document; kinds without any value found, or without truth, have a null precision or
+    recall. Documents of either side alone count as missed or as wrongly found.
+    """
+    keys = ["id", *by, "kind", "value"]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("vs")) for k in kinds])).alias("e")
+    got = found.select("id", *by, each).select("id", *by, "e.kind", F.explode("e.vs").alias("value")).distinct().withColumn("got", F.lit(1))
+    both = got.hint("merge").join(truth.select(*keys).distinct().withColumn("true", F.lit(1)).hint("merge"), keys, "full")
     hit = F.count_if(F.col("got").isNotNull() & F.col("true").isNotNull())
-    return both.groupBy("kind").agg(F.round(F.try_divide(hit, F.count("got")), 6).alias("precision"), F.round(F.try_divide(hit, F.count("true")), 6).alias("recall"))
+    counts = both.groupBy(*by, "kind").agg(F.count("got").alias("found"), F.count("true").alias("true"), hit.alias("right"))
+    share = lambda n: F.round(F.try_divide("right", n), 6)
+    return counts.select("*", share("found").alias("precision"), share("true").alias("recall"))
 
 
 def character_error(a: str, b: str):

@@ -149,7 +149,8 @@ def linked(checked: DataFrame, villages: DataFrame) -> DataFrame:
 
 def spatial_report(claims: DataFrame, links: DataFrame, villages: DataFrame) -> DataFrame:
     """Per village of the claims: counts, linked ones, confidence bands, mean confidence, claims too far out."""
-    c = claims.join(links.select("id", "linked_village", "confidence").hint("merge"), "id", "left").join(villages.select(F.col("id").alias("village_id"), F.col("latitude").alias("vlat"), F.col("longitude").alias("vlng")), "village_id")
+    c = claims.join(links.select("id", "linked_village", "confidence").hint("merge"), "id", "left")
+    c = c.join(villages.select(F.col("id").alias("village_id"), F.col("latitude").alias("vlat"), F.col("longitude").alias("vlng")).hint("merge"), "village_id")
     gap = F.when(G.valid_latlng(F.col("latitude"), F.col("longitude")), G.distance_m(F.col("latitude"), F.col("longitude"), F.col("vlat"), F.col("vlng")))
     c = c.withColumn("gap", gap)
     issue = F.when(F.col("gap") > LINKED_M, F.concat("claim_id", F.lit(" "), F.round("gap").cast("long").cast("string")))

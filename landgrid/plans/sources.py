@@ -123,7 +123,7 @@ STATUS = with_views("claims", "audit").rstrip() + f", p AS (SELECT *, {CHANGE} A
 
 def _implemented(s, d):
     a = load(s, d, "audit").where("action = 'purchase'").groupBy(F.col("entity_id").alias("id")).agg(F.max_by(F.struct("user_id", "ts"), F.struct("ts", "id")).alias("m"))
-    return recs(s, d).where("rank = 1").join(a, "id", "left").select("id", "scheme", F.col("m.user_id").alias("implemented_by"))
+    return recs(s, d).where("rank = 1").join(a.hint("merge"), "id", "left").select("id", "scheme", F.col("m.user_id").alias("implemented_by"))
 
 
 def _of_states(s, d):

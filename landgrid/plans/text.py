@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import geo as G
 from ..functions import text as X
 from ..operators import documents as D
+from ..operators.lineage import spread
+from . import letters as LT
 from .views import load, with_views
 
 
@@ -20,11 +22,24 @@ def seen_ahead(pattern: str) -> str:
     return "(" + before.replace("([", "(?:[") + ")(?:" + ahead
 
 
+def edged(kind: str, pattern: str, group: int) -> tuple[str, int]:
+    """(pattern, group) for an engine without look-around and with boundaries of ASCII words alone.
+
+    A run of one script's words begins and ends at its edges anyway; other patterns read what
+    stands beside them, too.
+    """
+    if pattern.isascii() or not pattern.startswith(r"\b"):
+        return X.pattern_text(kind, pattern), group
+    inner, flag = pattern[2:-2], "" if kind == "names" else "(?i)"
+    return (flag + inner, group) if inner.startswith("[") else (f"{flag}(?:^|[^{X.WORD}])({inner})(?:$|[^{X.WORD}])", 1)
+
+
 def entity_sql(kind: str, text: str = "text") -> str:
     group, patterns = X.PATTERNS[kind]
     if kind == "boundaries":
         group, patterns = 1, [seen_ahead(p) for p in patterns]
-    e = " || ".join(f"regexp_extract_all({text}, {quoted(X.pattern_text(kind, p))}, {group})" for p in patterns)
+    run = [edged(kind, p, group) for p in patterns]
+    e = " || ".join(f"regexp_extract_all({text}, {quoted(p)}, {g})" for p, g in run)
     if kind in X.TRIMMED:
         e = f"list_transform({e}, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g'))"
     if kind == "villages":
@@ -79,6 +94,29 @@ TRUTH_SQL = "truth AS (SELECT id, 'names' AS kind, claimant_name AS value FROM c
 GOT_SQL = "got AS (SELECT id, 'names' AS kind, unnest(names) AS value FROM ent UNION ALL SELECT id, 'areas', unnest(areas) FROM ent UNION ALL SELECT id, 'survey_numbers', unnest(survey_numbers) FROM ent)"
 
 
+def all_letters(s, d):
+    """Letters in five languages, with what they say: an array column `true_<kind>` per kind."""
+    claims = spread(load(s, d, "claims"), "id")
+    return claims.selectExpr("id", f"{LT.LANGUAGE} AS language", f"{LT.TEXT} AS text", *[f"{LT.truth(k, 'array')} AS true_{k}" for k in X.KINDS])
+
+
+def _quality(s, d):
+    told = all_letters(s, d)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"true_{k}").alias("vs")) for k in X.KINDS])).alias("e")
+    truth = told.select("id", "language", each).select("id", "language", "e.kind", F.explode("e.vs").alias("value"))
+    return D.extraction_quality(D.extract(told.select("id", "language", "text")), truth, by=["language"])
+
+
+LETTERS = with_views("claims").rstrip() + f", all_letters AS (SELECT id, {LT.LANGUAGE} AS language, {LT.TEXT} AS text, " + ", ".join(f"{LT.truth(k, 'list_value')} AS true_{k}" for k in X.KINDS) + " FROM claims), "
+FOUND = LETTERS + entities_cte(X.KINDS, "all_letters", "id, language")
+QUALITY = (
+    FOUND + ", got AS (" + " UNION ".join(f"SELECT id, language, '{k}' AS kind, unnest({k}) AS value FROM ent" for k in X.KINDS) + "), truth AS ("
+    + " UNION ".join(f"SELECT id, language, '{k}' AS kind, unnest(true_{k}) AS value FROM all_letters" for k in X.KINDS)
+    + "), c AS (SELECT coalesce(g.language, t.language) AS language, coalesce(g.kind, t.kind) AS kind, count(g.id) AS found, count(t.id) AS \"true\", count(*) FILTER (g.id IS NOT NULL AND t.id IS NOT NULL) AS \"right\""
+    " FROM got g FULL JOIN truth t ON g.id = t.id AND g.kind = t.kind AND g.value = t.value GROUP BY 1, 2) SELECT *, round(\"right\" / nullif(found, 0), 6) AS precision, round(\"right\" / nullif(\"true\", 0), 6) AS recall FROM c"
+)
+
+
 def _corrected(s, d):
     p = load(s, d, "papers").where("ocr_text is not null and ocr_confidence is not null").select("id", "ocr_text", "ocr_confidence")
     fixed = p.select("id", F.when(F.col("id").cast("long") % 2 == 0, F.replace("ocr_text", F.lit("  "), F.lit(" "))).otherwise(F.replace("ocr_text", F.lit("re"), F.lit("ra"))).alias("fixed"))
@@ -122,6 +160,8 @@ PAIRS |= {
     "entity_merge_kinds": (_merged, MERGED),
     "entity_order": (lambda s, d: found(s, d).select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("v")) for k in X.KINDS])).alias("e")).select("id", "e.kind", F.array_join("e.v", "|").alias("vals")), L + entities_cte(X.KINDS) + " " + " UNION ALL ".join(f"SELECT id, '{k}' AS kind, array_to_string({k}, '|') AS vals FROM ent" for k in X.KINDS)),
     "entity_summary": (lambda s, d: D.entity_counts(found(s, d)).withColumn("boundaries", F.col("boundaries") > 0), L + entities_cte(MAIN) + f" SELECT id, {', '.join(f'CAST(len({k}) AS INT) AS {k}' for k in MAIN)}, bounded AS boundaries, CAST(greatest(len(names), 1) AS INT) AS records FROM ent JOIN (SELECT id, {BOUNDED} AS bounded FROM letters) USING (id)"),
-    "extraction_quality": (lambda s, d: D.extraction_quality(found(s, d), _truth(s, d)), L + entities_cte(["names", "areas", "survey_numbers"]) + f", {GOT_SQL}, {TRUTH_SQL}, b AS (SELECT coalesce(g.kind, t.kind) AS kind, g.id AS g, t.id AS t FROM got g FULL JOIN truth t ON g.id = t.id AND g.kind = t.kind AND g.value = t.value) SELECT kind, round(count(*) FILTER (g IS NOT NULL AND t IS NOT NULL) / nullif(count(g), 0), 6) AS precision, round(count(*) FILTER (g IS NOT NULL AND t IS NOT NULL) / nullif(count(t), 0), 6) AS recall FROM b GROUP BY kind"),
+    "extraction_quality": (lambda s, d: D.extraction_quality(found(s, d), _truth(s, d), ["names", "areas", "survey_numbers"]).select("kind", "precision", "recall"), L + entities_cte(["names", "areas", "survey_numbers"]) + f", {GOT_SQL}, {TRUTH_SQL}, b AS (SELECT coalesce(g.kind, t.kind) AS kind, g.id AS g, t.id AS t FROM got g FULL JOIN truth t ON g.id = t.id AND g.kind = t.kind AND g.value = t.value) SELECT kind, round(count(*) FILTER (g IS NOT NULL AND t IS NOT NULL) / nullif(count(g), 0), 6) AS precision, round(count(*) FILTER (g IS NOT NULL AND t IS NOT NULL) / nullif(count(t), 0), 6) AS recall FROM b GROUP BY kind"),
+    "extraction_quality_languages": (_quality, QUALITY),
+    "entities_of_languages": (lambda s, d: D.extract(all_letters(s, d)).select("id", "language", *[F.array_join(k, "|").alias(k) for k in X.KINDS]), FOUND + " SELECT id, language, " + ", ".join(f"array_to_string({k}, '|') AS {k}" for k in X.KINDS) + " FROM ent"),
     "character_error_rate": (lambda s, d: load(s, d, "claims").join(D.claim_records(found(s, d)).select("id", F.col("claimant_name").alias("read")), "id").select("id", D.character_error("read", "claimant_name").alias("cer")), L + entities_cte(["names"]) + " SELECT id, round(levenshtein(coalesce(names[1], 'Unknown Claimant'), claimant_name) / greatest(length(claimant_name), 1), 6) AS cer FROM ent JOIN claims USING (id)"),
 }

@@ -184,3 +184,23 @@ def test_tables(spark):
     users = spark.createDataFrame([("u", "field")], "id string, role string")
     asked = spark.createDataFrame([("u", "create_claim"), ("u", "reprocess"), ("x", "create_claim"), ("u", "unknown")], "user_id string, permission string")
     assert {(r.user_id, r.permission): r.allowed for r in R.permission_filter(asked, users).collect()} == {("u", "create_claim"): True, ("u", "reprocess"): False, ("x", "create_claim"): False, ("u", "unknown"): False}
+
+
+def test_words_of_indic_scripts_are_whole(spark):
+    def of(text, kind):
+        return spark.createDataFrame([(text,)], "t string").select(X.entities(F.col("t"), kind)).first()[0]
+
+    assert of("आवेदक का नाम: सीता देवी, 40.", "names") == ["आवेदक का नाम: सीता देवी, 40.", "आवेदक का नाम", "सीता देवी"]
+    assert of("রাম দাস, 40. సీత లక్ష్మి దేవి; லட்சுமி நாயர்", "names") == ["রাম দাস", "సీత లక్ష్మి దేవి", "லட்சுமி நாயர்"]
+    assert of("स्थिति: अस्वीकृत।", "claim_status") == ["अस्वीकृत"]
+    assert of("स्वीकृत मंजूर जांचा गया", "claim_status") == ["स्वीकृत", "मंजूर", "जांचा गया"]
+    assert of("12 मार्च 1997 और 3 জুন 1998", "dates") == ["12 मार्च 1997", "3 জুন 1998"]
+    assert of(None, "names") == of("", "names") == []
+
+
+def test_quality_counts_each_value_of_a_document_once(spark):
+    found = spark.createDataFrame([("a", "x", ["p", "p", "q"], ["1"]), ("b", "x", [], None), ("c", "y", ["r"], [])], "id string, lang string, names array<string>, dates array<string>")
+    truth = spark.createDataFrame([("a", "x", "names", "p"), ("a", "x", "names", "p"), ("b", "x", "names", "s"), ("d", "y", "dates", "2")], "id string, lang string, kind string, value string")
+    got = {(r.lang, r.kind): tuple(r)[2:] for r in D.extraction_quality(found, truth, ["names", "dates"], ["lang"]).collect()}
+    assert got == {("x", "names"): (2, 2, 1, 0.5, 0.5), ("x", "dates"): (1, 0, 0, 0.0, None), ("y", "names"): (1, 0, 0, 0.0, None), ("y", "dates"): (0, 1, 0, None, 0.0)}
+    assert D.extraction_quality(found.limit(0), truth.limit(0), ["names"]).isEmpty()
