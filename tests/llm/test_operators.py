@@ -214,7 +214,35 @@ def test_license_templates(spark):
     assert labels("under the terms of the GNU General Public License " + "x " * 13 + "version 3").labels == ""
     r = labels("so, under the MIT license; under the MIT License")
     assert (r.base_labels, r.labels, r.n_base, r.first_word, r.last_word, r.score) == ("mit", "mit", 2, 1, 5, 0.5)
-    assert labels("Released under the MIT License").score == 1.0
+    assert labels("Released under the MIT License").score == 0.8  # a notice, not the wording
+    assert [labels(t).score for t in (MIT, "under the MIT license", "no licence")] == [1.0, 0.5, 0.0]
+
+
+def test_license_headers_and_negations(spark):
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU %s Public License as published by the Free Software Foundation, either version %s of the License, or (at your option) any later version."
+    cases = {
+        gnu % ("General", "3"): ("gpl-3", 1.0), gnu % ("General", "2"): ("gpl-2", 1.0), gnu % ("Lesser General", "3"): ("lgpl-3", 1.0),
+        gnu % ("Lesser General", "2.1"): ("lgpl-2-1", 1.0), gnu % ("Affero General", "3"): ("agpl-3", 1.0),
+        'Licensed under the Apache License, Version 2.0 (the "License");': ("apache-2", 0.8),
+        "Licensed under a Creative Commons Attribution 4.0 International License.": ("cc-by", 0.8),
+        "Creative Commons Attribution-ShareAlike 4.0 International Public License": ("cc-by-sa", 0.8),
+        "Creative Commons Attribution-NonCommercial 4.0 International License": ("cc-by-nc", 0.8),
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.": ("cc0", 0.8),
+        "made available under the terms of the Eclipse Public License 2.0": ("epl-2", 0.8), "This is NOT released under the GNU GPL.": ("", 0.0),
+        "NOT released under the MIT license": ("mit", 0.5),  # a phrase's places count whatever stands before
+        "This work is not licensed under the GNU General Public License 3": ("", 0.0), "never again licensed under the GNU General Public License 3": ("", 0.0),
+        "not this. Then it is licensed under the GNU General Public License 3": ("gpl-3", 0.8),
+        "Not licensed under the GNU General Public License 2; licensed under the GNU General Public License 3": ("gpl-3", 0.8),
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan_licenses(rows).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(cases)))
+    assert {i: (labels, score) for i, labels, score in con.execute(f"SELECT doc_id, labels, score FROM ({license_scan.SQL})").fetchall()} == got
 
 
 MIT = """MIT License. Copyright (c) 2001 Some One. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
