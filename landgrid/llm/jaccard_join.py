@@ -37,40 +37,73 @@ MAX_BROADCAST_ROWS = 250_000
 NARROW, WIDE = 6, 15
 
 
-class WordHashes(dict):
-    """Hash of each word, kept while there are not too many."""
+#: Texts are taken from a batch so many at a time.
+PIECE = 512
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word, 7)
-        return found
-
-
-_HASHES = WordHashes()
 _TIMES = np.random.default_rng(42).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+_IN_WORD = bytes(0 if c in b" \t\n\v\f\r" else 1 for c in range(256))
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values ^= values >> np.uint64(32)
+    values *= np.uint64(0x9E3779B97F4A7C15)
+    values ^= values >> np.uint64(29)
+    return values
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text in UTF-8, A-Z lower-cased: its length, then its bytes, eight at a time, are mixed in."""
+    lower = text.lower()
+    none = np.zeros(1, np.int8)
+    edges = np.flatnonzero(np.diff(np.frombuffer(lower.translate(_IN_WORD), np.int8), prepend=none, append=none))
+    starts, ends = edges[::2], edges[1::2]
+    lengths = ends - starts
+    out = _mixed(lengths.astype(np.uint64))
+    padded = lower + bytes(8)
+    eights = np.ndarray((len(lower) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    at = np.flatnonzero(lengths <= LONG_WORD)
+    for done in range(0, LONG_WORD, 8):
+        if not len(at):
+            break
+        left = lengths[at] - done
+        out[at] = _mixed(out[at] ^ (eights[starts[at] + done] & _FIRST_BYTES[np.minimum(left, 8)]))
+        at = at[left > 8]
+    for i in np.flatnonzero(lengths > LONG_WORD):
+        out[i] = xxhash.xxh64_intdigest(lower[starts[i] : ends[i]], 7)
+    return out
 
 
 def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
     """A 64-bit hash of each word shingle: those of its words, each times a number for its place, summed and mixed."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    each = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    width = min(shingle, len(words))
-    count = len(words) - width + 1
+    each = word_hashes(text or b"")
+    if not len(each):
+        return each
+    width = min(shingle, len(each))
+    count = len(each) - width + 1
     out = np.full(count, width, np.uint64)
     for i in range(width):
         out += each[i : i + count] * _TIMES[i % 64] + np.uint64(i // 64)
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0x9E3779B97F4A7C15)
-    out ^= out >> np.uint64(29)
-    return out
+    return _mixed(out)
+
+
+def different(hashes: np.ndarray) -> np.ndarray:
+    """The sorted signed values, each once."""
+    values = np.sort(hashes.view(np.int64))
+    return values[np.diff(values, prepend=values[:1] - 1) != 0]
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE):
+            yield batch.slice(at, PIECE)
 
 
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     """The sorted signed hashes of a text's different shingles."""
-    return np.unique(shingle_hashes(text, shingle).view(np.int64))
+    return different(shingle_hashes(text, shingle))
 
 
 def node_of(found: np.ndarray) -> int:
@@ -109,11 +142,11 @@ def sketched(docs: DataFrame, shingle: int, prints: bool = False) -> tuple[DataF
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, kept = np.zeros(1 << CELL_BITS, np.int64), None
-        for batch in batches:
+        for batch in pieces(batches):
             nodes, sizes, fps, cells = [], [], [], [np.zeros(0, np.int32)]
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 hashes = shingle_hashes(text, shingle)
-                found = np.unique(hashes.view(np.int64))
+                found = different(hashes)
                 nodes.append(node_of(found))
                 sizes.append(len(found))
                 fps.append(simhash_of(hashes) if prints else 0)
@@ -143,7 +176,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, shingle: int, least: int) -> D
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 found = shingle_set(text, shingle)
@@ -307,9 +340,14 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
     """Those `pairs` (a, b), a written table, that are alike. One text of each node is read again, from `docs` (id, text)."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = materialise(asked.join(nodes.select("node", "id").hint("merge"), "node"), "jaccard-asked")
-    get = F.arrow_udf(lambda texts: pa.array([shingle_set(t, shingle) for t in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.int64())), "array<long>")
-    sets = docs.join(_few(asked), "id").select("node", get("text").alias("found")).dropDuplicates(["node"])
-    sets = materialise(sets, "jaccard-sets")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            found = [shingle_set(t, shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "found"])
+
+    read_again = docs.join(_few(asked), "id").select("node", "text")
+    sets = materialise(read_again.mapInArrow(sets_of, "node long, found array<long>").dropDuplicates(["node"]), "jaccard-sets")
     first, second = (sets.select(F.col("node").alias(c), F.col("found").alias(v)).hint("merge") for c, v in (("a", "xs"), ("b", "ys")))
     both = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", (F.size("xs") + F.size("ys")).alias("sizes"), common(F.col("xs"), F.col("ys")).alias("common"))
     out = materialise(both.where(F.col("common") * (100 + least) >= F.col("sizes") * least).select("a", "b"), "jaccard-links")

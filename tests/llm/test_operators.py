@@ -795,6 +795,16 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, shingle, least, pai
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()) == naive_jaccard(rows, shingle, least)
 
 
+def test_word_hashes_equal_split_words():
+    r = random.Random(3)
+    junk = b" ".join(bytes(r.choices(range(256), k=r.randint(1, 90))) for _ in range(3000))
+    texts = [b"", b" ", b"a", b"A b\x00 b b\x00\x00", b"x" * 7, b"x" * 8, b"x" * 9, b"x" * 64, b"X" * 65, b"\t\n a\x0b\x0c\rb \x1c c\x85", "é Ü ü".encode(), b"y" * 100_000, junk]
+    words, hashes = [w for t in texts for w in t.lower().split()], [h for t in texts for h in jaccard_join.word_hashes(t).tolist()]
+    assert len(words) == len(hashes) and len(set(zip(words, hashes, strict=True))) == len(set(words)) == len(set(hashes))
+    values = jaccard_join.shingle_hashes(junk + b" " + junk, 2)
+    assert jaccard_join.different(values).tolist() == sorted(set(values.view(np.int64).tolist()))
+
+
 def test_jaccard_bitmaps_bound_the_overlap(spark):
     r, rows = random.Random(3), []
     for n in (1, 5, 40, 300, 3000, 50_000):
