@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from landgrid.functions import text as X
+from landgrid.operators import relational as R
 from landgrid.operators.lineage import spread
 from landgrid.plans import text as PT
 
@@ -32,3 +33,14 @@ def test_patterns_left_out_match_nowhere(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(X, "NEEDS", {k: [None] * len(ps) for k, (_, ps) in X.PATTERNS.items()})
     assert fast == found()
     assert all(any(r[k] for r in fast) for k in X.KINDS)
+
+
+def test_totals_are_those_of_the_claims_that_users_see(spark):
+    claims = spark.createDataFrame([("1", "a", "s"), ("2", "a", "s"), ("3", "b", "s"), ("4", "c", "t"), ("5", None, None)], "id string, district_id string, state_id string")
+    users = spark.createDataFrame([("d", "district", "s", "a"), ("e", "district", None, "x"), ("f", "district", None, None), ("g", "state", "s", None), ("h", "state", "u", None), ("i", "admin", "s", "a"), ("j", None, None, None)], "id string, role string, state string, district string")
+    bound, free = R.role_scope(claims, users)
+    seen = bound.select("user_id", "id").unionAll(free.crossJoin(claims.select("id")))
+    want = {(r.user_id, r.claims, r.least) for r in seen.groupBy("user_id").agg(F.count("id").alias("claims"), F.min("id").alias("least")).collect()}
+    totals = R.scope_totals(claims, users)
+    assert {tuple(r) for r in totals.collect()} == want == {("d", 2, "1"), ("g", 3, "1"), ("f", 5, "1"), ("i", 5, "1"), ("j", 5, "1")}
+    assert R.scope_totals(claims.where("id = '9'"), users).isEmpty()
