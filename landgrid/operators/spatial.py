@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
@@ -67,11 +67,58 @@ def containing_village(points: DataFrame, villages: DataFrame) -> DataFrame:
     return near.groupBy(F.col("p_id").alias("id")).agg(F.min_by("v_id", F.struct("v_name", "v_id")).alias("village"))
 
 
-def _spacing_m(features: DataFrame) -> float:
-    """About the distance between neighbouring features: the side of a square for each, over the degree cells that hold any."""
+def _spacing_m(features: DataFrame, k: int = 1) -> float:
+    """A radius within which most features have a few more than `k` others.
+
+    At first the side of a square that holds as many, over the degree cells that hold any;
+    then it shrinks until a feature shares its cell, this radius wide, with few enough.
+    """
+    few = 2 + 0.6 * k
     cells = F.count_distinct(F.floor("f_lat"), F.floor("f_lng"))
     n, held = features.agg(F.count(F.lit(1)), cells).first()
-    return 111_000.0 * math.sqrt(held / n) if n else _HALF_WORLD_M
+    if not n:
+        return _HALF_WORLD_M
+    side = 111_000.0 * math.sqrt(held / n * few)
+    while side > 1:
+        in_cell = features.groupBy(*[F.floor(F.col(c) * (111_000.0 / side)).alias(c) for c in ("f_lat", "f_lng")]).count()
+        shared = in_cell.agg(F.sum(F.col("count") * F.col("count")) / n).first()[0]
+        if shared <= 1.5 * few:
+            break
+        side *= max(math.sqrt(few / shared), 0.1)
+    return side
+
+
+def nearest_few(points: DataFrame, features: DataFrame, k: int, radius_m: float, order: list[str]) -> DataFrame:
+    """Of `within`, each point's first `k` features by km (4 decimals), then `order`: with km and rank. `points` have a column point.
+
+    Places are counted in rounds of ever larger radii, the first from their density: a point
+    with `k` features within a share of the radius needs none beyond it. Pairs are then made
+    within that reach alone, so they grow with points and `k`, not with features. Of the
+    features of one place only the first `k` can count.
+    """
+    one_place = Window.partitionBy("f_lat", "f_lng").orderBy(*order)
+    f = features.where(G.valid_latlng(F.col("f_lat"), F.col("f_lng"))).withColumn("_k", F.row_number().over(one_place)).where(F.col("_k") <= k).drop("_k")
+    f = cut(f)
+    places = cut(f.groupBy("f_lat", "f_lng").agg(F.count(F.lit(1)).alias("_m")))
+    shares, pairs, left, radius = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0), None, points, _spacing_m(places, k)
+    while True:
+        last = radius >= radius_m
+        if last:
+            settled, radius = left.withColumn("_reach", F.lit(radius_m)), radius_m
+        else:
+            held = [F.sum(F.when(F.col("meters") <= radius * x, F.col("_m")).otherwise(0)) for x in shares]
+            reach = F.coalesce(*[F.when(h >= k, F.lit(radius * x + 0.2)) for h, x in zip(held, shares, strict=True)])  # more than the rounding of km
+            reached = cut(within(left.select("point", "p_lat", "p_lng"), places, radius).groupBy("point").agg(reach.alias("_reach")).where("_reach is not null"))
+            settled = left.join(reached.hint("merge"), "point")
+            left = cut(left.join(reached.select("point").hint("merge"), "point", "left_anti"))
+            last = left.isEmpty()
+        met = within(settled, f, min(radius + 0.2, radius_m)).where(F.col("meters") <= F.col("_reach")).drop("_reach")
+        pairs = met if pairs is None else pairs.unionByName(met)
+        if last:
+            break
+        radius *= 2
+    first = Window.partitionBy("point").orderBy("km", *order)
+    return pairs.withColumn("km", F.round(F.col("meters") / 1000, 4)).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
 
 
 def _rounds(points: DataFrame, villages: DataFrame, first_m: float | None = None) -> DataFrame:

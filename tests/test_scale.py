@@ -1,9 +1,12 @@
 """What larger tables need: work dealt over tasks, nothing that grows faster than the input."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from landgrid.functions import geo as G
 from landgrid.functions import text as X
 from landgrid.operators import relational as R
+from landgrid.operators import spatial as S
 from landgrid.operators.lineage import spread
 from landgrid.plans import text as PT
 
@@ -44,3 +47,29 @@ def test_totals_are_those_of_the_claims_that_users_see(spark):
     totals = R.scope_totals(claims, users)
     assert {tuple(r) for r in totals.collect()} == want == {("d", 2, "1"), ("g", 3, "1"), ("f", 5, "1"), ("i", 5, "1"), ("j", 5, "1")}
     assert R.scope_totals(claims.where("id = '9'"), users).isEmpty()
+
+
+def _crowd(spark, n, name, side="0.2"):
+    """A crowded square, a few places far off, one place with many rows, and rows without a place."""
+    lat = f"CASE WHEN id % 50 = 7 THEN 30 + id % 13 WHEN id % 50 = 8 THEN NULL WHEN id % 5 = 0 THEN 20.05e0 ELSE 20 + (id * 7919 % 10007) / 10007e0 * {side} END"
+    lng = f"CASE WHEN id % 50 = 7 THEN 179.9e0 - id % 9 WHEN id % 5 = 0 THEN 80.05e0 ELSE 80 + (id * 104729 % 9973) / 9973e0 * {side} END"
+    return spark.range(n).selectExpr(f"concat('{name}', id) AS id", f"CAST({lat} AS DOUBLE) AS latitude", f"CAST({lng} AS DOUBLE) AS longitude")
+
+
+def _pairs(points, features, radius_m):
+    m = G.distance_m(F.col("p_lat"), F.col("p_lng"), F.col("f_lat"), F.col("f_lng"))
+    good = G.valid_latlng(F.col("f_lat"), F.col("f_lng")) & G.valid_latlng(F.col("p_lat"), F.col("p_lng"))
+    return points.crossJoin(features).where(good).withColumn("meters", m).where(F.col("meters") <= radius_m)
+
+
+def test_few_nearest_without_all_pairs(spark, monkeypatch):
+    points = _crowd(spark, 400, "p").toDF("point", "p_lat", "p_lng")
+    features = _crowd(spark, 3000, "f").selectExpr("id", "CAST(hash(id) % 2 AS STRING) AS kind", "latitude AS f_lat", "longitude AS f_lng")
+    pairs = _pairs(points, features, 25_000).withColumn("km", F.round(F.col("meters") / 1000, 4))
+    want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("point").orderBy("km", "kind", "id"))).where("rank <= 20")
+    met, within = [], S.within
+    monkeypatch.setattr(S, "within", lambda *a: met.append(within(*a)) or met[-1])
+    got = S.nearest_few(points, features, 20, 25_000, ["kind", "id"])
+    columns = ["point", "rank", "kind", "id", "km"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    assert pairs.count() > 600_000 and sum(m.count() for m in met) < 200_000
