@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +56,108 @@ def within(points: DataFrame, features: DataFrame, radius_m: float, salts: int =
     return p.drop("_n").join(f.drop("_n").hint("shuffle_hash"), keys).withColumn("meters", meters).where(F.col("meters") <= radius_m).drop(*keys)
 
 
+def _strips_count(p: tuple, f: tuple, radius_m: float) -> Iterator[np.ndarray]:
+    """For slices of points (lat, lng), how many of the features (lat, lng, n) are at most radius_m away.
+
+    Features are sorted by strips of latitude and by longitude within. In a strip, those nearer in longitude than
+    any place at the radius are counted by two searches, those beyond it left out, and only those between measured.
+    """
+    (p_lat, p_lng), (f_lat, f_lng, n), r = p, f, radius_m / (G.EARTH_KM * 1000)
+    high = math.degrees(r) * (1 + 1e-9) / min(max(int(math.sqrt(len(n)) / 4), 4), 128)
+    middle, low = p_lng[0], f_lat.min()
+    side = lambda lng: (lng - middle + 540) % 360  # noqa: E731  the middle is at 180
+    strip = np.floor((f_lat - low) / high)
+    at = strip * 1000 + side(f_lng)
+    order = np.argsort(at)
+    at, f_lat, f_lng, n = at[order], f_lat[order], f_lng[order], n[order]
+    before, around = np.concatenate([[0], np.cumsum(n)]), np.arange(-(math.ceil(math.degrees(r) / high) + 1), math.ceil(math.degrees(r) / high) + 2)
+    for i in range(0, len(p_lat), 2000):
+        lat, lng = p_lat[i : i + 2000, None], p_lng[i : i + 2000, None]
+        s = np.floor((lat - low) / high) + around
+        south, north = np.radians(low + s * high), np.radians(low + (s + 1) * high)
+        y = np.radians(lat)
+        near, far = np.maximum(np.maximum(south - y, y - north), 0), np.maximum(np.abs(south - y), np.abs(north - y))
+        top = np.minimum(np.maximum(np.abs(south), np.abs(north)), math.pi / 2)
+        base = np.where(south * north <= 0, 0, np.minimum(np.abs(south), np.abs(north)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = (math.sin(r / 2) ** 2 * (1 + 1e-9) - np.sin(near / 2) ** 2) / (np.cos(y) * np.cos(top))
+            inner = (math.sin(r / 2) ** 2 * (1 - 1e-9) - np.sin(far / 2) ** 2) / (np.cos(y) * np.cos(base))
+        hit = np.nan_to_num(out, nan=1, posinf=1, neginf=-1) >= 0
+        wide = np.degrees(2 * np.arcsin(np.sqrt(np.clip(np.nan_to_num(out, nan=1, posinf=1), 0, 1)))) + 1e-6
+        sure = np.degrees(2 * np.arcsin(np.sqrt(np.clip(np.nan_to_num(inner, nan=0, posinf=0, neginf=0), 0, 1)))) - 1e-6
+        x, key = side(lng), s * 1000
+        turned = (x - wide < 0) | (x + wide >= 360)  # reaches round the world: the whole strip is measured
+        sure = np.where(turned | ~hit | (sure < 0), -1, sure)
+        find = lambda v: np.searchsorted(at, v)
+        begin, end = find(np.where(turned, key, key + x - wide)), find(np.where(turned, key + 999, key + x + wide))
+        begin, end = np.where(hit, begin, 0), np.where(hit, end, 0)
+        first, second = np.where(sure < 0, end, find(key + x - sure)), np.where(sure < 0, end, find(key + x + sure))
+        found = np.where(sure < 0, 0, before[second] - before[first]).sum(axis=1)
+        who = np.broadcast_to(np.arange(len(lat))[:, None], begin.shape)
+        starts, sizes = np.concatenate([begin.ravel(), second.ravel()]), np.concatenate([(first - begin).ravel(), (end - second).ravel()])
+        who, sums = np.concatenate([who.ravel(), who.ravel()]), np.cumsum(sizes)
+        for a in _cuts(sums, 2_000_000):
+            k = sizes[a]
+            pairs = np.repeat(starts[a] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            w = np.repeat(who[a], k)
+            la, lo, fa, fo = lat[w, 0], lng[w, 0], f_lat[pairs], f_lng[pairs]
+            u, v = np.sin(np.radians(fa - la) / 2), np.sin(np.radians(fo - lo) / 2)
+            h = u * u + np.cos(np.radians(la)) * np.cos(np.radians(fa)) * v * v
+            inside = 2 * G.EARTH_KM * np.arctan2(np.sqrt(h), np.sqrt(1.0 - h)) * 1000 <= radius_m
+            found = found + np.bincount(w[inside], weights=n[pairs[inside]], minlength=len(lat)).astype("int64")
+        yield found
+
+
+def _cuts(sums: np.ndarray, most: int) -> list[slice]:
+    """Slices of about `most` by running sums."""
+    ends = np.searchsorted(sums, np.arange(most, sums[-1] + most, most)) + 1
+    edges = np.unique(np.minimum(np.concatenate([[0], ends]), len(sums)))
+    return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def count_within(points: DataFrame, features: DataFrame, radius_m: float, most: int = 300_000) -> DataFrame:
+    """(point, features): for points (point, p_lat, p_lng) with any, how many features are at most radius_m away; no pairs are made.
+
+    Places are counted once, and sent to the tiles of a degree or more that they can reach; tiles with more than about
+    `most` places or points are dealt over several groups, whose counts are added.
+    """
+    reach = math.degrees(radius_m / (G.EARTH_KM * 1000)) * 1.0001
+    tile = max(1.0, reach)
+    p = points.where(G.valid_latlng(F.col("p_lat"), F.col("p_lng")))
+    f = cut(features.where(G.valid_latlng(F.col("f_lat"), F.col("f_lng"))).groupBy("f_lat", "f_lng").agg(F.count(F.lit(1)).alias("n")))
+
+    def parts(df: DataFrame, x: str) -> int:
+        in_tile = df.groupBy(F.floor(F.col(f"{x}_lat") / tile), F.floor(F.col(f"{x}_lng") / tile)).count()
+        return max(1, -(-(in_tile.agg(F.max("count")).first()[0] or 1) // most))
+
+    deal_p, deal_f = parts(p, "p"), parts(f, "f")
+    row = lambda lat: F.floor(lat / tile)
+    columns = F.greatest(F.floor(F.cos(F.radians(F.least(F.abs(F.col("_r")), F.abs(F.col("_r") + 1)) * tile)) * (360 / tile)), F.lit(1)).cast("long")
+    place = lambda lng: F.floor((lng + 180) / 360 * F.col("_n"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = lambda x, n: F.pmod(F.xxhash64(f"{x}_lat", f"{x}_lng"), F.lit(n)).cast("int")
+    p = p.withColumn("_r", row(F.col("p_lat"))).withColumn("_n", columns).withColumn("_c", F.pmod(place(F.col("p_lng")), F.col("_n")))
+    p = p.withColumn("_p", F.pmod(F.xxhash64("point", "p_lat", "p_lng"), F.lit(deal_p)).cast("int")).withColumn("_f", every(deal_f))
+    lat, lng = F.col("f_lat"), F.col("f_lng")
+    share = F.lit(math.sin(min(math.radians(reach), math.pi) / 2)) / F.cos(F.radians(F.least(F.lit(90.0), F.abs(lat) + reach)))
+    wide = F.when((share >= 0.999) | (F.abs(lat) + reach >= 90), F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(share, F.lit(1.0)))) * 2 * 1.0001)
+    f = f.withColumn("_w", wide).withColumn("_r", F.explode(F.array_distinct(F.array(row(lat - reach), row(lat), row(lat + reach))))).withColumn("_n", columns)
+    seen = F.transform(F.sequence(place(lng - F.col("_w")), place(lng + F.col("_w"))), lambda c: F.pmod(c, F.col("_n")))
+    f = f.withColumn("_c", F.explode(F.array_distinct(seen))).withColumn("_f", mine("f", deal_f)).withColumn("_p", every(deal_p))
+    kind, keys = points.schema["point"].dataType.simpleString(), ["_r", "_c", "_p", "_f"]
+
+    def count(here: pa.Table, there: pa.Table) -> pa.Table:
+        found = np.zeros(here.num_rows, "int64")
+        if here.num_rows and there.num_rows:
+            arrays = [t.column(c).to_numpy() for t, c in ((here, "p_lat"), (here, "p_lng"), (there, "f_lat"), (there, "f_lng"), (there, "n"))]
+            found = np.concatenate(list(_strips_count(tuple(arrays[:2]), tuple(arrays[2:]), radius_m)))
+        return pa.table({"point": here.column("point"), "features": found})
+
+    met = p.select("point", "p_lat", "p_lng", *keys).groupBy(*keys).cogroup(f.select("f_lat", "f_lng", "n", *keys).groupBy(*keys))
+    counted = met.applyInArrow(count, f"point {kind}, features long")
+    return counted.where("features > 0").groupBy("point").agg(F.sum("features").alias("features"))
+
+
 def _as_points(df: DataFrame) -> DataFrame:
     return df.where(G.valid_latlng(F.col("latitude"), F.col("longitude"))).select(F.col("id").alias("p_id"), F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lng"))
 

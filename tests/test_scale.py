@@ -73,3 +73,14 @@ def test_few_nearest_without_all_pairs(spark, monkeypatch):
     columns = ["point", "rank", "kind", "id", "km"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
     assert pairs.count() > 600_000 and sum(m.count() for m in met) < 200_000
+
+
+def test_counts_within_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(S, "within", None)
+    odd = [("a", 89.99, 0.0), ("b", 89.9, 180.0), ("c", -90.0, 3.0), ("d", 0.0, 180.0), ("e", 0.1, -179.95), ("f", 60.0, -180.0), ("g", 60.0, 179.8), ("h", 0.0, 0.0), ("i", None, 1.0), ("j", 1.0, float("nan")), ("k", -0.05, -0.05)]
+    odd = spark.createDataFrame(odd, "id string, lat double, lng double")
+    points = _crowd(spark, 700, "p", "0.6").unionAll(odd).toDF("point", "p_lat", "p_lng")
+    features = _crowd(spark, 3000, "f", "0.6").unionAll(odd).select("id", F.col("latitude").alias("f_lat"), F.col("longitude").alias("f_lng"))
+    for radius, most in ((25_000, 300_000), (25_000, 100), (3_000_000, 1000)):
+        want = _pairs(points, features, radius).groupBy("point").count()
+        assert sorted(map(tuple, S.count_within(points, features, radius, most).collect())) == sorted(map(tuple, want.collect()))
