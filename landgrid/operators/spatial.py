@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
-from .lineage import cut
+from .lineage import cut, spread
 
 #: Fixed values of the linkage, in metres.
 CONTAINED_M, LINKED_M, DECLARED_M = 1000, 2000, 4000
@@ -31,29 +31,61 @@ def _columns(row: Column, high: float, angle: float) -> Column:
     return F.when((share >= 0.999) | (top >= 90), F.lit(1).cast("long")).otherwise(F.greatest(F.floor(F.lit(360.0) / wide), F.lit(1).cast("long")))
 
 
-def within(points: DataFrame, features: DataFrame, radius_m: float, salts: int = 1) -> DataFrame:
+def _in_cells(df: DataFrame, x: str, radius_m: float, around: bool) -> DataFrame:
+    """Rows with a valid place (`x`_lat, `x`_lng), each with its grid cell (_r, _c), a radius wide, or once for each of the nine cells around."""
+    angle = radius_m / (G.EARTH_KM * 1000) * 1.0001
+    high = min(math.degrees(angle), 180.0)
+    lat, lng = F.col(f"{x}_lat"), F.col(f"{x}_lng")
+    place = F.floor((lng + 180) / 360 * F.col("_n"))
+    row, steps = F.floor(lat / high), [F.lit(v) for v in (-1, 0, 1)]
+    df = df.where(G.valid_latlng(lat, lng)).withColumn("_r", F.explode(F.array(*[row + v for v in steps])) if around else row)
+    df = df.withColumn("_n", _columns(F.col("_r"), high, angle))
+    column = F.explode(F.array_distinct(F.array(*[F.pmod(place + v, F.col("_n")) for v in steps]))) if around else F.pmod(place, F.col("_n"))
+    return df.withColumn("_c", column).drop("_n")
+
+
+def within(points: DataFrame, features: DataFrame, radius_m: float, salts: int = 1, around: str = "p") -> DataFrame:
     """`points` (p_lat, p_lng, ...) joined to `features` (f_lat, f_lng, ...) at most radius_m away, with `meters`.
 
     Equality on grid cells a radius wide, fewer to a row the nearer it is to a pole, and
     joined at 180 degrees; points visit the nine cells around theirs, so no pair beyond
     two cells is looked at. Null and invalid places match nothing. With `salts`, the
-    features of a cell are dealt over so many tasks: for few points and few, large cells.
+    features of a cell are dealt over so many tasks: for few points and few, large cells. With
+    `around` "f" the features are sent to nine cells instead: for points that are many more.
     """
-    angle = radius_m / (G.EARTH_KM * 1000) * 1.0001
-    high = min(math.degrees(angle), 180.0)
-    place = lambda lng: F.floor((F.col(lng) + 180) / 360 * F.col("_n"))
-    row = lambda lat: F.floor(F.col(lat) / high)
-    p = points.where(G.valid_latlng(F.col("p_lat"), F.col("p_lng"))).withColumn("_r", F.explode(F.transform(F.array(*[F.lit(v) for v in (-1, 0, 1)]), lambda v: row("p_lat") + v)))
-    p = p.withColumn("_n", _columns(F.col("_r"), high, angle)).withColumn("_c", F.explode(F.array_distinct(F.array(*[F.pmod(place("p_lng") + v, F.col("_n")) for v in (-1, 0, 1)]))))
-    f = features.where(G.valid_latlng(F.col("f_lat"), F.col("f_lng"))).withColumn("_r", row("f_lat"))
-    f = f.withColumn("_n", _columns(F.col("_r"), high, angle)).withColumn("_c", F.pmod(place("f_lng"), F.col("_n")))
-    keys = ["_r", "_c"]
+    p, f, keys = _in_cells(points, "p", radius_m, around == "p"), _in_cells(features, "f", radius_m, around == "f"), ["_r", "_c"]
     if salts > 1:
         p = p.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         f = f.withColumn("_s", F.pmod(F.xxhash64("f_lat", "f_lng"), F.lit(salts)).cast("int"))
         keys.append("_s")
     meters = G.distance_m(F.col("p_lat"), F.col("p_lng"), F.col("f_lat"), F.col("f_lng"))
-    return p.drop("_n").join(f.drop("_n").hint("shuffle_hash"), keys).withColumn("meters", meters).where(F.col("meters") <= radius_m).drop(*keys)
+    return p.join(f.hint("shuffle_hash"), keys).withColumn("meters", meters).where(F.col("meters") <= radius_m).drop(*keys)
+
+
+def first_within(points: DataFrame, features: DataFrame, radius_m: float, order: list[str], some: int = 8) -> DataFrame:
+    """(p_id, first): of points (p_id, p_lat, p_lng) with any feature at most radius_m away, the first of those features by `order`, as a struct.
+
+    For crowds: a cell has its features and those of the cells around in order, and a point meets only the
+    first `some` of its cell. The first of them within the radius is the one; points without one meet the next, eight times as many.
+    """
+    cells = _in_cells(features, "f", radius_m, True)
+    most = cells.groupBy("_r", "_c").count().agg(F.max("count")).first()[0] or 0
+    place = F.row_number().over(Window.partitionBy("_r", "_c").orderBy(*order))
+    meters = G.distance_m(F.col("p_lat"), F.col("p_lng"), F.col("f_lat"), F.col("f_lng"))
+    left, out, seen = _in_cells(points, "p", radius_m, False), None, 0
+    while True:
+        next_ = cells.withColumn("_k", place).where((F.col("_k") <= some) & (F.col("_k") > seen))
+        met = left.join(next_.hint("shuffle_hash"), ["_r", "_c"]).where(meters <= radius_m)
+        met = met.groupBy("p_id", "_r", "_c").agg(F.min("_k").alias("_k"))  # numbers, not structs, for which Spark would sort all pairs
+        found = met.join(next_.hint("shuffle_hash"), ["_r", "_c", "_k"]).groupBy("p_id").agg(F.min(F.struct(*order)).alias("first"))
+        found = found if some >= most else cut(found)
+        out = found if out is None else out.unionByName(found)
+        if some >= most:
+            return out
+        left = cut(left.join(found.select("p_id").hint("merge"), "p_id", "left_anti"))
+        if left.isEmpty():
+            return out
+        seen, some = some, some * 8
 
 
 def _strips_count(p: tuple, f: tuple, radius_m: float) -> Iterator[np.ndarray]:
@@ -226,35 +258,84 @@ def nearest_few(points: DataFrame, features: DataFrame, k: int, radius_m: float,
     return pairs.withColumn("km", F.round(F.col("meters") / 1000, 4)).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
 
 
-def _rounds(points: DataFrame, villages: DataFrame, first_m: float | None = None) -> DataFrame:
-    """(id, village, district_id, meters, contained) of the nearest village, and the containing one.
+def _far(points: DataFrame, features: DataFrame, spacing_m: float) -> DataFrame:
+    """(p_id, b): of each point (p_id, p_lat, p_lng) the nearest of all features, as in `_rounds`; for points far from any.
 
-    Rounds with ever larger radii, the first from the villages' density: a point with any
-    village within the radius is settled, since that round saw all of them. Only points
-    far from every village reach the late rounds, whose few cells are dealt over tasks.
+    Features lie in boxes of boxes, the largest a sixteenth of all wide, the next an eighth of that, down to their
+    spacing. Of the boxes that a point has met, those no nearer than a feature that it knows of are left out, and the
+    others opened, so its pairs grow with the depth, not with the features.
     """
-    left, f = _as_points(points), _as_features(villages)
-    radius, out, number = max(first_m or _spacing_m(f), CONTAINED_M), None, 0
-    while True:
-        last = radius >= _HALF_WORLD_M
-        met = within(left, f, radius, 1 if number < 2 else 32)
+    south, north, west, east = features.agg(F.min("f_lat"), F.max("f_lat"), F.min("f_lng"), F.max("f_lng")).first()
+    finest = math.degrees(spacing_m / (G.EARTH_KM * 1000))
+    widest = max((north - south) / 16, (east - west) / 16, finest)
+    depth = max(0, math.ceil(math.log(widest / finest, 8)))
+    inner = lambda x, low: F.floor((F.col(x) - low) / (widest / 8**depth))
+    f = features.withColumns({"_r": inner("f_lat", south), "_c": inner("f_lng", west)})
+    span = [g(x).alias(f"{x}_{n}") for x in ("f_lat", "f_lng") for n, g in (("low", F.min), ("high", F.max))]
+
+    def boxes(level: int) -> DataFrame:
+        own = [F.shiftright(c, 3 * level).alias(c) for c in ("_r", "_c")]
+        parent = [F.shiftright(c, 3).alias(f"{c}p") for c in ("_r", "_c")]
+        return f.groupBy(*own).agg(*span, F.min(F.struct("f_lat", "f_lng")).alias("one")).select("*", *parent)
+
+    turn = lambda x: F.least(F.abs(F.col("p_lng") - F.col(x)), F.lit(360.0) - F.abs(F.col("p_lng") - F.col(x)))
+    dlat = F.greatest(F.col("f_lat_low") - F.col("p_lat"), F.col("p_lat") - F.col("f_lat_high"), F.lit(0.0))
+    dlng = F.when(F.col("p_lng").between(F.col("f_lng_low"), F.col("f_lng_high")), 0.0).otherwise(F.least(turn("f_lng_low"), turn("f_lng_high")))
+    cosine = F.least(F.cos(F.radians("f_lat_low")), F.cos(F.radians("f_lat_high")))
+    h = F.pow(F.sin(F.radians(dlat) / 2), 2) + F.cos(F.radians("p_lat")) * cosine * F.pow(F.sin(F.radians(dlng) / 2), 2)
+    least = F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * (2000 * G.EARTH_KM * (1 - 1e-9)) - 1  # a metre for rounding, at the other end of the world
+    known = G.distance_m(F.col("p_lat"), F.col("p_lng"), F.col("one.f_lat"), F.col("one.f_lng"))
+    who = ["p_id", "p_lat", "p_lng"]
+
+    top = F.broadcast(boxes(depth).drop("_rp", "_cp"))  # 17 x 17 at most
+    bound = points.crossJoin(top).groupBy(*who).agg(F.min(known).alias("m"))
+    held = bound.crossJoin(top).where(least <= F.col("m")).select(*who, "m", "_r", "_c")
+    for level in range(depth - 1, -1, -1):
+        parents = held.withColumnsRenamed({"_r": "_rp", "_c": "_cp"})
+        met = parents.join(boxes(level).hint("merge"), ["_rp", "_cp"]).withColumn("_low", least).where(F.col("_low") <= F.col("m"))
+        kept = met.groupBy(*who).agg(F.least(F.min("m"), F.min(known)).alias("m"), F.collect_list(F.struct("_low", "_r", "_c")).alias("_all"))
+        held = kept.select(*who, "m", F.explode(F.filter("_all", lambda x: x["_low"] <= F.col("m"))).alias("x")).select(*who, "m", "x._r", "x._c")
+    meters = G.distance_m(F.col("p_lat"), F.col("p_lng"), F.col("f_lat"), F.col("f_lng"))
+    last = held.join(f.hint("merge"), ["_r", "_c"]).withColumn("meters", meters).where(F.col("meters") <= F.col("m"))
+    return last.groupBy("p_id").agg(F.min(F.struct("meters", "v_name", "v_id", "district_id")).alias("b"))
+
+
+def _rounds(points: DataFrame, villages: DataFrame, first_m: float | None = None, inside: bool = True) -> DataFrame:
+    """(id, village, district_id, meters, contained) of the nearest village, and (if `inside`) the containing one.
+
+    Two rounds of radii, the first from the villages' density: a point with any village within the radius is
+    settled, since that round saw all of them. Points far from every village descend into boxes (see `_far`).
+    Where villages are crowded, so that the radius is less than a containing village may be away, that one is found apart.
+    """
+    all_ = cut(_as_points(spread(points.select("id", "latitude", "longitude"), "id")))  # places may be costly to compute
+    f = _as_features(villages)
+    f = cut(f.groupBy("f_lat", "f_lng").agg(F.min(F.struct("v_name", "v_id", "district_id")).alias("v")).select("f_lat", "f_lng", "v.*"))
+    spacing = min(first_m or _spacing_m(f), _HALF_WORLD_M)
+    left, out, also = all_, None, CONTAINED_M if inside and spacing >= CONTAINED_M else -1
+    for radius in (spacing, min(4 * spacing, _HALF_WORLD_M)):
+        least = within(left, f, radius, around="f").groupBy("p_id").agg(F.min("meters").alias("_m"))  # numbers first, as structs make Spark sort all pairs
+        met = within(left.join(least.hint("merge"), "p_id"), f, radius, around="f").where((F.col("meters") <= F.col("_m") + 1e-6) | (F.col("meters") <= also))
         best = F.min(F.struct("meters", "v_name", "v_id", "district_id")).alias("b")
-        inside = F.min(F.when(F.col("meters") <= CONTAINED_M, F.struct("v_name", "v_id"))).alias("c")
-        found = met.groupBy("p_id").agg(best, inside)
-        found = found if last else cut(found)
-        settled = found.select(F.col("p_id").alias("id"), F.col("b.v_id").alias("village"), "b.district_id", "b.meters", F.col("c.v_id").alias("contained"))
-        out = settled if out is None else out.unionByName(settled)
-        if last:
-            return out
+        near = F.min(F.when(F.col("meters") <= also, F.struct("v_name", "v_id"))).alias("first")
+        found = cut(met.groupBy("p_id").agg(best, near))
+        out = found if out is None else out.unionByName(found)
+        if radius >= _HALF_WORLD_M:
+            break
         left = cut(left.join(found.select("p_id").hint("merge"), "p_id", "left_anti"))
         if left.isEmpty():
-            return out
-        radius, number = min(radius * 4 if number < 2 else radius * 8, _HALF_WORLD_M), number + 1
+            break
+    else:
+        out = out.unionByName(_far(left, f, spacing), allowMissingColumns=True)
+    if inside and spacing < CONTAINED_M:
+        out = cut(out.drop("first"))
+        close = all_.join(out.where(F.col("b.meters") <= CONTAINED_M).select("p_id").hint("merge"), "p_id", "left_semi")
+        out = out.join(first_within(close, f, CONTAINED_M, ["v_name", "v_id"]).hint("merge"), "p_id", "left")
+    return out.select(F.col("p_id").alias("id"), F.col("b.v_id").alias("village"), "b.district_id", "b.meters", F.col("first.v_id").alias("contained"))
 
 
 def nearest_village(points: DataFrame, villages: DataFrame, first_m: float | None = None) -> DataFrame:
     """(id, village, district_id, meters) of the nearest village anywhere; ties by name, then id."""
-    return _rounds(points, villages, first_m).drop("contained")
+    return _rounds(points, villages, first_m, inside=False).drop("contained")
 
 
 def located(points: DataFrame, villages: DataFrame) -> DataFrame:

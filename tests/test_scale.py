@@ -84,3 +84,19 @@ def test_counts_within_without_pairs(spark, monkeypatch):
     for radius, most in ((25_000, 300_000), (25_000, 100), (3_000_000, 1000)):
         want = _pairs(points, features, radius).groupBy("point").count()
         assert sorted(map(tuple, S.count_within(points, features, radius, most).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_crowded_villages_without_all_pairs(spark, monkeypatch):
+    """Most villages within a kilometre of most places, one place far from the crowd for every few: few pairs are made for each place."""
+    claims = spark.range(600).selectExpr("CAST(id AS STRING) AS id", "CAST(CASE WHEN id % 5 = 1 THEN 23.5e0 WHEN id % 50 = 7 THEN -80e0 WHEN id % 50 = 8 THEN NULL ELSE 23 + (id * 7919 % 10007) / 10007e0 / 50 END AS DOUBLE) AS latitude", "CAST(CASE WHEN id % 50 = 7 THEN -179.9e0 ELSE 80 + (id * 104729 % 9973) / 9973e0 / 50 END AS DOUBLE) AS longitude")
+    villages = spark.range(4000).selectExpr("concat('v', id) AS id", "concat('n', id * 37 % 1999) AS name", "CAST(id % 7 AS STRING) AS district_id", "23 + (id * 3571 % 10007) / 10007e0 / 50 AS latitude", "80 + (id * 7727 % 9973) / 9973e0 / 50 AS longitude")
+    villages = villages.unionAll(villages.where("id < 'v2'").selectExpr("concat('w', id)", "concat('m', name)", "district_id", "latitude", "longitude"))
+    pairs = _pairs(S._as_points(claims), S._as_features(villages), 1e9)
+    inside = F.min(F.when(F.col("meters") <= 1000, F.struct("v_name", "v_id")))
+    want = pairs.groupBy("p_id").agg(F.min(F.struct("meters", "v_name", "v_id", "district_id")).alias("b"), inside.alias("c"))
+    want = want.select("p_id", "c.v_id", F.col("b.v_id").alias("nearest"), "b.district_id", "b.meters")
+    met, within = [], S.within
+    monkeypatch.setattr(S, "within", lambda *a, **k: met.append(within(*a, **k)) or met[-1])
+    got = S.located(claims, villages).where("nearest is not null").select("id", "contained", "nearest", "nearest_district", "nearest_m")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert pairs.where("meters <= 1000").count() > 500_000 and sum(m.count() for m in met) < 50_000
