@@ -6,11 +6,12 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from landgrid.llm import block_knn, chat_format, decontamination, filter_audit, importance, jaccard_join, language_id, lexical_search, license_scan, mixing, sharding, simhash, url_filters
+from landgrid.llm import block_knn, chat_format, common, decontamination, filter_audit, importance, jaccard_join, language_id, lexical_search, license_scan, mixing, sharding, simhash, url_filters
 from landgrid.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -910,3 +911,24 @@ def test_search_odd_cases(spark):
     assert rows == [(1, 1, 1), (1, 2, 1), (1, 3, 6), (2, 1, 5), (3, 1, 7), (3, 1, None)]
     assert lexical_search.rank_documents(empty(spark), items).count() == 0
     assert lexical_search.rank_documents(odd_docs(spark), items.limit(0)).count() == 0
+
+
+def test_batches_for_python_are_bounded(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"mb": [b.nbytes / 1e6]})
+
+    def most():
+        wide = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("text"))
+        return wide.mapInArrow(sizes, "mb double").agg(F.max("mb")).first()[0]
+
+    session = spark.conf.getAll.get(common.BATCH_KEY)
+    try:
+        spark.conf.unset(common.BATCH_KEY)
+        common.shared_dir(spark)
+        assert most() < 6
+        spark.conf.set(common.BATCH_KEY, "16m")  # a session's own size stays
+        common.shared_dir(spark)
+        assert 10 < most() < 18
+    finally:
+        spark.conf.unset(common.BATCH_KEY) if session is None else spark.conf.set(common.BATCH_KEY, session)
