@@ -8,6 +8,7 @@ from landgrid.functions import text as X
 from landgrid.operators import relational as R
 from landgrid.operators import spatial as S
 from landgrid.operators.lineage import spread
+from landgrid.plans import spatial as PS
 from landgrid.plans import text as PT
 
 #: Texts that fit one or few patterns each, in any case, and texts that fit almost.
@@ -86,6 +87,25 @@ def test_counts_within_without_pairs(spark, monkeypatch):
         assert sorted(map(tuple, S.count_within(points, features, radius, most).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_pairs_within_cost_little_beyond_themselves(spark, sf_dir, monkeypatch):
+    odd = [("a", 89.99, 0.0), ("b", 89.9, 180.0), ("c", -90.0, 3.0), ("d", 0.0, 180.0), ("e", 0.1, -179.95), ("f", 60.0, -180.0), ("g", 60.0, 179.8), ("h", 0.0, 0.0), ("i", None, 1.0), ("j", 1.0, float("nan")), ("k", -0.05, -0.05), ("l", 91.0, 0.0)]
+    odd += [(f"m{i}", i * 0.0001234, 25 / 6371.0 * 57.29577951308232) for i in range(9)] + [(f"n{i}", i * 0.00000045, 0.0) for i in range(9)]  # at the radius, and near rounding ties
+    odd = spark.createDataFrame(odd, "id string, lat double, lng double")
+    points = _crowd(spark, 700, "p", "3").unionAll(odd).toDF("point", "p_lat", "p_lng")
+    features = _crowd(spark, 3000, "f", "3").unionAll(odd).select("id", F.col("latitude").alias("f_lat"), F.col("longitude").alias("f_lng"))
+    for radius, fine in ((25_000, 3), (25_000, 1), (190_000, 2)):
+        want = _pairs(points, features, radius).select("point", "id", F.round(F.col("meters") / 1000, 4).alias("km"))
+        assert sorted(map(tuple, S.km_within(points, features, radius, fine, some=100).select("point", "id", "km").collect())) == sorted(map(tuple, want.collect()))
+    assert S.km_within(points.where("false"), features, 25_000).isEmpty()
+
+    plan = PS.PAIRS["radius_search"][0](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("7919") == 4  # the places of villages as points, and of three kinds of features: each computed once, not for each condition on it
+    spaced = points.where("p_lat <> 20.05e0 and p_lat < 24"), features.where("f_lat <> 20.05e0")
+    kept = S.km_within(*spaced, 25_000).count()
+    monkeypatch.setattr(S, "_reached", lambda radius_m: F.lit(True))
+    assert kept > 1000 and S.km_within(*spaced, 25_000).count() < 2.2 * kept
+
+
 def test_crowded_villages_without_all_pairs(spark, monkeypatch):
     """Most villages within a kilometre of most places, one place far from the crowd for every few: few pairs are made for each place."""
     claims = spark.range(600).selectExpr("CAST(id AS STRING) AS id", "CAST(CASE WHEN id % 5 = 1 THEN 23.5e0 WHEN id % 50 = 7 THEN -80e0 WHEN id % 50 = 8 THEN NULL ELSE 23 + (id * 7919 % 10007) / 10007e0 / 50 END AS DOUBLE) AS latitude", "CAST(CASE WHEN id % 50 = 7 THEN -179.9e0 ELSE 80 + (id * 104729 % 9973) / 9973e0 / 50 END AS DOUBLE) AS longitude")
