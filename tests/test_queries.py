@@ -1,8 +1,10 @@
 """Every query with SQL gives the rows that DuckDB gives; the others run."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from landgrid import queries as Q
+from landgrid.functions import text as X
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
@@ -20,6 +22,13 @@ def test_every_query_has_sql(spark, sf_dir):
     assert Q.QUERIES["boundaries"](spark, sf_dir).where("n > 0").count() > 0
 
 
+def test_entity_summary_counts_every_kind(spark, sf_dir):
+    summary = Q.QUERIES["entity_summary"](spark, sf_dir)
+    for kind in X.KINDS:
+        assert summary.select("id", kind).exceptAll(Q.QUERIES[kind](spark, sf_dir).select("id", "n")).isEmpty()
+    assert summary.agg(F.max("boundaries")).first()[0] > 1
+
+
 def test_entry_module():
     import __spark_entry__ as entry
 
