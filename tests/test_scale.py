@@ -1,5 +1,6 @@
 """What larger tables need: work dealt over tasks, nothing that grows faster than the input."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -106,6 +107,34 @@ def test_pairs_within_cost_little_beyond_themselves(spark, sf_dir, monkeypatch):
     assert kept > 1000 and S.km_within(*spaced, 25_000).count() < 2.2 * kept
 
 
+ODD = [("a", 89.99, 0.0), ("b", 89.9, 180.0), ("c", -90.0, 3.0), ("d", 0.0, 180.0), ("e", 0.1, -179.95), ("f", 60.0, -180.0), ("g", 60.0, 179.8), ("h", 0.0, 0.0), ("i", None, 1.0), ("j", 1.0, float("nan")), ("k", -0.05, -0.05), ("l", 91.0, 0.0)]
+ODD += [(f"m{i}", i * 0.0001234, 25 / 6371.0 * 57.29577951308232) for i in range(9)] + [(f"n{i}", i * 0.00000045, 0.0) for i in range(9)]  # at the radius, and near rounding ties
+
+
+@pytest.mark.parametrize("radius,most,some", [(25_000, 500_000, 50_000), (25_000, 500_000, 20), (25_000, 1500, 50_000), (25_000, 300, 100), (190_000, 1000, 30)])
+def test_all_near_in_order(spark, radius, most, some):
+    """Whole tiles, dealt points, smaller tiles, and tiles too crowded for one task: the pairs and ranks of a window over all pairs."""
+    odd = spark.createDataFrame(ODD, "id string, lat double, lng double")
+    points = _crowd(spark, 300, "p", "3").unionAll(odd).toDF("point", "p_lat", "p_lng")
+    points = points.unionAll(points.where("point in ('p1', 'p7', 'h')").selectExpr("point", "p_lat + 0.01", "p_lng")).unionAll(points.where("point = 'p2'").selectExpr("CAST(NULL AS STRING)", "p_lat", "p_lng"))
+    features = _crowd(spark, 3000, "f", "3").unionAll(odd).selectExpr("CASE WHEN hash(id) % 2 = 0 THEN 'x' END AS kind", "id", "latitude AS f_lat", "longitude AS f_lng")
+    pairs = _pairs(points, features, radius).select("point", "kind", "id", F.round(F.col("meters") / 1000, 4).alias("km"))
+    want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("point").orderBy("km", "kind", "id"))).collect()
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(S.near(points, features, radius, ["kind", "id"], most, some, 700).collect(), key=key) == sorted(want, key=key)
+    assert sorted(S.near(points, features, radius, None, most, some, 700).collect(), key=key) == sorted((r[:4] for r in want), key=key)
+    assert max(r.rank for r in want) > 300 and S.near(points.where("false"), features, radius).isEmpty() and S.near(points, features.where("false"), radius, ["id"]).isEmpty()
+
+
+def test_near_shuffles_no_copies_of_points(spark, sf_dir):
+    """What is dealt over tasks: points once, features once or a little more often, instead of 49 copies of each point."""
+    plan = PS.PAIRS["radius_search"][0](spark, sf_dir)
+    assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    tables = [plan.sparkSession.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("customer", "customer", "orders", "part")]
+    dealt = S.dealt(PS._points(spark, sf_dir), PS._places(spark, sf_dir), 25_000)[0]
+    assert dealt.where("_side = 1").count() == tables[0] and dealt.count() < 2 * sum(tables)
+
+
 def test_crowded_villages_without_all_pairs(spark, monkeypatch):
     """Most villages within a kilometre of most places, one place far from the crowd for every few: few pairs are made for each place."""
     claims = spark.range(600).selectExpr("CAST(id AS STRING) AS id", "CAST(CASE WHEN id % 5 = 1 THEN 23.5e0 WHEN id % 50 = 7 THEN -80e0 WHEN id % 50 = 8 THEN NULL ELSE 23 + (id * 7919 % 10007) / 10007e0 / 50 END AS DOUBLE) AS latitude", "CAST(CASE WHEN id % 50 = 7 THEN -179.9e0 ELSE 80 + (id * 104729 % 9973) / 9973e0 / 50 END AS DOUBLE) AS longitude")
