@@ -72,9 +72,8 @@ def _radius(s, d):
     return S.near(_points(s, d), _places(s, d).drop("category"), 25_000)
 
 
-def _nearest_few(s, d):
-    few = S.nearest_few(_points(s, d), _places(s, d).drop("category"), 20, 25_000, ["kind", "id"])
-    return few.select("point", "kind", "layer", "id", "km", "rank")
+def _sorted(s, d):
+    return S.near(_points(s, d), _places(s, d).drop("category"), 25_000, ["kind", "id"])
 
 
 RADIUS = FEATURES_SQL.rstrip() + f", p AS (SELECT id AS point, latitude AS plat, longitude AS plng FROM villages), r AS (SELECT point, kind, layer, id, {hav('plat', 'plng', 'latitude', 'longitude')} AS km FROM p, f WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180) "
@@ -128,7 +127,7 @@ PAIRS = {
     "linkage_crossref": (lambda s, d: _links(s, d).where("declared").select("id", "linked_village", "confidence"), LINKED + " SELECT id, linked_village, confidence FROM links WHERE declared"),
     "linkage_crossref_dense": (lambda s, d: _dense_links(s, d).where("declared").select("id", "linked_village", "confidence"), _dense_sql(" SELECT id, linked_village, confidence FROM links WHERE declared")),
     "radius_search": (_radius, RADIUS + "SELECT point, kind, layer, id, round(km, 4) AS km FROM r WHERE km <= 25"),
-    "radius_sorted": (_nearest_few, RADIUS + ", k AS (SELECT point, kind, layer, id, round(km, 4) AS km FROM r WHERE km <= 25) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY point ORDER BY km, kind, id) AS INT) AS rank FROM k) WHERE rank <= 20"),
+    "radius_sorted": (_sorted, RADIUS + ", k AS (SELECT point, kind, layer, id, round(km, 4) AS km FROM r WHERE km <= 25) SELECT *, CAST(row_number() OVER (PARTITION BY point ORDER BY km, kind, id) AS INT) AS rank FROM k"),
     "buffer_stats": (lambda s, d: S.count_within(_points(s, d), _places(s, d), 25_000).withColumn("area_km2", F.round(F.pi() * 25 * 25, 2)), RADIUS + f"SELECT point, count(*) AS features, {BUFFER} AS area_km2 FROM r WHERE km <= 25 GROUP BY point"),
     "asset_proximity": (_proximity, with_views("claims", "assets") + f"SELECT id, asset_type, count(*) AS assets, round(min(m), 1) AS nearest_m FROM (SELECT c.id, asset_type, {hav('c.latitude', 'c.longitude', 'a.latitude', 'a.longitude')} * 1000 AS m FROM (SELECT * FROM claims WHERE {GOOD}) c JOIN assets a ON abs(c.latitude - a.latitude) < 1e-1) WHERE m <= 5000 GROUP BY ALL"),
     "haversine_km": (lambda s, d: load(s, d, "claims").join(load(s, d, "villages").select(F.col("id").alias("village_id"), F.col("latitude").alias("a"), F.col("longitude").alias("b")), "village_id").where(G.valid_latlng(F.col("latitude"), F.col("longitude"))).select("id", F.round(G.haversine_km(F.col("latitude"), F.col("longitude"), F.col("a"), F.col("b")), 5).alias("km")), CV + f"SELECT c.id, round({hav('c.latitude', 'c.longitude', 'v.latitude', 'v.longitude')}, 5) AS km FROM claims c JOIN villages v ON c.village_id = v.id WHERE c.latitude BETWEEN -90 AND 90"),

@@ -135,6 +135,16 @@ def test_near_shuffles_no_copies_of_points(spark, sf_dir):
     assert dealt.where("_side = 1").count() == tables[0] and dealt.count() < 2 * sum(tables)
 
 
+def test_radius_sorted_keeps_all(spark, sf_dir, tmp_path):
+    """Thirty claims of a village: more than twenty of them are sorted, too."""
+    for t in ("customer", "part"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("o_custkey", F.lit(7).cast("long")).limit(30).write.parquet(f"{tmp_path}/orders.parquet")
+    rows, pairs = (PS.PAIRS[q][0](spark, str(tmp_path)) for q in ("radius_sorted", "radius_search"))
+    assert rows.drop("rank").exceptAll(pairs).isEmpty() and rows.count() == pairs.count()
+    assert rows.agg(F.max("rank")).first()[0] > 20
+
+
 def test_crowded_villages_without_all_pairs(spark, monkeypatch):
     """Most villages within a kilometre of most places, one place far from the crowd for every few: few pairs are made for each place."""
     claims = spark.range(600).selectExpr("CAST(id AS STRING) AS id", "CAST(CASE WHEN id % 5 = 1 THEN 23.5e0 WHEN id % 50 = 7 THEN -80e0 WHEN id % 50 = 8 THEN NULL ELSE 23 + (id * 7919 % 10007) / 10007e0 / 50 END AS DOUBLE) AS latitude", "CAST(CASE WHEN id % 50 = 7 THEN -179.9e0 ELSE 80 + (id * 104729 % 9973) / 9973e0 / 50 END AS DOUBLE) AS longitude")
