@@ -1,11 +1,15 @@
 """What larger tables need: work dealt over tasks, nothing that grows faster than the input."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from landgrid.functions import geo as G
 from landgrid.functions import text as X
+from landgrid.operators import documents as D
 from landgrid.operators import relational as R
 from landgrid.operators import spatial as S
 from landgrid.operators.lineage import spread
@@ -40,6 +44,54 @@ def test_patterns_left_out_match_nowhere(spark, sf_dir, monkeypatch):
     assert all(any(r[k] for r in fast) for k in X.KINDS)
 
 
+def _by_sparks_engine(text, kind):
+    """Values of a kind by Spark's own expressions, every pattern over the whole text."""
+    group, patterns = X.PATTERNS[kind]
+    trim = lambda x: F.trim(x, F.lit(" \t\n\v\f\r"))
+    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(X.pattern_text(kind, p)), F.lit(group)) for p in patterns]))
+    found = F.transform(F.coalesce(found, F.array().cast("array<string>")), trim if kind in X.TRIMMED else lambda x: x)
+    if kind == "villages":
+        found = F.transform(found, lambda x: F.regexp_replace(x, "[,.;]", ""))
+    found = F.filter(found, lambda x: F.length(trim(x)) > X.LONGER_THAN[kind])
+    if kind == "names":
+        found = F.filter(found, lambda x: ~x.rlike("|".join(X.NAME_EXCLUSIONS)) & ~x.rlike(r"^\s*\d+\s*$") & x.rlike("^\\s*[A-Za-zऀ-ॿঀ-৿ఀ-౿஀-௿]"))
+    return F.array_distinct(found)
+
+
+def _mixed_texts(n, seed=11):
+    """Words of all patterns, numbers, blanks, signs and marks, in any order."""
+    r = random.Random(seed)
+    words = [re.findall(r"[A-Za-z]{2,}|[\u0900-\u0c7f]+", p) or ["x"] for _, ps in X.PATTERNS.values() for p in ps]
+    some = lambda ws: " ".join(ws[i] for i in sorted(r.sample(range(len(ws)), min(len(ws), r.choice([1, 1, 2, 2, 3]))))) + r.choice(["", "", " 12/3", " 7"])
+    odd = ["1", "23", "2020", "3.5", "12/3", "1/2/2020", "2020-03-04", "28°36'N, 77°12'E", "10.5, 20.25", "3-4", "5–6", ".", ",", ";", ":", "-", "/", "\n", "\r\n", "\t", "\u00a0", "\u2028", "\u0085", "\v", "_", "é", "\u0301", "\u0902", "\u093e", "।", "॰", "½", "²", "٣", "İ", "K", "ſ", "日本", "𝔘", "ป่า", "N", "S", "E", "W", "A", "b", "Asha", "Ram Das", "का", "में", "Form A1"]
+    say = lambda: r.choice([str, str, str.upper, str.lower, str.title])(some(r.choice(words))) if r.random() < 0.6 else r.choice(odd)
+    return ["".join(say() + r.choice([" ", " ", " ", "", ": ", "  ", ", ", "\n", ". "]) for _ in range(r.randrange(1, 40))) for _ in range(n)]
+
+
+def test_entities_are_those_of_sparks_engine(spark, sf_dir):
+    texts = [*SAID, *map(str.upper, SAID), *map(str.lower, SAID), " ; ".join(SAID), *_mixed_texts(4000), *[t[:i] + c + t[i:] for t in SAID for i in range(0, len(t), 3) for c in "\u0301\u0902é_1. "], None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8).unionAll(PT.all_letters(spark, sf_dir).select("text"))
+    for kind in X.KINDS:
+        both = rows.select("text", X.entities(F.col("text"), kind).alias("got"), _by_sparks_engine(F.col("text"), kind).alias("want"))
+        assert both.where("got <> want or got is null").limit(3).collect() == []
+        assert both.where("size(want) > 0").count() > 100
+
+
+def test_quality_of_letters_makes_no_row_for_each_value(spark, sf_dir):
+    """Found and true values are compared inside their row: no join, and only counts are shuffled; repeated and null ids as in SQL."""
+    plan = PT.PAIRS["extraction_quality_languages"][0](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    kinds = {"a": ["x", "y"], "b": ["z"]}
+    rows = [("1", "eng", ["x", "y"], ["z"], ["x"], ["w", "w"]), ("1", "eng", ["y", "v"], [], ["y", "x"], ["z"]), ("2", "hin", [], [], ["q"], []), ("3", "eng", ["u"], [], [], []), (None, "eng", ["u"], [], ["u"], [])]
+    told = spark.createDataFrame(rows, "id string, language string, a array<string>, b array<string>, true_a array<string>, true_b array<string>")
+    each = lambda side: F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(side + k).alias("vs")) for k in kinds])).alias("e")
+    truth = told.where("id is not null").select("id", "language", each("true_")).select("id", "language", "e.kind", F.explode("e.vs").alias("value"))
+    want = D.extraction_quality(told.where("id is not null"), truth, list(kinds), ["language"])
+    got = D.quality_within(told, list(kinds), ["language"])
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert got.count() == 3
+
+
 def test_totals_are_those_of_the_claims_that_users_see(spark):
     claims = spark.createDataFrame([("1", "a", "s"), ("2", "a", "s"), ("3", "b", "s"), ("4", "c", "t"), ("5", None, None)], "id string, district_id string, state_id string")
     users = spark.createDataFrame([("d", "district", "s", "a"), ("e", "district", None, "x"), ("f", "district", None, None), ("g", "state", "s", None), ("h", "state", "u", None), ("i", "admin", "s", "a"), ("j", None, None, None)], "id string, role string, state string, district string")
